@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, exact, leaks
+from . import base, exact, leaks, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,14 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(base.table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.report(base.table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op6_quality": op6_quality,
+        "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_decontamination": op10_decontamination,
     }
