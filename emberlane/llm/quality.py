@@ -164,9 +164,9 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+def keep_good(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None) -> DataFrame:
+    """The documents that the classifier accepts, with all their columns; trained on texts of ``training`` or of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs if training is None else training, labels))
 
     @F.pandas_udf("double")
     def quality(text):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, exact, leaks, packing, quality
+from . import base, exact, jaccard, leaks, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(base.table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
 
@@ -32,6 +36,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_jaccard_join": op3_jaccard_join,
         "op6_quality": op6_quality,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
@@ -40,6 +45,17 @@ def queries() -> dict[str, Query]:
 
 
 SQL = {
+    "op3_jaccard_join": f"""
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w
+                             from documents),
+        s as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as g
+              from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+        e as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)),
+        r as (select doc_id as a, doc_id as b from d union select r.a, e.b from r join e on e.a = r.b)
+        select r.a as doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.b) as component_id
+        from r left join n on n.doc_id = r.a group by r.a""",
     "op9_exact_dedup": f"""
         with t as (select doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) as text_sha256 from documents),
         g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from t group by text_sha256)
