@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, exact, jaccard, leaks, packing, quality
+from . import base, chat, exact, jaccard, leaks, packing, quality, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,18 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
+def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(base.table(spark, sf_dir, "conversations"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(base.table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.report(base.table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
 
@@ -36,7 +44,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat_rotation": op1_chat_rotation,
         "op3_jaccard_join": op3_jaccard_join,
+        "op5_token_counts": op5_token_counts,
         "op6_quality": op6_quality,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
@@ -45,6 +55,20 @@ def queries() -> dict[str, Query]:
 
 
 SQL = {
+    "op1_chat_rotation": """
+        with t as (select distinct conv_id, cast(floor(coalesce(turn, 0) / 256) as bigint) as block, turn,
+                          coalesce(replace(role, '<|', '< |'), 'unknown') as role, replace(coalesce(text, ''), '<|', '< |') as text
+                   from conversations),
+        s as (select distinct conv_id, block, role as speaker from t where role not in ('system', 'unknown')),
+        x as (select t.*, speaker, case when role = speaker then '<|assistant|>' || chr(10) when role = 'system' then '<|system|>' || chr(10)
+                     else '<|user name=' || role || '|>' || chr(10) end as head from t join s using (conv_id, block)),
+        y as (select *, length(head) as h, length(text) + 8 as b,
+                     coalesce(sum(length(head) + length(text) + 8) over (partition by conv_id, block, speaker order by turn nulls first, role, text
+                              rows between unbounded preceding and 1 preceding), 0) as at from x)
+        select conv_id, block, speaker, count(*) as n_turns, count(*) filter (role = speaker) as n_spoken,
+               string_agg(head || text || '<|end|>' || chr(10), '' order by turn nulls first, role, text) as text,
+               string_agg(case when role = speaker then cast(at + h as bigint) || ':' || cast(at + h + b as bigint) end, ',' order by turn nulls first, role, text) as mask
+        from y group by conv_id, block, speaker""",
     "op3_jaccard_join": f"""
         with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w
                              from documents),
