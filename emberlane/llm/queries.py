@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, chat, exact, jaccard, leaks, packing, quality, tokens
+from . import base, chat, exact, jaccard, leaks, packing, pii, quality, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(base.table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(base.table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.report(base.table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_chat_rotation": op1_chat_rotation,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_personal_data": op4_personal_data,
         "op5_token_counts": op5_token_counts,
         "op6_quality": op6_quality,
         "op8_packing": op8_packing,
@@ -64,10 +69,10 @@ SQL = {
                      else '<|user name=' || role || '|>' || chr(10) end as head from t join s using (conv_id, block)),
         y as (select *, length(head) as h, length(text) + 8 as b,
                      coalesce(sum(length(head) + length(text) + 8) over (partition by conv_id, block, speaker order by turn nulls first, role, text
-                              rows between unbounded preceding and 1 preceding), 0) as at from x)
+                              rows between unbounded preceding and 1 preceding), 0) as pos from x)
         select conv_id, block, speaker, count(*) as n_turns, count(*) filter (role = speaker) as n_spoken,
                string_agg(head || text || '<|end|>' || chr(10), '' order by turn nulls first, role, text) as text,
-               string_agg(case when role = speaker then cast(at + h as bigint) || ':' || cast(at + h + b as bigint) end, ',' order by turn nulls first, role, text) as mask
+               string_agg(case when role = speaker then concat_ws(':', cast(pos + h as bigint), cast(pos + h + b as bigint)) end, ',' order by turn nulls first, role, text) as mask
         from y group by conv_id, block, speaker""",
     "op3_jaccard_join": f"""
         with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w
