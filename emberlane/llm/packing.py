@@ -15,6 +15,8 @@ Null texts are empty: one piece that holds the end id. Repeated documents are pa
 from __future__ import annotations
 
 import itertools
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +36,7 @@ END_ID = 2
 DEPTH = 4
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; beyond it the memory is emptied and filled again, with the same results.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 
 _PIECES = "doc_id long, start long, length int, doc_tokens long, crcs array<long>, part int, k long"
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -43,38 +45,70 @@ _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, s
 class WordIds:
     """Token ids of whole texts as little-endian bytes, by remembering each white-space separated word.
 
-    The tokenizer never looks across white space, so a text's ids are its words' ids in order. ASCII words that end in one
-    full stop or comma are put together from the word and the mark.
+    The tokenizer never looks across white space, nor across the borders of letter runs, digits and mark runs. A new word is
+    put together from such parts where they are plain (ASCII without apostrophes or special strings, or letters with one
+    full stop or comma); new letter runs are encoded many at a time, told apart by the word-end tokens. Any other new word
+    goes to the tokenizer as it is.
     """
 
+    _PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+    _PLAIN = re.compile(rb"[!-~]+")
+    _JOINED = 200
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def _split(self, word: bytes) -> list[bytes] | None:
+        if word.isascii():
+            if b"'" in word or b"<|" in word or not self._PLAIN.fullmatch(word):
+                return None
+            return self._PARTS.findall(word.lower())
+        stem, mark = (word[:-1], [word[-1:]]) if word[-1:] in (b".", b",") else (word, [])
+        return [stem, *mark] if stem.decode("utf-8", "replace").lower().isalpha() else None
 
-    def _ask(self, words: list[bytes]) -> None:
+    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for word, encoding in zip(words, found):
-            self.known[word] = np.array(encoding.ids, "<u4").tobytes()
+        return [np.array(x.ids, "<u4") for x in found]
+
+    def _learn(self, parts: set[bytes]) -> None:
+        letters = [p for p in parts if p[:1].isalpha() or p[0] >= 128]
+        other = [p for p in parts if not (p[:1].isalpha() or p[0] >= 128)]
+        groups = [letters[i : i + self._JOINED] for i in range(0, len(letters), self._JOINED)]
+        for group, ids in zip(groups, self._encode([b" ".join(g) for g in groups])):
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(group):
+                other += group
+                continue
+            raw, at = ids.tobytes(), 0
+            for part, end in zip(group, (4 * ends).tolist()):
+                self.parts[part] = raw[at:end]
+                at = end
+        for part, ids in zip(other, self._encode(other)):
+            self.parts[part] = ids.tobytes()
 
     def __call__(self, values: list[bytes]) -> list[bytes]:
         split = [v.split() for v in values]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        if len(self.parts) > CACHE_WORDS // 2:
+            self.parts.clear()
+        known, parts = self.known, self.parts
         new = {w for words in split for w in words if w not in known}
-        stems, made = {b".", b","}, []
-        for w in new:
-            mark = w[-1:]
-            stem = w[:-1] if mark in (b".", b",") and w[-2:-1].isalpha() else w
-            if stem.isalpha():
-                stem = stem.lower()
-            stems.add(stem)
-            made.append((w, stem, mark if len(stem) < len(w) else b""))
-        self._ask([w for w in stems if w not in known])
-        for w, stem, mark in made:
-            known[w] = known[stem] + known[mark] if mark else known[stem]
+        made = [(w, self._split(w)) for w in new]
+        self._learn({p for _, pieces in made if pieces for p in pieces if p not in parts})
+        for w, pieces in made:
+            if pieces:
+                known[w] = b"".join([parts[p] for p in pieces])
+        odd = [w for w, pieces in made if not pieces]
+        for w, ids in zip(odd, self._encode(odd)):
+            known[w] = ids.tobytes()
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -83,6 +117,7 @@ _encoders: dict[str, WordIds] = {}
 
 def _encoder(path: str) -> WordIds:
     if path not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         _encoders[path] = WordIds(path)
     return _encoders[path]
 
