@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, chat, exact, jaccard, leaks, packing, pii, quality, tokens
+from . import base, chat, exact, jaccard, leaks, lm, packing, pii, quality, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(base.table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(base.table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op4_personal_data": op4_personal_data,
         "op5_token_counts": op5_token_counts,
         "op6_quality": op6_quality,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_decontamination": op10_decontamination,
