@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, chat, exact, jaccard, leaks, lm, packing, pii, quality, tokens
+from . import base, chat, exact, jaccard, leaks, lm, packing, pii, quality, substrings, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,10 @@ def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(base.table(spark, sf_dir, "conversations"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(base.table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(base.table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_rotation": op1_chat_rotation,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_personal_data": op4_personal_data,
         "op5_token_counts": op5_token_counts,
@@ -79,6 +84,16 @@ SQL = {
                string_agg(head || text || '<|end|>' || chr(10), '' order by turn nulls first, role, text) as text,
                string_agg(case when role = speaker then concat_ws(':', cast(pos + h as bigint), cast(pos + h + b as bigint)) end, ',' order by turn nulls first, role, text) as mask
         from y group by conv_id, block, speaker""",
+    "op2_substring_dedup": """
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        g as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+        m as (select g, min(doc_id) as lo from g group by g),
+        h as (select distinct doc_id, p from (select g.doc_id, unnest(range(i, i + 50)) as p from g join m using (g) where lo < g.doc_id)),
+        x as (select doc_id, p, w[p] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d)),
+        k as (select x.doc_id, count(h.p) as n_removed, string_agg(case when h.p is null then word end, ' ' order by x.p) as kept
+              from x left join h using (doc_id, p) group by x.doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from d left join k using (doc_id)""",
     "op3_jaccard_join": f"""
         with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w
                              from documents),
