@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
 
-def queries() -> dict:
-    return {}
+from .views import Entry, Query
 
+_MODULES = ("q_series", "q_joins", "q_aggregates")
 
-def oracle_sql() -> dict:
-    return {}
+
+def _entries() -> dict[str, Entry]:
+    out: dict[str, Entry] = {}
+    for name in _MODULES:
+        out |= importlib.import_module(f"{__package__}.{name}").QUERIES
+    return out
+
+
+def queries() -> dict[str, Query]:
+    return {name: e.run for name, e in _entries().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: e.sql for name, e in _entries().items() if e.sql}
