@@ -11,10 +11,10 @@ passages that many documents share are hardly ever needed. A set with too few no
 single shingles, by the same rule, so no pair is lost.
 
 Sets of equal content are one node from the start. Signatures are shuffled packed: one row per task and bucket. Sets that
-share a chosen signature are compared with the smallest of them first; connected components of the links found settle
-most buckets, and only members that are still in different components are compared with each other, block by block inside
-tasks, where counts per hash range (their distance never exceeds the sets' distance) drop nearly all. What is left is
-verified on the whole sets. Nothing is capped; pairs inside a component are never listed.
+share a chosen signature are compared with the one of them whose signatures are the most common (the original among its
+near copies), then with the next such one of another component. Only members that are still in different components are
+compared with each other, block by block inside tasks, where parities per hash range (they never differ in more places
+than the sets) drop nearly all that are not similar. Every pair left is verified on the whole sets. Nothing is capped; pairs inside a component are never listed.
 
 Null texts and texts without words have an empty set and link with nothing; with fewer than five words the whole sequence
 is the one shingle. Repeated ids stay rows of their own.
@@ -34,7 +34,7 @@ from . import base
 from .words import SPACED_LOWER, Runs, mix, split
 
 SHINGLE = 5
-#: A flush of the signature pass, in signatures; a bucket holds about as many.
+#: Signatures that a bucket holds, about; a flush of the signature pass holds half as many.
 FLUSH = 1 << 20
 #: Members of a bucket that one block of the cross check holds.
 BLOCK = 256
@@ -96,39 +96,40 @@ def signatures(found: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """Elements per equal range of the hash space, at most 255, for a power of two of ranges."""
-    ranges = 1 << max(4, (len(found) // 6).bit_length())
-    counts = np.bincount((found >> _U(65 - ranges.bit_length())).astype(np.int64), minlength=ranges)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """The parity of the number of elements in each equal range of the hash space, two to four ranges for an element."""
+    bits = max(6, (2 * len(found)).bit_length())
+    counts = np.bincount((found >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _fold(counts: np.ndarray, ranges: int) -> np.ndarray:
-    return counts.reshape(len(counts), ranges, -1).sum(2)
+def _folded(parity: np.ndarray, width: int) -> np.ndarray:
+    """Parities of ranges joined two by two until ``width`` bytes are left."""
+    while parity.shape[1] > width:
+        pairs = np.unpackbits(parity, axis=1).reshape(len(parity), -1, 2)
+        parity = np.packbits(pairs[:, :, 0] ^ pairs[:, :, 1], axis=1)
+    return np.ascontiguousarray(parity).view(_U)
 
 
 def possible(na: np.ndarray, a: list[bytes], nb: np.ndarray, b: list[bytes]) -> np.ndarray:
-    """Pairs (i, j) of two lists of (size, sketch) that may be similar: sizes fit and the ranges' counts differ little enough.
+    """Pairs (i, j) of two lists of (size, sketch) that may be similar: the sizes fit and few enough parities differ.
 
-    Counts that stopped at 255 differ no more than the true ones, alone or added up, so no similar pair is refused.
+    Every differing parity needs an element in which the sets differ, so no similar pair is refused.
     """
     out = [np.empty((0, 2), np.int64)]
     groups_b = _by_length(b)
-    for ra, ia in _by_length(a).items():
-        fa = np.frombuffer(b"".join(a[i] for i in ia), np.uint8).reshape(len(ia), ra).astype(np.int32)
-        for rb, ib in groups_b.items():
-            if max(ra, rb) > 4 * min(ra, rb):
+    for wa, ia in _by_length(a).items():
+        xa = np.frombuffer(b"".join(a[i] for i in ia), np.uint8).reshape(len(ia), wa)
+        for wb, ib in groups_b.items():
+            if max(wa, wb) > 2 * min(wa, wb):
                 continue
-            fb = np.frombuffer(b"".join(b[i] for i in ib), np.uint8).reshape(len(ib), rb).astype(np.int32)
-            ranges = min(ra, rb)
-            # a full count may hide more than it shows once it is added to others: such ranges can't refuse a pair
-            xa, xb = _fold(fa, ranges), _fold(fb, ranges)
-            ok_a, ok_b = _fold((fa == 255).astype(np.int32), ranges) == 0, _fold((fb == 255).astype(np.int32), ranges) == 0
+            xb = np.frombuffer(b"".join(b[i] for i in ib), np.uint8).reshape(len(ib), wb)
+            fa, fb = _folded(xa, min(wa, wb)), _folded(xb, min(wa, wb))
             ma, mb = na[ia], nb[ib]
             for i in range(len(ia)):
-                fits = np.flatnonzero((4 * np.minimum(ma[i], mb) >= 3 * np.maximum(ma[i], mb)))
+                fits = np.flatnonzero(4 * np.minimum(ma[i], mb) >= 3 * np.maximum(ma[i], mb))
                 if len(fits):
-                    apart = (np.abs(xb[fits] - xa[i]) * (ok_b[fits] & ok_a[i])).sum(1)
-                    fits = fits[7 * apart <= ma[i] + mb[fits]]
+                    apart = np.bitwise_count(fb[fits] ^ fa[i]).sum(1, dtype=np.int64)
+                    fits = fits[apart <= allowed(ma[i], mb[fits])]
                     out.append(np.stack([np.full(len(fits), ia[i]), ib[fits]], 1))
     return np.concatenate(out)
 
@@ -195,7 +196,7 @@ def _signer(buckets: int):
                     sigs.append(mine)
                     owners.append((node, scheme, len(mine) - (k + 1), len(mine)))
                     size += len(mine)
-            if size >= FLUSH:
+            if size >= FLUSH // 2:
                 yield flush(sigs, owners)
                 sigs, owners, size = [], [], 0
         if size:
@@ -324,16 +325,21 @@ class Join:
         )
 
     def members(self) -> DataFrame:
-        """(sig, node, leader, size) of the chosen signatures that two nodes or more share."""
+        """(sig, node, weight, leader, size) of the chosen signatures that two nodes or more share.
+
+        A node's weight is how often its signatures occur in all: the original of a family of near copies weighs most, and
+        leads.
+        """
         total = self.sets.agg(F.sum("n_shingles")).first()[0] or 0
         buckets = max(48, math.ceil(total / FLUSH))
         packed = self.source.mapInArrow(_signer(buckets), _PACKED)
         shared = packed.groupBy("bucket").applyInArrow(_shared_of_bucket, _SHARED)
         ranked = shared.selectExpr(
-            "sig", "node", "slack", "row_number() over (partition by node, scheme order by freq, sig) as place", "count(*) over (partition by node, scheme) as n_shared"
+            "sig", "node", "slack", "row_number() over (partition by node, scheme order by freq, sig) as place", "count(*) over (partition by node, scheme) as n_shared", "sum(freq) over (partition by node, scheme) as weight"
         )
-        chosen = base.stored(ranked.filter("place <= n_shared - slack").select("sig", "node").distinct(), "chosen")
-        heads = chosen.groupBy("sig").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1")
+        chosen = ranked.filter("place <= n_shared - slack").groupBy("sig", "node").agg(F.max("weight").alias("weight"))
+        chosen = base.stored(chosen, "chosen")
+        heads = chosen.groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"), F.count("*").alias("size")).filter("size > 1")
         return base.stored(chosen.join(heads, "sig"), "members")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -350,25 +356,38 @@ class Join:
     def links(self) -> DataFrame:
         """Links between nodes that connect exactly the nodes that similar pairs connect."""
         members = self.members()
-        star = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         info = self.nodes.select("node", "n", "sketch")
-        rows = star.join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
-        rows = rows.filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
-        first = self.verified(rows.mapInArrow(_filter_pairs, "a long, b long"))
-        labels = components(first)
-        placed = members.filter("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        placed = base.stored(placed, "placed")
-        split_sigs = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
-        # the leader has met everyone already
-        open_rows = placed.filter("node <> leader").join(split_sigs, "sig").join(info, "node")
-        open_rows = open_rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-        cells = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        links = self.verified(self._plausible(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), info))
+        # second leaders: among those that their signature's first leader is not connected with
+        placed = self._open(members.filter("size > 2"), links)
+        first = placed.filter("node = leader").select("sig", F.col("label").alias("first"))
+        others = placed.join(first, "sig").filter("label <> first")
+        second = others.groupBy("sig").agg(F.max_by(F.struct("node", "label"), F.struct("weight", "node")).alias("head"))
+        star = placed.join(second, "sig").filter("node <> leader and label <> head.label").select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+        links = base.stored(links.unionByName(self.verified(self._plausible(star, info))), "links")
+        # the rest: members in different components, compared inside tasks; first leaders have met everyone already
+        rest = self._open(placed.drop("label"), links).filter("node <> leader").join(info, "node")
+        rest = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        cells = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.selectExpr(
             "xxhash64(sig, least(block, other), greatest(block, other)) as cell", "case when block = other then 2 when block < other then 0 else 1 end as side", "node", "label", "n", "sketch"
         )
         groups = max(48, math.ceil(placed.count() / 4096))
-        second = cells.withColumn("g", F.expr(f"pmod(cell, {groups})")).groupBy("g").applyInArrow(_cross_check, "a long, b long").distinct()
-        return first.unionByName(self.verified(second))
+        pairs = cells.withColumn("g", F.expr(f"pmod(cell, {groups})")).groupBy("g").applyInArrow(_cross_check, "a long, b long").distinct()
+        return links.unionByName(self.verified(pairs))
+
+    @staticmethod
+    def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
+        """Distinct pairs whose sizes and sketches allow a link."""
+        rows = _canonical(pairs).join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
+        return rows.filter("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInArrow(_filter_pairs, "a long, b long")
+
+    @staticmethod
+    def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+        """Members with their component so far, of the signatures that have more than one."""
+        placed = base.stored(members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
+        several = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
+        return base.stored(placed.join(several, "sig", "left_semi"), "open")
 
     def classes(self) -> DataFrame:
         """Every row with its set size and the smallest doc_id of its component."""
