@@ -65,14 +65,18 @@ def detect_light(texts: DataFrame, key: str, text: str, symbols: list[str]) -> D
 
 
 def count_occurrences(texts: DataFrame, key: str, text: str, names: DataFrame, most: int = 3) -> DataFrame:
-    """Occurrences of names of 1 to ``most`` words, the longest at each place, places counted once."""
+    """Occurrences of names of 1 to ``most`` words, the longest first, each word counted once."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z]+)"), F.lit(1))
     w = texts.select(key, words.alias("_w"))
     placed = w.select(key, F.posexplode("_w").alias("place", "_one"), "_w")
     grams = placed.select(key, "place", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_w", F.col("place") + 1, n), " ").alias("gram")) for n in range(1, most + 1)))).alias("g")).select(key, "place", "g.*")
     hits = grams.join(names.select("symbol", F.lower("name").alias("gram")), "gram").filter(F.size(F.split("gram", " ")) == F.col("n"))
-    best = hits.groupBy(key, "place").agg(F.max(F.struct("n", "symbol")).alias("b"))
-    return best.groupBy(key, F.col("b.symbol").alias("symbol")).agg(F.count("*").alias("n"))
+    # from left to right, the longest at a place first; what begins inside a name that was taken is passed over
+    taken = F.expr(
+        """aggregate(array_sort(collect_list(struct(place, -n as less, symbol))), cast(struct(0 as free, array() as symbols) as struct<free:int,symbols:array<string>>),
+        (t, h) -> if(h.place >= t.free, struct(h.place - h.less as free, concat(t.symbols, array(h.symbol)) as symbols), t), t -> t.symbols)"""
+    )
+    return hits.groupBy(key).agg(taken.alias("s")).select(key, F.explode("s").alias("symbol")).groupBy(key, "symbol").agg(F.count("*").alias("n"))
 
 
 def context_gate(text: Column) -> list[Column]:

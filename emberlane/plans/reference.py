@@ -6,7 +6,7 @@ import importlib
 
 from .views import Entry, Query
 
-_MODULES = ("q_series", "q_joins", "q_aggregates")
+_MODULES = ("q_clean", "q_series", "q_joins", "q_aggregates", "q_text")
 
 
 def _entries() -> dict[str, Entry]:
