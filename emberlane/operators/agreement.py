@@ -120,7 +120,8 @@ def lead_lag(pairs: DataFrame, key: str, most: int = 3) -> DataFrame:
     """L2: correlation of log counts at each lag of b, the best lag (the smallest in size on ties)."""
     w = Window.partitionBy(key).orderBy("step")
     shifted = F.array(*(F.struct(F.lit(k).alias("lag"), (F.lag("nb", k).over(w) if k > 0 else F.lead("nb", -k).over(w) if k < 0 else F.col("nb")).alias("nb")) for k in range(-most, most + 1)))
-    long = pairs.select(key, "step", "na", F.explode(shifted).alias("l")).select(key, "na", "l.*").dropna()
+    moved = pairs.select(key, "na", shifted.alias("s"))
+    long = moved.select(key, "na", F.explode("s").alias("l")).select(key, "na", "l.*").dropna()
     corr = long.groupBy(key, "lag").agg(F.round(F.corr(F.log1p("na"), F.log1p("nb")), 6).alias("corr"))
     return corr.groupBy(key).agg(F.max_by("lag", F.struct("corr", (-F.abs("lag")).alias("c"), "lag")).alias("best_lag"), F.max("corr").alias("best_corr"))
 

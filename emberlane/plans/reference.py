@@ -6,7 +6,7 @@ import importlib
 
 from .views import Entry, Query
 
-_MODULES = ("q_clean", "q_series", "q_joins", "q_aggregates", "q_text")
+_MODULES = ("q_clean", "q_series", "q_joins", "q_aggregates", "q_text", "q_panel", "q_agreement", "q_survival", "q_streams")
 
 
 def _entries() -> dict[str, Entry]:

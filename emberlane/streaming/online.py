@@ -30,6 +30,18 @@ def ingest(events: DataFrame, time: str, symbol: str, sink: str, checkpoint: str
     )
 
 
+def ingest_batches(rows: DataFrame, keys: list[str], sink: str, checkpoint: str) -> None:
+    """Every new file counted once; a batch's counts go to a folder of its own, so a repeated batch replaces itself.
+
+    The sink holds counts per batch; their sum by key is the total whatever the order in which files arrive.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 _STATE = "on boolean, start long, mu double, sigma double, z double, peak double, below int, last long, total double, eligible boolean, buffer array<double>"
 _OUT = "symbol string, step long, kind string, start long, end long, value double"
 
