@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Markers of removed texts.
 TOMBSTONES = ["[removed]", "[deleted]", ""]
@@ -40,7 +41,7 @@ def message_text(kind: Column, title: Column, body: Column, limit: int = 800) ->
     return F.substring(F.when(kind == "post", F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), own)).otherwise(body), 1, limit)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities, and UTF-8 that was once read as Latin-1."""
 

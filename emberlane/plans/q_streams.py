@@ -90,7 +90,7 @@ def _panel(spark, d):
 
 def _snapshot(spark, d):
     path = scratch(spark, "snapshots")
-    for date, low in (("2024-01-01", 0), ("2024-02-01", 500), ("2024-01-01", 1000)):
+    for date, low in (("2024-01-01", 0), ("2024-02-01", 50), ("2024-01-01", 100)):
         posts.write_snapshot(table(spark, d, "customer").filter(F.col("c_custkey") >= low), path, date)
     return spark.read.parquet(path).groupBy(F.col("snapshot_date").cast("string").alias("snapshot_date")).agg(F.count("*").alias("n"))
 
@@ -112,7 +112,7 @@ QUERIES = {
     "a10_materialize": entry(lambda s, d: posts.materialize(table(s, d, "lineitem").filter("l_returnflag = 'R'").select("l_suppkey", "l_quantity"), scratch(s, "facts")).groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q")), "select l_suppkey, sum(l_quantity) as q from lineitem where l_returnflag = 'R' group by 1", "q"),
     "a11_incremental": entry(_ingest, "select cast(ts as date) as day, event_type as symbol, count(*) as n from events group by 1, 2"),
     "n1_watermarked": entry(_watermarked),
-    "a13_snapshot": entry(_snapshot, "select '2024-01-01' as snapshot_date, count(*) as n from customer where c_custkey >= 1000 union all select '2024-02-01', count(*) from customer where c_custkey >= 500"),
+    "a13_snapshot": entry(_snapshot, "select '2024-01-01' as snapshot_date, count(*) as n from customer where c_custkey >= 100 union all select '2024-02-01', count(*) from customer where c_custkey >= 50"),
     "a14_csv_sink": entry(_csv, "select s_suppkey, s_name from supplier"),
     "n1_count_stream": entry(lambda s, d: _collect_counts(s, d), "select cast(date_trunc('day', ts) as date) as day, event_type as symbol, count(*) as n from events group by 1, 2"),
     "n2_online_detector": entry(_online_events, with_views("found", 'select symbol, start, "end", "end" + 3 as confirmed from found where not censored')),
