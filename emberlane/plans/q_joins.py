@@ -39,7 +39,7 @@ QUERIES = {
     "c1_enrich": entry(lambda s, d: joins.enrich(table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey"), ["o_custkey"]), "select o_custkey, o_orderkey, c_mktsegment, c_nationkey from orders left join customer on c_custkey = o_custkey"),
     "c2_complete_cases": entry(lambda s, d: joins.complete_cases(table(s, d, "documents").select("doc_id", "lang"), table(s, d, "labels").withColumn("toxic", F.when(F.col("toxic") == 0, 0)), ["doc_id"], ["quality", "toxic"]), "select doc_id, lang, quality, toxic from documents join labels using (doc_id) where toxic = 0 and quality is not null"),
     "c3_diff_tables": entry(lambda s, d: joins.diff_tables(table(s, d, "orders").filter("o_orderkey % 5 <> 0"), table(s, d, "orders").filter("o_orderkey % 7 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus"))), ["o_orderkey"], ["o_orderstatus", "o_totalprice"]).groupBy("side").agg(F.count("*").alias("n"), F.sum("differs_o_orderstatus").alias("status"), F.sum("differs_o_totalprice").alias("price")),
-        """select side, count(*) as n, sum(s) as status, sum(p) as price from (select case when b.k is null then 'left_only' when a.k is null then 'right_only' else 'both' end as side, (a.x is distinct from b.x)::bigint as s, (a.y is distinct from b.y)::bigint as p
+        """select side, count(*) as n, cast(sum(s) as bigint) as status, cast(sum(p) as bigint) as price from (select case when b.k is null then 'left_only' when a.k is null then 'right_only' else 'both' end as side, (a.x is distinct from b.x)::bigint as s, (a.y is distinct from b.y)::bigint as p
         from (select o_orderkey as k, o_orderstatus as x, o_totalprice as y from orders where o_orderkey % 5 <> 0) a full join (select o_orderkey as k, case when o_orderkey % 3 = 0 then 'X' else o_orderstatus end as x, o_totalprice as y from orders where o_orderkey % 7 <> 0) b on a.k = b.k) group by 1"""),
     "c4_semi": entry(lambda s, d: joins.semi(table(s, d, "documents").select("doc_id", "source"), table(s, d, "labels"), ["doc_id"]), "select doc_id, source from documents where doc_id in (select doc_id from labels)"),
     "c4_anti": entry(lambda s, d: joins.anti(table(s, d, "documents").select("doc_id", "source"), table(s, d, "labels"), ["doc_id"]), "select doc_id, source from documents where doc_id not in (select doc_id from labels)"),
@@ -51,7 +51,7 @@ QUERIES = {
     "c7_overlap": entry(lambda s, d: joins.overlap_join(v.events(s, d), _shifted(s, d), "symbol"), with_views("cat", "").rstrip() + f', {_SHIFT} select a.symbol, a.start as a_start, a."end" as a_end, b.start as b_start, b."end" as b_end, b.start - a.start as start_delta from cat a left join b on a.symbol = b.symbol and a.start <= b."end" and a."end" >= b.start'),
     "c8_messages_in_windows": entry(lambda s, d: joins.messages_in_windows(v.messages(s, d).select("event_id", "symbol", "step"), v.events(s, d).withColumnRenamed("event_id", "e"). withColumnRenamed("e", "event_id"), 3, 3), with_views("cat m", 'select event_id, symbol, step from m where exists (select 1 from cat c where c.symbol = m.symbol and m.step between c.start - 3 and c."end" + 3)')),
     "c9_assign_event": entry(lambda s, d: joins.assign_event(v.messages(s, d).select(F.col("event_id").alias("message"), "symbol", "step"), v.events(s, d), ["message"]), with_views("cat m", 'select m.event_id as message, arg_min(c.event_id, c.start) as event_id from m join cat c on c.symbol = m.symbol and m.step between c.start and c."end" group by 1')),
-    "c10_event_rollup": entry(lambda s, d: joins.event_rollup(v.hourly(s, d), v.events(s, d)), with_views("cat", 'select c.event_id, coalesce(sum(h.n), 0) as total, count(h.n) as steps from cat c left join h on h.symbol = c.symbol and h.step between c.start and c."end" group by 1')),
+    "c10_event_rollup": entry(lambda s, d: joins.event_rollup(v.hourly(s, d), v.events(s, d)), with_views("cat", 'select c.event_id, cast(coalesce(sum(h.n), 0) as bigint) as total, count(h.n) as steps from cat c left join h on h.symbol = c.symbol and h.step between c.start and c."end" group by 1')),
     "c11_contains_join": entry(lambda s, d: joins.contains_join(table(s, d, "documents"), _names(s, d), "doc_id", "text"), r"""with n as (select min(symbol) as symbol, name from (select cast(item_id as varchar) as symbol, regexp_extract(text, '^[^a-zA-Z0-9_]*([a-zA-Z0-9_]+ [a-zA-Z0-9_]+)', 1) as name from benchmark) where name <> '' group by name),
         nn as (select symbol, ' ' || trim(regexp_replace(regexp_replace(upper(name), '&|\bAND\b', ' ', 'g'), '\s+', ' ', 'g')) || ' ' as k from n), t as (select doc_id, ' ' || trim(regexp_replace(regexp_replace(upper(text), '&|\bAND\b', ' ', 'g'), '\s+', ' ', 'g')) || ' ' as k from documents)
         select distinct doc_id, symbol from t join nn on contains(t.k, nn.k)"""),

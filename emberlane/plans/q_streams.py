@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..operators import detector
 from ..sources import posts
 from ..streaming import online
@@ -118,11 +119,30 @@ QUERIES = {
     "n2_online_detector": entry(_online_events, with_views("found", 'select symbol, start, "end", "end" + 3 as confirmed from found where not censored')),
     "n2_online_notices": entry(lambda s, d: _online(s, d).groupBy("symbol", "kind").agg(F.count("*").alias("n"))),
     "n3_running_panel": entry(_panel, with_views("cat m", """select c.event_id, m.step, count(*) as n, ln((1 + count(*) filter (label = 'bull')) / (1 + count(*) filter (label = 'bear'))) as b from cat c join m on m.symbol = c.symbol and m.step between c.start and c."end" group by 1, 2"""), "b"),
+    "u1_detect_in_sql": entry(lambda s, d: _sql_events(s, d), with_views("found", "select * from found"), "mu0 sigma0 z0"),
+    "u2_index_in_sql": entry(lambda s, d: _sql_index(s, d), with_views("m", """select symbol, ln((1 + c) / (1 + v)) as b, case when c + v > 0 then 1 - abs(c - v) / (c + v) end as d from (select symbol, count(*) filter (label = 'bull') as c, count(*) filter (label = 'bear') as v from m group by 1)"""), "b d"),
+    "u3_stance_in_sql": entry(lambda s, d: _sql_stance(s, d)),
     "f1_three_machines": entry(lambda s, d: _agree(s, d)),
     "h2_online_volume": entry(lambda s, d: q_panel.panel_of(s, d).groupBy("phase").agg(F.sum("n").alias("n"))),
 }
 
 
+def _sql_events(spark, d):
+    sql.register(spark, PARAMS)
+    z = detector.scored(v.dense(spark, d), PARAMS)
+    return spark.sql("select * from detect_events(table(select symbol, step, n, mu, sigma, z from {z}) partition by symbol order by step)", z=z)
+
+
+def _sql_index(spark, d):
+    sql.register(spark, PARAMS)
+    return spark.sql("select symbol, optimism(c, v) as b, disagreement(c, v) as d from (select symbol, count_if(label = 'bull') as c, count_if(label = 'bear') as v from {m} group by symbol)", m=v.messages(spark, d))
+
+
+def _sql_stance(spark, d):
+    sql.register(spark, PARAMS)
+    return spark.sql("select stance_label(text) as label, count(*) as n from {c} group by 1", c=table(spark, d, "conversations"))
+
+
 def _collect_counts(spark, d):
     """Daily counts by a stream in complete mode over the whole table."""
     events = table(spark, d, "events").select("ts", "event_type")
