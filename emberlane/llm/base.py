@@ -14,6 +14,23 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 2 << 20
 
 
+#: What this worker process remembers between tasks, by operator.
+_memory: dict[str, object] = {}
+
+
+def remembered(owner: str, make):
+    """An operator's memory in this worker (compiled tables, word caches); the first task of another operator drops it."""
+    if owner not in _memory:
+        _memory.clear()
+        _memory[owner] = make()
+    return _memory[owner]
+
+
+def forget() -> None:
+    """Drop what other operators left in this worker."""
+    _memory.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; set to a new temporary one where unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

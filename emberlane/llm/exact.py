@@ -32,6 +32,7 @@ _DIGESTS = "doc_id long, digest binary"
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    base.forget()
     for batch in batches:
         digests = [hashlib.sha256((t or b"").lower()).digest() for t in base.as_bytes(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], ["doc_id", "digest"])

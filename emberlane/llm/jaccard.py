@@ -148,6 +148,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    base.forget()
     for ids, values in base.pieces(batches):
         found = shingle_sets(values)
         yield pa.RecordBatch.from_arrays(
@@ -183,6 +184,7 @@ def _signer(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], names)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.forget()
         seen: set[int] = set()
         sigs: list[np.ndarray] = []
         owners: list[tuple[int, int, int, int]] = []
@@ -210,6 +212,7 @@ _SHARED = "sig long, node long, scheme int, slack int, freq int"
 
 
 def _shared_of_bucket(table: pa.Table) -> pa.Table:
+    base.forget()
     col = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
     sig = (col("high", "<u2").astype(_U) << _U(32)) | col("low", "<u4").astype(_U)
     nodes, schemes, slacks = col("nodes", "<i8"), col("schemes", "u1").astype(np.int32), col("slacks", "<i4")
@@ -238,6 +241,7 @@ def _shared_of_bucket(table: pa.Table) -> pa.Table:
 
 
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    base.forget()
     for ids, values in base.pieces(batches):
         found = shingle_sets(values)
         yield pa.RecordBatch.from_arrays(
@@ -267,6 +271,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cross_check(table: pa.Table) -> pa.Table:
     """Possible pairs of members of one signature that are in different components, for the cells of one group."""
+    base.forget()
     cell = np.asarray(table["cell"])
     order = np.argsort(cell, kind="stable")
     node, label, block, size = (np.asarray(table[n])[order] for n in ("node", "label", "side", "n"))

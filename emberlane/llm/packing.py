@@ -112,14 +112,9 @@ class WordIds:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-_encoders: dict[str, WordIds] = {}
-
-
 def _encoder(path: str) -> WordIds:
-    if path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-        _encoders[path] = WordIds(path)
-    return _encoders[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
+    return base.remembered(f"packing {path}", lambda: WordIds(path))
 
 
 def _cutter(path: str, end_id: int):

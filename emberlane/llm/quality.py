@@ -170,6 +170,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, training: DataFrame | None = N
 
     @F.pandas_udf("double")
     def quality(text):
+        base.forget()
         model: Model = shared.value
         values = [b"" if t is None else t.encode("utf-8", "replace") for t in text]
         out = []

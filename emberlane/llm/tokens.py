@@ -213,14 +213,9 @@ def load(path: str) -> Transducer:
     return Transducer({model.id_to_piece(i): model.get_score(i) for i in ids if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))})
 
 
-_loaded: dict[str, Transducer] = {}
-
-
 def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _loaded:
-            _loaded[path] = load(path)
-        machine = _loaded[path]
+        machine = base.remembered(f"tokens {path}", lambda: load(path))
         for ids, values in base.pieces(batches):
             machine.tidy()
             n = [machine.count(v.decode("utf-8", "surrogatepass")) for v in values]
