@@ -10,8 +10,9 @@ Anchors with several contents are dealt into shards. A shard's segments become a
 Burrows-Wheeler transform in a wavelet matrix of packed bits, and the smallest document of each range of suffixes that
 begin with the same 50 words. The shard's documents are streamed through it: a backward search over the wavelet matrix
 gives, for each place, how far the index matches it, and places that match 50 words or more report the smallest document
-of their range. An anchor with more than ``HOT_CONTENTS`` contents (a passage that very many documents share) is resolved
-window by window instead, by a minimum per window hash that is summed up before the shuffle.
+of their range. An anchor with more than ``HOT_CONTENTS`` contents (a passage that very many documents share) is too much
+for one shard: its window hashes are dealt into parts that grow in number with the contents, and a part keeps the
+smallest document of each window.
 
 Words are runs of characters other than white space, unchanged, compared by 64-bit hashes. Null texts and texts without
 words have no words and the digest of the empty string; shorter texts than a window lose nothing. A row that repeats an id
@@ -36,8 +37,8 @@ WINDOW = 50
 GRAM = 8
 HOT_CONTENTS = 512
 SHARD_WORDS = 200_000
-#: Rows of (document, its segments) that may be broadcast to fetch texts; beyond, texts are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Document ids that may be broadcast to leave out texts before the shuffle (8 bytes each); beyond, all texts are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 # -- the index
@@ -236,55 +237,72 @@ def _fetch_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hash for each window of the wanted segments."""
+    """Window hashes of the wanted segments, packed by the part of the anchor that each hash falls into."""
     for doc, value, found in _rows_with_text(batches):
         words = split([value], SPACED)
         runs = Runs(words.hashes)
-        key = _key(words, runs)
+        key, rows = _key(words, runs), []
         for s in found:
             if s["text_key"] == key:
                 at = np.arange(s["start"], s["start"] + s["windows"])
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, s["anchor"])),
-                        pa.array(np.full(n, s["content"])),
-                        pa.array([doc] * n, pa.int64()),
-                        pa.array(np.arange(n).astype(np.int32)),
-                        pa.array(runs.of(at, at + WINDOW).view(np.int64)),
-                    ],
-                    ["anchor", "content", "doc_id", "place", "window"],
-                )
+                window = runs.of(at, at + WINDOW)
+                part = ((window >> np.uint64(32)) % np.uint64(s["parts"])).astype(np.int64)
+                for k in np.unique(part).tolist():
+                    mine = np.flatnonzero(part == k)
+                    rows.append((s["anchor"], k, s["content"], doc, mine.astype("<i4").tobytes(), window[mine].tobytes()))
+        if rows:
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "part", "content", "doc_id", "places", "windows"])
+
+
+def _lowest_windows(table: pa.Table) -> pa.Table:
+    """Windows of one part of an anchor that a smaller document has."""
+    places, windows = table["places"].to_pylist(), table["windows"].to_pylist()
+    sizes = np.array([len(p) // 4 for p in places])
+    docs = np.repeat(np.asarray(table["doc_id"]), sizes)
+    place, window = np.frombuffer(b"".join(places), "<i4"), np.frombuffer(b"".join(windows), np.uint64)
+    _, group = np.unique(window, return_inverse=True)
+    lowest = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, group, docs)
+    hit = lowest[group] < docs
+    return _hits(table, [place[a:b][hit[a:b]] for a, b in zip((np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist())])
+
+
+def _hits(table: pa.Table, found: list[np.ndarray]) -> pa.Table:
+    """One row for each segment that has hits."""
+    some = [i for i, f in enumerate(found) if len(f)]
+    anchors, contents = table["anchor"].to_pylist(), table["content"].to_pylist()
+    return pa.table(
+        {
+            "anchor": pa.array([anchors[i] for i in some], pa.int64()),
+            "content": pa.array([contents[i] for i in some], pa.int64()),
+            "hits": pa.array([found[i].tolist() for i in some], pa.list_(pa.int32())),
+        }
+    )
 
 
-_RANGES = "anchor long, content long, first int, last int"
+_HITS = "anchor long, content long, hits array<int>"
 
 
 def _search_shard(table: pa.Table) -> pa.Table:
-    """Ranges of windows of a shard's segments that a smaller document has."""
+    """Windows of a shard's segments that a smaller document has."""
     docs = np.asarray(table["doc_id"])
     segments = [np.frombuffer(b, np.uint64) for b in table["words"].to_pylist()]
-    index = FMIndex(segments, docs)
-    rows: list[tuple[int, int, int, int]] = []
-    anchors, contents = table["anchor"].to_pylist(), table["content"].to_pylist()
-    for i, lowest in enumerate(index.lowest_documents(segments)):
-        hit = np.concatenate([[0], (lowest < docs[i]).astype(np.int8), [0]])
-        edge = np.diff(hit)
-        rows += [(anchors[i], contents[i], a, b) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(("anchor", "content", "first", "last"), zip(*rows) if rows else [[]] * 4, kinds)})
+    lowest = FMIndex(segments, docs).lowest_documents(segments)
+    return _hits(table, [np.flatnonzero(low < doc) for low, doc in zip(lowest, docs)])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n_removed, digest and text of what stays of the texts with removed ranges."""
+    """n_removed, digest and text of what stays of the texts with removed windows."""
     for doc, value, ranges in _rows_with_text(batches):
         words = split([value], SPACED)
         key = _key(words, Runs(words.hashes))
         change = np.zeros(len(words.start) + 1, np.int64)
         for r in ranges:
             if r["text_key"] == key:
-                change[r["from"]] += 1
-                change[r["to"]] -= 1
+                for first, last in [(0, r["windows"] - 1)] if r["hits"] is None else [(h, h) for h in r["hits"]]:
+                    change[r["start"] + first] += 1
+                    change[r["start"] + last + WINDOW] -= 1
         gone = np.cumsum(change[:-1]) > 0
         kept = b" ".join(w for w, g in zip(value.split(), gone.tolist()) if not g)
         yield pa.RecordBatch.from_arrays(
@@ -299,52 +317,53 @@ class Dedup:
         self.described = base.stored(self.source.mapInArrow(_describe, _DESCRIBED), "segments")
 
     def _with_text(self, wanted: DataFrame) -> DataFrame:
-        """(doc_id, text, list) for rows (doc_id, list): broadcast while few, a shuffle join beyond."""
+        """(doc_id, text, list) for rows (doc_id, list), by a shuffle join of the texts that are wanted."""
         wanted = base.stored(wanted, "wanted")
-        small = wanted.count() <= BROADCAST_ROWS
-        return self.source.join(F.broadcast(wanted) if small else wanted, "doc_id").select("doc_id", "text", "list")
+        texts = self.source
+        if wanted.count() <= BROADCAST_IDS:
+            texts = texts.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")
+        return texts.join(wanted, "doc_id").select("doc_id", "text", "list")
 
-    def ranges(self) -> DataFrame:
-        """(doc_id, text_key, from, to): ranges of words to remove."""
+    def removed(self) -> DataFrame:
+        """(doc_id, text_key, start, windows, hits): segments with removed windows; hits are null where all of them go."""
         rows = self.described.select("doc_id", "text_key", F.explode("segments").alias("s")).select("doc_id", "text_key", "s.*")
         met = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
+        # stored, so that both sides of the join are plain shuffles and a hot anchor can be split
+        met = base.stored(met, "met")
         shared = base.stored(rows.join(met, "anchor", "left_semi"), "shared")
         # one row per content: its smallest document, and one place of it there
-        contents = shared.groupBy("anchor", "content").agg(
-            F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("head")
-        )
+        contents = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("head"))
         contents = base.stored(contents.select("anchor", "content", F.col("head.doc_id").alias("head_id"), "head.text_key", "head.start", "head.windows"), "contents")
         several = contents.groupBy("anchor").agg(F.count("*").alias("n_contents")).filter("n_contents > 1")
-        open_contents = base.stored(contents.join(several, "anchor"), "open")
-        found = base.stored(self._by_shard(open_contents.filter(F.col("n_contents") <= HOT_CONTENTS)).unionByName(self._by_window(open_contents.filter(F.col("n_contents") > HOT_CONTENTS))), "found")
+        several = base.stored(several, "several")
+        parts = F.ceil(F.col("n_contents") / HOT_CONTENTS).cast("int")
+        open_contents = base.stored(contents.join(several, "anchor").withColumn("parts", parts), "open")
+        found = self._by_shard(open_contents.filter("parts = 1")).unionByName(self._by_window(open_contents.filter("parts > 1")))
+        found = base.stored(found.groupBy("anchor", "content").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits")), "found")
         placed = shared.join(contents.select("anchor", "content", "head_id"), ["anchor", "content"])
-        whole = placed.filter("doc_id > head_id").select("doc_id", "text_key", F.col("start").alias("from"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("to"))
-        part = placed.filter("doc_id = head_id").join(found, ["anchor", "content"])
-        part = part.select("doc_id", "text_key", (F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + WINDOW - 1).alias("to"))
+        whole = placed.filter("doc_id > head_id").select("doc_id", "text_key", "start", "windows", F.lit(None).cast("array<int>").alias("hits"))
+        part = placed.filter("doc_id = head_id").join(found, ["anchor", "content"]).select("doc_id", "text_key", "start", "windows", "hits")
         return whole.unionByName(part)
 
     @staticmethod
     def _per_document(contents: DataFrame) -> DataFrame:
-        one = F.struct("anchor", "content", "text_key", "start", "windows")
+        one = F.struct("anchor", "content", "text_key", "start", "windows", "parts")
         return contents.groupBy(F.col("head_id").alias("doc_id")).agg(F.collect_list(one).alias("list"))
 
     def _by_shard(self, contents: DataFrame) -> DataFrame:
         size = contents.agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
         shards = max(48, math.ceil(size / SHARD_WORDS))
         words = self._with_text(self._per_document(contents)).mapInArrow(_fetch_words, "anchor long, content long, doc_id long, words binary")
-        # a repeated row brings its segments again; the index is none the worse, the answers are made distinct
-        return words.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(_search_shard, _RANGES).distinct()
+        # a repeated row brings its segments again; the index is none the worse, and hits are made distinct later
+        return words.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(_search_shard, _HITS)
 
     def _by_window(self, contents: DataFrame) -> DataFrame:
-        rows = self._with_text(self._per_document(contents)).mapInArrow(_fetch_windows, "anchor long, content long, doc_id long, place int, window long")
-        rows = base.stored(rows, "windows")
-        lowest = rows.groupBy("window").agg(F.min("doc_id").alias("lowest"))
-        hit = rows.join(lowest, "window").filter("lowest < doc_id")
-        return hit.select("anchor", "content", F.col("place").alias("first"), (F.col("place") + 1).alias("last")).distinct()
+        kind = "anchor long, part int, content long, doc_id long, places binary, windows binary"
+        return self._with_text(self._per_document(contents)).mapInArrow(_fetch_windows, kind).groupBy("anchor", "part").applyInArrow(_lowest_windows, _HITS)
 
     def kept(self) -> DataFrame:
         """Every row with its counts, the digest of what stays, and the text that stays where something went."""
-        lists = self.ranges().distinct().groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "from", "to")).alias("list"))
+        lists = self.removed().groupBy("doc_id").agg(F.collect_set(F.struct("text_key", "start", "windows", "hits")).alias("list"))
         cut = self._with_text(lists).mapInArrow(_cut, "doc_id long, text_key long, n_removed long, kept_sha256 string, kept_text string")
         cut = base.stored(cut.dropDuplicates(["doc_id", "text_key"]), "cut")
         rows = self.described.select("doc_id", "text_key", "n_words", "sha256")
