@@ -12,7 +12,6 @@ items and documents are rows like any other; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -201,6 +200,3 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         out = out.mapInArrow(_cutter(shared), "doc_id long, text string")
     return out
 
-
-def digest_of_items(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
