@@ -7,11 +7,10 @@ symbol has at most one row per step of the calendar, which bounds the group; sym
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins, series
@@ -105,7 +104,7 @@ class Automaton:
 
 
 def detect_in_pandas(z: DataFrame, p: Params) -> DataFrame:
-    """F1 by ``Automaton`` on pandas groups: the reference for ``detect`` and for the stream."""
+    """F1 by ``Automaton`` on pandas groups; ``detect`` and the stream must agree with it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         machine, found = Automaton(p), []
@@ -217,23 +216,11 @@ def twin_audit(dense: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def online(rows: Iterator[tuple[int, float]], p: Params) -> Iterator[tuple[int, float, float, float]]:
-    """(step, mu, sigma, z) from a bounded buffer of past counts, as ``series.baseline`` gives them."""
-    buffer: list[float] = []
-    for step, n in rows:
-        yield step, *online_z(buffer, n, p)
-        buffer.append(n)
-        del buffer[: -p.window]
-
-
 def online_z(buffer: list[float], n: float, p: Params) -> tuple[float, float, float]:
+    """(mu, sigma, z) of a count from the buffer of those before it, as ``series.baseline`` gives them."""
     nan = float("nan")
     if len(buffer) < max(2, p.least):
         return nan, nan, nan
     mu = sum(buffer) / len(buffer)
     sigma = (sum((x - mu) ** 2 for x in buffer) / (len(buffer) - 1)) ** 0.5
     return mu, sigma, (n - mu) / max(sigma, mu**0.5, 1.0)
-
-
-def as_text(*parts: Column) -> Column:
-    return F.concat_ws("_", *parts)

@@ -54,7 +54,7 @@ QUERIES = {
         "select 'P' || p_partkey as symbol, p_name as name, 'N' as test_issue from part where p_size >= 5"),
     "a5_keys_from_path": entry(lambda s, d: table(s, d, "pages").select("page_id", *posts.keys_from_path(F.col("url"), r"^https?://([a-z]+)\.example\.com/([a-z]{2})/", ["host", "lang"])), r"select page_id, regexp_extract(url, '^https?://([a-z]+)\.example\.com/([a-z]{2})/', 1) as host, regexp_extract(url, '^https?://([a-z]+)\.example\.com/([a-z]{2})/', 2) as lang from pages"),
     "a6_json_array": entry(lambda s, d: posts.parse_json_array(table(s, d, "events").groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "x").alias("error"))))).alias("value")), "struct<id:bigint,error:string>").select("id"), "select event_id as id from events where event_type <> 'error'"),
-    "a7_unpivot": entry(lambda s, d: posts.unpivot_matrix(table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("day"), "l_quantity", "l_tax", "l_comment" if False else "l_discount"), "day", ["l_quantity", "l_tax"]).groupBy("symbol").agg(F.count("*").alias("rows"), F.sum("n").alias("n")), "select 'l_quantity' as symbol, count(*) as \"rows\", sum(l_quantity) as n from lineitem union all select 'l_tax', count(*), sum(l_tax) from lineitem", "n"),
+    "a7_unpivot": entry(lambda s, d: posts.unpivot_matrix(table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("day"), "l_quantity", "l_tax"), "day", ["l_quantity", "l_tax"]).groupBy("symbol").agg(F.count("*").alias("rows"), F.sum("n").alias("n")), "select 'l_quantity' as symbol, count(*) as \"rows\", sum(l_quantity) as n from lineitem union all select 'l_tax', count(*), sum(l_tax) from lineitem", "n"),
     "a8_pivot_matrix": entry(lambda s, d: posts.pivot_matrix(v.hourly(s, d).withColumnRenamed("step", "day"), ["click", "error", "purchase", "signup", "view"]), with_views("h", "select step as day, cast(coalesce(sum(n) filter (symbol = 'click'), 0) as bigint) as click, cast(coalesce(sum(n) filter (symbol = 'error'), 0) as bigint) as error, cast(coalesce(sum(n) filter (symbol = 'purchase'), 0) as bigint) as purchase, cast(coalesce(sum(n) filter (symbol = 'signup'), 0) as bigint) as signup, cast(coalesce(sum(n) filter (symbol = 'view'), 0) as bigint) as view from h group by 1")),
     "a9_scan_facts": entry(lambda s, d: posts.scan_facts(table(s, d, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp")), "l_shipdate", "1996-01-01", "1997-01-01", F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber", "l_quantity"), "select l_orderkey, l_linenumber, l_quantity from lineitem where l_shipdate >= '1996-01-01' and l_shipdate < '1997-01-01' and l_returnflag = 'R'", "l_quantity"),
     "a12_inventory": entry(lambda s, d: posts.inventory(table(s, d, "events"), "event_type", "ts"), "select event_type, count(*) as records, cast(min(ts) as date) as first_day, cast(max(ts) as date) as last_day from events group by 1"),

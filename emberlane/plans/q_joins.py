@@ -49,7 +49,7 @@ QUERIES = {
     "c6_valid_on": entry(lambda s, d: joins.valid_on(_items(s, d), v.lives(s, d), "entity", "day", "start", "end", "2002-01-01"), with_views("lives", """select o_custkey as entity, o_orderkey as id, cast(o_orderdate as date) + 3 as day, start, coalesce("end", date '2002-01-01') as "end", state
         from orders join lives on entity = o_custkey and cast(o_orderdate as date) + 3 between start and coalesce("end", date '2002-01-01')""")),
     "c7_overlap": entry(lambda s, d: joins.overlap_join(v.events(s, d), _shifted(s, d), "symbol"), with_views("cat", "").rstrip() + f', {_SHIFT} select a.symbol, a.start as a_start, a."end" as a_end, b.start as b_start, b."end" as b_end, b.start - a.start as start_delta from cat a left join b on a.symbol = b.symbol and a.start <= b."end" and a."end" >= b.start'),
-    "c8_messages_in_windows": entry(lambda s, d: joins.messages_in_windows(v.messages(s, d).select("event_id", "symbol", "step"), v.events(s, d).withColumnRenamed("event_id", "e"). withColumnRenamed("e", "event_id"), 3, 3), with_views("cat m", 'select event_id, symbol, step from m where exists (select 1 from cat c where c.symbol = m.symbol and m.step between c.start - 3 and c."end" + 3)')),
+    "c8_messages_in_windows": entry(lambda s, d: joins.messages_in_windows(v.messages(s, d).select("event_id", "symbol", "step"), v.events(s, d), 3, 3), with_views("cat m", 'select event_id, symbol, step from m where exists (select 1 from cat c where c.symbol = m.symbol and m.step between c.start - 3 and c."end" + 3)')),
     "c9_assign_event": entry(lambda s, d: joins.assign_event(v.messages(s, d).select(F.col("event_id").alias("message"), "symbol", "step"), v.events(s, d), ["message"]), with_views("cat m", 'select m.event_id as message, arg_min(c.event_id, c.start) as event_id from m join cat c on c.symbol = m.symbol and m.step between c.start and c."end" group by 1')),
     "c10_event_rollup": entry(lambda s, d: joins.event_rollup(v.hourly(s, d), v.events(s, d)), with_views("cat", 'select c.event_id, cast(coalesce(sum(h.n), 0) as bigint) as total, count(h.n) as steps from cat c left join h on h.symbol = c.symbol and h.step between c.start and c."end" group by 1')),
     "c11_contains_join": entry(lambda s, d: joins.contains_join(table(s, d, "documents"), _names(s, d), "doc_id", "text"), r"""with n as (select min(symbol) as symbol, name from (select cast(item_id as varchar) as symbol, regexp_extract(text, '^[^a-zA-Z0-9_]*([a-zA-Z0-9_]+ [a-zA-Z0-9_]+)', 1) as name from benchmark) where name <> '' group by name),

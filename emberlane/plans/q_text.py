@@ -8,9 +8,6 @@ from ..functions import stance
 from . import views as v
 from .views import entry, table, with_views
 
-_WORDS = ("the", "and", "der", "que", "les", "token", "para", "with")
-
-
 def _dictionary(spark, d):
     """Frequent upper-case tokens of the documents as symbols, with their lower-case doubles as names."""
     t = table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z$])([A-Z]{3,5})(?![A-Za-z])"), F.lit(1)))).alias("w"))
@@ -27,14 +24,12 @@ def _routes(spark, d):
     return stance.mention_routes(table(spark, d, "documents"), "doc_id", "text", stance.compile_dictionary(_dictionary(spark, d), ["THE"], []))
 
 
-_LEXICON = "|".join(stance.BULL + stance.BEAR)
-
 QUERIES = {
     "g1_dictionary": entry(lambda s, d: stance.compile_dictionary(_named(s, d), ["RING"], ["widget"]), """with n as (select distinct upper(replace(p_name, ' ', '_')) as symbol, p_name as name from part)
         select symbol, 'cashtag' as route, symbol as key from n union all select symbol, 'phrase', lower(name) from n where name like '% %' union all select symbol, 'word', lower(name) from n where name not like '% %' and length(name) >= 5 and name <> 'widget'
         union all select symbol, 'token', symbol from n where regexp_full_match(symbol, '[A-Za-z]{3,5}') and symbol <> 'RING'"""),
     "g2_mentions": entry(lambda s, d: stance.detect_mentions(table(s, d, "documents"), "doc_id", "text", stance.compile_dictionary(_dictionary(s, d), ["THE"], []))),
-    "g3_symbols_light": entry(lambda s, d: stance.detect_light(table(s, d, "documents"), "doc_id", "text", ["THE", "AND", "OF", "DER", "DE"]), r"""select distinct doc_id, symbol from (select doc_id, unnest(regexp_extract_all(text, '(^|[^A-Za-z$])([A-Z]{2,5})(!|,|\.|\s|$)', 2)) as symbol from documents) where symbol in ('THE', 'AND', 'OF', 'DER', 'DE')""" if False else None),
+    "g3_symbols_light": entry(lambda s, d: stance.detect_light(table(s, d, "documents"), "doc_id", "text", ["THE", "AND", "OF", "DER", "DE"])),
     "g4_occurrences": entry(lambda s, d: stance.count_occurrences(table(s, d, "part"), "p_partkey", "p_name", s.createDataFrame([("W", "widget"), ("R", "ring"), ("RW", "red widget")], "symbol string, name string")), """select p_partkey, case when p_name like '%red widget%' then 'RW' when p_name like '%widget%' then 'W' else 'R' end as symbol, 1::bigint as n from part where regexp_matches(p_name, '(^| )(widget|ring)( |$)')"""),
     "g5_routes": entry(lambda s, d: _routes(s, d).groupBy("doc_id", "symbol").agg(F.array_join(F.array_sort(F.collect_set("route")), "|").alias("routes"))),
     "g6_context": entry(lambda s, d: table(s, d, "documents").select("doc_id", *stance.context_gate(F.col("text"))), r"""select doc_id, regexp_matches(lower(text), '\b(""" + "|".join(stance.FINANCE) + r""")\b') as finance, len(regexp_extract_all(text, '[A-Z]')) > 0.7 * len(regexp_extract_all(text, '[A-Za-z]')) as shouts from documents"""),
