@@ -50,9 +50,9 @@ def unescape(text: pd.Series) -> pd.Series:
             return None
         t = html.unescape(t)
         try:
-            return t.encode("latin-1").decode("utf-8", "ignore")
-        except UnicodeEncodeError:
-            return t
+            return t.encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            return t  # it was no such text
 
     return text.map(one)
 

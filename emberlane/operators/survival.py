@@ -241,7 +241,7 @@ def concordance_startstop(rows: DataFrame, risk: str, stop: str, event: str) ->
     everyone = F.sum("s").over(Window.partitionBy(stop))
     cells = per.select("d", "s", below.alias("below"), everyone.alias("everyone"))
     good, all_pairs = F.sum(F.col("d") * (F.col("below") + F.col("s") / 2)), F.sum(F.col("d") * F.col("everyone"))
-    return cells.agg(all_pairs.cast("long").alias("pairs"), F.try_divide(good, all_pairs).alias("concordance"))
+    return cells.agg(F.coalesce(all_pairs.cast("long"), F.lit(0)).alias("pairs"), F.try_divide(good, all_pairs).alias("concordance"))
 
 
 def concordance(rows: DataFrame, risk: str, time: str, event: str, bins: int = 512) -> DataFrame:
