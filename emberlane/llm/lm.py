@@ -1,18 +1,19 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Texts are lower-cased (A-Z) and cut into words; each text closes with one end token. Unigram counts cover every training
-token exactly and stay a distributed table. The trie holds the n-grams up to order three that are not rare: words,
-pairs and triples whose share of all training tokens is at least ``WORD_FLOOR``, ``PAIR_FLOOR`` and ``TRIPLE_FLOOR`` (and
-which occur twice). A share bounds their number by its inverse whatever the corpus, which makes the trie safe to broadcast;
-the counts behind it are of all training texts. Pairs are counted between words of the trie, triples where both their
-pairs are in it; neither loses an n-gram above its floor.
+Texts are lower-cased (A-Z) and cut into words; each text closes with one end token. The model has every word of the
+training texts and every pair and triple that occurs at least ``LEAST`` times in them, at any size of the corpus. Words,
+pairs and triples are distributed tables of their counts and of what each adds to a score. The trie holds the frequent
+part of them only, those whose share of all training tokens is at least ``WORD_FLOOR``, ``PAIR_FLOOR`` and
+``TRIPLE_FLOOR``; a share bounds their number by its inverse, which makes the trie safe to broadcast, and their
+probabilities are of the whole model. What a text has besides is joined with the tables: log10 of a backed-off
+probability is a sum over the words, pairs and triples of a text, so each n-gram of the tables has one number to add.
+The floors choose only between these two ways (and the trie's values are rounded to 8 bits).
 
 A level is a monotone sequence: the position of the context on the level above, times the number of words, plus the word.
 It is stored in Elias-Fano form (packed low bits, unary high bits) with pointers from each context to its successors in
 the same form, next to probabilities and back-off weights of absolute discounting, quantised to 256 levels each. Workers map
 the levels from a file. A query takes the context's position, looks whether it has successors at all, and searches for
-the word among them; otherwise it backs off, in the end to the exact unigram probability. For words that are not in the
-trie, that comes from a join of the rare words of each text with the unigram table.
+the word among them; otherwise it backs off, in the end to the exact unigram probability.
 
 Null texts are empty: the end token alone. With no training texts all counts are 0 and every token has probability 1.
 """
@@ -30,17 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .words import SPACED_LOWER, Runs, split
+from .words import SPACED_LOWER, Runs, mix, split
 
 WORD_FLOOR = 5e-7
 PAIR_FLOOR = 3e-7
 TRIPLE_FLOOR = 3e-7
+#: Occurrences from which a pair or triple belongs to the model.
+LEAST = 2
 DISCOUNT = 0.75
 HELD_OUT = 10
 #: Stands for the end token where words are hashes.
 END_HASH = -0x6A09E667F3BCC909
 #: Distinct n-grams that a task sums up before it passes them on.
 BUFFER = 2_000_000
+#: Stands for the missing words of a shorter n-gram.
+NONE = -(1 << 63)
 
 
 class EliasFano:
@@ -259,52 +264,136 @@ def _words_of(values: list[bytes]) -> np.ndarray:
     return np.concatenate([found, np.full(len(values), END_HASH, np.int64)])
 
 
-def _pairs_of(shared):
-    def make(values: list[bytes]) -> np.ndarray:
-        model: Model = shared.value
-        ids, _, _, starts = model.sequence(values)
-        context = np.append(-1, ids[:-1])
-        context[starts] = -1
-        ok = (context >= 0) & (ids >= 0)
-        return context[ok] * model.words + ids[ok]
+def _codes(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The number of a word of the trie, else its hash as a negative number."""
+    return np.where(ids >= 0, ids, hashes | np.int64(NONE))
+
+
+def _grams(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first code of the pair that ends at each token, first code of the triple), NONE where the text begins later."""
+    one, two = np.append(NONE, codes[:-1]), np.append([NONE, NONE], codes[:-2])[: len(codes)]
+    one[starts] = NONE
+    two[starts] = NONE
+    two[np.minimum(starts + 1, len(codes) - 1)] = NONE
+    return one, two
+
 
-    return make
+def _distinct(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows that differ, by a 64-bit hash, and the sum of n of each."""
+    key = np.zeros(len(n), np.uint64)
+    for c in columns:
+        key = mix(key + c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return [c[at] for c in columns], np.bincount(inverse, n, len(at)).astype(np.int64)
 
 
-def _triples_of(shared):
-    def make(values: list[bytes]) -> np.ndarray:
+def _stack(a: np.ndarray, b: np.ndarray, c: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> list[np.ndarray]:
+    """Columns a, b, c of the pairs (b, c of the tokens) and the triples that end at some tokens."""
+    return [np.append(b[pairs], a[triples]), np.append(c[pairs], b[triples]), np.append(np.full(len(pairs), NONE), c[triples])]
+
+
+def _counted_grams(shared):
+    """Pairs and triples, summed up within a task like ``_counted``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        ids, _, _, starts = model.sequence(values)
-        (pair,) = model.positions(ids, starts)
-        context = np.append(-1, pair[:-1])
-        context[starts] = -1
-        ok = (context >= 0) & (pair >= 0)
-        return context[ok] * model.words + ids[ok]
+        kept, size = [], 0
 
-    return make
+        def summed() -> pa.RecordBatch:
+            columns, n = _distinct([np.concatenate([k[i] for k in kept]) for i in range(3)], np.concatenate([k[3] for k in kept]))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, n)], ["a", "b", "c", "n"])
 
+        for _, values in base.pieces(batches):
+            ids, hashes, _, starts = model.sequence(values)
+            codes = _codes(ids, hashes)
+            one, two = _grams(codes, starts)
+            columns = _stack(two, one, codes, np.flatnonzero(one != NONE), np.flatnonzero(two != NONE))
+            columns, n = _distinct(columns, np.ones(len(columns[0])))
+            kept.append((*columns, n))
+            size += len(n)
+            if size >= BUFFER // 2:
+                yield summed()
+                kept, size = [], 0
+        if size:
+            yield summed()
 
-def _kept(rows: DataFrame, make, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts at or above a floor; the floor bounds how many come to the driver."""
-    counts = rows.mapInArrow(_counted(make), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor)
-    found = counts.toArrow()
-    key, n = found["key"].to_numpy(), found["n"].to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
+    return count
 
 
-def _level(model: Model, context: np.ndarray, word: np.ndarray, n: np.ndarray, context_count: np.ndarray, lower: np.ndarray) -> tuple[Level, np.ndarray]:
-    """A level by absolute discounting and the back-off logs of its contexts; ``lower`` is log10 of the shorter context's probability."""
-    total = np.maximum(context_count, 1).astype(float)
-    taken = np.bincount(context, n - DISCOUNT, len(total))
-    back = np.clip(1 - taken / total, 1e-9, 1)
-    prob = np.log10((n - DISCOUNT) / total[context] + back[context] * 10**lower)
-    return Level.of(context, word, len(total), model.words, prob, np.zeros(len(word))), np.log10(back)
+def _coded(shared):
+    """The unigram table by code."""
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for batch in batches:
+            hashes = batch.column(0).to_numpy()
+            ids = np.where(hashes == END_HASH, model.end, model.ids(hashes.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(_codes(ids, hashes)), batch.column(1)], ["code", "n"])
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the unigram table (key, n) of the training texts (doc_id, text)."""
-    spark = docs.sparkSession
+    return code
+
+
+def _back(taken, total):
+    """log10 of what discounting leaves of a context."""
+    return F.log10(F.greatest(F.least(1 - taken / total, F.lit(1.0)), F.lit(1e-9)))
+
+
+def tables(docs: DataFrame, model: Model, unigrams: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole model by absolute discounting: words (code, n, base, back), pairs (a, b, n, prob, back, gain), triples (a, b, c, n, prob, gain).
+
+    ``prob`` and ``back`` are log10; ``gain`` is what the n-gram adds to the score of a text, on top of its shorter ones.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    counted = docs.mapInArrow(_counted_grams(shared), "a long, b long, c long, n long")
+    grams = base.stored(counted.groupBy("a", "b", "c").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST), "grams")
+    pairs, triples = grams.filter(F.col("c") == NONE).drop("c"), grams.filter(F.col("c") != NONE)
+    taken = F.sum(F.col("n") - DISCOUNT).alias("taken")
+    scale = model.total + 0.1 * (model.types + 1)
+    words = unigrams.mapInArrow(_coded(shared), "code long, n long").join(pairs.groupBy(F.col("a").alias("code")).agg(taken), "code", "left")
+    words = base.stored(words.select("code", "n", F.log10((F.col("n") + 0.1) / scale).alias("base"), F.coalesce(_back(F.col("taken"), F.col("n")), F.lit(0.0)).alias("back")), "words")
+    first = words.select(F.col("code").alias("a"), F.col("n").alias("n_a"), F.col("back").alias("back_a"))
+    second = words.select(F.col("code").alias("b"), F.col("base").alias("base_b"))
+    prob = F.log10((F.col("n") - DISCOUNT) / F.col("n_a") + F.pow(F.lit(10.0), F.col("back_a") + F.col("base_b")))
+    pairs = pairs.join(first, "a").join(second, "b").withColumn("prob", prob).join(triples.groupBy("a", "b").agg(taken), ["a", "b"], "left")
+    pairs = pairs.withColumn("back", F.coalesce(_back(F.col("taken"), F.col("n")), F.lit(0.0)))
+    pairs = base.stored(pairs.select("a", "b", "n", "prob", "back", (F.col("prob") - F.col("back_a") - F.col("base_b") + F.col("back")).alias("gain")), "pairs")
+    before = pairs.select("a", "b", F.col("n").alias("n_ab"), F.col("back").alias("back_ab"))
+    shorter = pairs.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("prob").alias("prob_bc"))
+    low = F.col("back_ab") + F.col("prob_bc")
+    prob = F.log10((F.col("n") - DISCOUNT) / F.col("n_ab") + F.pow(F.lit(10.0), low))
+    triples = triples.join(before, ["a", "b"]).join(shorter, ["b", "c"]).withColumn("prob", prob)
+    return words, pairs, base.stored(triples.select("a", "b", "c", "n", "prob", (F.col("prob") - low).alias("gain")), "triples")
+
+
+def _frequent(rows: DataFrame, floor: float, columns: list[str]) -> list[np.ndarray]:
+    """Columns of the n-grams of trie words at or above a floor; the floor bounds how many come to the driver."""
+    codes = [c for c in columns if c in "abc"]
+    for c in codes:
+        rows = rows.filter(F.col(c) >= 0)
+    found = rows.filter(F.col("n") >= floor).select(*columns).toArrow()
+    return [found[c].to_numpy() for c in columns]
+
+
+def _fill(model: Model, words: DataFrame, pairs: DataFrame, triples: DataFrame) -> None:
+    """Put the frequent pairs and triples into the trie."""
+    found = words.filter("code >= 0").select("code", "back").toArrow()
+    model.word_back[found["code"].to_numpy()] = found["back"].to_numpy()
+    a, b, prob, back = _frequent(pairs, PAIR_FLOOR * model.total, ["a", "b", "prob", "back"])
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    level = Level.of(a, b, model.words, model.words, prob[order], back[order])
+    model.levels = [level]
+    if not len(a):
+        return
+    x, y, z, prob = _frequent(triples, TRIPLE_FLOOR * model.total, ["a", "b", "c", "prob"])
+    context = level.find(x, y, model.words)
+    ok = np.flatnonzero((context >= 0) & (level.find(y, z, model.words) >= 0))
+    ok = ok[np.lexsort((z[ok], context[ok]))]
+    model.levels.append(Level.of(context[ok], z[ok], len(a), model.words, prob[ok], np.zeros(len(ok))))
+
+
+def trained(docs: DataFrame) -> tuple[Model, DataFrame, tuple[DataFrame, DataFrame, DataFrame] | None]:
+    """The trie, the unigram table (key, n) and the tables of the whole model; no tables without training texts."""
     unigrams = docs.mapInArrow(_counted(_words_of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     unigrams = base.stored(unigrams, "unigrams")
     total, types = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -314,21 +403,15 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     order = np.argsort(hashes)
     model = Model(total, types, hashes[order], counts[order], ends)
     if not total:
-        return model, unigrams
-    words = model.words
-    key, n = _kept(docs, _pairs_of(spark.sparkContext.broadcast(model)), max(2, PAIR_FLOOR * total))
-    context, word = key // words, key % words
-    pairs, model.word_back = _level(model, context, word, n, model.counts, model.log_base(model.counts)[word])
-    model.levels = [pairs]
-    if len(key):
-        pair_prob = pairs.prob_book[pairs.prob]
-        key3, n3 = _kept(docs, _triples_of(spark.sparkContext.broadcast(model)), max(2, TRIPLE_FLOOR * total))
-        context3, word3 = key3 // words, key3 % words
-        lower = pair_prob[pairs.keys.find((key % words)[context3] * words + word3)] if len(key3) else np.empty(0)
-        triples, back = _level(model, context3, word3, n3, n, lower)
-        pairs.back, pairs.back_book = quantise(back)
-        model.levels.append(triples)
-    return model, unigrams
+        return model, unigrams, None
+    whole = tables(docs, model, unigrams)
+    _fill(model, *whole)
+    return model, unigrams, whole
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The trie and the unigram table (key, n) of the training texts (doc_id, text)."""
+    return trained(docs)[:2]
 
 
 # -- scoring
@@ -363,39 +446,64 @@ def _content(hashes: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
     return Runs(hashes.view(np.uint64)).of(ends[:-1], ends[1:]).view(np.int64)
 
 
-def _rare(shared):
+def _asked(shared):
+    """Words, pairs and triples of each text that are not in the trie; b and c are NONE where an n-gram is shorter."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for doc, values in base.pieces(batches):
-            ids, hashes, text, _ = model.sequence(values)
+            ids, hashes, text, starts = model.sequence(values)
             content = _content(hashes, text, len(values))
-            rare = np.flatnonzero(ids < 0)
-            order = np.lexsort((hashes[rare], text[rare]))
-            h, t = hashes[rare][order], text[rare][order]
-            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))) if len(h) else np.empty(0, np.int64)
-            n = np.diff(np.append(first, len(h)))
+            codes = _codes(ids, hashes)
+            one, two = _grams(codes, starts)
+            inside = model.positions(ids, starts)
+            pairs, triples = one != NONE, two != NONE
+            if len(inside) > 0:
+                pairs &= inside[0] < 0
+            if len(inside) > 1:
+                triples &= inside[1] < 0
+            words, pairs, triples = np.flatnonzero(ids < 0), np.flatnonzero(pairs), np.flatnonzero(triples)
+            none = np.full(len(words), NONE)
+            columns = [np.append(x, y) for x, y in zip((codes[words], none, none), _stack(two, one, codes, pairs, triples))]
+            (a, b, c, t), n = _distinct([*columns, text[np.concatenate([words, pairs, triples])]], np.ones(len(columns[0])))
+            order = np.argsort(t, kind="stable")
+            a, b, c, t, n = (x[order] for x in (a, b, c, t, n))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()).take(pa.array(t[first])), pa.array(content[t[first]]), pa.array(h[first]), pa.array(n)],
-                ["doc_id", "content", "key", "times"],
+                [pa.array(doc, pa.int64()).take(pa.array(t)), *(pa.array(x) for x in (content[t], a, b, c, n))],
+                ["doc_id", "content", "a", "b", "c", "times"],
             )
 
     return find
 
 
+def _values(model: Model, whole: tuple[DataFrame, DataFrame, DataFrame] | None, spark) -> DataFrame:
+    """key, what an n-gram outside the trie adds to a score, and a word's base score."""
+    if whole is None:
+        return spark.createDataFrame([], "key long, gain double, base double")
+    words, pairs, triples = whole
+    none = F.lit(NONE).cast("long")
+    rare = words.filter("code < 0").select(F.xxhash64("code", none, none).alias("key"), (F.col("base") + F.col("back")).alias("gain"), "base")
+    empty = F.lit(None).cast("double").alias("base")
+    return rare.unionAll(pairs.select(F.xxhash64("a", "b", none).alias("key"), "gain", empty)).unionAll(triples.select(F.xxhash64("a", "b", "c").alias("key"), "gain", empty))
+
+
 def report(docs: DataFrame) -> DataFrame:
     source = base.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held_out = F.coalesce(base.crc_remainder("doc_id", HELD_OUT) == 0, F.lit(False))
-    model, unigrams = train(source.filter(~held_out))
+    model, _, whole = trained(source.filter(~held_out))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     local = source.mapInArrow(_local(shared), "doc_id long, content long, n_tokens long, n_known long, base_score double, score double")
-    requests = source.mapInArrow(_rare(shared), "doc_id long, content long, key long, times long")
-    scale = model.total + 0.1 * (model.types + 1)
+    requests = source.mapInArrow(_asked(shared), "doc_id long, content long, a long, b long, c long, times long")
+    requests = requests.select("doc_id", "content", F.xxhash64("a", "b", "c").alias("key"), (F.col("b") == NONE).alias("word"), "times")
+    unknown = float(model.log_base(np.zeros(1))[0])
     rare = (
-        requests.join(unigrams.filter(F.col("n") < max(1, WORD_FLOOR * model.total)), "key", "left")
+        requests.join(_values(model, whole, docs.sparkSession), "key", "left")
+        .filter(F.col("word") | F.col("gain").isNotNull())
         .groupBy("doc_id", "content")
         .agg(
-            F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / scale)).alias("rare_score"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+            F.sum(F.col("times") * F.coalesce("gain", F.lit(unknown))).alias("rare_gain"),
+            F.sum(F.when(F.col("word"), F.col("times") * F.coalesce("base", F.lit(unknown)))).alias("rare_base"),
+            F.sum(F.when(F.col("word") & F.col("base").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
         )
     )
     # rows that repeat an id and its text asked together
@@ -403,15 +511,15 @@ def report(docs: DataFrame) -> DataFrame:
         F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))
     )
     rows = alike.join(rare, (alike["doc_id"].eqNullSafe(rare["doc_id"])) & (alike["content"] == rare["content"]), "left").drop(rare["doc_id"]).drop(rare["content"])
-    more = F.coalesce(F.col("rare_score") / F.col("rows"), F.lit(0.0))
+    more = lambda c: F.coalesce(F.col(c) / F.col("rows"), F.lit(0.0))
     out = rows.select(
         "doc_id",
         held_out.alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce((F.col("rare_known") / F.col("rows")).cast("long"), F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("base_score") + more("rare_base")).alias("base_score"),
+        (F.col("score") + more("rare_gain")).alias("score"),
         "rows",
     )
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("rows", "copy")

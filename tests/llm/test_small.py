@@ -284,6 +284,34 @@ def test_language_model_is_a_distribution(docs):
         assert (10**score).sum() + 10**unknown == pytest.approx(1, abs=0.05)
 
 
+def test_language_model_keeps_every_repeated_ngram(docs, corpus, monkeypatch):
+    """Scores against brute force, alike whether n-grams are in the trie or in the tables only."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    words = {i: [*(t or "").encode().lower().split(), "END"] for i, t in corpus}
+    count = [Counter(tuple(w[k : k + n]) for i, w in words.items() if not held(i) for k in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    total, scale = sum(count[0].values()), sum(count[0].values()) + 0.1 * (len(count[0]) + 1)
+    taken = defaultdict(float)
+    for level in count[1:]:
+        for gram, n in level.items():
+            taken[gram[:-1]] += (n - lm.DISCOUNT) * (n >= 2)
+
+    def prob(gram):
+        n, context = count[len(gram) - 1][gram], gram[:-1]
+        if not context:
+            return (n + 0.1) / scale
+        whole = count[len(context) - 1][context]
+        if len(context) > 1 and whole < 2 or not whole:
+            return prob(gram[1:])
+        return (n - lm.DISCOUNT) * (n >= 2) / whole + max(1 - taken[context] / whole, 1e-9) * prob(gram[1:])
+
+    want = {i: sum(np.log10(prob(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w))) for i, w in words.items()}
+    for floor, slack in ((20 / total, 0.02), (1.0, 1e-6)):
+        for name in ("WORD_FLOOR", "PAIR_FLOOR", "TRIPLE_FLOOR"):
+            monkeypatch.setattr(lm, name, floor)
+        for r in lm.report(docs).collect():
+            assert r["score"] == pytest.approx(want[r["doc_id"]], rel=slack, abs=slack), (floor, r["doc_id"])
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for universe in (1, 50, 10**9, 10**14):
