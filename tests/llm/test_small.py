@@ -374,6 +374,30 @@ def test_personal_data_adds_and_redacts(spark):
     assert clean[5].endswith('token = "[secret]" and mail [email]') and clean[300] is None
 
 
+def test_personal_data_adds_each_kind(spark):
+    """Planted cases off the base spans, one per kind, among numbers that are nobody's."""
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+
+    def broken() -> str:
+        while pii.luhn(d := digits(16)):
+            pass
+        return d
+
+    rows = []
+    for i in range(0, 900, 3):
+        rows.append((i, rng.choice([f"write to {name()} [at] {name()} [dot] com today", f"please call (555) {digits(3)}-{digits(4)} at noon"])))
+        rows.append((i + 1, f"paid by card {broken()} in May" if i % 2 else f'we set token = "{name()}{digits(12)}{name()}" there'))
+        rows.append((i + 2, f"the order {digits(12)} and part {digits(3)}-{digits(3)}-{digits(4)} with mode = {name()}{name()}{name()} and file a/{digits(12)}/b"))
+    got = {r["doc_id"]: r["spans"] for r in pii.report(table(spark, rows)).collect()}
+    for kind, mark in (("contact", "[at]"), ("contact", "(555)"), ("number", "card"), ("secret", "token")):
+        mine = [got[i].startswith(f"{kind}:") for i, t in rows if mark in t]
+        assert sum(mine) > 0.95 * len(mine), (mark, sum(mine), len(mine))
+    wrong = [(t, got[i]) for i, t in rows[2::3] if got[i]]
+    assert len(wrong) < 0.05 * 300, wrong[:5]
+
+
 def test_rotation(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "hello"), (1, 2, "bob", "hello"), (1, 3, "ann", None), (2, None, None, "lost"), (3, 700, "ann", "late"), (3, 1, "bob", "early")]
     found = {(r["conv_id"], r["block"], r["speaker"]): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
