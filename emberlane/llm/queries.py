@@ -15,7 +15,7 @@ _EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
 def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(base.table(spark, sf_dir, "conversations"))
+    return chat.rotate_whole(base.table(spark, sf_dir, "conversations"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

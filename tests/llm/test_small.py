@@ -410,6 +410,19 @@ def test_rotation(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_rotation_of_long_dialogues_is_whole(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 300, "bob", "late"), (1, 301, "ann", "yes"), (1, 900, "bob", "end"), (2, None, "cy", "ok"), (2, None, "cy", "ok"), (None, 0, "di", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {(r["conv_id"], r["block"], r["speaker"]): r for r in chat.rotate_whole(df).collect()}
+    assert set(found) == {(1, b, s) for b in (0, 1, 3) for s in ("ann", "bob")} | {(2, 0, "cy"), (None, 0, "di")}
+    whole = {(r["conv_id"], r["speaker"]): r for r in chat.rotate(df, 1000).collect()}
+    for speaker in ("ann", "bob"):
+        parts = [found[1, b, speaker] for b in (0, 1, 3)]
+        assert "".join(p["text"] for p in parts) == whole[1, speaker]["text"]
+        assert ",".join(p["mask"] for p in parts if p["mask"]) == whole[1, speaker]["mask"]
+    assert found[2, 0, "cy"]["n_turns"] == 2
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     benchmark = spark.createDataFrame([], "item_id long, text string")
