@@ -244,22 +244,34 @@ def concordance_startstop(rows: DataFrame, risk: str, stop: str, event: str) ->
     return cells.agg(F.coalesce(all_pairs.cast("long"), F.lit(0)).alias("pairs"), F.try_divide(good, all_pairs).alias("concordance"))
 
 
-def concordance(rows: DataFrame, risk: str, time: str, event: str, bins: int = 512) -> DataFrame:
-    """V9: Harrell's C: of pairs whose shorter duration is a death, the share in which it has the higher risk.
+def _ordered_bits(value: str):
+    """A double's 64 bits as an integer whose unsigned order is the double's; -0.0 is 0.0."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(value).cast("double") + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(-(1 << 63))))
 
-    Risks are ranked into at most ``bins`` quantile bins (exact with fewer distinct values); a histogram over (time, bin)
-    and two running sums replace the pairs.
+
+def concordance(rows: DataFrame, risk: str, time: str, event: str) -> DataFrame:
+    """V9: Harrell's C: of pairs whose shorter duration is a death, the share in which it has the higher risk; equal risks count half.
+
+    Exact without pairs: two risks differ first in one of the 16 hex digits of their ordered bits, so a pair is counted at that
+    digit, among rows with the same digits before it: counts per digit and time, and running sums from the last time back.
+    A group of running sums has at most one row per time. Rows without a risk or time have no pairs.
     """
-    edges = rows.agg(F.percentile(risk, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_e")).select(F.array_distinct("_e").alias("_e"))
-    binned = rows.join(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(risk))))
-    cells = binned.groupBy(F.col(time).alias("t"), "_b").agg(F.sum(event).alias("d"), F.count("*").alias("n"))
-    grid = cells.select("t").distinct().join(cells.select("_b").distinct(), F.lit(True)).join(cells, ["t", "_b"], "left").na.fill(0, ["d", "n"])
-    later = F.coalesce(F.sum("n").over(Window.partitionBy("_b").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = grid.withColumn("later", later)
-    below = F.coalesce(F.sum("later").over(Window.partitionBy("t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("below", below).withColumn("everyone", F.sum("later").over(Window.partitionBy("t")))
-    pairs = F.sum(F.col("d") * F.col("everyone"))
-    return g.agg(pairs.cast("long").alias("pairs"), F.try_divide(F.sum(F.col("d") * (F.col("below") + F.col("later") / 2)), pairs).alias("concordance"))
+    known = rows.filter(F.col(risk).isNotNull() & F.col(time).isNotNull())
+    cells = known.groupBy(F.col(time).alias("t"), F.col(risk).alias("_r")).agg(F.sum(event).alias("d"), F.count("*").alias("n")).withColumn("_k", _ordered_bits("_r"))
+    later = lambda by, n: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = cells.groupBy("_k", "t").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    ties = same.select("d", later(["_k"], "n").alias("later")).agg(F.sum(F.col("d") * F.col("later")).alias("ties"))
+    levels = [F.struct(F.lit(i).alias("level"), (F.shiftrightunsigned("_k", 64 - 4 * i) if i else F.lit(0)).cast("long").alias("before"), F.shiftrightunsigned("_k", 60 - 4 * i).bitwiseAND(F.lit(15)).alias("digit")) for i in range(16)]
+    long = same.select("t", "d", "n", F.explode(F.array(*levels)).alias("_l")).select("t", "d", "n", "_l.*")
+    digits = range(16)
+    at = lambda c, k: F.sum(F.when(F.col("digit") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+    sums = long.groupBy("level", "before", "t").agg(*(at("d", k) for k in digits), *(at("n", k) for k in digits))
+    g = sums.select("level", *(f"d{k}" for k in digits), *(later(["level", "before"], f"n{k}").alias(f"l{k}") for k in digits))
+    below = sum((F.col(f"d{k}") * sum((F.col(f"l{j}") for j in range(k)), F.lit(0)) for k in digits), F.lit(0))
+    everyone = sum((F.col(f"d{k}") for k in digits), F.lit(0)) * sum((F.col(f"l{k}") for k in digits), F.lit(0))
+    counted = g.agg(F.sum(below).alias("good"), F.sum(F.when(F.col("level") == 0, everyone)).alias("pairs"))
+    return counted.join(ties).select(F.col("pairs").cast("long").alias("pairs"), F.try_divide(F.col("good") + F.col("ties") / 2, F.col("pairs")).alias("concordance"))
 
 
 def baseline_hazard(rows: DataFrame, covariates: list[str], beta: list[float], stop: str, event: str) -> DataFrame:

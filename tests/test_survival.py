@@ -114,3 +114,14 @@ def test_robust_variance_is_close_to_the_model_without_clusters(rows):
     fit = survival.cox(rows.withColumn("id", rows["x1"] * 1000 + rows["x2"]), ["x1", "x2"], "t", "e")
     cov = survival.robust_covariance(rows.withColumn("id", rows["x1"] * 1000 + rows["x2"]), fit, "t", "e", "id")
     assert np.all(np.sqrt(np.diag(cov)) / fit.se > 0.5) and np.all(np.sqrt(np.diag(cov)) / fit.se < 2)
+
+
+def test_concordance_of_continuous_risks_is_exact(spark):
+    rng = np.random.default_rng(8)
+    x = np.append(rng.normal(size=1500) * 10.0 ** rng.integers(-6, 6, 1500), [0.0, -0.0, 1.0, 1.0, 1.0])
+    t, e = rng.integers(1, 30, len(x)), rng.random(len(x)) < 0.7
+    df = spark.createDataFrame([(float(a), int(b), int(c)) for a, b, c in zip(x, t, e)], "x double, t int, e int")
+    pair = (t[:, None] < t[None, :]) & e[:, None]
+    good = (pair & (x[:, None] > x[None, :])).sum() + (pair & (x[:, None] == x[None, :])).sum() / 2
+    r = survival.concordance(df, "x", "t", "e").first()
+    assert r["pairs"] == pair.sum() and r["concordance"] == pytest.approx(good / pair.sum(), abs=1e-12)
