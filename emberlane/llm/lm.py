@@ -1,21 +1,29 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
+"""Language-model scoring with an Elias-Fano n-gram trie in shards.
 
 Texts are lower-cased (A-Z) and cut into words; each text closes with one end token. The model has every word of the
-training texts and every pair and triple that occurs at least ``LEAST`` times in them, at any size of the corpus. Words,
-pairs and triples are distributed tables of their counts and of what each adds to a score. The trie holds the frequent
-part of them only, those whose share of all training tokens is at least ``WORD_FLOOR``, ``PAIR_FLOOR`` and
-``TRIPLE_FLOOR``; a share bounds their number by its inverse, which makes the trie safe to broadcast, and their
-probabilities are of the whole model. What a text has besides is joined with the tables: log10 of a backed-off
-probability is a sum over the words, pairs and triples of a text, so each n-gram of the tables has one number to add.
-The floors choose only between these two ways (and the trie's values are rounded to 8 bits).
-
-A level is a monotone sequence: the position of the context on the level above, times the number of words, plus the word.
-It is stored in Elias-Fano form (packed low bits, unary high bits) with pointers from each context to its successors in
-the same form, next to probabilities and back-off weights of absolute discounting, quantised to 256 levels each. Workers map
-the levels from a file. A query takes the context's position, looks whether it has successors at all, and searches for
-the word among them; otherwise it backs off, in the end to the exact unigram probability.
+training texts and every pair and triple that occurs at least ``LEAST`` times in them, at any size of the corpus, smoothed
+by absolute discounting: what a context's n-grams give up goes to the n-grams that are one word shorter, in the end to the
+exact unigram probability.
+
+The trie is dealt into shards by a hash of the context. Texts become bundles of tokens, which are stored once. A bundle
+asks each shard for its distinct n-grams and tells how often each occurs in its training texts; so what is shuffled grows
+with distinct n-grams of bundles, and a key that holds a third of all rows is one ask per bundle. A shard sums the
+counts, builds the levels from what is frequent enough, and answers every ask from them, in the order of the asks; answers
+need no keys. Bundles then add up their tokens' probabilities.
+
+A level of a shard is a monotone sequence: the position of the context, times the number of words, plus the word. It is
+stored in Elias-Fano form (packed low bits, unary high bits with sampled ranks) with pointers from each context to its
+successors in the same form, next to smoothed probabilities and back-off weights, quantised to 16 bits, and mapped from a
+file. A query takes the context's position, looks whether it has successors, and searches for
+the word among them.
+
+The most frequent words (at most ``WORDS``) have numbers, which are broadcast; all others are told by hashes and ask for
+their counts like n-grams. A context with more than ``HOT`` training tokens (or ``HOT_SHARE`` of all, which bounds their
+number) is dealt to several shards by the word that follows; its sums are put together before the texts are scored. None
+of these parameters changes a result.
 
 Null texts are empty: the end token alone. With no training texts all counts are 0 and every token has probability 1.
+Repeated rows are texts like any other, each counted and scored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,38 +32,43 @@ import math
 import mmap
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .words import SPACED_LOWER, Runs, mix, split
+from .words import SPACED_LOWER, mix, split
 
-WORD_FLOOR = 5e-7
-PAIR_FLOOR = 3e-7
-TRIPLE_FLOOR = 3e-7
 #: Occurrences from which a pair or triple belongs to the model.
 LEAST = 2
 DISCOUNT = 0.75
 HELD_OUT = 10
-#: Stands for the end token where words are hashes.
-END_HASH = -0x6A09E667F3BCC909
+#: Most words that are numbered and broadcast (16 bytes each).
+WORDS = 1 << 20
+#: Tokens of a bundle and of a shard, about.
+BUNDLE = 700_000
+SHARD = 700_000
+#: Training tokens from which a context is dealt to several shards: the larger of a number and a share of all.
+HOT, HOT_SHARE = 500_000, 1e-6
 #: Distinct n-grams that a task sums up before it passes them on.
 BUFFER = 2_000_000
-#: Stands for the missing words of a shorter n-gram.
-NONE = -(1 << 63)
+#: Stands for the end token where words are hashes.
+END_HASH = -0x6A09E667F3BCC909
+#: A probability of 10 to the -x has the code sqrt(x) times this, which is finest near one; n-grams outside the trie have the last code.
+STEPS, ABSENT = 16_000, 65_535
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 class EliasFano:
-    """A monotone sequence of integers: packed low bits and unary high bits."""
+    """A monotone sequence of integers: packed low bits and unary high bits, with the number of ones before each 64 bits."""
 
     def __init__(self, size: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.size, self.low_bits, self.low, self.high = size, low_bits, low, high
-        ones = np.unpackbits(np.asarray(high), bitorder="little")
-        # elements before each value of the high part: the ones before each zero
-        self.starts = np.append(0, (np.cumsum(ones) * 1)[np.flatnonzero(ones == 0)]).astype(np.int64)
+        self.size, self.low_bits, self.low, self.high = size, low_bits, low, np.asarray(high).view(np.uint64)
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)]).astype(np.int32)
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -64,7 +77,7 @@ class EliasFano:
         lows = values & ((1 << bits) - 1)
         plane = ((lows[:, None] >> np.arange(bits)) & 1).astype(np.uint8).reshape(-1) if bits else np.empty(0, np.uint8)
         low = np.concatenate([np.packbits(plane, bitorder="little"), np.zeros(8, np.uint8)])
-        marks = np.zeros((universe >> bits) + n + 2, np.uint8)
+        marks = np.zeros(-(-((universe >> bits) + n + 2) // 64) * 64, np.uint8)
         marks[(values >> bits) + np.arange(n)] = 1
         return cls(n, bits, low, np.packbits(marks, bitorder="little"))
 
@@ -77,18 +90,34 @@ class EliasFano:
             out |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
         return ((out >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
-    def high_at(self, i: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, i, "right") - 1
+    def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
+        """Place of the k-th one or zero (from 0)."""
+        before = self.ones if bit else (np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones)
+        word = np.searchsorted(before, k, "right") - 1
+        x = self.high[np.minimum(word, len(self.high) - 1)]
+        x, left = (x if bit else ~x), (k - before[word]).astype(np.int64)
+        place = np.zeros(len(k), np.int64)
+        for width in (32, 16, 8, 4, 2, 1):
+            count = np.bitwise_count(x & np.uint64((1 << width) - 1)).astype(np.int64)
+            up = left >= count
+            left -= np.where(up, count, 0)
+            place += np.where(up, width, 0)
+            x = np.where(up, x >> np.uint64(width), x)
+        return word * 64 + place
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        return (self.high_at(i) << self.low_bits) | self.low_at(i)
+        i = np.asarray(i, np.int64)
+        return ((self._select(i, 1) - i) << self.low_bits) | self.low_at(i)
+
+    def _start(self, high: np.ndarray) -> np.ndarray:
+        """Number of elements whose high part is smaller."""
+        return np.where(high > 0, self._select(np.maximum(high - 1, 0), 0) - np.maximum(high - 1, 0), 0)
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Position of each value, -1 where it is not in the sequence: a successor search in its high part's stretch."""
         high, want = values >> self.low_bits, values & ((1 << self.low_bits) - 1)
-        lo, hi = self.starts[high].copy(), self.starts[high + 1]
+        lo, hi = self._start(high), self._start(high + 1)
         end = hi.copy()
-        hi = hi.copy()
         while True:
             busy = np.flatnonzero(lo < hi)
             if not len(busy):
@@ -104,422 +133,467 @@ class EliasFano:
         return found
 
 
-def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, codebook of 256 means of equally frequent stretches)."""
-    if not len(values):
-        return np.empty(0, np.uint8), np.zeros(256)
-    edges = np.unique(np.quantile(values, np.linspace(0, 1, 257)[1:-1]))
-    codes = np.searchsorted(edges, values, "right")
-    count = np.bincount(codes, minlength=256)
-    means = np.bincount(codes, values, minlength=256) / np.maximum(count, 1)
-    return codes.astype(np.uint8), means
+def quantise(logs: np.ndarray) -> np.ndarray:
+    """Codes of log10 values of at most 0."""
+    return np.clip(np.rint(np.sqrt(np.maximum(-logs, 0)) * STEPS), 0, ABSENT - 1).astype(np.uint16)
+
+
+#: What codes stand for, as numbers; 0 for absent n-grams.
+_VALUES = np.append(10 ** -((np.arange(ABSENT) / STEPS) ** 2), 0.0)
 
 
 class Level:
-    """n-grams of one order: keys (context position, word), probabilities, back-off weights, and pointers of the contexts."""
+    """n-grams of one order in a shard: keys (context, word), pointers of the contexts, codes of probabilities and back-offs."""
 
-    def __init__(self, keys: EliasFano, pointers: EliasFano, prob: np.ndarray, prob_book: np.ndarray, back: np.ndarray, back_book: np.ndarray):
-        self.keys, self.pointers, self.prob, self.prob_book, self.back, self.back_book = keys, pointers, prob, prob_book, back, back_book
-        first = pointers.get(np.arange(pointers.size)) if pointers.size else np.zeros(1, np.int64)
-        self.has = np.diff(first) > 0
+    def __init__(self, keys: EliasFano, pointers: EliasFano, words: int, prob: np.ndarray, back: np.ndarray):
+        self.keys, self.pointers, self.words, self.prob, self.back = keys, pointers, words, prob, back
 
     @classmethod
     def of(cls, context: np.ndarray, word: np.ndarray, contexts: int, words: int, prob: np.ndarray, back: np.ndarray) -> Level:
         keys = EliasFano.of(context * words + word, max(1, contexts * words))
-        pointers = EliasFano.of(np.searchsorted(context, np.arange(contexts + 1)).astype(np.int64), max(1, len(word) + 1))
-        return cls(keys, pointers, *quantise(prob), *quantise(back))
-
-    def find(self, context: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
-        """Positions of (context, word); -1 where the context is -1, has no successors, or none is the word."""
-        out = np.full(len(word), -1, np.int64)
-        ask = np.flatnonzero((context >= 0) & (word >= 0))
-        ask = ask[self.has[context[ask]]] if len(ask) and len(self.has) else ask[:0]
-        out[ask] = self.keys.find(context[ask] * words + word[ask])
+        pointers = EliasFano.of(np.searchsorted(context, np.arange(contexts + 1)).astype(np.int64), len(word) + 1)
+        return cls(keys, pointers, words, quantise(prob), quantise(back))
+
+    def mapped(self) -> Level:
+        """The same level with its parts in a memory-mapped file."""
+        parts = [self.keys.low, self.keys.high, self.pointers.low, self.pointers.high, self.prob, self.back]
+        with tempfile.TemporaryFile() as file:
+            starts = []
+            for part in parts:
+                file.write(b"\0" * (-file.tell() % 8))
+                starts.append(file.tell())
+                file.write(part.tobytes())
+            file.flush()
+            block = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        low, high, plow, phigh, prob, back = (np.frombuffer(block, p.dtype, len(p), s) for p, s in zip(parts, starts))
+        return Level(EliasFano(self.keys.size, self.keys.low_bits, low, high), EliasFano(self.pointers.size, self.pointers.low_bits, plow, phigh), self.words, prob, back)
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Codes of the probabilities of (context, word); ABSENT where the context has no successors or none is the word."""
+        out = np.full(len(word), ABSENT, np.uint16)
+        has = self.pointers.get(context + 1) > self.pointers.get(context) if self.pointers.size else np.zeros(len(word), bool)
+        ask = np.flatnonzero(has & (word >= 0))
+        at = self.keys.find(context[ask] * self.words + word[ask])
+        out[ask[at >= 0]] = self.prob[at[at >= 0]]
         return out
 
-    def parts(self) -> list[np.ndarray]:
-        return [self.keys.low, self.keys.high, self.pointers.low, self.pointers.high, self.prob, self.back]
+
+# -- words
 
 
-class Model:
-    """The trie, the exact probabilities of its words, and the corpus totals."""
+@dataclass
+class Vocabulary:
+    """Numbered words with their training counts, and the corpus totals; the end token is the number behind the last word."""
 
-    def __init__(self, total: int, types: int, hashes: np.ndarray, counts: np.ndarray, end_count: int):
-        # words by hash; the end token is the number behind the last word
-        self.total, self.types, self.hashes, self.counts = total, types, hashes, np.append(counts, end_count)
-        self.words = len(hashes) + 1
-        self.end = len(hashes)
-        self.levels: list[Level] = []
-        self.word_back = np.zeros(self.words)
+    total: int
+    types: int
+    hashes: np.ndarray
+    counts: np.ndarray
+    #: contexts that are dealt to several shards: sorted keys and numbers of shards
+    hot: np.ndarray
+    splits: np.ndarray
+    shards: int = 1
 
     def log_base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.types + 1)))
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the numbered words; below -1 for others."""
+        rest = -2 - (hashes >> np.uint64(2)).astype(np.int64)
         if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int64)
+            return rest
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
-
-    def sequence(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids with end tokens, their hashes, text of each token, places where a text starts)."""
-        words = split(values, SPACED_LOWER)
-        counts = np.diff(words.bounds)
-        text = np.repeat(np.arange(len(values)), counts + 1)
-        starts = np.cumsum(counts + 1) - (counts + 1)
-        ids, hashes = np.full(len(text), self.end, np.int64), np.full(len(text), END_HASH, np.int64)
-        is_word = np.ones(len(text), bool)
-        is_word[starts + counts] = False
-        ids[is_word], hashes[is_word] = self.ids(words.hashes), words.hashes.view(np.int64)
-        return ids, hashes, text, starts
-
-    def positions(self, ids: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """For each order from two up: the n-gram's position that ends at each token, or -1."""
-        out, before = [], ids
-        for order, level in enumerate(self.levels, 2):
-            context = np.append(-1, before[:-1])
-            for k in range(order - 1):
-                context[np.minimum(starts + k, len(ids) - 1)] = -1
-            before = level.find(context, ids, self.words)
-            out.append(before)
-        return out
-
-    def scores(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token given those before it; unigram parts of words outside the trie are left out (0)."""
-        base_log = np.append(self.log_base(self.counts), 0.0)
-        score = base_log[ids]
-        first = np.zeros(len(ids), bool)
-        first[starts] = True
-        context_ids = np.append(-1, ids[:-1])
-        context_ids[first] = -1
-        score += np.where(context_ids >= 0, self.word_back[context_ids], 0.0)
-        positions = self.positions(ids, starts)
-        for n, level in enumerate(self.levels):
-            found = positions[n] >= 0
-            score[found] = level.prob_book[level.prob[positions[n][found]]]
-            if n + 1 < len(self.levels):
-                context = np.append(-1, positions[n][:-1])
-                context[first] = -1
-                has = context >= 0
-                score[has] += level.back_book[level.back[context[has]]]
-        return score
-
-    # -- levels as one block of bytes, mapped from a file by workers
-
-    def __getstate__(self) -> dict:
-        state = dict(self.__dict__)
-        parts = [p for level in self.levels for p in level.parts()]
-        state["levels"] = [(level.keys.size, level.keys.low_bits, level.pointers.size, level.pointers.low_bits, level.prob_book, level.back_book) for level in self.levels]
-        state["sizes"], state["block"] = [len(p) for p in parts], b"".join(p.tobytes() for p in parts)
-        return state
-
-    def __setstate__(self, state: dict) -> None:
-        sizes, block, levels = state.pop("sizes"), state.pop("block"), state.pop("levels")
-        self.__dict__ |= state
-        self.levels = []
-        if not block:
-            return
-        with tempfile.TemporaryFile() as file:
-            file.write(block)
-            file.flush()
-            mapped = np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
-        cuts = np.cumsum([0, *sizes])
-        parts = [mapped[a:b] for a, b in zip(cuts, cuts[1:])]
-        for i, (n, bits, pn, pbits, prob_book, back_book) in enumerate(levels):
-            low, high, plow, phigh, prob, back = parts[6 * i : 6 * i + 6]
-            self.levels.append(Level(EliasFano(n, bits, low, high), EliasFano(pn, pbits, plow, phigh), prob, prob_book, back, back_book))
-
-
-# -- counting
-
-
-def _counted(make):
-    """Sum up (key, count) arrays within a task, pass them on when there are many."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
-
-        def summed() -> pa.RecordBatch:
-            key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64))], ["key", "n"]
-            )
-
-        for _, values in base.pieces(batches):
-            key, n = np.unique(make(values), return_counts=True)
+        return np.where(self.hashes[at] == hashes, at, rest)
+
+    def shard_of(self, key: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The shard of n-grams with these context keys and last words."""
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, key), len(self.hot) - 1)
+            hot = np.flatnonzero(self.hot[at] == key)
+            key = key.copy()
+            key[hot] += mix(word[hot].view(np.uint64) + _K) % self.splits[at[hot]].astype(np.uint64) + np.uint64(1)
+        return (mix(key) % np.uint64(self.shards)).astype(np.int64)
+
+    def is_hot(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(key), bool)
+        return self.hot[np.minimum(np.searchsorted(self.hot, key), len(self.hot) - 1)] == key
+
+
+def _key(*context: np.ndarray) -> np.ndarray:
+    out = np.full(len(context[0]), len(context), np.uint64)
+    for c in context:
+        out = mix(out * _K + c.view(np.uint64))
+    return out
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum up word hashes within a task, pass them on when there are many."""
+    keys, counts, size = [], [], 0
+
+    def summed() -> pa.RecordBatch:
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64))], ["key", "n"])
+
+    base.forget()
+    for _, values in base.pieces(batches):
+        for part in ([values] if len(values) > 1 else ([s] for s in base.slices(values[0]))):
+            key, n = np.unique(split(part, SPACED_LOWER).hashes.view(np.int64), return_counts=True)
             keys.append(key)
             counts.append(n)
             size += len(key)
-            if size >= BUFFER:
-                yield summed()
-                keys, counts, size = [], [], 0
-        if size:
+        keys.append(np.array([END_HASH]))
+        counts.append(np.array([len(values)]))
+        if size >= BUFFER:
             yield summed()
+            keys, counts, size = [], [], 0
+    if keys:
+        yield summed()
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """Counts of the training texts (doc_id, text): totals and the most frequent words."""
+    unigrams = base.stored(docs.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "unigrams")
+    steps = sorted({s << k for k in range(40) for s in (2, 3)} | {1})
+    is_word = F.col("key") != END_HASH
+    row = unigrams.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(~is_word, F.col("n"))), F.lit(0)), *(F.count_if(is_word & (F.col("n") >= s)) for s in steps)
+    ).first()
+    least = next((s for s, n in zip(steps, row[3:]) if n <= WORDS), steps[-1])
+    found = unigrams.filter(is_word & (F.col("n") >= least)).toArrow()
+    hashes, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(hashes)
+    return Vocabulary(row[0], row[1], hashes[order], np.append(counts[order], row[2]), np.empty(0, np.uint64), np.empty(0, np.int64))
 
-    return count
-
-
-def _words_of(values: list[bytes]) -> np.ndarray:
-    found = split(values, SPACED_LOWER).hashes.view(np.int64)
-    return np.concatenate([found, np.full(len(values), END_HASH, np.int64)])
-
-
-def _codes(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The number of a word of the trie, else its hash as a negative number."""
-    return np.where(ids >= 0, ids, hashes | np.int64(NONE))
-
-
-def _grams(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first code of the pair that ends at each token, first code of the triple), NONE where the text begins later."""
-    one, two = np.append(NONE, codes[:-1]), np.append([NONE, NONE], codes[:-2])[: len(codes)]
-    one[starts] = NONE
-    two[starts] = NONE
-    two[np.minimum(starts + 1, len(codes) - 1)] = NONE
-    return one, two
 
+# -- bundles
 
-def _distinct(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Rows that differ, by a 64-bit hash, and the sum of n of each."""
-    key = np.zeros(len(n), np.uint64)
-    for c in columns:
-        key = mix(key + c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-    return [c[at] for c in columns], np.bincount(inverse, n, len(at)).astype(np.int64)
 
+_BUNDLE = (
+    "bundle long, row array<long>, doc_id array<long>, held array<boolean>, ahead array<int>, size array<int>, codes binary, rare binary, tokens long, heavy array<struct<a:long,b:long,n:long>>"
+)
+_HEAVY = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))
 
-def _stack(a: np.ndarray, b: np.ndarray, c: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> list[np.ndarray]:
-    """Columns a, b, c of the pairs (b, c of the tokens) and the triples that end at some tokens."""
-    return [np.append(b[pairs], a[triples]), np.append(c[pairs], b[triples]), np.append(np.full(len(pairs), NONE), c[triples])]
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns as byte planes, compressed."""
+    raw = b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
 
-def _counted_grams(shared):
-    """Pairs and triples, summed up within a task like ``_counted``."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        kept, size = [], 0
+def _unpacked(blob: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
+    """Columns of the given types and lengths."""
+    raw = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True), np.uint8) if blob else np.empty(0, np.uint8)
+    out, at = [], 0
+    for kind, n in kinds:
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
+        at += n * width
+    return out
 
-        def summed() -> pa.RecordBatch:
-            columns, n = _distinct([np.concatenate([k[i] for k in kept]) for i in range(3)], np.concatenate([k[3] for k in kept]))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, n)], ["a", "b", "c", "n"])
 
-        for _, values in base.pieces(batches):
-            ids, hashes, _, starts = model.sequence(values)
-            codes = _codes(ids, hashes)
-            one, two = _grams(codes, starts)
-            columns = _stack(two, one, codes, np.flatnonzero(one != NONE), np.flatnonzero(two != NONE))
-            columns, n = _distinct(columns, np.ones(len(columns[0])))
-            kept.append((*columns, n))
-            size += len(n)
-            if size >= BUFFER // 2:
-                yield summed()
-                kept, size = [], 0
-        if size:
-            yield summed()
+def _heavy(codes: np.ndarray, starts: np.ndarray, weight: np.ndarray, least: float) -> list[dict]:
+    """Pairs with at least so many training tokens here."""
+    u, inverse = np.unique(codes, return_inverse=True)
+    often = np.bincount(inverse, weight, len(u)) >= least
+    second = np.flatnonzero(often[inverse[1:]] & often[inverse[:-1]] & (weight[1:] > 0)) + 1
+    second = second[~starts[second]]
+    key, n = np.unique(inverse[second - 1] * len(u) + inverse[second], return_counts=True)
+    return [{"a": int(u[k // len(u)]), "b": int(u[k % len(u)]), "n": int(c)} for k, c in zip(key[n >= least].tolist(), n[n >= least].tolist())]
 
-    return count
 
+def _bundler(shared, threshold: float):
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Vocabulary = shared.value
+        end, task = len(words.hashes), TaskContext.get().partitionId() << 32
+        rows, parts, size, made, seen = [], [], 0, 0, 0
+        tail = np.empty(0, np.int64)
 
-def _coded(shared):
-    """The unigram table by code."""
+        def emit() -> pa.RecordBatch:
+            codes = np.concatenate(parts)
+            sizes, held = np.array([r[3] + r[4] for r in rows]), np.array([r[2] for r in rows])
+            starts = np.zeros(len(codes), bool)
+            starts[np.cumsum(sizes) - sizes] = True
+            weight = np.repeat(~held, sizes).astype(np.int64)
+            rare = np.unique(codes[codes < 0])
+            short = np.where(codes < 0, -1 - np.searchsorted(rare, codes), codes).astype(np.int32)
+            columns = [[task + made], *([list(c)] for c in zip(*rows)), [_packed(short)], [rare.tobytes()], [len(codes)], [_heavy(codes, starts, weight, threshold * len(codes))]]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), _HEAVY)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in _BUNDLE.split(", ")])
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        base.forget()
         for batch in batches:
-            hashes = batch.column(0).to_numpy()
-            ids = np.where(hashes == END_HASH, model.end, model.ids(hashes.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_codes(ids, hashes)), batch.column(1)], ["code", "n"])
-
-    return code
-
-
-def _back(taken, total):
-    """log10 of what discounting leaves of a context."""
-    return F.log10(F.greatest(F.least(1 - taken / total, F.lit(1.0)), F.lit(1e-9)))
-
-
-def tables(docs: DataFrame, model: Model, unigrams: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The whole model by absolute discounting: words (code, n, base, back), pairs (a, b, n, prob, back, gain), triples (a, b, c, n, prob, gain).
-
-    ``prob`` and ``back`` are log10; ``gain`` is what the n-gram adds to the score of a text, on top of its shorter ones.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    counted = docs.mapInArrow(_counted_grams(shared), "a long, b long, c long, n long")
-    grams = base.stored(counted.groupBy("a", "b", "c").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST), "grams")
-    pairs, triples = grams.filter(F.col("c") == NONE).drop("c"), grams.filter(F.col("c") != NONE)
-    taken = F.sum(F.col("n") - DISCOUNT).alias("taken")
-    scale = model.total + 0.1 * (model.types + 1)
-    words = unigrams.mapInArrow(_coded(shared), "code long, n long").join(pairs.groupBy(F.col("a").alias("code")).agg(taken), "code", "left")
-    words = base.stored(words.select("code", "n", F.log10((F.col("n") + 0.1) / scale).alias("base"), F.coalesce(_back(F.col("taken"), F.col("n")), F.lit(0.0)).alias("back")), "words")
-    first = words.select(F.col("code").alias("a"), F.col("n").alias("n_a"), F.col("back").alias("back_a"))
-    second = words.select(F.col("code").alias("b"), F.col("base").alias("base_b"))
-    prob = F.log10((F.col("n") - DISCOUNT) / F.col("n_a") + F.pow(F.lit(10.0), F.col("back_a") + F.col("base_b")))
-    pairs = pairs.join(first, "a").join(second, "b").withColumn("prob", prob).join(triples.groupBy("a", "b").agg(taken), ["a", "b"], "left")
-    pairs = pairs.withColumn("back", F.coalesce(_back(F.col("taken"), F.col("n")), F.lit(0.0)))
-    pairs = base.stored(pairs.select("a", "b", "n", "prob", "back", (F.col("prob") - F.col("back_a") - F.col("base_b") + F.col("back")).alias("gain")), "pairs")
-    before = pairs.select("a", "b", F.col("n").alias("n_ab"), F.col("back").alias("back_ab"))
-    shorter = pairs.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("prob").alias("prob_bc"))
-    low = F.col("back_ab") + F.col("prob_bc")
-    prob = F.log10((F.col("n") - DISCOUNT) / F.col("n_ab") + F.pow(F.lit(10.0), low))
-    triples = triples.join(before, ["a", "b"]).join(shorter, ["b", "c"]).withColumn("prob", prob)
-    return words, pairs, base.stored(triples.select("a", "b", "c", "n", "prob", (F.col("prob") - low).alias("gain")), "triples")
-
-
-def _frequent(rows: DataFrame, floor: float, columns: list[str]) -> list[np.ndarray]:
-    """Columns of the n-grams of trie words at or above a floor; the floor bounds how many come to the driver."""
-    codes = [c for c in columns if c in "abc"]
-    for c in codes:
-        rows = rows.filter(F.col(c) >= 0)
-    found = rows.filter(F.col("n") >= floor).select(*columns).toArrow()
-    return [found[c].to_numpy() for c in columns]
-
-
-def _fill(model: Model, words: DataFrame, pairs: DataFrame, triples: DataFrame) -> None:
-    """Put the frequent pairs and triples into the trie."""
-    found = words.filter("code >= 0").select("code", "back").toArrow()
-    model.word_back[found["code"].to_numpy()] = found["back"].to_numpy()
-    a, b, prob, back = _frequent(pairs, PAIR_FLOOR * model.total, ["a", "b", "prob", "back"])
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    level = Level.of(a, b, model.words, model.words, prob[order], back[order])
-    model.levels = [level]
-    if not len(a):
-        return
-    x, y, z, prob = _frequent(triples, TRIPLE_FLOOR * model.total, ["a", "b", "c", "prob"])
-    context = level.find(x, y, model.words)
-    ok = np.flatnonzero((context >= 0) & (level.find(y, z, model.words) >= 0))
-    ok = ok[np.lexsort((z[ok], context[ok]))]
-    model.levels.append(Level.of(context[ok], z[ok], len(a), model.words, prob[ok], np.zeros(len(ok))))
-
-
-def trained(docs: DataFrame) -> tuple[Model, DataFrame, tuple[DataFrame, DataFrame, DataFrame] | None]:
-    """The trie, the unigram table (key, n) and the tables of the whole model; no tables without training texts."""
-    unigrams = docs.mapInArrow(_counted(_words_of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    unigrams = base.stored(unigrams, "unigrams")
-    total, types = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = unigrams.filter(F.col("key") == END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = unigrams.filter((F.col("key") != END_HASH) & (F.col("n") >= max(1, WORD_FLOOR * total))).toArrow()
-    hashes, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(hashes)
-    model = Model(total, types, hashes[order], counts[order], ends)
-    if not total:
-        return model, unigrams, None
-    whole = tables(docs, model, unigrams)
-    _fill(model, *whole)
-    return model, unigrams, whole
-
-
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The trie and the unigram table (key, n) of the training texts (doc_id, text)."""
-    return trained(docs)[:2]
-
-
-# -- scoring
-
-
-def _local(shared):
+            held_out, at = batch.column(2).to_pylist(), 0
+            for ids, values in base.pieces(iter([batch])):
+                slices = [[v] for v in base.slices(values[0])] if len(values) == 1 else [values]
+                for k, part in enumerate(slices):
+                    found = split(part, SPACED_LOWER)
+                    u, inverse = np.unique(found.hashes, return_inverse=True)
+                    codes = words.codes(u)[inverse]
+                    last = k == len(slices) - 1
+                    for i in range(len(part)):
+                        mine = codes[found.bounds[i] : found.bounds[i + 1]]
+                        if last:
+                            mine = np.append(mine, end)
+                        before = tail if k else tail[:0]
+                        if len(mine):
+                            rows.append((task + seen, ids[i], held_out[at + i], len(before), len(mine)))
+                            parts.append(np.concatenate([before, mine]))
+                            size += len(mine) + len(before)
+                            tail = parts[-1][-2:]
+                        if last:
+                            seen += 1
+                    if size >= BUNDLE:
+                        yield emit()
+                        made += 1
+                        rows, parts, size = [], [], 0
+                at += len(ids)
+        if rows:
+            yield emit()
+
+    return bundle
+
+
+class Bundle:
+    """A bundle's tokens and their distinct n-grams, in the order in which the shards are asked."""
+
+    def __init__(self, words: Vocabulary, row: dict):
+        self.words = words
+        rare = np.frombuffer(row["rare"], np.int64)
+        (short,) = _unpacked(row["codes"], (np.int32, row["tokens"]))
+        self.codes = codes = short.astype(np.int64)
+        codes[short < 0] = rare[-1 - codes[short < 0]]
+        ahead, size = np.array(row["ahead"]), np.array(row["size"])
+        whole = ahead + size
+        first = np.cumsum(whole) - whole
+        self.segment = np.repeat(np.arange(len(size)), whole)
+        place = np.arange(len(codes)) - first[self.segment]
+        self.scored = place >= ahead[self.segment]
+        weight = np.repeat(~np.array(row["held"]), whole)
+        u, local = np.unique(codes, return_inverse=True)
+        #: for each order: tokens, the distinct n-gram of each, its columns, its training count, its context's number and key
+        self.orders = []
+        ones = np.flatnonzero(codes < 0)
+        ones = ones[self.scored[ones]]
+        for order in (1, 2, 3):
+            at = ones if order == 1 else np.flatnonzero(self.scored & (place >= order - 1))
+            key = local[at]
+            for k in range(1, order):
+                key = key | local[at - k] << (21 * k)
+            key, inverse = np.unique(key, return_inverse=True)
+            n = np.bincount(inverse, weight[at], len(key)).astype(np.int64)
+            columns = [u[(key >> (21 * k)) & ((1 << 21) - 1)] for k in range(order - 1, -1, -1)]
+            context = _key(*columns[: max(1, order - 1)])
+            shard = words.shard_of(context, columns[-1])
+            turn = np.argsort(shard, kind="stable")
+            back = np.empty(len(turn), np.int64)
+            back[turn] = np.arange(len(turn))
+            # in the order of the shards
+            self.orders.append((at, back[inverse], [c[turn] for c in columns], n[turn], context[turn], np.searchsorted(shard[turn], np.arange(words.shards + 1))))
+
+    def asks(self) -> Iterator[tuple[int, list[int], bytes]]:
+        """(shard, numbers of asks by order, their columns)."""
+        for shard in range(self.words.shards):
+            sizes, columns = [], []
+            for _, _, parts, n, _, cuts in self.orders:
+                lo, hi = cuts[shard], cuts[shard + 1]
+                sizes.append(int(hi - lo))
+                columns += [np.diff(parts[0][lo:hi], prepend=0), *(p[lo:hi] for p in parts[1:]), n[lo:hi].astype(np.int32)]
+            if any(sizes):
+                yield shard, sizes, _packed(*columns)
+
+
+def _asker(shared):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.forget()
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = [(shard, row["bundle"], sizes, blob) for shard, sizes, blob in Bundle(shared.value, row).asks()]
+                kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "bundle", "sizes", "asks"])
+
+    return ask
+
+
+# -- shards
+
+
+def _new(columns: list[np.ndarray]) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = False
+        for c in columns:
+            out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _level(words: Vocabulary, columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, float]]]:
+    """(code of each ask's n-gram, code of its context's back-off, sums of hot contexts) from a level built of all asks."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    gram, context = _new(columns), _new(columns[:-1])
+    first = np.flatnonzero(gram)
+    count = np.add.reduceat(n[order], first)
+    of_gram, of_context = np.cumsum(gram) - 1, np.cumsum(context) - 1
+    owner, contexts = of_context[first], int(of_context[-1]) + 1
+    total = np.bincount(owner, count, contexts)
+    kept = np.flatnonzero(count >= LEAST)
+    taken = np.bincount(owner[kept], count[kept] - DISCOUNT, contexts)
+    key = _key(*(c[np.flatnonzero(context)] for c in columns[:-1]))
+    hot = words.is_hot(key)
+    sums = [(int(k), int(t), float(d)) for k, t, d in zip(key[hot].view(np.int64), total[hot], taken[hot])]
+    back = np.zeros(contexts)
+    some = (total > 0) & ~hot
+    back[some] = np.log10(np.clip(1 - taken[some] / total[some], 1e-9, 1))
+    # shares of a hot context are of all training tokens until its sums are known
+    whole = np.where(hot, words.total, total)[owner]
+    last = columns[-1][first]
+    known, word = np.unique(last[kept], return_inverse=True)
+    level = Level.of(owner[kept], word, contexts, max(1, len(known)), np.log10((count[kept] - DISCOUNT) / np.maximum(whole[kept], 1)), back).mapped()
+    at = np.minimum(np.searchsorted(known, last), max(0, len(known) - 1))
+    code = level.find(owner, np.where(known[at] == last, at, -1)) if len(known) else np.full(len(first), ABSENT, np.uint16)
+    out, backs = np.empty(len(order), np.uint16), np.empty(len(order), np.uint16)
+    out[order], backs[order] = code[of_gram], level.back[of_context]
+    return out, backs, sums
+
+
+def _contexts(columns: list[np.ndarray]) -> np.ndarray:
+    """First asks of each context; asks of one context follow each other."""
+    return np.flatnonzero(_new(columns[:-1]))
+
+
+def _answerer(shared):
+    def answer(table: pa.Table) -> pa.Table:
+        words: Vocabulary = shared.value
+        bundles, sizes, blobs = (table[c].to_pylist() for c in ("bundle", "sizes", "asks"))
+        decoded = []
+        for size, blob in zip(sizes, blobs):
+            kinds = [(kind, s) for o, s in enumerate(size, 1) for kind in (*[np.int64] * o, np.int32)]
+            found = _unpacked(blob, *kinds)
+            decoded.append([[np.cumsum(found[0]), found[1]], [np.cumsum(found[2]), found[3], found[4]], [np.cumsum(found[5]), found[6], found[7], found[8]]])
+        replies: list[list[np.ndarray]] = [[] for _ in bundles]
+        sums: list[tuple[int, int, float]] = []
+        for order in (1, 2, 3):
+            columns = [np.concatenate([d[order - 1][k] for d in decoded]) for k in range(order + 1)]
+            *columns, n = columns
+            cuts = np.cumsum([0, *(s[order - 1] for s in sizes)])
+            n = n.astype(np.int64)
+            if not len(n):
+                continue
+            if order == 1:
+                _, inverse = np.unique(columns[0], return_inverse=True)
+                answers = np.bincount(inverse, n)[inverse].astype(np.int64)
+                backs = None
+            else:
+                answers, backs, more = _level(words, columns, n)
+                sums += more
+            for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                replies[i].append(answers[lo:hi])
+                if backs is not None and hi > lo:
+                    replies[i].append(backs[lo:hi][_contexts([c[lo:hi] for c in columns])])
+        shard = table["shard"][0].as_py()
+        columns = [bundles, [shard] * len(bundles), [_packed(*r) for r in replies], [[] for _ in bundles]]
+        columns[3][0] = [{"key": k, "total": t, "taken": d} for k, t, d in sums]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("key", pa.int64()), ("total", pa.int64()), ("taken", pa.float64())])))
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["bundle", "shard", "answers", "hot"])
+
+    return answer
+
+
+# -- scores
+
+
+class Scorer:
+    """Adds up the probabilities of a bundle's tokens from the answers of the shards."""
+
+    def __init__(self, words: Vocabulary, hot: list[tuple[int, int, float]]):
+        self.words = words
+        rows = sorted((np.array([k]).view(np.uint64)[0], t, d) for k, t, d in hot)
+        self.keys = np.array([r[0] for r in rows], np.uint64)
+        total, taken = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
+        self.scale = np.where(total > 0, words.total / np.maximum(total, 1), 0.0)
+        self.back = np.where(total > 0, np.clip(1 - taken / np.maximum(total, 1), 1e-9, 1), 1.0)
+
+    def __call__(self, row: dict, answers: list[dict]) -> dict[str, np.ndarray]:
+        words, bundle = self.words, Bundle(self.words, row)
+        cuts = [o[5] for o in bundle.orders]
+        asked: list[list[np.ndarray]] = [[], [], [], [], []]
+        for a in sorted(answers, key=lambda a: a["shard"]):
+            lohi = [(int(c[a["shard"]]), int(c[a["shard"] + 1])) for c in cuts]
+            kinds = [(np.int64, lohi[0][1] - lohi[0][0])]
+            spread = []
+            for (lo, hi), (_, _, columns, *_rest) in zip(lohi[1:], bundle.orders[1:]):
+                new = _new([c[lo:hi] for c in columns[:-1]])
+                spread.append(np.cumsum(new) - 1)
+                kinds += [(np.uint16, hi - lo), (np.uint16, int(new.sum()))]
+            found = _unpacked(a["answers"], *kinds)
+            for i, part in enumerate((found[0], found[1], found[2][spread[0]], found[3], found[4][spread[1]])):
+                asked[i].append(part)
+        rare, pair, pair_back, triple, triple_back = (np.concatenate(a) if a else np.empty(0, np.int64) for a in asked)
+        counts = np.zeros(len(bundle.codes), np.int64)
+        number = bundle.codes >= 0
+        counts[number] = words.counts[bundle.codes[number]]
+        at, inverse = bundle.orders[0][:2]
+        counts[at] = rare[inverse]
+        logs = words.log_base(counts)
+        prob = 10**logs
+        for (at, inverse, _, _, key, _), codes, backs in ((bundle.orders[1], pair, pair_back), (bundle.orders[2], triple, triple_back)):
+            share, back = _VALUES[codes], _VALUES[backs]
+            if len(self.keys) and len(key):
+                i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hot = np.flatnonzero(self.keys[i] == key)
+                share[hot] *= self.scale[i[hot]]
+                back[hot] = self.back[i[hot]]
+            prob[at] = share[inverse] + back[inverse] * prob[at]
+        sums = lambda x: np.bincount(bundle.segment, np.where(bundle.scored, x, 0), len(row["size"]))
+        return {"n_tokens": np.array(row["size"], np.int64), "n_known": sums(counts > 0).astype(np.int64), "base_score": sums(logs), "score": sums(np.minimum(np.log10(prob), 0))}
+
+
+def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        logs = np.append(model.log_base(model.counts), 0.0)
-        known = np.append(model.counts > 0, False)
-        for doc, values in base.pieces(batches):
-            ids, hashes, text, starts = model.sequence(values)
-            total = lambda x: np.bincount(text, x, len(values))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc, pa.int64()),
-                    pa.array(_content(hashes, text, len(values))),
-                    pa.array(np.bincount(text, minlength=len(values)).astype(np.int64)),
-                    pa.array(total(known[ids]).astype(np.int64)),
-                    pa.array(total(logs[ids])),
-                    pa.array(total(model.scores(ids, starts))),
-                ],
-                ["doc_id", "content", "n_tokens", "n_known", "base_score", "score"],
-            )
+        scorer: Scorer = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = scorer(row, row["found"])
+                columns = [pa.array(row["row"], pa.int64()), pa.array(row["doc_id"], pa.int64()), pa.array(row["held"]), *map(pa.array, found.values())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", *found])
 
     return score
 
 
-def _content(hashes: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
-    """A hash of each text's whole token sequence."""
-    ends = np.searchsorted(text, np.arange(texts + 1))
-    return Runs(hashes.view(np.uint64)).of(ends[:-1], ends[1:]).view(np.int64)
-
-
-def _asked(shared):
-    """Words, pairs and triples of each text that are not in the trie; b and c are NONE where an n-gram is shorter."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        for doc, values in base.pieces(batches):
-            ids, hashes, text, starts = model.sequence(values)
-            content = _content(hashes, text, len(values))
-            codes = _codes(ids, hashes)
-            one, two = _grams(codes, starts)
-            inside = model.positions(ids, starts)
-            pairs, triples = one != NONE, two != NONE
-            if len(inside) > 0:
-                pairs &= inside[0] < 0
-            if len(inside) > 1:
-                triples &= inside[1] < 0
-            words, pairs, triples = np.flatnonzero(ids < 0), np.flatnonzero(pairs), np.flatnonzero(triples)
-            none = np.full(len(words), NONE)
-            columns = [np.append(x, y) for x, y in zip((codes[words], none, none), _stack(two, one, codes, pairs, triples))]
-            (a, b, c, t), n = _distinct([*columns, text[np.concatenate([words, pairs, triples])]], np.ones(len(columns[0])))
-            order = np.argsort(t, kind="stable")
-            a, b, c, t, n = (x[order] for x in (a, b, c, t, n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()).take(pa.array(t)), *(pa.array(x) for x in (content[t], a, b, c, n))],
-                ["doc_id", "content", "a", "b", "c", "times"],
-            )
-
-    return find
-
-
-def _values(model: Model, whole: tuple[DataFrame, DataFrame, DataFrame] | None, spark) -> DataFrame:
-    """key, what an n-gram outside the trie adds to a score, and a word's base score."""
-    if whole is None:
-        return spark.createDataFrame([], "key long, gain double, base double")
-    words, pairs, triples = whole
-    none = F.lit(NONE).cast("long")
-    rare = words.filter("code < 0").select(F.xxhash64("code", none, none).alias("key"), (F.col("base") + F.col("back")).alias("gain"), "base")
-    empty = F.lit(None).cast("double").alias("base")
-    return rare.unionAll(pairs.select(F.xxhash64("a", "b", none).alias("key"), "gain", empty)).unionAll(triples.select(F.xxhash64("a", "b", "c").alias("key"), "gain", empty))
+def score(docs: DataFrame, held_out: Column) -> DataFrame:
+    """Scores of all texts by a model of those that aren't held out: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
+    source = base.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
+    words = vocabulary(source.filter("not held").select("doc_id", "text"))
+    limit = max(HOT, HOT_SHARE * words.total)
+    # a pair of so many tokens has half of them in bundles where it has at least half of its share
+    bundles = base.stored(source.mapInArrow(_bundler(send(words), limit / 2 / max(1, words.total)), _BUNDLE), "bundles")
+    tokens = bundles.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    words.shards = max(1, -(-tokens // SHARD))
+    # at most 2 / HOT_SHARE rows
+    heavy = bundles.select(F.explode("heavy").alias("h")).groupBy("h.a", "h.b").agg(F.sum("h.n").alias("n")).filter(F.col("n") >= limit / 2).collect()
+    often = np.flatnonzero(words.counts >= limit)
+    keys = np.concatenate([_key(often), _key(np.array([r[0] for r in heavy], np.int64), np.array([r[1] for r in heavy], np.int64))])
+    sizes = np.concatenate([words.counts[often], [r[2] for r in heavy]])
+    order = np.argsort(keys)
+    words.hot, words.splits = keys[order], np.maximum(2, sizes[order] // limit + 1).astype(np.int64)
+    model = send(words)
+    asks = bundles.mapInArrow(_asker(model), "shard int, bundle long, sizes array<int>, asks binary")
+    answers = asks.groupBy("shard").applyInArrow(_answerer(model), "bundle long, shard int, answers binary, hot array<struct<key:long,total:long,taken:double>>")
+    answers = base.stored(answers, "answers")
+    hot = answers.select(F.explode("hot").alias("h")).groupBy("h.key").agg(F.sum("h.total"), F.sum("h.taken")).collect()
+    found = answers.groupBy("bundle").agg(F.collect_list(F.struct("shard", "answers")).alias("found"))
+    rows = bundles.drop("heavy").join(found, "bundle", "left").withColumn("found", F.coalesce("found", F.array()))
+    parts = rows.mapInArrow(
+        _scorer(send(Scorer(words, [tuple(r) for r in hot]))), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    )
+    # a very long text is in parts
+    sums = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    source = base.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held_out = F.coalesce(base.crc_remainder("doc_id", HELD_OUT) == 0, F.lit(False))
-    model, _, whole = trained(source.filter(~held_out))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    local = source.mapInArrow(_local(shared), "doc_id long, content long, n_tokens long, n_known long, base_score double, score double")
-    requests = source.mapInArrow(_asked(shared), "doc_id long, content long, a long, b long, c long, times long")
-    requests = requests.select("doc_id", "content", F.xxhash64("a", "b", "c").alias("key"), (F.col("b") == NONE).alias("word"), "times")
-    unknown = float(model.log_base(np.zeros(1))[0])
-    rare = (
-        requests.join(_values(model, whole, docs.sparkSession), "key", "left")
-        .filter(F.col("word") | F.col("gain").isNotNull())
-        .groupBy("doc_id", "content")
-        .agg(
-            F.sum(F.col("times") * F.coalesce("gain", F.lit(unknown))).alias("rare_gain"),
-            F.sum(F.when(F.col("word"), F.col("times") * F.coalesce("base", F.lit(unknown)))).alias("rare_base"),
-            F.sum(F.when(F.col("word") & F.col("base").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
-        )
-    )
-    # rows that repeat an id and its text asked together
-    alike = local.groupBy("doc_id", "content").agg(
-        F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))
-    )
-    rows = alike.join(rare, (alike["doc_id"].eqNullSafe(rare["doc_id"])) & (alike["content"] == rare["content"]), "left").drop(rare["doc_id"]).drop(rare["content"])
-    more = lambda c: F.coalesce(F.col(c) / F.col("rows"), F.lit(0.0))
-    out = rows.select(
-        "doc_id",
-        held_out.alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce((F.col("rare_known") / F.col("rows")).cast("long"), F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more("rare_base")).alias("base_score"),
-        (F.col("score") + more("rare_gain")).alias("score"),
-        "rows",
-    )
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("rows", "copy")
+    return score(docs, base.crc_remainder("doc_id", HELD_OUT) == 0)

@@ -273,19 +273,8 @@ def test_language_model(docs, corpus):
         assert r["score"] <= 1e-9
 
 
-def test_language_model_is_a_distribution(docs):
-    """Over all words that may follow a context, and the unknown one, probabilities sum to about 1 (8-bit codes)."""
-    model, _ = lm.train(base.texts(docs))
-    assert model.levels and model.levels[0].keys.size > 20
-    for context in range(0, model.words - 1, 7):
-        ids = np.array([x for w in range(model.words) for x in (context, w)])
-        score = model.scores(ids, np.arange(0, len(ids), 2))[1::2]
-        unknown = model.word_back[context] + model.log_base(np.array([0.0]))[0]
-        assert (10**score).sum() + 10**unknown == pytest.approx(1, abs=0.05)
-
-
 def test_language_model_keeps_every_repeated_ngram(docs, corpus, monkeypatch):
-    """Scores against brute force, alike whether n-grams are in the trie or in the tables only."""
+    """Scores against brute force, alike for any number of shards, bundles, numbered words and hot contexts."""
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     words = {i: [*(t or "").encode().lower().split(), "END"] for i, t in corpus}
     count = [Counter(tuple(w[k : k + n]) for i, w in words.items() if not held(i) for k in range(len(w) - n + 1)) for n in (1, 2, 3)]
@@ -304,12 +293,28 @@ def test_language_model_keeps_every_repeated_ngram(docs, corpus, monkeypatch):
             return prob(gram[1:])
         return (n - lm.DISCOUNT) * (n >= 2) / whole + max(1 - taken[context] / whole, 1e-9) * prob(gram[1:])
 
+    # a distribution: all that may follow a context, and the unknown word
+    for context in [(), *list(count[0])[:40:5], *list(count[1])[:60:7]]:
+        if "END" not in context:
+            assert sum(prob((*context, w)) for w in [*(w for w, in count[0]), "never"]) == pytest.approx(1)
     want = {i: sum(np.log10(prob(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w))) for i, w in words.items()}
-    for floor, slack in ((20 / total, 0.02), (1.0, 1e-6)):
-        for name in ("WORD_FLOOR", "PAIR_FLOOR", "TRIPLE_FLOOR"):
-            monkeypatch.setattr(lm, name, floor)
+    for sizes in ({}, {"BUNDLE": 500, "SHARD": 300, "WORDS": 20, "HOT": 40}, {"BUNDLE": 2000, "SHARD": 10**6, "WORDS": 0}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(lm, name, value)
         for r in lm.report(docs).collect():
-            assert r["score"] == pytest.approx(want[r["doc_id"]], rel=slack, abs=slack), (floor, r["doc_id"])
+            assert r["score"] == pytest.approx(want[r["doc_id"]], rel=3e-4, abs=1e-3 + 2e-5 * len(words[r["doc_id"]])), (sizes, r["doc_id"])
+
+
+def test_language_model_in_slices(spark, docs, monkeypatch):
+    """A text cut into parts scores as it does in one."""
+    whole = {r["doc_id"]: r.asDict() for r in lm.report(docs).collect()}
+    monkeypatch.setattr(base, "PIECE_BYTES", 90)
+    monkeypatch.setattr(base.slices, "__defaults__", (90,))
+    monkeypatch.setattr(lm, "BUNDLE", 30)
+    for r in lm.report(docs).collect():
+        want = whole[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"]) == (want["n_tokens"], want["n_known"])
+        assert (r["base_score"], r["score"]) == pytest.approx((want["base_score"], want["score"]), rel=1e-6)
 
 
 def test_elias_fano():
