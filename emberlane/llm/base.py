@@ -62,14 +62,14 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(doc_id, text) batches as lists of about ``PIECE_BYTES`` of text at most; null texts are empty."""
+def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(doc_id, text) batches as lists of about ``most`` bytes of text at most; null texts are empty."""
     for batch in batches:
         ids, values = batch.column(0).to_pylist(), as_bytes(batch.column(1))
         lo = size = 0
         for i, value in enumerate(values):
             n = len(value or b"")
-            if size and size + n > PIECE_BYTES:
+            if size and size + n > most:
                 yield ids[lo:i], [v or b"" for v in values[lo:i]]
                 lo, size = i, 0
             size += n + 1
@@ -77,6 +77,18 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[
             yield ids[lo:], [v or b"" for v in values[lo:]]
 
 
+def slices(value: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
+    """A text in order, cut at white space into slices of about ``size`` bytes; a longer word stays whole."""
+    at = 0
+    while len(value) - at > size:
+        end = at + size
+        while end < len(value) and value[end] not in b"\t\n\x0b\x0c\r ":
+            end += 1
+        yield value[at:end]
+        at = end
+    yield value[at:]
+
+
 def crc_remainder(column: str, divisor: int):
     """crc32 of the id as text, modulo ``divisor``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

@@ -13,7 +13,7 @@ need no keys. Bundles then add up their tokens' probabilities.
 
 A level of a shard is a monotone sequence: the position of the context, times the number of words, plus the word. It is
 stored in Elias-Fano form (packed low bits, unary high bits with sampled ranks) with pointers from each context to its
-successors in the same form, next to smoothed probabilities and back-off weights, quantised to 16 bits, and mapped from a
+successors in the same form, next to smoothed probabilities and back-off weights, quantised to 1,023 levels, and mapped from a
 file. A query takes the context's position, looks whether it has successors, and searches for
 the word among them.
 
@@ -47,11 +47,13 @@ from .words import SPACED_LOWER, mix, split
 LEAST = 2
 DISCOUNT = 0.75
 HELD_OUT = 10
-#: Most words that are numbered and broadcast (16 bytes each).
-WORDS = 1 << 20
+#: Most words that are numbered and broadcast (20 bytes each).
+WORDS = 1 << 21
 #: Tokens of a bundle and of a shard, about.
-BUNDLE = 700_000
-SHARD = 700_000
+BUNDLE = 600_000
+SHARD = 500_000
+#: Bytes of a text that are cut into words at once.
+SLICE = base.PIECE_BYTES
 #: Training tokens from which a context is dealt to several shards: the larger of a number and a share of all.
 HOT, HOT_SHARE = 500_000, 1e-6
 #: Distinct n-grams that a task sums up before it passes them on.
@@ -59,7 +61,9 @@ BUFFER = 2_000_000
 #: Stands for the end token where words are hashes.
 END_HASH = -0x6A09E667F3BCC909
 #: A probability of 10 to the -x has the code sqrt(x) times this, which is finest near one; n-grams outside the trie have the last code.
-STEPS, ABSENT = 16_000, 65_535
+STEPS, ABSENT = 250, 1023
+#: Stands for any word without a number where all words that may belong to an n-gram have one.
+UNKNOWN = -1
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -183,15 +187,19 @@ class Level:
 
 @dataclass
 class Vocabulary:
-    """Numbered words with their training counts, and the corpus totals; the end token is the number behind the last word."""
+    """Words numbered by falling frequency, with their training counts, and the corpus totals; the end token has the last number."""
 
     total: int
     types: int
+    #: sorted hashes, the number of each, and the counts by number
     hashes: np.ndarray
+    numbers: np.ndarray
     counts: np.ndarray
     #: contexts that are dealt to several shards: sorted keys and numbers of shards
     hot: np.ndarray
     splits: np.ndarray
+    #: whether every word that occurs ``LEAST`` times has a number
+    complete: bool = False
     shards: int = 1
 
     def log_base(self, counts: np.ndarray) -> np.ndarray:
@@ -203,7 +211,7 @@ class Vocabulary:
         if not len(self.hashes):
             return rest
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, rest)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], rest)
 
     def shard_of(self, key: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The shard of n-grams with these context keys and last words."""
@@ -262,8 +270,10 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     least = next((s for s, n in zip(steps, row[3:]) if n <= WORDS), steps[-1])
     found = unigrams.filter(is_word & (F.col("n") >= least)).toArrow()
     hashes, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(hashes)
-    return Vocabulary(row[0], row[1], hashes[order], np.append(counts[order], row[2]), np.empty(0, np.uint64), np.empty(0, np.int64))
+    by_count, by_hash = np.lexsort((hashes, -counts)), np.argsort(hashes)
+    numbers = np.empty(len(hashes), np.int32)
+    numbers[by_count] = np.arange(len(hashes))
+    return Vocabulary(row[0], row[1], hashes[by_hash], numbers[by_hash], np.append(counts[by_count], row[2]), np.empty(0, np.uint64), np.empty(0, np.int64), least <= LEAST)
 
 
 # -- bundles
@@ -324,8 +334,8 @@ def _bundler(shared, threshold: float):
         base.forget()
         for batch in batches:
             held_out, at = batch.column(2).to_pylist(), 0
-            for ids, values in base.pieces(iter([batch])):
-                slices = [[v] for v in base.slices(values[0])] if len(values) == 1 else [values]
+            for ids, values in base.pieces(iter([batch]), SLICE):
+                slices = [[v] for v in base.slices(values[0], SLICE)] if len(values) == 1 else [values]
                 for k, part in enumerate(slices):
                     found = split(part, SPACED_LOWER)
                     u, inverse = np.unique(found.hashes, return_inverse=True)
@@ -370,13 +380,20 @@ class Bundle:
         place = np.arange(len(codes)) - first[self.segment]
         self.scored = place >= ahead[self.segment]
         weight = np.repeat(~np.array(row["held"]), whole)
-        u, local = np.unique(codes, return_inverse=True)
         #: for each order: tokens, the distinct n-gram of each, its columns, its training count, its context's number and key
         self.orders = []
         ones = np.flatnonzero(codes < 0)
         ones = ones[self.scored[ones]]
         for order in (1, 2, 3):
             at = ones if order == 1 else np.flatnonzero(self.scored & (place >= order - 1))
+            if order == 2 and words.complete:
+                # n-grams of other words can't be frequent enough; they count for their contexts alone
+                codes = np.where(codes < 0, UNKNOWN, codes)
+            if order < 3:
+                u, local = np.unique(codes, return_inverse=True)
+            if order > 1 and words.complete:
+                for k in range(1, order):
+                    at = at[codes[at - k] >= 0]
             key = local[at]
             for k in range(1, order):
                 key = key | local[at - k] << (21 * k)
@@ -418,6 +435,15 @@ def _asker(shared):
 # -- shards
 
 
+def _share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return np.log10((count - DISCOUNT) / np.maximum(total, 1))
+
+
+def _back(taken: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """log10 of what discounting leaves of a context."""
+    return np.log10(np.clip(1 - taken / np.maximum(total, 1), 1e-9, 1))
+
+
 def _new(columns: list[np.ndarray]) -> np.ndarray:
     """Where sorted rows differ from the one before."""
     out = np.ones(len(columns[0]), bool)
@@ -428,8 +454,11 @@ def _new(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _level(words: Vocabulary, columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, float]]]:
-    """(code of each ask's n-gram, code of its context's back-off, sums of hot contexts) from a level built of all asks."""
+def _level(words: Vocabulary, columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, float]]]:
+    """From a level built of all asks: code of each ask's n-gram, code of its context's back-off, whether that is hot, the n-gram's count, sums of hot contexts.
+
+    What a hot context gives to its n-grams is known only when the sums of its shards are put together.
+    """
     order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     gram, context = _new(columns), _new(columns[:-1])
@@ -438,24 +467,25 @@ def _level(words: Vocabulary, columns: list[np.ndarray], n: np.ndarray) -> tuple
     of_gram, of_context = np.cumsum(gram) - 1, np.cumsum(context) - 1
     owner, contexts = of_context[first], int(of_context[-1]) + 1
     total = np.bincount(owner, count, contexts)
-    kept = np.flatnonzero(count >= LEAST)
+    kept = np.flatnonzero((count >= LEAST) & (columns[-1][first] != UNKNOWN))
     taken = np.bincount(owner[kept], count[kept] - DISCOUNT, contexts)
     key = _key(*(c[np.flatnonzero(context)] for c in columns[:-1]))
     hot = words.is_hot(key)
     sums = [(int(k), int(t), float(d)) for k, t, d in zip(key[hot].view(np.int64), total[hot], taken[hot])]
     back = np.zeros(contexts)
     some = (total > 0) & ~hot
-    back[some] = np.log10(np.clip(1 - taken[some] / total[some], 1e-9, 1))
-    # shares of a hot context are of all training tokens until its sums are known
-    whole = np.where(hot, words.total, total)[owner]
+    back[some] = _back(taken[some], total[some])
+    whole = total[owner]
     last = columns[-1][first]
     known, word = np.unique(last[kept], return_inverse=True)
-    level = Level.of(owner[kept], word, contexts, max(1, len(known)), np.log10((count[kept] - DISCOUNT) / np.maximum(whole[kept], 1)), back).mapped()
+    level = Level.of(owner[kept], word, contexts, max(1, len(known)), _share(count[kept], whole[kept]), back).mapped()
     at = np.minimum(np.searchsorted(known, last), max(0, len(known) - 1))
     code = level.find(owner, np.where(known[at] == last, at, -1)) if len(known) else np.full(len(first), ABSENT, np.uint16)
-    out, backs = np.empty(len(order), np.uint16), np.empty(len(order), np.uint16)
-    out[order], backs[order] = code[of_gram], level.back[of_context]
-    return out, backs, sums
+    out = []
+    for values in (code[of_gram], level.back[of_context], hot[of_context], count[of_gram]):
+        out.append(np.empty(len(order), values.dtype))
+        out[-1][order] = values
+    return *out, sums
 
 
 def _contexts(columns: list[np.ndarray]) -> np.ndarray:
@@ -486,12 +516,12 @@ def _answerer(shared):
                 answers = np.bincount(inverse, n)[inverse].astype(np.int64)
                 backs = None
             else:
-                answers, backs, more = _level(words, columns, n)
+                answers, backs, hot, counts, more = _level(words, columns, n)
                 sums += more
             for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                 replies[i].append(answers[lo:hi])
                 if backs is not None and hi > lo:
-                    replies[i].append(backs[lo:hi][_contexts([c[lo:hi] for c in columns])])
+                    replies[i] += [backs[lo:hi][_contexts([c[lo:hi] for c in columns])], counts[lo:hi][hot[lo:hi]]]
         shard = table["shard"][0].as_py()
         columns = [bundles, [shard] * len(bundles), [_packed(*r) for r in replies], [[] for _ in bundles]]
         columns[3][0] = [{"key": k, "total": t, "taken": d} for k, t, d in sums]
@@ -509,28 +539,27 @@ class Scorer:
 
     def __init__(self, words: Vocabulary, hot: list[tuple[int, int, float]]):
         self.words = words
-        rows = sorted((np.array([k]).view(np.uint64)[0], t, d) for k, t, d in hot)
-        self.keys = np.array([r[0] for r in rows], np.uint64)
-        total, taken = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
-        self.scale = np.where(total > 0, words.total / np.maximum(total, 1), 0.0)
-        self.back = np.where(total > 0, np.clip(1 - taken / np.maximum(total, 1), 1e-9, 1), 1.0)
+        order = np.argsort(np.array([h[0] for h in hot], np.int64).view(np.uint64))
+        self.keys = np.array([h[0] for h in hot], np.int64).view(np.uint64)[order]
+        self.totals = np.array([h[1] for h in hot], np.int64)[order]
+        self.backs = quantise(_back(np.array([h[2] for h in hot], float)[order], self.totals))
 
     def __call__(self, row: dict, answers: list[dict]) -> dict[str, np.ndarray]:
         words, bundle = self.words, Bundle(self.words, row)
-        cuts = [o[5] for o in bundle.orders]
-        asked: list[list[np.ndarray]] = [[], [], [], [], []]
+        is_hot = [words.is_hot(o[4]) for o in bundle.orders[1:]]
+        asked: list[list[np.ndarray]] = [[] for _ in range(7)]
         for a in sorted(answers, key=lambda a: a["shard"]):
-            lohi = [(int(c[a["shard"]]), int(c[a["shard"] + 1])) for c in cuts]
-            kinds = [(np.int64, lohi[0][1] - lohi[0][0])]
-            spread = []
-            for (lo, hi), (_, _, columns, *_rest) in zip(lohi[1:], bundle.orders[1:]):
-                new = _new([c[lo:hi] for c in columns[:-1]])
+            lohi = [(int(o[5][a["shard"]]), int(o[5][a["shard"] + 1])) for o in bundle.orders]
+            kinds, spread = [(np.int64, lohi[0][1] - lohi[0][0])], []
+            for (lo, hi), order, hot in zip(lohi[1:], bundle.orders[1:], is_hot):
+                new = _new([c[lo:hi] for c in order[2][:-1]])
                 spread.append(np.cumsum(new) - 1)
-                kinds += [(np.uint16, hi - lo), (np.uint16, int(new.sum()))]
+                kinds += [(np.uint16, hi - lo), (np.uint16, int(new.sum())), (np.int64, int(hot[lo:hi].sum()))]
             found = _unpacked(a["answers"], *kinds)
-            for i, part in enumerate((found[0], found[1], found[2][spread[0]], found[3], found[4][spread[1]])):
-                asked[i].append(part)
-        rare, pair, pair_back, triple, triple_back = (np.concatenate(a) if a else np.empty(0, np.int64) for a in asked)
+            found[2], found[5] = found[2][spread[0]], found[5][spread[1]]
+            for into, part in zip(asked, found):
+                into.append(part)
+        rare, *parts = (np.concatenate(a) if a else np.empty(0, np.int64) for a in asked)
         counts = np.zeros(len(bundle.codes), np.int64)
         number = bundle.codes >= 0
         counts[number] = words.counts[bundle.codes[number]]
@@ -538,14 +567,14 @@ class Scorer:
         counts[at] = rare[inverse]
         logs = words.log_base(counts)
         prob = 10**logs
-        for (at, inverse, _, _, key, _), codes, backs in ((bundle.orders[1], pair, pair_back), (bundle.orders[2], triple, triple_back)):
-            share, back = _VALUES[codes], _VALUES[backs]
-            if len(self.keys) and len(key):
-                i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hot = np.flatnonzero(self.keys[i] == key)
-                share[hot] *= self.scale[i[hot]]
-                back[hot] = self.back[i[hot]]
-            prob[at] = share[inverse] + back[inverse] * prob[at]
+        for (at, inverse, columns, _, key, _), hot, (codes, backs, known) in zip(bundle.orders[1:], is_hot, (parts[:3], parts[3:])):
+            if not len(key):
+                continue
+            if hot.any():
+                i = np.searchsorted(self.keys, key[hot])
+                codes[hot] = np.where((known >= LEAST) & (columns[-1][hot] != UNKNOWN), quantise(_share(np.maximum(known, LEAST), self.totals[i])), ABSENT)
+                backs[hot] = self.backs[i]
+            prob[at] = _VALUES[codes][inverse] + _VALUES[backs][inverse] * prob[at]
         sums = lambda x: np.bincount(bundle.segment, np.where(bundle.scored, x, 0), len(row["size"]))
         return {"n_tokens": np.array(row["size"], np.int64), "n_known": sums(counts > 0).astype(np.int64), "base_score": sums(logs), "score": sums(np.minimum(np.log10(prob), 0))}
 

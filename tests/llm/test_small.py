@@ -297,24 +297,40 @@ def test_language_model_keeps_every_repeated_ngram(docs, corpus, monkeypatch):
     for context in [(), *list(count[0])[:40:5], *list(count[1])[:60:7]]:
         if "END" not in context:
             assert sum(prob((*context, w)) for w in [*(w for w, in count[0]), "never"]) == pytest.approx(1)
-    want = {i: sum(np.log10(prob(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w))) for i, w in words.items()}
-    for sizes in ({}, {"BUNDLE": 500, "SHARD": 300, "WORDS": 20, "HOT": 40}, {"BUNDLE": 2000, "SHARD": 10**6, "WORDS": 0}):
+
+    def level(x):
+        """As the trie keeps it."""
+        return float(lm._VALUES[lm.quantise(np.log10([x]))][0]) if x else 0.0
+
+    def coded(gram):
+        n, context = count[len(gram) - 1][gram], gram[:-1]
+        if not context:
+            return (n + 0.1) / scale
+        whole = count[len(context) - 1][context]
+        return level((n - lm.DISCOUNT) * (n >= 2) / max(1, whole)) + level(1 - taken[context] / max(1, whole)) * coded(gram[1:])
+
+    def total(p):
+        return {i: sum(min(0, np.log10(p(tuple(w[max(0, k - 2) : k + 1])))) for k in range(len(w))) for i, w in words.items()}
+
+    exact, want = total(prob), total(coded)
+    assert all(abs(exact[i] - want[i]) < 0.01 + 0.003 * len(words[i]) for i in words)
+    few = {"BUNDLE": 500, "SHARD": 300, "WORDS": 20}
+    for sizes in ({}, few, few | {"HOT": 40}, few | {"HOT": 40, "WORDS": 1000}, {"HOT": 10**6, "BUNDLE": 2000, "SHARD": 10**6, "WORDS": 0}):
         for name, value in sizes.items():
             monkeypatch.setattr(lm, name, value)
         for r in lm.report(docs).collect():
-            assert r["score"] == pytest.approx(want[r["doc_id"]], rel=3e-4, abs=1e-3 + 2e-5 * len(words[r["doc_id"]])), (sizes, r["doc_id"])
+            assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-6, abs=1e-6), (sizes, r["doc_id"])
 
 
 def test_language_model_in_slices(spark, docs, monkeypatch):
     """A text cut into parts scores as it does in one."""
     whole = {r["doc_id"]: r.asDict() for r in lm.report(docs).collect()}
-    monkeypatch.setattr(base, "PIECE_BYTES", 90)
-    monkeypatch.setattr(base.slices, "__defaults__", (90,))
+    monkeypatch.setattr(lm, "SLICE", 90)
     monkeypatch.setattr(lm, "BUNDLE", 30)
     for r in lm.report(docs).collect():
         want = whole[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"]) == (want["n_tokens"], want["n_known"])
-        assert (r["base_score"], r["score"]) == pytest.approx((want["base_score"], want["score"]), rel=1e-6)
+        assert (r["base_score"], r["score"]) == pytest.approx((want["base_score"], want["score"]), rel=1e-6)  # the same codes
 
 
 def test_elias_fano():
