@@ -9,7 +9,8 @@ length (a count inside its task plus the counts of earlier tasks), and the rank
 group of documents ever meets in one task.
 
 The last residual window is closed at powers of two, so that it needs no padding; only the last tail windows are padded.
-Null texts are empty: one piece that holds the end id. Repeated documents are packed like any other rows.
+Null texts are empty: one piece that holds the end id. Repeated documents are packed like any other rows; equal lengths are
+told apart by task and place alone. An empty table gives no pieces. Texts of any length are encoded in slices.
 """
 
 from __future__ import annotations
@@ -35,24 +36,32 @@ UNIT = 64
 END_ID = 2
 DEPTH = 4
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; beyond it the memory is emptied and filled again, with the same results.
-CACHE_WORDS = 1_500_000
+#: Bytes of remembered parts in a worker; beyond it the memory is emptied and filled again, with the same results.
+CACHE_BYTES = 64 << 20
+#: What Python spends on a remembered part besides its characters and ids.
+_ENTRY_BYTES = 200
 
 _PIECES = "doc_id long, start long, length int, doc_tokens long, crcs array<long>, part int, k long"
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
-    """Token ids of whole texts as little-endian bytes, by remembering each white-space separated word.
+    """Token ids of whole texts as little-endian bytes, by remembering each letter run, digit and mark run.
 
-    The tokenizer never looks across white space, nor across the borders of letter runs, digits and mark runs. A new word is
-    put together from such parts where they are plain (ASCII without apostrophes or special strings, or letters with one
-    full stop or comma); new letter runs are encoded many at a time, told apart by the word-end tokens. Any other new word
-    goes to the tokenizer as it is.
+    The tokenizer lower-cases, and never looks across white space nor across the borders of such parts. Words of ASCII and
+    Latin-1 letters, digits and marks are taken apart with one pattern; new letter runs are encoded many at a time, told
+    apart by the word-end tokens. Any other word (other characters, apostrophes, special strings) goes to the tokenizer
+    as it is.
     """
 
-    _PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
-    _PLAIN = re.compile(rb"[!-~]+")
+    _ODD = re.compile(r"[^\t-\r !-&(-~À-ÖØ-öø-ÿ]|<\|")
+    _PLAIN = bytes([*range(9, 14), *range(32, 39), *range(40, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+    #: Latin-1 in lower case, and the class of each character: 0 white space, 1 letter, 2 digit, 3 mark.
+    _LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+    _CLASS = np.array([0 if c == 32 or 9 <= c <= 13 else 1 if 97 <= c <= 122 or c >= 0xDF else 2 if 48 <= c <= 57 else 3 for c in range(256)], np.uint8)
+    _SPACES = re.compile(r"[\t-\r ]+")
+    #: Marks an odd word among the remembered parts.
+    _WHOLE = b"\0"
     _JOINED = 200
 
     def __init__(self, path: str):
@@ -63,53 +72,76 @@ class WordIds:
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _split(self, word: bytes) -> list[bytes] | None:
-        if word.isascii():
-            if b"'" in word or b"<|" in word or not self._PLAIN.fullmatch(word):
-                return None
-            return self._PARTS.findall(word.lower())
-        stem, mark = (word[:-1], [word[-1:]]) if word[-1:] in (b".", b",") else (word, [])
-        return [stem, *mark] if stem.decode("utf-8", "replace").lower().isalpha() else None
+        self.size = 0
+
+    def _plain(self, text: str) -> bytes | None:
+        """The text in Latin-1 where all of its words are plain."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if raw.translate(None, self._PLAIN) or b"<|" in raw else raw
+
+    def _parts(self, raw: bytes) -> list[bytes]:
+        """Letter runs, digits and mark runs of plain Latin-1."""
+        raw = raw.translate(self._LOWER)
+        buf = np.frombuffer(raw, np.uint8)
+        kind = self._CLASS[buf]
+        cut = np.flatnonzero(((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] != 0) & (kind[:-1] != 0)) + 1
+        return (np.insert(buf, cut, 32).tobytes() if len(cut) else raw).split()
+
+    def _split(self, text: str) -> list[bytes]:
+        raw = self._plain(text)
+        if raw is not None:
+            return self._parts(raw)
+        out: list[bytes] = []
+        for word in self._SPACES.split(text):
+            if self._ODD.search(word):
+                out.append(self._WHOLE + word.encode())
+            elif word:
+                out += self._parts(word.encode("latin-1"))
+        return out
 
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4") for x in found]
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, parts: set[bytes]) -> None:
-        letters = [p for p in parts if p[:1].isalpha() or p[0] >= 128]
-        other = [p for p in parts if not (p[:1].isalpha() or p[0] >= 128)]
+        if self.size > CACHE_BYTES:
+            self.known.clear()
+            self.size = 0
+        letters = [p for p in parts if self._CLASS[p[0]] == 1]
+        other = [p for p in parts if self._CLASS[p[0]] != 1]
         groups = [letters[i : i + self._JOINED] for i in range(0, len(letters), self._JOINED)]
-        for group, ids in zip(groups, self._encode([b" ".join(g) for g in groups])):
+        known = self.known
+        for group, ids in zip(groups, self._encode([b" ".join(g).decode("latin-1") for g in groups])):
             ends = np.flatnonzero(self.final[ids]) + 1
             if len(ends) != len(group):
                 other += group
                 continue
             raw, at = ids.tobytes(), 0
             for part, end in zip(group, (4 * ends).tolist()):
-                self.parts[part] = raw[at:end]
+                known[part] = raw[at:end]
                 at = end
-        for part, ids in zip(other, self._encode(other)):
-            self.parts[part] = ids.tobytes()
+            self.size += len(raw)
+        for part, ids in zip(other, self._encode([p[1:].decode() if p[:1] == self._WHOLE else p.decode("latin-1") for p in other])):
+            known[part] = ids.tobytes()
+            self.size += 4 * len(ids)
+        self.size += sum(map(len, parts)) + _ENTRY_BYTES * len(parts)
+
+    def _known(self, texts: list[bytes]) -> list[bytes]:
+        split = [self._split(t.decode("utf-8", "replace")) for t in texts]
+        found = set().union(*split)
+        new = found.difference(self.known)
+        if new:
+            # learning may empty the memory, which must then hold all of these texts
+            self._learn(found if self.size > CACHE_BYTES else new)
+        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
 
     def __call__(self, values: list[bytes]) -> list[bytes]:
-        split = [v.split() for v in values]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        if len(self.parts) > CACHE_WORDS // 2:
-            self.parts.clear()
-        known, parts = self.known, self.parts
-        new = {w for words in split for w in words if w not in known}
-        made = [(w, self._split(w)) for w in new]
-        self._learn({p for _, pieces in made if pieces for p in pieces if p not in parts})
-        for w, pieces in made:
-            if pieces:
-                known[w] = b"".join([parts[p] for p in pieces])
-        odd = [w for w, pieces in made if not pieces]
-        for w, ids in zip(odd, self._encode(odd)):
-            known[w] = ids.tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        """Ids of texts that are a piece together; a text beyond a piece is taken in slices."""
+        if len(values) == 1:
+            return [b"".join(self._known([part])[0] for part in base.slices(values[0]))]
+        return self._known(values)
 
 
 def _encoder(path: str) -> WordIds:
@@ -188,7 +220,8 @@ class Layout:
     blocks: dict[int, list[tuple[int, int, int, int]]] = field(default_factory=dict)
     #: length -> (first rank that is laid end to end, its position there)
     residual: dict[int, tuple[int, int]] = field(default_factory=dict)
-    #: borders of the end-to-end windows and the sequence of the first of them
+    #: length of the end-to-end stream, the borders of its windows behind the last full one, and the sequence of its first
+    laid: int = 0
     borders: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     first_residual: int = 0
     sequences: int = 0
@@ -220,15 +253,15 @@ class Layout:
         for n in sorted(left, reverse=True):
             out.residual[n] = (used[n], at)
             at += (left[n] - used[n]) * n
-        ends = list(range(WINDOW, at + 1, WINDOW))
-        rest, border = at % WINDOW, at // WINDOW * WINDOW
+        border = at // WINDOW * WINDOW
+        ends = [border]
         for bit in range(WINDOW.bit_length(), -1, -1):
-            if rest & (1 << bit):
+            if at % WINDOW & (1 << bit):
                 border += 1 << bit
                 ends.append(border)
-        out.borders = np.array([0, *ends], np.int64)
+        out.laid, out.borders = at, np.array(ends, np.int64)
         out.first_residual = out.sequences
-        out.sequences += len(ends)
+        out.sequences += at // WINDOW + len(ends) - 1
         tails = {n: c for n, c in histogram.items() if n % UNIT}
         used = Counter()
         while any(tails[n] > used[n] for n in tails):
@@ -248,6 +281,14 @@ class Layout:
             offset += n * m
         self.sequences += repeats
 
+    def window(self, at: int) -> tuple[int, int, int]:
+        """(number, start, end) of the end-to-end window at a position of the stream."""
+        full = self.laid // WINDOW
+        if at < full * WINDOW:
+            return at // WINDOW, at // WINDOW * WINDOW, (at // WINDOW + 1) * WINDOW
+        i = int(np.searchsorted(self.borders, at, "right")) - 1
+        return full + i, int(self.borders[i]), int(self.borders[i + 1])
+
     def locate(self, length: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sequence, offset, position in the end-to-end stream or -1) of the pieces of this length with these ranks."""
         sequence, offset, stream = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64), np.full(len(rank), -1, np.int64)
@@ -304,12 +345,12 @@ def _placer(shared):
                     continue
                 at, end, done = int(stream[i]), int(stream[i] + length[i]), 0
                 while at < end:
-                    w = int(np.searchsorted(layout.borders, at, "right")) - 1
-                    stop = min(end, int(layout.borders[w + 1]))
+                    w, first, last = layout.window(at)
+                    stop = min(end, last)
                     n = stop - at
                     before = crcs[i][done // UNIT - 1] if done else 0
                     crc = crc_of_rest(before, crcs[i][(done + n) // UNIT - 1], 4 * n) if done else crcs[i][n // UNIT - 1]
-                    rows.append((doc[i], int(start[i]) + done, n, crc, int(tokens[i]), layout.first_residual + w, at - int(layout.borders[w])))
+                    rows.append((doc[i], int(start[i]) + done, n, crc, int(tokens[i]), layout.first_residual + w, at - first))
                     at, done = stop, done + n
             if rows:
                 yield pa.RecordBatch.from_arrays(
