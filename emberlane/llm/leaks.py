@@ -5,9 +5,12 @@ words of an item; an item of fewer words, but not none, is one window. The train
 text (one prefix sum per batch); hashes that may be in the set are verified word by word. Words inside any occurrence
 are hit. Nothing is shuffled by text: each document is decided where it is read.
 
-The set is broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text; a benchmark beyond one block is scanned block
-by block and the hits are merged per document, so no size of benchmark is refused. Null texts have no words; repeated
-items and documents are rows like any other; an empty benchmark hits nothing.
+The set is broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text (a worker holds up to about 24 bytes for each
+byte of it: words of one letter; 7 for usual words). A benchmark beyond one block is scanned block by block, each pass
+adding to the hits that its rows carry, so that the number of blocks changes no result and no row meets another.
+
+Null texts have no words. Repeated items and documents are rows like any other; a null item id counts as an item but
+has no name to list. An empty benchmark hits nothing; an empty table of documents gives no rows.
 """
 
 from __future__ import annotations
@@ -24,40 +27,44 @@ from .words import ALNUM_LOWER, Runs, Words, split
 
 WINDOW = 10
 #: Most benchmark text that is broadcast at once.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _BITS = 22
-_HITS = "doc_id long, n_words long, hit_runs array<struct<start:long,end:long>>, items array<string>"
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_HITS = "doc_id long, text string, n_words long, hit_runs array<struct<start:long,end:long>>, items array<string>"
 
 
 class GramSet:
-    """The windows of a block of benchmark items: hashes for the scan, words for the check."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.window = window
-        self.grams: dict[bytes, list[str]] = {}
-        hashes: dict[int, set[int]] = {}
-        for item, text in items:
-            words = split([text], ALNUM_LOWER)
-            n = len(words.start)
-            size = min(n, window)
-            if not n:
-                continue
-            starts = np.arange(n - size + 1)
-            hashes.setdefault(size, set()).update(Runs(words.hashes).of(starts, starts + size).tolist())
-            for s in starts.tolist():
-                owners = self.grams.setdefault(_gram(words, s, s + size), [])
-                if not owners or owners[-1] != item:
-                    owners.append(item)
-        self.hashes = {size: np.array(sorted(found), np.uint64) for size, found in hashes.items()}
-        self.filters = {}
-        for size, found in self.hashes.items():
+    """The windows of a block of benchmark items: sorted hashes for the scan, places in the items' words for the check."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
+        self.items = [item for item, _ in items]
+        self.words = words = split([b" ".join(split([text], ALNUM_LOWER, False).plain()) for _, text in items], ALNUM_LOWER)
+        counts = np.diff(words.bounds)
+        runs = Runs(words.hashes)
+        self.hashes: dict[int, np.ndarray] = {}
+        self.places: dict[int, np.ndarray] = {}
+        self.filters: dict[int, np.ndarray] = {}
+        sizes = np.minimum(counts, window)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            starts = np.concatenate([np.arange(words.bounds[i], words.bounds[i + 1] - size + 1) for i in np.flatnonzero(sizes == size)])
+            found = runs.of(starts, starts + size)
+            order = np.argsort(found, kind="stable")
+            self.hashes[size], self.places[size] = found[order], starts[order].astype(np.int32)
             self.filters[size] = np.zeros(1 << _BITS, bool)
             self.filters[size][(found >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def scan(self, words: Words) -> list[tuple[int, int, list[str]]]:
-        """(first word, last word + 1, items) of each verified occurrence that lies within one text."""
+    def owners(self, size: int, hashed: int, gram: bytes) -> set[int]:
+        """Numbers of the items that have this window, by its words."""
+        known, places, mine = self.hashes[size], self.places[size], self.words
+        lo, hi = np.searchsorted(known, hashed, "left"), np.searchsorted(known, hashed, "right")
+        same = [p for p in places[lo:hi].tolist() if mine.data[mine.start[p] : mine.end[p + size - 1]] == gram]
+        return set((np.searchsorted(mine.bounds, same, "right") - 1).tolist())
+
+    def scan(self, words: Words) -> list[tuple[int, int, set[int]]]:
+        """(first word, last word + 1, numbers of items) of each verified occurrence that lies within one text."""
         runs, found = Runs(words.hashes), []
         text_end = np.repeat(words.bounds[1:], np.diff(words.bounds))
+        seen: dict[tuple[int, bytes], set[int]] = {}
         for size, known in self.hashes.items():
             starts = np.arange(max(0, len(words.start) - size + 1))
             h = runs.of(starts, starts + size)
@@ -65,8 +72,11 @@ class GramSet:
             maybe = maybe[maybe + size <= text_end[maybe]]
             at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
             for s in maybe[known[at] == h[maybe]].tolist():
-                if owners := self.grams.get(_gram(words, s, s + size)):
-                    found.append((s, s + size, owners))
+                key = (size, _gram(words, s, s + size))
+                if key not in seen:
+                    seen[key] = self.owners(size, h[s], key[1])
+                if seen[key]:
+                    found.append((s, s + size, seen[key]))
         return found
 
 
@@ -86,25 +96,28 @@ def _merge(runs: list[tuple[int, int]]) -> list[dict[str, int]]:
 
 def _scanner(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.forget()
         grams: GramSet = shared.value
-        for ids, values in base.pieces(batches):
-            words = split(values, ALNUM_LOWER)
-            hits: dict[int, list] = {}
-            for start, end, owners in grams.scan(words):
-                hits.setdefault(int(np.searchsorted(words.bounds, start, "right")) - 1, []).append((start, end, owners))
-            counts, runs, items = np.diff(words.bounds), [], []
-            for i in range(len(ids)):
-                mine, first = hits.get(i, []), int(words.bounds[i])
-                runs.append(_merge([(s - first, e - first) for s, e, _ in mine]))
-                items.append(sorted({o for _, _, owners in mine for o in owners}))
+        names = grams.items
+        for batch in batches:
+            runs_before, items_before = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            counts, runs, items = [], [], []
+            for ids, values in base.pieces(iter([batch])):
+                words = split(values, ALNUM_LOWER)
+                hits: dict[int, list] = {}
+                for start, end, owners in grams.scan(words):
+                    hits.setdefault(int(np.searchsorted(words.bounds, start, "right")) - 1, []).append((start, end, owners))
+                lengths = np.diff(words.bounds).tolist()
+                for i in range(len(ids)):
+                    mine, first, row = hits.get(i, []), int(words.bounds[i]), len(counts)
+                    counts.append(lengths[i])
+                    before = [(r["start"], r["end"]) for r in runs_before[row]]
+                    runs.append(_merge(before + [(s - first, e - first) for s, e, _ in mine]))
+                    found = set(items_before[row]).union(names[o] for _, _, owners in mine for o in owners)
+                    items.append(sorted(found, key=lambda x: (x is None, x)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(counts, pa.int64()),
-                    pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(items, pa.list_(pa.string())),
-                ],
-                ["doc_id", "n_words", "hit_runs", "items"],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(runs, _RUNS), pa.array(items, pa.list_(pa.string()))],
+                ["doc_id", "text", "n_words", "hit_runs", "items"],
             )
 
     return scan
@@ -124,35 +137,18 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: its number of words, the merged hit runs of words, and the items found (sorted strings)."""
-    spark, source = docs.sparkSession, base.texts(docs).select(F.col("doc_id").cast("long"), "text")
-    parts = []
-    for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(GramSet(block, window))
-        parts.append(source.mapInArrow(_scanner(shared), _HITS))
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    rows = merged.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("hit_runs")).alias("hit_runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return rows.withColumn("hit_runs", _union_runs("hit_runs"))
-
-
-def _union_runs(column: str):
-    """Overlapping or touching runs joined, with column functions."""
-    kind = "array<struct<start:bigint,end:bigint>>"
-    return F.expr(
-        f"""aggregate(array_sort({column}), cast(array() as {kind}), (acc, r) ->
-        case when size(acc) > 0 and r.start <= element_at(acc, -1).end
-             then concat(slice(acc, 1, size(acc) - 1),
-                  array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, r.end))))
-             else concat(acc, array(r)) end)"""
+    """Per document: its text and number of words, the merged hit runs of words, and the items found (sorted strings)."""
+    out = base.texts(docs).select(
+        F.col("doc_id").cast("long"),
+        "text",
+        F.lit(0).cast("long").alias("n_words"),
+        F.array().cast("array<struct<start:long,end:long>>").alias("hit_runs"),
+        F.array().cast("array<string>").alias("items"),
     )
+    for block in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(GramSet(block, window))
+        out = out.mapInArrow(_scanner(shared), _HITS)
+    return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -167,36 +163,31 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit, with all their columns."""
-    bad = hits(docs, benchmark).filter(F.size("items") > 0).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
-
-
-def _cutter(shared):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: GramSet = shared.value
-        for batch in batches:
-            out = []
-            for value in base.as_bytes(batch.column(1)):
-                if value is None:
-                    out.append(None)
-                    continue
-                words = split([value], ALNUM_LOWER)
-                kept, at = [], 0
-                for run in _merge([(s, e) for s, e, _ in grams.scan(words)]):
-                    kept.append(value[at : words.start[run["start"]]])
-                    at = int(words.end[run["end"] - 1])
-                out.append((b"".join(kept) + value[at:]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return cut
+    """The documents without any hit, with all their columns; rows that repeat an id are judged by their own texts."""
+    bad = hits(docs, benchmark).filter(F.size("items") > 0).select("doc_id", F.xxhash64("text").alias("content"))
+    same = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["content"])
+    return docs.join(bad, same, "left_anti")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for value, runs in zip(base.as_bytes(batch.column(1)), batch.column(3).to_pylist()):
+            if value is None or not runs:
+                out.append(None if value is None else value.decode())
+                continue
+            words = split([value], ALNUM_LOWER, False)
+            kept, at = [], 0
+            for run in runs:
+                kept.append(value[at : words.start[run["start"]]])
+                at = int(words.end[run["end"] - 1])
+            out.append((b"".join(kept) + value[at:]).decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id and text without the bytes from the first to the last word of each hit run; null stays null."""
-    out = base.texts(docs).select(F.col("doc_id").cast("long"), "text")
-    for block in list(_blocks(benchmark)):
-        shared = docs.sparkSession.sparkContext.broadcast(GramSet(block))
-        out = out.mapInArrow(_cutter(shared), "doc_id long, text string")
-    return out
+    """doc_id and text without the bytes from the first to the last word of each hit run; null stays null.
 
+    The hits of all blocks are found in the input first and cut once.
+    """
+    return hits(docs, benchmark).mapInArrow(_cut, "doc_id long, text string")
