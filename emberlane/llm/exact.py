@@ -28,6 +28,9 @@ from .words import mix
 #: Distinct digests per shard, on average.
 SHARD_KEYS = 1024
 _GAMMA = 2.0
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A column of our own beside those of the documents.
+_MARK = "__text_digest"
 _DIGESTS = "doc_id long, digest binary"
 
 
@@ -215,6 +218,18 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows whose id stays, with all their columns."""
-    _, found = classes(docs)
-    return docs.join(found.select(F.col("keep_id").alias("doc_id")), "doc_id", "left_semi")
+    """The rows whose id stays for their text, with all their columns; of rows that repeat id and text one stays.
+
+    A text that has null ids only keeps one row as well.
+    """
+    rows, found = classes(docs)
+    found = base.stored(found.select("keep_id", "digest"), "winners")
+    is_winner = lambda id_, digest: F.col(id_).eqNullSafe(F.col("keep_id")) & (digest == F.col("win"))
+    wins = found.withColumnRenamed("digest", "win")
+    lower = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _UPPER.lower())
+    kept = docs.join(wins, is_winner("doc_id", F.unhex(F.sha2(lower, 256))), "left_semi")
+    if rows.join(wins, is_winner("doc_id", F.col("digest")), "left_semi").count() == found.count():
+        return kept
+    # a winner's row is there more than once
+    marked = kept.withColumn(_MARK, F.sha2(lower, 256))
+    return marked.dropDuplicates(["doc_id", _MARK]).drop(_MARK)
