@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lexicon of directions and of what turns them.
-BULL = "buy bull bullish long calls moon rocket undervalued breakout hold up rise gain strong".split()
-BEAR = "sell bear bearish short puts crash dump overvalued bankrupt down fall loss weak".split()
-NEGATIONS = "not no never don't dont isn't isnt won't wont".split()
+#: The lexicon of directions, and what turns them.
+BULL = [
+    "buy", "bought", "buying", "long", "calls", "call", "yolo", "moon", "rocket", "hodl", "hold", "diamond hands", "bull", "bullish", "squeeze", "to the moon", "dip", "undervalued", "load", "loading",
+]
+BEAR = ["sell", "sold", "selling", "short", "shorting", "puts", "put", "bear", "bearish", "crash", "dump", "drill", "bagholder", "collapse", "tank", "overvalued", "bubble"]
+NEGATIONS = ["don't", "dont", "not", "never", "no way", "won't", "wont", "wouldn't"]
 #: Words that make a text financial.
 FINANCE = "stock stocks share shares ticker earnings market price calls puts option options invest".split()
 
@@ -98,21 +100,23 @@ def direction_signals(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))))
 
 
-_HITS = re.compile(r"\b(" + "|".join(BULL + BEAR) + r")\b")
-_OPTIONS = re.compile(r"\b(sell|selling|sold|short|shorting)\s+(puts?|calls?)\b")
-_NEGATED = re.compile(r"\b(" + "|".join(map(re.escape, NEGATIONS)) + r")\b")
+_WORD_HITS = re.compile(r"\b(" + "|".join(w for w in BULL + BEAR if " " not in w) + r")\b")
+_PHRASE_HITS = re.compile(r"\b(" + "|".join(w for w in BULL + BEAR if " " in w) + r")\b")
+_OPTIONS = re.compile(r"\bsell(?:ing)? (put|call)s?\b")
 
 
 def stance(text: str | None) -> tuple[str, float, float, float]:
-    """Options first (selling puts is bullish, selling calls bearish), then lexicon hits, turned by a negation in the
-    25 characters before; the label and shares of bull, bear and neutral."""
-    low, bull, bear = (text or "").lower(), 0, 0
-    for m in _OPTIONS.finditer(low):
-        bull, bear = bull + m.group(2).startswith("put"), bear + m.group(2).startswith("call")
+    """Options first (selling puts is bullish, selling calls bearish), then hits of words and phrases, each turned by a
+    negation within the 25 characters before; the label and shares of bull, bear and neutral."""
+    low = f" {(text or '').lower()} "
+    sides = [m.group(1) == "put" for m in _OPTIONS.finditer(low)]
     low = _OPTIONS.sub(" ", low)
-    for m in _HITS.finditer(low):
-        up = (m.group() in BULL) != bool(_NEGATED.search(low, max(0, m.start() - 25), m.start()))
-        bull, bear = bull + up, bear + (not up)
+    for pattern in (_WORD_HITS, _PHRASE_HITS):
+        for m in pattern.finditer(low):
+            before = low[max(0, m.start() - 25) : m.start()]
+            sides.append((m.group() in BULL) != any(n in before for n in NEGATIONS))
+    bull = sum(sides)
+    bear = len(sides) - bull
     total = bull + bear + 1
     label = "bull" if bull > bear else "bear" if bear > bull else "neutral"
     return label, bull / total, bear / total, 1 / total

@@ -160,7 +160,7 @@ def event_study(mentions: DataFrame, ignitions: DataFrame, span: DataFrame, befo
     """
     near = mentions.select("source", "symbol", "mention_id", F.explode(F.sequence(F.col("step") - before, F.col("step") + after)).alias("start"))
     hit = near.join(ignitions.select("symbol", "start").distinct(), ["symbol", "start"]).groupBy("mention_id").agg(F.lit(1).alias("_hit"))
-    rate = ignitions.groupBy("symbol").agg(F.count("*").alias("_events")).join(F.broadcast(span)).select("symbol", (F.col("_events") * (before + after + 1) / F.col("steps")).alias("_rate"))
+    rate = ignitions.groupBy("symbol").agg(F.count("*").alias("_events")).join(F.broadcast(span)).select("symbol", F.least(F.col("_events") * (before + after + 1) / F.col("steps"), F.lit(1.0)).alias("_rate"))
     rows = mentions.join(hit, "mention_id", "left").join(rate, "symbol", "left").na.fill(0, ["_hit"]).na.fill(0.0, ["_rate"])
     return rows.groupBy("source").agg(F.count("*").alias("mentions"), F.sum("_hit").alias("hits"), F.round(F.sum("_rate"), 6).alias("expected"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins, series
@@ -48,14 +48,18 @@ _STATE = f"struct<on:boolean,start:bigint,mu0:double,sigma0:double,z0:double,pea
 
 
 def _fold(z_on: str, min_abs: str, kappa: str, k_off: str) -> str:
-    """The automaton as an aggregate over steps; parameters are SQL expressions, so that a sweep can pass columns."""
+    """The automaton as an aggregate over steps; parameters are SQL expressions, so that a sweep can pass columns.
+
+    An event freezes its baseline at ignition, the deviation with the floor that z has: ``sigma0`` is the largest of the
+    deviation, the root of the mean and 1.
+    """
     ignites = f"(not s.on and r.z >= {z_on} and r.n >= {min_abs})"
     peak = "greatest(s.peak, cast(r.n as double))"
     below = f"case when r.n < greatest(s.mu0 + s.sigma0, {kappa} * {peak}) then s.below + 1 else 0 end"
     ends = f"(s.on and ({below}) >= {k_off})"
     event = f"named_struct('start', s.start, 'end', r.step - {k_off}, 'censored', false, 'mu0', s.mu0, 'sigma0', s.sigma0, 'z0', s.z0)"
     step = f"""case
-        when {ignites} then named_struct('on', true, 'start', r.step, 'mu0', r.mu, 'sigma0', r.sigma, 'z0', r.z, 'peak', cast(r.n as double), 'below', 0, 'last', r.step, 'events', s.events)
+        when {ignites} then named_struct('on', true, 'start', r.step, 'mu0', r.mu, 'sigma0', greatest(r.sigma, sqrt(r.mu), 1d), 'z0', r.z, 'peak', cast(r.n as double), 'below', 0, 'last', r.step, 'events', s.events)
         when {ends} then named_struct('on', false, 'start', s.start, 'mu0', s.mu0, 'sigma0', s.sigma0, 'z0', s.z0, 'peak', s.peak, 'below', 0, 'last', r.step, 'events', concat(s.events, array({event})))
         when s.on then named_struct('on', true, 'start', s.start, 'mu0', s.mu0, 'sigma0', s.sigma0, 'z0', s.z0, 'peak', {peak}, 'below', {below}, 'last', r.step, 'events', s.events)
         else named_struct('on', false, 'start', s.start, 'mu0', s.mu0, 'sigma0', s.sigma0, 'z0', s.z0, 'peak', s.peak, 'below', s.below, 'last', r.step, 'events', s.events) end"""
@@ -90,7 +94,7 @@ class Automaton:
         self.last = step
         if not self.on:
             if z == z and z >= self.p.z_on and n >= self.p.min_abs:
-                self.on, self.start, self.mu, self.sigma, self.z, self.peak, self.below = True, step, mu, sigma, z, float(n), 0
+                self.on, self.start, self.mu, self.sigma, self.z, self.peak, self.below = True, step, mu, max(sigma, mu**0.5, 1.0), z, float(n), 0
             return None
         self.peak = max(self.peak, float(n))
         self.below = self.below + 1 if n < max(self.mu + self.sigma, self.p.kappa * self.peak) else 0
@@ -120,7 +124,7 @@ def detect_in_pandas(z: DataFrame, p: Params) -> DataFrame:
     return z.select("symbol", "step", "n", "mu", "sigma", "z").groupBy("symbol").applyInPandas(run, "symbol string, start long, end long, censored boolean, mu0 double, sigma0 double, z0 double")
 
 
-def merge_close(events: DataFrame, gap: int, *keys: str) -> DataFrame:
+def merge_close(events: DataFrame, gap: int | Column, *keys: str) -> DataFrame:
     """events of a symbol at most ``gap`` apart are one; the first's baseline and the last's censoring stay."""
     by = keys or ("symbol",)
     w = Window.partitionBy(*by).orderBy("start")
@@ -150,7 +154,10 @@ def catalog(dense: DataFrame, p: Params) -> DataFrame:
 
 
 def sweep(dense: DataFrame, grid: dict[str, Params]) -> DataFrame:
-    """events by scenario. Scenarios that share a baseline fold over one list of steps, the parameters as columns."""
+    """the events of each scenario after fusion of close ones, with duration, total and whether they are principal.
+
+    Scenarios that share a baseline fold over one list of steps, the parameters as columns.
+    """
     spark, parts = dense.sparkSession, []
     for robust in sorted({p.robust for p in grid.values()}):
         for window, least in sorted({(p.window, p.least) for p in grid.values() if p.robust == robust}):
@@ -160,24 +167,31 @@ def sweep(dense: DataFrame, grid: dict[str, Params]) -> DataFrame:
             table = spark.createDataFrame(rows, "scenario string, z_on double, min_abs double, kappa double, k_off int, gap int, min_steps int, min_total long")
             lists = _lists(scored(dense, able), "symbol").join(F.broadcast(table))
             fold = F.expr(_fold("z_on", "min_abs", "kappa", "k_off"))
-            found = lists.select("scenario", "symbol", "min_steps", "min_total", F.explode(fold).alias("e"))
-            parts.append(found.select("scenario", "symbol", "min_steps", "min_total", "e.*"))
+            found = lists.select("scenario", "symbol", "gap", "min_steps", "min_total", F.explode(fold).alias("e"))
+            parts.append(merge_close(found.select("scenario", "symbol", "gap", "min_steps", "min_total", "e.*"), F.col("gap"), "scenario", "symbol", "gap", "min_steps", "min_total"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    # totals from running sums at both ends of an event
+    sums = dense.select("symbol", "step", "n", F.sum("n").over(Window.partitionBy("symbol").orderBy("step")).alias("_c"))
+    first, last = sums.select("symbol", F.col("step").alias("start"), (F.col("_c") - F.col("n")).alias("_before")), sums.select("symbol", F.col("step").alias("end"), "_c")
+    out = out.join(first, ["symbol", "start"]).join(last, ["symbol", "end"])
+    duration, total = F.col("end") - F.col("start") + 1, F.col("_c") - F.col("_before")
+    principal = (duration >= F.col("min_steps")) & (total >= F.col("min_total"))
+    return out.select("scenario", "symbol", "start", "end", "censored", "mu0", "sigma0", "z0", duration.alias("duration"), total.alias("total"), principal.alias("principal"))
 
 
 def compare_scenarios(events: DataFrame, anchor: str) -> DataFrame:
-    """per scenario: events, share of the anchor's events that overlap one, median difference of durations."""
+    """per scenario: principal events, share of the anchor's that overlap one, median duration, median difference of durations."""
     span = F.col("end") - F.col("start") + 1
+    events = events.filter("principal")
     base = events.filter(F.col("scenario") == anchor).select("symbol", F.col("start").alias("a_start"), F.col("end").alias("a_end"))
     met = base.join(events.select("scenario", "symbol", "start", "end"), "symbol").filter((F.col("start") <= F.col("a_end")) & (F.col("end") >= F.col("a_start")))
     per = met.groupBy("scenario", "symbol", "a_start", "a_end").agg(F.min(F.abs(span - (F.col("a_end") - F.col("a_start") + 1))).alias("d"))
     n_anchor = base.agg(F.count("*").alias("n_anchor"))
     found = per.groupBy("scenario").agg(F.count("*").alias("recovered"), F.percentile("d", F.lit(0.5)).alias("median_difference"))
-    sizes = events.groupBy("scenario").agg(F.count("*").alias("n_events"))
-    return sizes.join(found, "scenario", "left").join(F.broadcast(n_anchor)).select("scenario", "n_events", F.round(F.coalesce(F.col("recovered"), F.lit(0)) / F.col("n_anchor"), 6).alias("recovered_share"), "median_difference")
+    sizes = events.groupBy("scenario").agg(F.count("*").alias("n_events"), F.percentile(span, F.lit(0.5)).alias("median_duration"))
+    return sizes.join(found, "scenario", "left").join(F.broadcast(n_anchor)).select("scenario", "n_events", "median_duration", F.round(F.coalesce(F.col("recovered"), F.lit(0)) / F.col("n_anchor"), 6).alias("recovered_share"), "median_difference")
 
 
 def detector_daily(cat: DataFrame, dense: DataFrame, p: Params) -> DataFrame:
@@ -191,7 +205,7 @@ def detector_daily(cat: DataFrame, dense: DataFrame, p: Params) -> DataFrame:
 
 def eligibility_table(cat: DataFrame, daily: DataFrame, p: Params) -> DataFrame:
     """F8: end, confirmation, the step of eligibility, and whether the event dies on it."""
-    known = series.eligibility(daily.select("event_id", "step", "n", "threshold", "cumulative"), p.min_total, p.min_steps - 1)
+    known = series.eligibility(daily, p.min_total, p.min_steps)
     out = cat.select("event_id", "symbol", "start", "end", "censored").join(known, "event_id", "left")
     return out.withColumn("confirmed", F.when(~F.col("censored"), F.col("end") + p.k_off)).withColumn("dies_on_eligibility", F.col("eligible") == F.col("end"))
 

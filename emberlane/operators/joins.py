@@ -54,9 +54,11 @@ def valid_on(df: DataFrame, lives: DataFrame, key: str, day: str, start: str, en
     """
     life = lives.withColumn(end, F.coalesce(F.col(end), F.lit(horizon).cast("date")))
     ids = df.columns
-    met = df.join(life, key).filter(F.col(day).between(F.col(start), F.col(end)))
+    # a number per row: equal rows stay apart, and only it is shuffled by
+    met = df.withColumn("_row", F.monotonically_increasing_id()).join(life, key).filter(F.col(day).between(F.col(start), F.col(end)))
     others = [c for c in lives.columns if c != key]
-    return met.groupBy(*ids).agg(F.min(F.struct(start, *[c for c in others if c != start])).alias("_l")).select(*ids, "_l.*")
+    found = F.min(F.struct(start, *[c for c in others if c != start])).alias("_l")
+    return met.groupBy("_row").agg(F.first(F.struct(*ids)).alias("_d"), found).select("_d.*", "_l.*")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, key: str, keep_unmatched: bool = True) -> DataFrame:

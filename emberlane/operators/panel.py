@@ -154,17 +154,26 @@ def census_compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("symbol").agg(F.round(F.corr(F.log1p("na"), F.log1p("nb")), 6).alias("log_corr"), (first("na") == first("nb")).alias("same_peak"))
 
 
-def label_institutional(events: DataFrame, press: DataFrame, least: int = 15) -> DataFrame:
-    """Press around ignition against the 30 steps before; A: the peak beats 5 and 3 medians, B: 15, D: also twice the base's maximum."""
+def label_institutional(events: DataFrame, press: DataFrame, least: int = 15, prior: DataFrame | None = None) -> DataFrame:
+    """Press around ignition against the 30 steps before.
+
+    Echo (A): the peak reaches 5 and three medians; floor (B): 15 and three medians; main (D): A and twice the base's
+    maximum. The label is ``prior``'s (event_id, prior: earnings or undated) where it has one, else "uncovered" without
+    enough press, "institutional" by D, "native" for the rest.
+    """
     near = events.select("event_id", "symbol", "start", F.explode(F.sequence(F.col("start") - 32, F.col("start") + 2)).alias("step"))
     rows = near.join(press, ["symbol", "step"])
     base, window = F.col("step") <= F.col("start") - 3, F.col("step") >= F.col("start") - 2
     agg = rows.groupBy("event_id").agg(F.count_if(base).alias("_n"), F.percentile(F.when(base, F.col("n")), F.lit(0.5)).alias("_median"), F.max(F.when(base, F.col("n"))).alias("_base_max"), F.max(F.when(window, F.col("n"))).alias("_peak"))
-    enough = F.col("_n") >= least
-    a = enough & (F.col("_peak") >= F.greatest(F.lit(5.0), 3 * F.col("_median")))
-    b, d = a & (F.col("_peak") >= 15), a & (F.col("_peak") >= 2 * F.col("_base_max"))
-    label = F.when(~enough, "unknown").when(b & d, "strong").when(a, "institutional").otherwise("organic")
-    return events.select("event_id").join(agg, "event_id", "left").select("event_id", F.coalesce(label, F.lit("unknown")).alias("label"))
+    enough = F.coalesce((F.col("_n") >= least) & F.col("_peak").isNotNull(), F.lit(False))
+    a = F.col("_peak") >= F.greatest(F.lit(5.0), 3 * F.col("_median"))
+    b, d = F.col("_peak") >= F.greatest(F.lit(15.0), 3 * F.col("_median")), a & (F.col("_peak") >= 2 * F.col("_base_max"))
+    label = F.when(~enough, "uncovered").when(d, "institutional").otherwise("native")
+    out = events.select("event_id").join(agg, "event_id", "left")
+    if prior is not None:
+        out = out.join(prior.select("event_id", "prior"), "event_id", "left")
+        label = F.coalesce("prior", label)
+    return out.select("event_id", *(F.when(enough, c).alias(n) for c, n in ((a, "echo"), (b, "floor"), (d, "main"))), label.alias("label"))
 
 
 def press_echo(events: DataFrame, press: DataFrame, around: int = 5) -> DataFrame:

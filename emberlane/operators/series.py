@@ -134,9 +134,12 @@ def rank_jump(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def eligibility(state: DataFrame, total: int, least_steps: int = 2) -> DataFrame:
-    """The first step by which an event has lasted long enough and has gathered ``total``; both are needed."""
+    """The first step by which an event is known to last ``least_steps`` and has gathered ``total``; both are needed.
+
+    A step counts from the ignition's, which is the first; steps of the confirmation (column ``phase``) are not the event's.
+    """
     first = F.min("step").over(Window.partitionBy("event_id"))
-    rows = state.withColumn("_age", F.col("step") - first + 1)
+    rows = state.withColumn("_age", F.col("step") - first + 1).filter("phase = 'event'")
     out = rows.groupBy("event_id").agg(F.min(F.when(F.col("cumulative") >= total, F.col("step"))).alias("reaches_total"), F.min(F.when((F.col("_age") >= least_steps) & (F.col("n") >= F.col("threshold")), F.col("step"))).alias("known_duration"))
     both = F.col("reaches_total").isNotNull() & F.col("known_duration").isNotNull()
     return out.withColumn("eligible", F.when(both, F.greatest("reaches_total", "known_duration")))

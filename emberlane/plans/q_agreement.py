@@ -45,7 +45,7 @@ QUERIES = {
     "l4_series_agreement": entry(lambda s, d: agreement.series_agreement(_pair(s, d).withColumn("size", F.col("na") + F.col("nb")), "symbol", "na", "nb", "size", 2), with_views("cat m", "").rstrip() + f""", {q_panel._PRESS}, x as (select c.symbol, coalesce(d.n, 0) as na, coalesce(pr.n, 0) as nb from cat c, lateral (select unnest(range(c.start - 3, c."end" + 4)) as step) g
         left join dense d on d.symbol = c.symbol and d.step = g.step left join pr on pr.symbol = c.symbol and pr.step = g.step) select symbol, count(*) as n, round(corr(na, nb), 6) + 0.0 as corr from x where na + nb >= 2 group by rollup (symbol)"""),
     "l5_event_study": entry(lambda s, d: agreement.event_study(table(s, d, "events").filter("value > 80").select((F.col("user_id") % 4).alias("source"), F.col("event_type").alias("symbol"), F.col("event_id").alias("mention_id"), v.hour("ts").alias("step")), v.events(s, d).select("symbol", "start"), v.hourly(s, d).agg((F.max("step") - F.min("step") + 1).alias("steps"))),
-        with_views("cat", """, x as (select user_id % 4 as source, event_type as symbol, event_id, cast(floor(epoch_us(ts) / 3600000000) as bigint) as step from events where value > 80), r as (select symbol, count(*) * 5.0 / (select max(step) - min(step) + 1 from h) as r from cat group by 1)
+        with_views("cat", """, x as (select user_id % 4 as source, event_type as symbol, event_id, cast(floor(epoch_us(ts) / 3600000000) as bigint) as step from events where value > 80), r as (select symbol, least(1.0, count(*) * 5.0 / (select max(step) - min(step) + 1 from h)) as r from cat group by 1)
         select source, count(*) as mentions, cast(sum((exists (select 1 from cat c where c.symbol = x.symbol and c.start between x.step - 1 and x.step + 3))::int) as bigint) as hits, sum(coalesce(r, 0)) as expected from x left join r using (symbol) group by 1"""), "expected"),
     "l6_extrapolate_volume": entry(lambda s, d: agreement.extrapolate_volume(table(s, d, "events"), "event_type", "ts"), "select event_type, count(*) as n, count(*) * 86400 / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) as per_day from events group by 1", "per_day"),
     "l8_dual_panel": entry(lambda s, d: agreement.dual_panel(_two(s, d), ["symbol", "step"], "label", "other"), with_views("m", f""", {_M2}, x as (select symbol, step, count(*) as n, ln((1 + count(*) filter (label = 'bull')) / (1 + count(*) filter (label = 'bear'))) as b_a, ln((1 + count(*) filter (other = 'bull')) / (1 + count(*) filter (other = 'bear'))) as b_b from m2 group by 1, 2) select *, abs(b_a - b_b) as difference from x"""), "b_a b_b difference"),

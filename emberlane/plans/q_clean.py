@@ -24,11 +24,11 @@ def _posts(spark, d):
 
 
 def _tomb(spark, d):
-    text = F.when(F.col("doc_id") % 11 == 0, "[removed]").when(F.col("doc_id") % 13 == 0, "").otherwise(F.substring("text", 1, 40))
+    text = F.when(F.col("doc_id") % 11 == 0, "[removed]").when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", text.alias("text"))
 
 
-_TOMB = "t as (select doc_id, case when doc_id % 11 = 0 then '[removed]' when doc_id % 13 = 0 then '' else substring(text, 1, 40) end as text from documents)"
+_TOMB = "t as (select doc_id, case when doc_id % 11 = 0 then '[removed]' when doc_id % 13 = 0 then '' else text end as text from documents)"
 
 
 def _dates(spark, d):

@@ -81,7 +81,9 @@ QUERIES = {
     "w1_census_compare": entry(lambda s, d: panel.census_compare(v.dense(s, d), _press(s, d)), with_views("dense m", f""", {_PRESS}, x as (select a.symbol, a.step, a.n as na, b.n as nb from dense a join pr b on a.symbol = b.symbol and a.step = b.step)
         select symbol, corr(ln(1 + na), ln(1 + nb)) as log_corr, arg_max(step, na * 1000000000 - step) = arg_max(step, nb * 1000000000 - step) as same_peak from x group by 1"""), "log_corr"),
     "w2_label_institutional": entry(lambda s, d: panel.label_institutional(v.events(s, d), _press(s, d)), _cat_m(_PRESS + """, a as (select c.event_id, count(*) filter (pr.step <= c.start - 3) as k, median(pr.n) filter (pr.step <= c.start - 3) as med, max(pr.n) filter (pr.step <= c.start - 3) as bm, max(pr.n) filter (pr.step >= c.start - 2) as pk
-        from cat c join pr on pr.symbol = c.symbol and pr.step between c.start - 32 and c.start + 2 group by 1) select c.event_id, coalesce(case when k < 15 then 'unknown' when pk >= greatest(5, 3 * med) and pk >= 15 and pk >= 2 * bm then 'strong' when pk >= greatest(5, 3 * med) then 'institutional' else 'organic' end, 'unknown') as label from cat c left join a using (event_id)""")),
+        from cat c join pr on pr.symbol = c.symbol and pr.step between c.start - 32 and c.start + 2 group by 1), x as (select c.event_id, coalesce(k >= 15 and pk is not null, false) as ok, med, bm, pk from cat c left join a using (event_id))
+        select event_id, case when ok then pk >= greatest(5, 3 * med) end as echo, case when ok then pk >= greatest(15, 3 * med) end as floor, case when ok then pk >= greatest(5, 3 * med) and pk >= 2 * bm end as main,
+        case when not ok then 'uncovered' when pk >= greatest(5, 3 * med) and pk >= 2 * bm then 'institutional' else 'native' end as label from x""")),
     "w3_press_echo": entry(lambda s, d: panel.press_echo(v.events(s, d), _press(s, d)), _cat_m(_PRESS + """, md as (select symbol, median(n) as med from pr group by 1) select event_id, o as "offset", n >= greatest(5, 3 * med) as echo from (select c.event_id, c.symbol, pr.n, pr.step - c.peak as o,
         row_number() over (partition by c.event_id order by pr.n desc, abs(pr.step - c.peak), pr.step - c.peak) as r from cat c join pr on pr.symbol = c.symbol and pr.step between c.peak - 5 and c.peak + 5) join md using (symbol) where r = 1""")),
 }

@@ -65,7 +65,7 @@ QUERIES = {
         select coalesce(a.symbol, b.symbol) as symbol, rank_a, rank_b, rank_a - rank_b as jump from a full join b on a.symbol = b.symbol"""),
     "e14_eligibility": entry(lambda s, d: series.eligibility(_state(s, d), PARAMS.min_total), with_views("cat", "").rstrip() + ", " + _STATE_SQL + """
         select *, case when reaches_total is not null and known_duration is not null then greatest(reaches_total, known_duration) end as eligible from (select event_id, min(case when cumulative >= 10 then step end) as reaches_total,
-        min(case when step - start + 1 >= 2 and n >= threshold then step end) as known_duration from st group by event_id)"""),
+        min(case when step - start + 1 >= 2 and n >= threshold then step end) as known_duration from st where step <= event_end group by event_id)"""),
     "e15_qcut": entry(lambda s, d: series.qcut(v.table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 10).groupBy("bin").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high")),
         """with e as (select list_distinct([quantile_cont(o_totalprice, 0.1), quantile_cont(o_totalprice, 0.2), quantile_cont(o_totalprice, 0.3), quantile_cont(o_totalprice, 0.4), quantile_cont(o_totalprice, 0.5), quantile_cont(o_totalprice, 0.6),
         quantile_cont(o_totalprice, 0.7), quantile_cont(o_totalprice, 0.8), quantile_cont(o_totalprice, 0.9)]) as q from orders)
@@ -90,11 +90,13 @@ QUERIES = {
     "f3_candidates": entry(lambda s, d: detector.candidates(v.dense(s, d), 9), with_views("dense", "select * from dense where symbol in (select symbol from dense group by symbol having max(n) >= 9)")),
     "f4_catalog": entry(v.catalog, with_views("cat", "select * replace (cast(total as bigint) as total) from cat"), "mu0 sigma0 z0 amplitude"),
     "f5_sweep": entry(lambda s, d: detector.sweep(v.dense(s, d), _GRID)),
+    "f5_sweep_base": entry(lambda s, d: detector.sweep(v.dense(s, d), _GRID).filter("scenario = 'base'").select("symbol", "start", "end", "duration", F.col("total").cast("long").alias("total"), "principal"),
+        with_views("cat", """select symbol, start, "end", duration, cast(total as bigint) as total, principal from cat""")),
     "f6_compare_scenarios": entry(lambda s, d: detector.compare_scenarios(detector.sweep(v.dense(s, d), _GRID), "base")),
     "f7_detector_daily": entry(lambda s, d: _state(s, d).select("event_id", "step", "age", "phase", "n", "running_peak", "threshold", "cumulative"), with_views("cat", "").rstrip() + ", " + _STATE_SQL + """
         select event_id, step, step - start + 1 as age, case when step <= event_end then 'event' else 'confirmation' end as phase, n, running_peak, threshold, cast(cumulative as bigint) as cumulative from st""", "threshold"),
     "f8_eligibility_table": entry(lambda s, d: detector.eligibility_table(v.catalog(s, d), _state(s, d), PARAMS), with_views("cat", "").rstrip() + ", " + _STATE_SQL + """,
-        k as (select event_id, min(case when cumulative >= 10 then step end) as reaches_total, min(case when step - start + 1 >= 1 and n >= threshold then step end) as known_duration from st group by event_id)
+        k as (select event_id, min(case when cumulative >= 10 then step end) as reaches_total, min(case when step - start + 1 >= 2 and n >= threshold then step end) as known_duration from st where step <= event_end group by event_id)
         select c.event_id, c.symbol, c.start, c."end", c.censored, k.reaches_total, k.known_duration, case when reaches_total is not null and known_duration is not null then greatest(reaches_total, known_duration) end as eligible,
         case when not c.censored then c."end" + 3 end as confirmed, case when reaches_total is not null and known_duration is not null then greatest(reaches_total, known_duration) end = c."end" as dies_on_eligibility from cat c left join k using (event_id)"""),
     "f9_weighted_events": entry(lambda s, d: detector.detect(detector.scored(aggregates.rescale_mass(v.dense(s, d).withColumn("n", F.col("n") * F.when(F.col("symbol") == "error", 0.5).otherwise(1.0)), v.dense(s, d)), PARAMS), PARAMS)),

@@ -76,6 +76,11 @@ def _online_events(spark, d):
     return _online(spark, d).filter("kind = 'end'").select("symbol", "start", "end", F.col("step").alias("confirmed"))
 
 
+def _online_eligible(spark, d):
+    """The steps of eligibility as the stream reports them."""
+    return _online(spark, d).filter("kind = 'eligible'").select("symbol", "start", F.col("end").alias("eligible"))
+
+
 def _panel(spark, d):
     path = _landed(spark, v.messages(spark, d).select("symbol", "step", "label"), "messages", 2)
     events = v.events(spark, d).select("event_id", "symbol", "start", "end")
@@ -117,6 +122,10 @@ QUERIES = {
     "a14_csv_sink": entry(_csv, "select s_suppkey, s_name from supplier"),
     "n1_count_stream": entry(lambda s, d: _collect_counts(s, d), "select cast(date_trunc('day', ts) as date) as day, event_type as symbol, count(*) as n from events group by 1, 2"),
     "n2_online_detector": entry(_online_events, with_views("found", 'select symbol, start, "end", "end" + 3 as confirmed from found where not censored')),
+    "n2_online_eligible": entry(_online_eligible, with_views("found", """, st as (select f.symbol, f.start, f.mu0, f.sigma0, d.step, d.n, max(d.n) over w as pk, sum(d.n) over w as cum
+        from found f join dense d on d.symbol = f.symbol and d.step between f.start and f."end" window w as (partition by f.symbol, f.start order by d.step)),
+        k as (select symbol, start, min(case when cum >= 10 then step end) as a, min(case when ok and step - start + 1 >= 2 then step end) as b, max(case when ok then step end) as c
+        from (select *, n >= greatest(mu0 + sigma0, 0.25 * pk) as ok from st) group by 1, 2) select symbol, start, greatest(a, b) as eligible from k where a is not null and b is not null and c >= greatest(a, b)""")),
     "n2_online_notices": entry(lambda s, d: _online(s, d).groupBy("symbol", "kind").agg(F.count("*").alias("n"))),
     "n3_running_panel": entry(_panel, with_views("cat m", """select c.event_id, m.step, count(*) as n, ln((1 + count(*) filter (label = 'bull')) / (1 + count(*) filter (label = 'bear'))) as b from cat c join m on m.symbol = c.symbol and m.step between c.start and c."end" group by 1, 2"""), "b"),
     "u1_detect_in_sql": entry(lambda s, d: _sql_events(s, d), with_views("found", "select * from found"), "mu0 sigma0 z0"),

@@ -111,7 +111,7 @@ SQL = {
     "z": "z as (select *, case when mu is not null and sigma is not null then (n - mu) / greatest(sigma, sqrt(mu), 1.0) end as z from based)",
     "numbered": "numbered as (select *, row_number() over (partition by symbol order by step) as k from z)",
     "walk": """walk as (select distinct symbol, cast(0 as bigint) as k, cast(0 as bigint) as step, false as is_on, cast(0 as bigint) as s, 0.0::double as mu0, 0.0::double as sigma0, 0.0::double as z0, 0.0::double as peak, 0 as below, false as ended from numbered
-        union all select symbol, k, step, case when begins then true when stops then false else is_on end, case when begins then step else s end, case when begins then mu else mu0 end, case when begins then sigma else sigma0 end,
+        union all select symbol, k, step, case when begins then true when stops then false else is_on end, case when begins then step else s end, case when begins then mu else mu0 end, case when begins then greatest(sigma, sqrt(mu), 1.0) else sigma0 end,
             case when begins then z else z0 end, case when begins then n when is_on then top else peak end, case when begins or stops then 0 when is_on then low else below end, stops
         from (select *, is_on and low >= 3 as stops from (select r.*, w.is_on, w.s, w.mu0, w.sigma0, w.z0, w.peak, w.below, not w.is_on and coalesce(r.z >= 2.0, false) and r.n >= 5 as begins, greatest(w.peak, r.n) as top,
             case when r.n < greatest(w.mu0 + w.sigma0, 0.25 * greatest(w.peak, r.n)) then w.below + 1 else 0 end as low from walk w join numbered r on r.symbol = w.symbol and r.k = w.k + 1)))""",

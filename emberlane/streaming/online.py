@@ -42,22 +42,24 @@ def ingest_batches(rows: DataFrame, keys: list[str], sink: str, checkpoint: str)
     rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-_STATE = "on boolean, start long, mu double, sigma double, z double, peak double, below int, last long, total double, eligible boolean, buffer array<double>"
+_STATE = "on boolean, start long, mu double, sigma double, z double, peak double, below int, last long, total double, reached long, known long, told boolean, buffer array<double>"
 _OUT = "symbol string, step long, kind string, start long, end long, value double"
 
 
 def online_detector(counts: DataFrame, p: Params) -> DataFrame:
     """(symbol, step, n) in step order per symbol to notices: ignition, eligibility, and end with its confirmation step.
 
+    Eligibility is E14's: the notice's ``end`` is the step by which the event is known to last and has its total, told at
+    the first step at or over the threshold from then on, as a stay below it may turn out to be the confirmation of an end.
     The state of a symbol is the automaton's and the last ``window`` counts; a step that is not after the last one is ignored.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
-            *machine_state, total, eligible, buffer = state.get
+            *machine_state, total, reached, known, told, buffer = state.get
             machine, buffer = Automaton(p, tuple(machine_state)), list(buffer)
         else:
-            machine, total, eligible, buffer = Automaton(p), 0.0, False, []
+            machine, total, reached, known, told, buffer = Automaton(p), 0.0, -1, -1, False, []
         rows = pd.concat(list(parts)).sort_values("step")
         notices = []
         for step, n in zip(rows["step"].tolist(), rows["n"].tolist()):
@@ -67,16 +69,20 @@ def online_detector(counts: DataFrame, p: Params) -> DataFrame:
             ended = machine.feed(step, n, *online_z(buffer, n, p))
             buffer = (buffer + [float(n)])[-p.window :]
             if machine.on and not was_on:
-                total, eligible = 0.0, False
+                total, reached, known, told = 0.0, -1, -1, False
                 notices.append((key[0], step, "ignition", step, None, machine.z))
             if machine.on:
                 total += n
-                if not eligible and total >= p.min_total and step - machine.start + 1 >= p.min_steps - 1:
-                    eligible = True
-                    notices.append((key[0], step, "eligible", machine.start, None, total))
+                if reached < 0 and total >= p.min_total:
+                    reached = step
+                if machine.below == 0 and known < 0 and step - machine.start + 1 >= p.min_steps:
+                    known = step
+                if machine.below == 0 and not told and min(reached, known) >= 0:
+                    told = True
+                    notices.append((key[0], step, "eligible", machine.start, max(reached, known), total))
             if ended:
                 notices.append((key[0], step, "end", ended[0], ended[1], ended[5]))
-        state.update((*machine.state, total, eligible, buffer))
+        state.update((*machine.state, total, reached, known, told, buffer))
         yield pd.DataFrame(notices, columns=["symbol", "step", "kind", "start", "end", "value"]).astype({"start": "Int64", "end": "Int64", "value": "float64"})
 
     return counts.groupBy("symbol").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -22,6 +22,33 @@ def test_trace(spark):
     assert event["total"] == 60 + 90 + 120 + 40 + 31 and event["principal"]
 
 
+def test_an_event_freezes_the_floored_deviation(spark):
+    """A base of 100 without any spread: the threshold is 110, so that 105 is below it and the event ends at once."""
+    values = [100] * 40 + [180] + [105] * 12
+    for found in (detector.detect(detector.scored(dense(spark, values), Params()), Params()), detector.detect_in_pandas(detector.scored(dense(spark, values), Params()), Params())):
+        (event,) = found.collect()
+        assert (event["start"], event["end"], event["censored"], event["sigma0"]) == (40, 40, False, 10.0)
+
+
+@pytest.mark.parametrize(
+    ("after", "eligible"),
+    [
+        ([320, 310, 300, 290, 280], 42),
+        # the third step is below the threshold, the fourth isn't
+        ([320, 310, 20, 290, 280], 43),
+        # two steps and the confirmation of the end
+        ([320, 310, 20, 20, 20, 20, 20, 20], None),
+        # the total comes last
+        ([90, 80, 70, 50, 40, 30], 44),
+    ],
+)
+def test_eligibility(spark, after, eligible):
+    df, p = dense(spark, [5] * 40 + after), Params()
+    cat = detector.catalog(df, p)
+    (row,) = detector.eligibility_table(cat, detector.detector_daily(cat, df, p), p).collect()
+    assert row["eligible"] == eligible
+
+
 def test_open_event_is_censored(spark):
     (event,) = detector.catalog(dense(spark, [5] * 20 + [60, 90, 120]), Params()).collect()
     assert event["censored"] and event["end"] == 22

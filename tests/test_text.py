@@ -35,7 +35,7 @@ def test_mentions(spark, dictionary, text, want):
 
 @pytest.mark.parametrize(
     ("text", "label"),
-    [("time to buy", "bull"), ("do not buy this", "bear"), ("selling puts all day", "bull"), ("sell calls", "bear"), ("puts", "bear"), ("hello", "neutral"), (None, "neutral"), ("buy or sell", "neutral")],
+    [("time to buy", "bull"), ("do not buy this", "bear"), ("selling puts all day", "bull"), ("sell calls", "bear"), ("puts", "bear"), ("hello", "neutral"), (None, "neutral"), ("buy or sell", "neutral"), ("diamond hands to the moon", "bull"), ("no way I sell", "bull"), ("this will tank", "bear"), ("sold puts", "bear")],
 )
 def test_stance(text, label):
     assert stance.stance(text)[0] == label
