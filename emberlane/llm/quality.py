@@ -89,10 +89,12 @@ def _bag(value: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: Iterator[tuple[bytes, int]], seed: int = 7) -> Model:
-    bags, labels = [], []
-    for value, label in rows:
-        bags.append(_bag(value))
-        labels.append(int(label))
+    return train_bags([(_bag(value), int(label)) for value, label in rows], seed)
+
+
+def train_bags(rows: list[tuple[tuple[np.ndarray, np.ndarray], int]], seed: int = 7) -> Model:
+    """From ((buckets, weights), label)."""
+    bags, labels = [b for b, _ in rows], [label for _, label in rows]
     if not labels:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     y = np.array(labels)
@@ -128,6 +130,15 @@ def train(rows: Iterator[tuple[bytes, int]], seed: int = 7) -> Model:
     return Model((vectors @ (output[:, 1] - output[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training texts as buckets and weights."""
+    base.forget()
+    for batch in batches:
+        bags = [_bag(v or b"") for v in base.as_bytes(batch.column(1))]
+        columns = [pa.array([b[k].tolist() for b in bags], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.float32()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), *columns], ["doc_id", "content", "quality", "bucket", "weight"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Train on labelled rows whose crc32 remainder is not the held-out one."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -135,9 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     source = base.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # sample_rows bounds the broadcast side
-    rows = source.join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
-    found = sorted(((r[0], r[1].encode("utf-8", "replace"), r[2]) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
-    return train((text, label) for _, text, label in found)
+    rows = source.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality", F.xxhash64("text").alias("content"))
+    # at most BUCKETS numbers a text reach the driver
+    found = rows.mapInArrow(_bags, "doc_id long, content long, quality int, bucket array<int>, weight array<float>").toArrow()
+    order = sorted(range(found.num_rows), key=list(zip(*(found[c].to_pylist() for c in ("doc_id", "content", "quality")))).__getitem__)
+    numbers = lambda c, i: found[c][i].values.to_numpy()
+    return train_bags([((numbers("bucket", i), numbers("weight", i)), found["quality"][i].as_py()) for i in order])
 
 
 def _scorer(shared):
