@@ -592,7 +592,10 @@ def _scorer(shared):
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Scores of all texts by a model of those that aren't held out: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Scores of all texts by a model of those that aren't held out: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, gain.
+
+    ``gain`` is what context adds to a token on average: the difference of the two scores by the number of tokens.
+    """
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     source = base.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
@@ -621,7 +624,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     )
     # a very long text is in parts
     sums = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score", ((F.col("score") - F.col("base_score")) / F.col("n_tokens")).alias("gain"))
 
 
 def report(docs: DataFrame) -> DataFrame:
