@@ -1,6 +1,7 @@
 """Duration models. Rows stay in Spark: every iteration is one aggregation that brings sums per time to the driver.
 
-The number of distinct times (steps of a calendar) and of covariates bounds what is collected, whatever the number of rows.
+What is collected grows with strata times distinct times (steps of a calendar) and with covariates, not with rows; the
+driver's work for a time doesn't grow with its deaths.
 """
 
 from __future__ import annotations
@@ -9,9 +10,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 # -- tables and curves
 
 
@@ -121,20 +125,43 @@ def _eta(covariates: list[str], beta: np.ndarray):
     return total
 
 
-def _sums(rows: DataFrame, covariates: list[str], beta: np.ndarray, weight: str | None) -> tuple[list, np.ndarray]:
-    """Per stratum and time: sums of w, wx, wxx over rows that stop there and that start there, and over deaths."""
-    p, w = len(covariates), F.exp(_eta(covariates, beta)) * (F.col(weight) if weight else F.lit(1.0))
+def _with_parameters(rows: DataFrame, values) -> DataFrame:
+    """Rows beside one row of parameters _p0, _p1, ...: as columns, unlike literals, they leave the generated code as it is."""
+    row = rows.sparkSession.createDataFrame(pa.table({f"_p{k}": [float(x)] for k, x in enumerate(values)}))
+    return rows.crossJoin(F.broadcast(row))
+
+
+def _sums(rows: DataFrame, covariates: list[str], beta: np.ndarray, weight: str | None, starts: bool = True) -> tuple[list, np.ndarray]:
+    """Per stratum and time: sums of w, wx, wxx over rows that stop there and that start there, and over deaths.
+
+    Without ``starts`` all rows start before the first time.
+    """
+    p = len(covariates)
+    rows = _with_parameters(rows, beta)
+    w = F.exp(sum((F.col(c) * F.col(f"_p{k}") for k, c in enumerate(covariates)), F.lit(0.0))) * (F.col(weight) if weight else F.lit(1.0))
+    rows = rows.withColumn("_w", w)
     dead = F.col("_d") * (F.col(weight) if weight else F.lit(1.0))
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    w = F.col("_w")
     moments = [w, *(w * F.col(c) for c in covariates), *(w * F.col(covariates[i]) * F.col(covariates[j]) for i, j in pairs)]
-    ends = F.explode(F.array(F.struct(F.col("_stop").alias("time"), F.lit(1).alias("stops")), F.struct(F.col("_start").alias("time"), F.lit(0).alias("stops"))))
-    long = rows.withColumn("_e", ends).select("*", "_e.*")
-    stops = F.col("stops")
-    aggs = [F.sum(m * stops).alias(f"a{k}") for k, m in enumerate(moments)] + [F.sum(m * (1 - stops)).alias(f"b{k}") for k, m in enumerate(moments)]
-    aggs += [F.sum(m * stops * F.col("_d")).alias(f"c{k}") for k, m in enumerate(moments)]
-    aggs += [F.sum(dead * stops).alias("d")] + [F.sum(dead * stops * F.col(c)).alias(f"x{k}") for k, c in enumerate(covariates)] + [F.sum(F.col("_d") * stops).alias("nd")]
-    got = long.groupBy("_stratum", "time").agg(*aggs).orderBy("_stratum", "time").collect()
-    return [(r[0], r[1]) for r in got], np.array([[float(v or 0) for v in r[2:]] for r in got]).reshape(len(got), -1)
+    size = len(moments)
+    names = [f"{side}{k}" for side in "abc" for k in range(size)] + ["d", *(f"x{k}" for k in range(p)), "nd"]
+    of_stops = dict(zip(names[:size], moments)) | dict(zip(names[2 * size : 3 * size], (m * F.col("_d") for m in moments)))
+    of_stops |= {"d": dead, "nd": F.col("_d")} | {f"x{k}": dead * F.col(c) for k, c in enumerate(covariates)}
+    of_starts = dict(zip(names[size : 2 * size], moments))
+
+    def per(time: str, found: dict) -> DataFrame:
+        return rows.groupBy("_stratum", F.col(time).alias("time")).agg(*((F.sum(found[n]) if n in found else F.lit(0.0)).alias(n) for n in names))
+
+    sums = per("_stop", of_stops)
+    if starts:
+        sums = sums.unionAll(per("_start", of_starts))
+    total: dict[tuple, np.ndarray] = {}
+    for r in sums.collect():
+        values = np.array([float(v or 0) for v in r[2:]])
+        total[r[0], r[1]] = total[r[0], r[1]] + values if (r[0], r[1]) in total else values
+    keys = sorted(total)
+    return keys, np.array([total[k] for k in keys]).reshape(len(keys), len(names))
 
 
 def _square(v: np.ndarray, p: int) -> np.ndarray:
@@ -143,27 +170,53 @@ def _square(v: np.ndarray, p: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
+#: Tied deaths that are added one by one; of more, the last ones are, and those before by an integral with end corrections.
+_ONE_BY_ONE = 4096
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(20)
+
+
+def _tied(risk: float, dead: float, n: int) -> np.ndarray:
+    """Sums over k < n of log s, 1/s, a/s, 1/s2, a/s2, a2/s2 with a = k/n and s = risk - a * dead (Efron's ties)."""
+
+    def terms(k: np.ndarray) -> np.ndarray:
+        a = k / n
+        s = risk - a * dead
+        return np.stack([np.log(s), 1 / s, a / s, 1 / s**2, a / s**2, a**2 / s**2])
+
+    last = max(0, n - _ONE_BY_ONE)
+    out = terms(np.arange(last, n, dtype=float)).sum(1)
+    if last:
+        # panels that shrink towards the end, where s is least
+        edges = n - np.geomspace(n, n - last, 40)
+        edges[0], edges[-1] = 0, last
+        half, middle = np.diff(edges) / 2, (edges[1:] + edges[:-1]) / 2
+        nodes = middle[:, None] + half[:, None] * _NODES
+        out += terms(nodes.reshape(-1)) @ (half[:, None] * _WEIGHTS).reshape(-1)
+        ends = terms(np.array([0.0, last, -0.5, 0.5, last - 0.5, last + 0.5]))
+        out += (ends[:, 0] - ends[:, 1]) / 2 + ((ends[:, 5] - ends[:, 4]) - (ends[:, 3] - ends[:, 2])) / 12
+    return out
+
+
 def _evaluate(keys: list, m: np.ndarray, p: int, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Log likelihood, gradient and information with Efron's ties."""
     size = 1 + p + p * (p + 1) // 2
     ll, grad, info = 0.0, np.zeros(p), np.zeros((p, p))
-    strata = np.array([hash(k[0]) for k in keys])
-    for s in np.unique(strata):
+    numbers: dict = {}
+    strata = np.array([numbers.setdefault(k[0], len(numbers)) for k in keys], int)
+    for s in range(len(numbers)):
         block = m[strata == s]
         a, b, c = block[:, :size], block[:, size : 2 * size], block[:, 2 * size : 3 * size]
         risk = a[::-1].cumsum(0)[::-1] - b[::-1].cumsum(0)[::-1]
         d, x, nd = block[:, 3 * size], block[:, 3 * size + 1 : 3 * size + 1 + p], block[:, -1]
         for t in np.flatnonzero(nd > 0):
-            grad += x[t]
-            ll += float(x[t] @ beta)
-            n = int(round(nd[t]))
-            for k in range(n):
-                part = risk[t] - (k / n) * c[t]
-                mean = part[1 : 1 + p] / part[0]
-                share = d[t] / n
-                ll -= share * math.log(part[0])
-                grad -= share * mean
-                info += share * (_square(part[1 + p :], p) / part[0] - np.outer(mean, mean))
+            n, r, e = int(round(nd[t])), risk[t], c[t]
+            logs, s1, a1, s2, a2, aa2 = _tied(r[0], e[0], n) * (d[t] / n)
+            r1, e1 = r[1 : 1 + p], e[1 : 1 + p]
+            cross = np.outer(r1, e1)
+            ll += float(x[t] @ beta) - logs
+            grad += x[t] - (r1 * s1 - e1 * a1)
+            info += _square(r[1 + p :], p) * s1 - _square(e[1 + p :], p) * a1
+            info -= np.outer(r1, r1) * s2 - (cross + cross.T) * a2 + np.outer(e1, e1) * aa2
     return ll, grad, info
 
 
@@ -173,17 +226,20 @@ def cox(rows: DataFrame, covariates: list[str], stop: str, event: str, start: st
     A step is one aggregation by stratum and time; covariates are centred for the iterations.
     """
     p = len(covariates)
-    means = rows.agg(*(F.avg(c) for c in covariates), F.count("*"), F.sum(event)).first()
     data = rows.select(
-        *((F.col(c) - F.lit(float(means[i] or 0))).alias(c) for i, c in enumerate(covariates)),
+        *(F.col(c).cast("double").alias(c) for c in covariates),
         F.col(stop).cast("double").alias("_stop"),
         (F.col(start).cast("double") if start else F.lit(0.0)).alias("_start"),
         F.col(event).cast("double").alias("_d"),
         (F.col(strata).cast("string") if strata else F.lit("")).alias("_stratum"),
         *([F.col(weight)] if weight else []),
-    ).cache()
+    )
+    data = stored(data, "cox")
+    means = data.agg(*(F.avg(c) for c in covariates), F.count("*"), F.sum("_d")).first()
+    data = data.select(*((F.col(c) - F.lit(float(means[i] or 0))).alias(c) for i, c in enumerate(covariates)), *data.columns[p:])
+    starts = start is not None
     beta, null = np.zeros(p), None
-    keys, m = _sums(data, covariates, beta, weight)
+    keys, m = _sums(data, covariates, beta, weight, starts)
     ll, grad, info = _evaluate(keys, m, p, beta)
     null = ll
     for _ in range(rounds):
@@ -193,7 +249,7 @@ def cox(rows: DataFrame, covariates: list[str], stop: str, event: str, start: st
         scale = 1.0
         while True:
             trial = beta + scale * step
-            keys, m = _sums(data, covariates, trial, weight)
+            keys, m = _sums(data, covariates, trial, weight, starts)
             new_ll, new_grad, new_info = _evaluate(keys, m, p, trial)
             if new_ll >= ll - 1e-9 or scale < 1e-3:
                 break
@@ -202,7 +258,6 @@ def cox(rows: DataFrame, covariates: list[str], stop: str, event: str, start: st
         beta, ll, grad, info = trial, new_ll, new_grad, new_info
         if done:
             break
-    data.unpersist()
     return CoxFit(covariates, beta, np.linalg.pinv(info), ll, null, int(means[p]), int(means[p + 1] or 0))
 
 
@@ -326,24 +381,37 @@ class WeibullFit:
         return math.exp(self.intercept + float(np.dot(self.beta, x)) + self.scale * math.log(math.log(2)))
 
 
+def _least_squares(data: DataFrame, names: list[str]) -> np.ndarray:
+    """A start for the Weibull model: least squares of log times, moved and scaled as the errors' distribution asks."""
+    q = len(names)
+    pairs = [(i, j) for i in range(q) for j in range(i, q)]
+    sums = data.agg(*(F.avg(F.col(names[i]) * F.col(names[j])) for i, j in pairs), *(F.avg(F.col(n) * F.col("_t")) for n in names), F.avg(F.col("_t") ** 2)).first()
+    sums = np.array([float(v or 0) for v in sums])
+    right = sums[len(pairs) : -1]
+    beta = np.linalg.pinv(_square(sums[: len(pairs)], q)) @ right
+    scale = math.sqrt(max(sums[-1] - float(beta @ right), 1e-6) * 6) / math.pi
+    beta[0] += np.euler_gamma * scale
+    return np.append(beta, math.log(scale))
+
+
 def weibull_aft(rows: DataFrame, covariates: list[str], time: str, event: str, entry: str | None = None, rounds: int = 60) -> WeibullFit:
     """V8: accelerated failure times with Weibull errors, right-censored and optionally left-truncated, by damped Newton steps."""
     names = ["_one", *covariates]
     q = len(names)
-    data = rows.select(F.lit(1.0).alias("_one"), *(F.col(c).cast("double") for c in covariates), F.log(F.col(time).cast("double")).alias("_t"), F.col(event).cast("double").alias("_d"), (F.log(F.greatest(F.col(entry).cast("double"), F.lit(1e-9))) if entry else F.lit(None).cast("double")).alias("_e")).cache()
-    theta = np.zeros(q + 1)
-    theta[0] = float(data.agg(F.avg("_t")).first()[0] or 0)
+    data = rows.select(F.lit(1.0).alias("_one"), *(F.col(c).cast("double") for c in covariates), F.log(F.col(time).cast("double")).alias("_t"), F.col(event).cast("double").alias("_d"), (F.log(F.greatest(F.col(entry).cast("double"), F.lit(1e-9))) if entry else F.lit(None).cast("double")).alias("_e"))
+    data = stored(data, "weibull")
+    theta = _least_squares(data, names)
 
     def evaluate(th: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        s = float(np.exp(th[-1]))
-        z = (F.col("_t") - _eta(names, th[:-1])) / s
-        z0 = (F.col("_e") - _eta(names, th[:-1])) / s
-        v = data.withColumn("_z", z).withColumn("_u", F.exp("_z")).withColumn("_z0", F.coalesce(z0, F.lit(0.0))).withColumn("_u0", F.when(F.col("_e").isNull(), 0.0).otherwise(F.exp("_z0")))
+        s, log_s = F.exp(F.col(f"_p{q}")), F.col(f"_p{q}")
+        eta = sum((F.col(n) * F.col(f"_p{k}") for k, n in enumerate(names)), F.lit(0.0))
+        z, z0 = (F.col("_t") - eta) / s, (F.col("_e") - eta) / s
+        v = _with_parameters(data, th).withColumn("_z", z).withColumn("_u", F.exp("_z")).withColumn("_z0", F.coalesce(z0, F.lit(0.0))).withColumn("_u0", F.when(F.col("_e").isNull(), 0.0).otherwise(F.exp("_z0")))
         r = F.col("_u") - F.col("_d") - F.col("_u0")
         zu, zu0 = F.col("_z") * F.col("_u"), F.col("_z0") * F.col("_u0")
         pairs = [(i, j) for i in range(q) for j in range(i, q)]
         got = v.agg(
-            F.sum(F.col("_d") * (F.col("_z") - float(th[-1]) - F.col("_t")) - F.col("_u") + F.col("_u0")),
+            F.sum(F.col("_d") * (F.col("_z") - log_s - F.col("_t")) - F.col("_u") + F.col("_u0")),
             *(F.sum(F.col(n) * r / s) for n in names),
             F.sum(F.col("_d") * (-F.col("_z") - 1) + zu - zu0),
             *(F.sum(-F.col(names[i]) * F.col(names[j]) * (F.col("_u") - F.col("_u0")) / s**2) for i, j in pairs),
@@ -377,7 +445,6 @@ def weibull_aft(rows: DataFrame, covariates: list[str], time: str, event: str, e
         ll, grad, hess = new
         if abs(gain) < 1e-9 * (1 + abs(ll)):
             break
-    data.unpersist()
     return WeibullFit(covariates, float(theta[0]), theta[1:-1], float(np.exp(theta[-1])), ll)
 
 

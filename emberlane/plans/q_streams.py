@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..operators import detector
 from ..sources import posts
+from ..sources.store import scratch
 from ..streaming import online
 from . import q_panel
 from . import views as v
 from .views import PARAMS, entry, table, with_views
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the cluster's shared folder; a temporary one where none is named (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="emberlane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/emberlane/{name}-{uuid.uuid4().hex}"
-
-
 def _landed(spark, df, name: str, files: int):
     """A table landed as several files, as an ingest directory would hold them."""
     path = scratch(spark, name)

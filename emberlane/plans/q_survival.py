@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import series, survival
+from ..sources.store import stored
 from . import q_panel
 from . import views as v
 from .views import entry, with_views
@@ -25,8 +26,10 @@ def _stops(spark, d):
     return q_panel.start_stop(spark, d).withColumn("risk", F.round("log_n_lag", 4))
 
 
-def _tv(spark, d, covariates, **more):
-    return survival.cox(q_panel.start_stop(spark, d).cache(), covariates, "stop", "death", start="start", **more)
+def _time_varying(spark, d):
+    rows = stored(q_panel.start_stop(spark, d), "start-stop")
+    fits = {"tv": (["log_n_lag", "b_lag"], None), "stratified": (["log_n_lag"], "symbol")}
+    return _table(spark, {k: survival.cox(rows, c, "stop", "death", start="start", strata=by) for k, (c, by) in fits.items()})
 
 
 def _logrank(spark, d):
@@ -41,25 +44,25 @@ def _age_profile(spark, d):
 
 
 def _ss_age(spark, d):
-    rows = q_panel.start_stop(spark, d).withColumn("d_log_age", F.col("d_lag") * F.log("stop")).withColumn("young", F.col("d_lag") * (F.col("stop") <= 3).cast("int")).cache()
+    rows = stored(q_panel.start_stop(spark, d).withColumn("d_log_age", F.col("d_lag") * F.log("stop")).withColumn("young", F.col("d_lag") * (F.col("stop") <= 3).cast("int")), "durations")
     fits = {"interaction": survival.cox(rows, ["d_lag", "d_log_age"], "stop", "death", start="start"), "bands": survival.cox(rows, ["d_lag", "young"], "stop", "death", start="start")}
     return _table(spark, fits)
 
 
 def _battery(spark, d):
-    rows = q_panel.start_stop(spark, d).cache()
+    rows = stored(q_panel.start_stop(spark, d), "durations")
     specs = {"m1": ["log_n_lag"], "m2": ["log_n_lag", "b_lag"], "m3": ["log_n_lag", "b_lag", "d_lag", "silent_lag"]}
     return _table(spark, {k: survival.cox(rows, c, "stop", "death", start="start") for k, c in specs.items()})
 
 
 def _compare(spark, d):
-    rows = v.durations(spark, d).cache()
+    rows = stored(v.durations(spark, d), "durations")
     r = survival.compare_fits(survival.cox(rows, ["x1"], "t", "e"), survival.cox(rows, _X, "t", "e"))
     return spark.createDataFrame([tuple(map(float, r.values()))], ", ".join(f"{k} double" for k in r))
 
 
 def _robust(spark, d):
-    rows = v.durations(spark, d).withColumn("x4", F.col("x1") - 3).cache()
+    rows = stored(v.durations(spark, d).withColumn("x4", F.col("x1") - 3), "durations")
     fit = survival.cox(rows, ["x1", "x2"], "t", "e")
     cov = survival.robust_covariance(rows, fit, "t", "e", "cluster")
     out = [(n, float(s), float(r)) for n, s, r in zip(fit.covariates, fit.se, np.sqrt(np.diag(cov)))]
@@ -79,12 +82,12 @@ def _weibull_entry(spark, d):
 
 
 def _ph(spark, d):
-    rows = v.durations(spark, d).cache()
+    rows = stored(v.durations(spark, d), "durations")
     return spark.createDataFrame(survival.ph_test(rows, survival.cox(rows, _X, "t", "e"), "t", "e"), "covariate string, chi2 double, p double")
 
 
 def _scored(spark, d):
-    rows = v.durations(spark, d).cache()
+    rows = stored(v.durations(spark, d), "durations")
     fit = survival.cox(rows, ["x1", "x2"], "t", "e")
     risk = sum((F.col(c) * float(b) for c, b in zip(fit.covariates, fit.beta)), F.lit(0.0))
     return rows.withColumn("risk", risk)
@@ -96,19 +99,19 @@ def _calibration(spark, d):
 
 
 def _populations(spark, d):
-    rows = v.durations(spark, d).withColumn("x1_urgent", F.col("x1") * (F.col("grp") == "1-URGENT").cast("int")).cache()
+    rows = stored(v.durations(spark, d).withColumn("x1_urgent", F.col("x1") * (F.col("grp") == "1-URGENT").cast("int")), "durations")
     fits = {g: survival.cox(rows.filter(F.col("grp") == g), ["x1", "x2"], "t", "e") for g in ("1-URGENT", "5-LOW")}
     fits["interacted"] = survival.cox(rows, ["x1", "x2", "x1_urgent"], "t", "e", strata="grp")
     return _table(spark, fits)
 
 
 def _effects(spark, d):
-    rows = survival.standardised(v.durations(spark, d), ["x1", "x2"]).withColumn("x1_abs", F.abs("x1_sd")).withColumn("x1_cube", F.col("x1_sd") ** 3).cache()
+    rows = stored(survival.standardised(v.durations(spark, d), ["x1", "x2"]).withColumn("x1_abs", F.abs("x1_sd")).withColumn("x1_cube", F.col("x1_sd") ** 3), "durations")
     return _table(spark, {"per_sd": survival.cox(rows, ["x1_sd", "x2_sd"], "t", "e"), "abs": survival.cox(rows, ["x1_abs", "x2_sd"], "t", "e"), "cube": survival.cox(rows, ["x1_sd", "x1_cube"], "t", "e")})
 
 
 def _common(spark, d):
-    rows = v.durations(spark, d).filter("year between 1996 and 1999").cache()
+    rows = stored(v.durations(spark, d).filter("year between 1996 and 1999"), "durations")
     return _table(spark, {"all": _cox(spark, d, ["x1"]), "common": survival.cox(rows, ["x1"], "t", "e")})
 
 
@@ -126,7 +129,7 @@ QUERIES = {
         c as (select grp, t, exp(sum(ln(case when deaths < at_risk then 1 - deaths / at_risk else 1e-300 end)) over (partition by grp order by t)) as s from b) select grp, min(t) filter (s <= 0.5) as median from c group by 1""")),
     "v2_logrank": entry(_logrank),
     "v3_cox": entry(lambda s, d: _table(s, {"static": _cox(s, d)})),
-    "v4_cox_time_varying": entry(lambda s, d: _table(s, {"tv": _tv(s, d, ["log_n_lag", "b_lag"]), "stratified": _tv(s, d, ["log_n_lag"], strata="symbol")})),
+    "v4_cox_time_varying": entry(_time_varying),
     "v5_battery": entry(_battery),
     "v6_age_profile": entry(_age_profile),
     "v6_age_interaction": entry(_ss_age),

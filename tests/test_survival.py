@@ -48,6 +48,15 @@ def test_cox_is_at_the_optimum(rows, data):
     assert np.allclose(fit.covariance, np.linalg.inv(info), rtol=1e-5)
 
 
+def test_a_million_tied_deaths():
+    """The sums of Efron's ties against adding the terms one by one, also when all at risk die."""
+    for n, risk, dead in ((5, 9.0, 4.0), (5000, 9000.0, 5000.0), (1_000_000, 3e6, 1e6), (1_000_000, 1e6, 1e6), (300_000, 2.0, 1.9)):
+        a = np.arange(n) / n
+        s = risk - a * dead
+        want = [np.log(s).sum(), (1 / s).sum(), (a / s).sum(), (1 / s**2).sum(), (a / s**2).sum(), (a**2 / s**2).sum()]
+        assert np.allclose(survival._tied(risk, dead, n), want, rtol=1e-9)
+
+
 def test_cox_with_start_stop(spark, data):
     x, t, e = data
     parts = [(*map(float, x[i]), s, s + 1, int(e[i] and s + 1 == t[i])) for i in range(len(t)) for s in range(t[i])]
