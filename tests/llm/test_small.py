@@ -192,6 +192,99 @@ def test_decontamination_in_blocks(spark, docs, corpus, monkeypatch):
     assert clean_hits.filter("doc_id = 5 and n_hit > 0").count() == 0
 
 
+def _thue_morse(n: int) -> tuple[str, str]:
+    """Two words that powers of any odd base modulo 2**64 can't tell apart."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [200, 256, 1024, 4096])
+def test_regular_words_stay_apart(spark, n):
+    a, b = _thue_morse(n)
+    docs = table(spark, [(1, a), (2, b), (3, " ".join(["w"] * 49 + [a])), (4, " ".join(["w"] * 49 + [b])), (5, " ".join(["w"] * 49 + [b]))])
+    groups = {r["doc_id"]: r["component_id"] for r in jaccard.report(docs).collect()}
+    assert (groups[1], groups[2]) == (1, 2)
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.report(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 50}
+
+
+def test_decontamination_of_repeated_rows_and_null_items(spark, monkeypatch):
+    """Blocks of the benchmark change no row; a null item counts and has no name."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words[:15])), (1, " ".join(words[:15])), (1, " ".join(words[20:34])), (None, " ".join(words[5:20])), (2, "clean text"), (3, None)]
+    benchmark = spark.createDataFrame([("b", " ".join(words[2:13]), "x"), (None, " ".join(words[2:13]), "x"), ("a", " ".join(words[22:33]), "x"), ("c", "", "x"), ("d", None, "x")], "item_id string, text string, doc_id string")
+    docs = table(spark, rows)
+    line = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    whole = line(leaks.report(docs, benchmark))
+    assert len(whole) == len(rows)
+    assert [r for r in whole if r[0] == 1] == sorted([(1, 15, 11, 2, sha(b"b"), True)] * 2 + [(1, 14, 11, 1, sha(b"a"), True)], key=str)
+    spans, kept = line(leaks.remove_spans(docs, benchmark)), line(leaks.remove_documents(docs, benchmark))
+    assert [r[0] for r in kept] == [2, 3, None] and (1, " ".join(words[:2]) + "  " + " ".join(words[13:15])) in spans
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", 10)
+    assert (line(leaks.report(docs, benchmark)), line(leaks.remove_spans(docs, benchmark)), line(leaks.remove_documents(docs, benchmark))) == (whole, spans, kept)
+
+
+def test_keep_one_of_repeated_ids(spark):
+    rows = [(5, "A"), (5, "B"), (7, "a"), (7, "a"), (None, "only null"), (None, "ONLY null"), (3, "b")]
+    docs = table(spark, rows)
+    assert sorted(((r["doc_id"], r["text"]) for r in exact.keep_one(docs).collect()), key=str) in ([(5, "B"), (7, "a"), (None, "ONLY null")], [(5, "B"), (7, "a"), (None, "only null")])
+
+
+def test_long_texts(spark):
+    """Texts beyond a piece of two megabytes, and a word beyond it."""
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 9))) for _ in range(450_000))
+    assert len(long) > base.PIECE_BYTES
+    docs = table(spark, [(1, long), (2, long + " x"), (3, "z" * (base.PIECE_BYTES + 10)), (4, "short")])
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.report(docs).collect()}
+    assert removed == {1: (450_000, 0), 2: (450_001, 450_000), 3: (1, 0), 4: (1, 0)}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.report(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r["doc_id"]: r["n_tokens"] for r in lm.report(docs).collect()} == {1: 450_001, 2: 450_002, 3: 2, 4: 2}
+    pieces = defaultdict(int)
+    for r in packing.pack(docs.filter("doc_id <> 3")).collect():
+        pieces[r["doc_id"]] += r["length"]
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    assert pieces[1] == len(tokenizer.encode(long, add_special_tokens=False).ids) + 1
+
+
+def test_stages_on_empty_tables(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    for df in (exact.keep_one(empty), jaccard.keep_one(empty), leaks.remove_documents(empty, benchmark), leaks.remove_spans(empty, benchmark), quality.keep_good(empty, labels), pii.redact(empty, pii.report(empty))):
+        assert df.count() == 0
+    docs = table(spark, [(1, "a"), (2, None)])
+    assert leaks.remove_documents(docs, benchmark).count() == 2
+
+
+def test_personal_data_report(docs, spark):
+    """Counts, digest and base part of the spans of every row, against the patterns alone."""
+    kinds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def good(kind, text):
+        digits = re.sub("[^0-9]", "", text)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in text.split("."))
+        if kind == "card":
+            return 13 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    found = docs.sparkSession.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(table(spark, [(9001, "é 10.0.0.256 1.2.3.4.5 a@b a@b.c. +1 (555) 123-4567x 4111 1111 1111 1111"), (9002, None)]).select("doc_id", "text", "lang", "source", "n_chars"), allowMissingColumns=True)
+    texts = {r["doc_id"]: r["text"] or "" for r in found.collect()}
+    for r in pii.report(found).collect():
+        spans = [(k, m.start(), m.end()) for k, p in kinds.items() for m in re.finditer(p, texts[r["doc_id"]]) if good(k, m.group())]
+        line = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        assert r["base_sha256"] == sha(line.encode())
+        assert [r[f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in spans) for k in kinds]
+        assert [x for x in (r["spans"] or "").split(",") if x.split(":")[0] in kinds] == (line.split(",") if line else [])
+
+
 def test_token_counts_equal_the_library(docs, corpus):
     import public_tokenizers
     import sentencepiece
