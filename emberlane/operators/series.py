@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def _order(*keys: str, by: str = "step"):
     return Window.partitionBy(*keys).orderBy(by)
@@ -127,9 +129,9 @@ def top1_per_group(rows: DataFrame, key: str, by: list[Column], columns: list[st
 
 def rank_jump(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Ranks of keys in two lists of totals, and the difference."""
-    place = F.rank().over(Window.orderBy(F.desc(value))).cast("long")
-    x = a.select(key, place.alias("rank_a"))
-    y = b.select(key, place.alias("rank_b"))
+    # equal totals share the first place among them
+    first = F.min("_number").over(Window.partitionBy(value)) + 1
+    x, y = (numbered(t.select(key, value), F.desc(value)).select(key, first.cast("long").alias(n)) for t, n in ((a, "rank_a"), (b, "rank_b")))
     return x.join(y, key, "full_outer").withColumn("jump", F.col("rank_a") - F.col("rank_b"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import agreement, joins, series
+from ..sources.store import stored
 from . import q_panel
 from . import views as v
 from .views import entry, table, with_views
@@ -24,12 +25,40 @@ def _paths(spark, d):
     return v.events(spark, d).join(joins.event_steps(v.events(spark, d)).join(v.dense(spark, d), ["symbol", "step"]).select("event_id", "step", F.col("n").alias("value")), "event_id").select("event_id", (F.col("step") - F.col("start")).alias("age"), "value")
 
 
+def _clusters(spark, d):
+    """Clusters drawn 200 times, from their sums; the mean of each replica."""
+    sums = v.durations(spark, d).groupBy("cluster").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
+    drawn = agreement.bootstrap_clusters(sums, "cluster", 200)
+    return drawn.groupBy("replica").agg(F.sum("n").alias("n"), (F.sum("t") / F.sum("n")).alias("mean_t"))
+
+
+def _permuted(spark, d):
+    """The correlation of durations with a covariate against 500 permutations of it."""
+    rows = stored(v.durations(spark, d).select("o_orderkey", "t", "x2"), "durations")
+    dealt = agreement.placebo_permute(rows, "o_orderkey", "x2", 500).join(rows.select("o_orderkey", "t"), "o_orderkey")
+    return agreement.placebo_p(rows.agg(F.corr("t", "x2").alias("statistic")), dealt.groupBy("replica").agg(F.corr("t", "x2_placebo").alias("statistic")))
+
+
+def _trajectories(spark, d):
+    """The correlation of an event's length with its mean path against 300 exchanges of paths by age."""
+    paths = stored(_paths(spark, d), "paths")
+    length = paths.groupBy("event_id").agg((F.max("age") + 1).alias("length"))
+
+    def statistic(df, *keys):
+        means = df.groupBy(*keys, "event_id").agg(F.avg("value").alias("mean")).join(F.broadcast(length), "event_id")
+        return means.groupBy(*keys).agg(F.corr("length", "mean").alias("statistic"))
+
+    return agreement.placebo_p(statistic(paths), statistic(agreement.placebo_trajectory(paths, 300), "replica"))
+
+
 QUERIES = {
-    "r1_bootstrap_clusters": entry(lambda s, d: agreement.bootstrap_clusters(v.durations(s, d), "cluster", 20).groupBy("replica").agg(F.count("*").alias("n"), F.avg("t").alias("mean_t"))),
-    "r2_bootstrap_stat": entry(lambda s, d: agreement.bootstrap_stat(v.durations(s, d), "t", "o_orderkey", 100)),
+    "r1_bootstrap_clusters": entry(_clusters),
+    "r2_bootstrap_stat": entry(lambda s, d: agreement.bootstrap_stat(v.durations(s, d), "t", "o_orderkey", 5000)),
     "r3_bootstrap_summary": entry(lambda s, d: agreement.bootstrap_summary(table(s, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.avg("l_discount").alias("x")), ["l_returnflag"], "x", 0.05), """select *, low > 0.05 or high < 0.05 as excludes from (select l_returnflag, count(x) as n, avg(x) as mean, stddev_samp(x) as se, quantile_cont(x, 0.025) as low, quantile_cont(x, 0.5) as median, quantile_cont(x, 0.975) as high
         from (select l_returnflag, l_suppkey, avg(l_discount) as x from lineitem group by 1, 2) group by 1)""", "mean se low median high"),
     "r4_placebo_permute": entry(lambda s, d: agreement.placebo_permute(v.durations(s, d), "o_orderkey", "x2", 3).groupBy("replica").agg(F.count("*").alias("n"), F.sum("x2_placebo").alias("total")), with_views("dur", "select cast(r as integer) as replica, count(*) as n, sum(x2) as total from dur, (select unnest([1, 2, 3]) as r) group by 1"), "total"),
+    "r4_placebo_p": entry(_permuted),
+    "r5_placebo_p": entry(_trajectories),
     "r5_placebo_trajectory": entry(lambda s, d: agreement.placebo_trajectory(_paths(s, d), 5).groupBy("replica").agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("events"), F.count_if(F.col("donor") == F.col("event_id")).alias("own")), with_views("cat", 'select cast(r as integer) as replica, cast(sum(duration) as bigint) as "rows", count(*) as events, 0 as own from cat, (select unnest([1, 2, 3, 4, 5]) as r) group by 1')),
     "r6_sign_counts": entry(lambda s, d: agreement.sign_counts(table(s, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.avg(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity"))) - F.avg(F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity"))), 4).alias("x")).dropna(), "x"), """with x as (select l_orderkey, round(avg(l_quantity) filter (l_linenumber % 2 = 0) - avg(l_quantity) filter (l_linenumber % 2 = 1), 4) as x from lineitem group by 1), y as (select * from x where x is not null),
         r as (select x, abs(x) as a, (rank() over (order by abs(x)) + rank() over (order by abs(x)) + count(*) over (partition by abs(x)) - 1) / 2 as k from y where x <> 0) select count(*) as n, count(*) filter (x > 0) as n_positive, sum(k) filter (x > 0) as rank_sum, (select avg(x) from y) as mean, (select avg(x) / (stddev_samp(x) / sqrt(count(x))) from y) as t from r""", "rank_sum mean t"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlane.functions import cleaning, stance
-from emberlane.operators import agreement, panel
+from emberlane.operators import agreement, panel, ranks
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +79,24 @@ def test_exact_tests():
     assert agreement.binomial_p(5, 10) == 1.0
     assert agreement.binomial_p(0, 5) == pytest.approx(2 / 32)
     assert agreement.exact_p(0.9, [0.1, 0.95, 0.2]) == pytest.approx(0.5)
+
+
+def test_numbering_is_one_order(spark):
+    rows = spark.createDataFrame([(i, (i * 7919) % 101) for i in range(500)], "id long, x long").repartition(7)
+    found = [(r["_number"], r["x"], r["id"]) for r in ranks.numbered(rows, "x", "id").collect()]
+    assert [(x, i) for _, x, i in sorted(found)] == sorted((x, i) for _, x, i in found)
+    assert sorted(n for n, _, _ in found) == list(range(500))
+
+
+def test_poisson_bootstrap(spark):
+    """Weights have mean and variance 1, so the deviation of replicas is that of the mean."""
+    rows = spark.range(400).select("id", (F.col("id") % 10).cast("double").alias("x"))
+    r = agreement.bootstrap_stat(rows, "x", "id", 3000).first()
+    assert r["n"] == 3000 and r["mean"] == pytest.approx(4.5, abs=0.02)
+    assert r["se"] == pytest.approx((8.25 / 400) ** 0.5, rel=0.06)
+    assert r["low"] < 4.5 - 1.7 * r["se"] and r["high"] > 4.5 + 1.7 * r["se"]
+
+
+def test_placebo_p(spark):
+    real, replicas = spark.createDataFrame([(2.0,)], "statistic double"), spark.createDataFrame([(float(x),) for x in (-3, 1, 0, 2)], "statistic double")
+    assert tuple(agreement.placebo_p(real, replicas).first()) == (2.0, 4, 2, 0.6)
