@@ -41,18 +41,23 @@ def mention_routes(texts: DataFrame, key: str, text: str, dictionary: DataFrame)
     low = F.regexp_extract_all(F.lower(t), F.lit(r"([a-z]{3,})"), F.lit(1))
     found = texts.select(
         F.col(key),
-        F.array_join(low, " ").alias("_joined"),
         F.transform(F.regexp_extract_all(t, F.lit(r"\$([A-Za-z]{1,5})\b"), F.lit(1)), F.upper).alias("_cash"),
         F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z$])([A-Z]{3,5})(?![A-Za-z])"), F.lit(1)).alias("_token"),
         low.alias("_word"),
     )
     as_route = lambda c, r: F.transform(F.array_distinct(c), lambda k: F.struct(F.lit(r).alias("route"), k.alias("key")))
-    keys = found.select(key, F.explode(F.concat(as_route("_cash", "cashtag"), as_route("_token", "token"), as_route("_word", "word"))).alias("k")).select(key, "k.*")
-    plain = keys.join(dictionary.filter("route <> 'phrase'"), ["route", "key"]).select(key, "symbol", "route")
-    phrases = dictionary.filter("route = 'phrase'").select("symbol", F.col("key").alias("_p"), F.element_at(F.split("key", " "), 1).alias("_first"))
-    starts = found.select(key, "_joined", F.explode(F.array_distinct("_word")).alias("_first"))
-    phrase = starts.join(phrases, "_first").filter(F.col("_joined").contains(F.col("_p"))).select(key, "symbol", F.lit("phrase").alias("route"))
-    return plain.unionByName(phrase).distinct()
+    keys = found.select(F.col(key).alias("_id"), F.explode(F.concat(as_route("_cash", "cashtag"), as_route("_token", "token"), as_route("_word", "word"))).alias("k")).select("_id", "k.*")
+    # a phrase is met by its first word; texts are joined once, with what may be in them
+    is_phrase = F.col("route") == "phrase"
+    wanted = dictionary.select(
+        F.when(is_phrase, "word").otherwise(F.col("route")).alias("route"),
+        F.when(is_phrase, F.element_at(F.split("key", " "), 1)).otherwise(F.col("key")).alias("key"),
+        F.struct("symbol", "route", F.when(is_phrase, F.col("key")).alias("phrase")).alias("_d"),
+    )
+    met = keys.join(wanted, ["route", "key"]).groupBy(F.col("_id").alias("_of")).agg(F.collect_set("_d").alias("_c"))
+    there = lambda c: c["phrase"].isNull() | F.contains("_joined", c["phrase"])
+    rows = texts.select(F.col(key), F.array_join(low, " ").alias("_joined")).join(met, F.col(key) == F.col("_of"))
+    return rows.select(key, F.explode(F.filter("_c", there)).alias("_m")).select(key, "_m.symbol", "_m.route").distinct()
 
 
 def detect_mentions(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:

@@ -101,12 +101,15 @@ def _normal(text: Column) -> Column:
 def contains_join(texts: DataFrame, names: DataFrame, id_column: str, text: str) -> DataFrame:
     """C11: (id, symbol) where a normalised text contains a normalised name as whole words.
 
-    Each text's distinct words meet the first words of the names in an equi-join; only those candidates are searched.
+    Distinct words, without their texts, meet the first words of the names in an equi-join; a text is then joined once with
+    its candidates and searched for them.
     """
-    rows = texts.select(id_column, _normal(F.col(text)).alias("_t"))
-    wanted = names.select("symbol", _normal(F.col("name")).alias("_n")).withColumn("_w", F.element_at(F.split(F.trim("_n"), " "), 1))
-    words = rows.withColumn("_w", F.explode(F.array_distinct(F.split(F.trim("_t"), " "))))
-    return words.join(wanted, "_w").filter(F.col("_t").contains(F.col("_n"))).select(id_column, "symbol").distinct()
+    wanted = names.select("symbol", _normal(F.col("name")).alias("_n")).withColumn("_first", F.element_at(F.split(F.trim("_n"), " "), 1))
+    normal = texts.select(id_column, _normal(F.col(text)).alias("_t"))
+    words = normal.select(id_column, F.explode(F.array_distinct(F.split(F.trim("_t"), " "))).alias("_first"))
+    candidates = words.join(wanted, "_first").groupBy(id_column).agg(F.collect_set(F.struct("symbol", "_n")).alias("_c"))
+    met = normal.join(candidates, id_column)
+    return met.select(id_column, F.explode(F.filter("_c", lambda c: F.contains("_t", c["_n"]))).alias("_m")).select(id_column, "_m.symbol").distinct()
 
 
 def asof_value(events: DataFrame, prices: DataFrame) -> DataFrame:
