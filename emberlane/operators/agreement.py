@@ -187,7 +187,10 @@ def threshold_ladder(df: DataFrame, a: str, b: str, size: str, thresholds: list[
 def series_agreement(df: DataFrame, key: str, x: str, y: str, size: str, least: int) -> DataFrame:
     """L4: correlation per key, and pooled (key null), of rows with enough signal."""
     rows = df.filter(F.col(size) >= least).dropna(subset=[x, y])
-    return rows.rollup(key).agg(F.count("*").alias("n"), F.round(F.corr(x, y), 6).alias("corr"))
+    found = [F.count("*").alias("n"), F.round(F.corr(x, y), 6).alias("corr")]
+    # the pooled row is there without rows, too
+    pooled = rows.agg(*found).select(F.lit(None).cast(rows.schema[key].dataType).alias(key), "n", "corr")
+    return rows.groupBy(key).agg(*found).unionByName(pooled)
 
 
 def event_study(mentions: DataFrame, ignitions: DataFrame, span: DataFrame, before: int = 1, after: int = 3) -> DataFrame:
