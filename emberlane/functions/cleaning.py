@@ -94,15 +94,20 @@ def equity_code(code: Column) -> Column:
     return ~unit.isin(4, 5) & ~ten.isin(7, 2, 4)
 
 
-def flag_instruments(name: Column) -> list[Column]:
-    """Flags from words in the name."""
-    fund = name.rlike(r"(?i)\b(fund|etf|trust)\b")
-    return [
-        name.rlike(r"(?i)\b(acquisition|blank check|spac)\b").alias("is_spac"),
-        (name.rlike(r"(?i)\b(bitcoin|crypto|blockchain)\b") & ~fund).alias("is_crypto"),
-        name.rlike(r"(?i)\b(adr|ads|depositary)\b").alias("is_adr"),
-        name.rlike(r"(?i)\b(warrant|right|unit|preferred|note)s?\b").alias("is_non_share"),
-    ]
+#: Symbols of crypto equities, and the patterns of names.
+CRYPTO = "RIOT MARA HIVE HVBT HUT BITF CLSK CIFR WULF CORZ IREN BTBT CAN EBON SOS BTCS GREE ARBK COIN MSTR BTDR ABTC BTM SDIG DGHI MIGI BTOG".split()
+SPAC_NAME = r"\bACQUISITIONS?\b|\bSPAC\b"
+CRYPTO_NAME = r"\bBITCOIN\b|\bBLOCKCHAIN\b|\bCRYPTO\b|\bETHEREUM\b|\bDIGITAL ASSET"
+ADR_NAME = "ADR|AMERICAN DEPOSITARY"
+NON_SHARE_NAME = "WARRANT|RIGHT|UNIT|PREFERRED|PREFERENCE|DEPOSITARY|NOTES? DUE|DEBENTURE|BOND|TRUST PREFERRED|SUBORDINATED"
+
+
+def flag_instruments(name: Column, symbol: Column, code: Column) -> list[Column]:
+    """Flags from the name; a crypto equity is listed or named so, and no fund (share code 7x). A missing name has no flag."""
+    upper = F.coalesce(F.upper(name), F.lit(""))
+    crypto = F.coalesce(symbol.isin(CRYPTO), F.lit(False)) | upper.rlike(CRYPTO_NAME)
+    fund = F.coalesce(F.floor(code / 10) == 7, F.lit(False))
+    return [upper.rlike(SPAC_NAME).alias("is_spac"), (crypto & ~fund).alias("is_crypto"), upper.rlike(ADR_NAME).alias("is_adr"), upper.rlike(NON_SHARE_NAME).alias("is_non_share")]
 
 
 def parse_day(text: Column) -> Column:
@@ -162,8 +167,8 @@ def derive_covariates(z: Column, base: Column, amplitude: Column, volume_ratio:
 
 
 def label_coupling(lag: Column) -> Column:
-    """The price peak within two days of the attention peak is synchronous, before it leads, after it trails."""
-    return F.when(lag.isNull(), "no_price").when(F.abs(lag) <= 2, "synchronous").when(lag < 0, "price_leads").otherwise("price_trails")
+    """The price peak less than two days from the attention peak is synchronous, before it leads, after it trails."""
+    return F.when(lag.isNull(), "no_price").when(F.abs(lag) < 2, "synchronous").when(lag < 0, "price_leads").otherwise("price_trails")
 
 
 def label_phase(day: Column, start: Column, end: Column) -> Column:
@@ -171,6 +176,27 @@ def label_phase(day: Column, start: Column, end: Column) -> Column:
     return F.when(day < start, "pre").when(day > end, "post").otherwise("event")
 
 
+def label_life(delisted: Column, following: Column) -> Column:
+    """How a life of a symbol ended: delisted, renamed (another symbol follows), or not."""
+    return F.when(delisted, "delisted").when(following.isNotNull(), "renamed").otherwise("active")
+
+
+def label_era(year: Column) -> Column:
+    """The years to 2021, 2022 and 2023, and those after."""
+    return F.when(year <= 2021, "2020-2021 meme").when(year <= 2023, "2022-2023").otherwise("2024-2026")
+
+
+def label_tier(similarity: Column) -> Column:
+    """How strong a match of names is."""
+    return F.when(similarity >= 0.8, "high").when(similarity >= 0.5, "middle").otherwise("low")
+
+
+def label_listing(registered: Column, first_filing: Column, since: Column) -> list[Column]:
+    """An approximate listing date and how it was found; an old registration is for review, no date is for handwork."""
+    by = F.when(registered >= since, "registration").when(registered.isNotNull(), "review_old_registration").when(first_filing >= since, "first_filing").otherwise("manual")
+    return [F.coalesce(registered, F.when(first_filing >= since, first_filing)).alias("listed"), by.alias("listing_method")]
+
+
 def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order that leaves no ties."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

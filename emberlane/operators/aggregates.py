@@ -32,10 +32,14 @@ def check_conservation(rows: DataFrame, value: str = "n") -> DataFrame:
     return m.agg(at(1).alias("by_community"), at(2).alias("by_kind"), at(3).alias("whole")).withColumn("holds", (F.col("by_community") == F.col("whole")) & (F.col("by_kind") == F.col("whole")))
 
 
-def ingest_metrics(rows: DataFrame, file: str, in_month: Column, removed: Column) -> DataFrame:
-    """Read, in the month, removed, per file."""
+def ingest_metrics(rows: DataFrame, file: str, in_month: Column, removed: Column, symbols: Column) -> DataFrame:
+    """Read, in the month, removed, and of the rest the mentions and distinct symbols, per file; ``symbols`` is an array."""
     count = lambda c: F.count(F.when(c, 1))
-    return rows.groupBy(file).agg(F.count("*").alias("n_read"), count(in_month).alias("n_in_month"), count(in_month & removed).alias("n_removed"))
+    used = F.when(in_month & ~removed, symbols)
+    r = rows.select(file, in_month.alias("_in"), (in_month & removed).alias("_gone"), used.alias("_s"))
+    per = r.groupBy(file).agg(F.count("*").alias("n_read"), count(F.col("_in")).alias("n_in_month"), count(F.col("_gone")).alias("n_removed"), F.coalesce(F.sum(F.size("_s")), F.lit(0)).alias("n_mentions"))
+    kinds = r.select(F.col(file).alias("_file"), F.explode("_s").alias("_k")).distinct().groupBy("_file").agg(F.count("*").alias("n_symbols"))
+    return per.join(kinds, F.col(file).eqNullSafe(F.col("_file")), "left").drop("_file").na.fill(0, ["n_symbols"])
 
 
 def rank_symbols(series: DataFrame) -> DataFrame:
@@ -111,6 +115,14 @@ def leaderboard(rows: DataFrame, gold: str, models: list[str], by: str) -> DataF
     return long.groupingSets([["model", by], ["model"]], "model", by).agg(F.round(F.avg((F.col("vote") == F.col(gold)).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
+def pairwise_agreement(rows: DataFrame, models: list[str]) -> DataFrame:
+    """Share of equal votes of each pair of models, over rows where both voted; one pass over the rows."""
+    pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1 :]]
+    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    found = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), F.round(F.avg((F.col(a) == F.col(b)).cast("int")), 6).alias("agreement")) for a, b in pairs]
+    return rows.agg(F.array(*found).alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*")
+
+
 def classification_report(rows: DataFrame, gold: str, pred: str) -> DataFrame:
     """Precision, recall and F1 of each class."""
     long = rows.select(F.explode(F.array_distinct(F.array(gold, pred))).alias("label"), gold, pred)
@@ -121,6 +133,23 @@ def classification_report(rows: DataFrame, gold: str, pred: str) -> DataFrame:
     return out.select("label", "support", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * F.col("tp"), F.col("predicted") + F.col("support")), 6).alias("f1"))
 
 
+def classification_summary(report: DataFrame) -> DataFrame:
+    """From a report per class: accuracy, macro F1, and balanced accuracy over the classes that occur; a class never said
+    or never given has F1 0."""
+    real = F.when(F.col("support") > 0, F.coalesce("recall", F.lit(0.0)))
+    return report.agg(
+        F.sum("support").alias("n"), F.round(F.try_divide(F.sum(F.coalesce("recall", F.lit(0.0)) * F.col("support")), F.sum("support")), 6).alias("accuracy"),
+        F.round(F.avg(F.coalesce("f1", F.lit(0.0))), 6).alias("macro_f1"), F.round(F.avg(real), 6).alias("balanced_accuracy"),
+    )
+
+
+def class_weights(rows: DataFrame, label: str) -> DataFrame:
+    """Rows over classes times the class's rows, so that each class weighs the same."""
+    per = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    w = Window.partitionBy()  # one row per class
+    return per.select(label, "n", (F.sum("n").over(w) / (F.count("*").over(w) * F.col("n"))).alias("weight"))
+
+
 def coverage_curve(rows: DataFrame, gold: str, pred: str, p: str, thresholds: list[float]) -> DataFrame:
     """Coverage and accuracy of the rows above each threshold."""
     long = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
@@ -168,11 +197,14 @@ def sample_median(rows: DataFrame, key: str, order: list[str], value: str, n: in
     return rows.withColumn("_n", place).filter(F.col("_n") <= n).groupBy(key).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count("*").alias("used"))
 
 
-def source_profile(rows: DataFrame, source: str, day: str, text: str, score: str) -> DataFrame:
-    """Rows, days, share without usable text, median score, rows per day."""
+def source_profile(rows: DataFrame, source: str, day: str, text: str, score: str, link: Column | None = None) -> DataFrame:
+    """Rows, days, shares of removed, of links, of empty, of usable and of long texts, median score, rows per day."""
     empty = F.col(text).isNull() | (F.length(text) == 0)
+    removed = F.coalesce(F.col(text).isin("[removed]", "[deleted]"), F.lit(False))
+    link = F.coalesce(link, F.lit(False)) if link is not None else F.lit(False)
+    share = lambda c: F.round(100 * F.avg(c.cast("int")), 6)
     return rows.groupBy(source).agg(
-        F.count("*").alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.round(100 * F.avg(empty.cast("int")), 6).alias("pct_empty"),
-        F.round(100 * F.avg((F.length(text) >= 500).cast("int")), 6).alias("pct_long"), F.percentile(score, F.lit(0.5)).alias("median_score"),
+        F.count("*").alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), share(empty).alias("pct_empty"),
+        share(removed).alias("pct_removed"), share(link).alias("pct_link"), share(~link & ~removed).alias("pct_usable"), share(F.length(text) >= 500).alias("pct_long"), F.percentile(score, F.lit(0.5)).alias("median_score"),
         F.round(F.count("*") / (F.max(day) - F.min(day) + 1), 6).alias("rows_per_day"),
     )

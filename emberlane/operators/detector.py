@@ -125,12 +125,12 @@ def detect_in_pandas(z: DataFrame, p: Params) -> DataFrame:
 
 
 def merge_close(events: DataFrame, gap: int | Column, *keys: str) -> DataFrame:
-    """events of a symbol at most ``gap`` apart are one; the first's baseline and the last's censoring stay."""
+    """events of a symbol at most ``gap`` apart are one; the first's baseline and the last's censoring stay, ``n_merged`` counts them."""
     by = keys or ("symbol",)
     w = Window.partitionBy(*by).orderBy("start")
     fresh = F.coalesce(F.col("start") - F.lag("end").over(w) > gap, F.lit(True))
     numbered = events.withColumn("_g", F.sum(fresh.cast("int")).over(w))
-    first = [F.min_by(c, "start").alias(c) for c in ("mu0", "sigma0", "z0")]
+    first = [F.min_by(c, "start").alias(c) for c in ("mu0", "sigma0", "z0")] + [F.count("*").alias("n_merged")]
     return numbered.groupBy(*by, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("censored", "start").alias("censored"), *first).drop("_g")
 
 
@@ -144,7 +144,7 @@ def finalize(events: DataFrame, dense: DataFrame, p: Params) -> DataFrame:
     amplitude = F.col("peak_n") / F.greatest("mu0", F.lit(1.0))
     return out.select(
         "event_id", "symbol", "start", "peak", "end", duration.alias("duration"), (F.col("peak") - F.col("start")).alias("to_peak"), "peak_n", "total", "mu0", "sigma0", "z0", "censored",
-        ((duration >= p.min_steps) & (F.col("total") >= p.min_total)).alias("principal"), amplitude.alias("amplitude"), ((duration >= 60) & (amplitude < 8)).alias("slow"),
+        ((duration >= p.min_steps) & (F.col("total") >= p.min_total)).alias("principal"), amplitude.alias("amplitude"), ((duration >= 60) & (amplitude < 8)).alias("slow"), "n_merged",
     )
 
 
@@ -204,9 +204,9 @@ def detector_daily(cat: DataFrame, dense: DataFrame, p: Params) -> DataFrame:
 
 
 def eligibility_table(cat: DataFrame, daily: DataFrame, p: Params) -> DataFrame:
-    """F8: end, confirmation, the step of eligibility, and whether the event dies on it."""
+    """F8: end, confirmation, the step of eligibility, whether the event dies on it, and the events that were fused."""
     known = series.eligibility(daily, p.min_total, p.min_steps)
-    out = cat.select("event_id", "symbol", "start", "end", "censored").join(known, "event_id", "left")
+    out = cat.select("event_id", "symbol", "start", "end", "censored", "n_merged").join(known, "event_id", "left")
     return out.withColumn("confirmed", F.when(~F.col("censored"), F.col("end") + p.k_off)).withColumn("dies_on_eligibility", F.col("eligible") == F.col("end"))
 
 
@@ -215,6 +215,28 @@ def band_bubbles(dense: DataFrame, window: int = 15, least_band: int = 2) -> Dat
     return series.runs(series.bands(dense, window).withColumn("flag", F.col("band") >= least_band), "flag")
 
 
+def bubble_cover(cat: DataFrame, bubbles: DataFrame) -> DataFrame:
+    """how many of a catalog's events overlap some bubble of their symbol."""
+    met = joins.overlap_join(cat.select("symbol", "start", "end"), bubbles.select("symbol", "start", "end"), "symbol")
+    per = met.groupBy("symbol", "a_start").agg(F.count("b_start").alias("_n"))
+    return per.agg(F.count("*").alias("events"), F.count_if(F.col("_n") > 0).alias("covered"), F.round(F.try_divide(F.count_if(F.col("_n") > 0), F.count("*")), 6).alias("share"))
+
+
+def compare_catalogs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """events of both catalogs, pairs matched one to one, and what each has alone."""
+    sizes = a.agg(F.count("*").alias("n_a")).join(b.agg(F.count("*").alias("n_b")))
+    pairs = joins.match_catalogs(a, b).agg(F.count("*").alias("matched"))
+    return sizes.join(pairs).select("n_a", "n_b", "matched", (F.col("n_a") - F.col("matched")).alias("only_a"), (F.col("n_b") - F.col("matched")).alias("only_b"))
+
+
+def twin_events(cat: DataFrame, pairs: DataFrame) -> DataFrame:
+    """for named pairs of symbols (a, b): overlapping events, the same episode in both."""
+    mine = lambda name: pairs.join(cat.select(F.col("symbol").alias(name), "start", "end"), name).select("a", "b", "start", "end").withColumn("pair", F.struct("a", "b"))
+    met = joins.overlap_join(mine("a"), mine("b"), "pair", keep_unmatched=False)
+    n = met.groupBy("pair").agg(F.count("*").alias("overlapping"))
+    return pairs.select("a", "b").withColumn("pair", F.struct("a", "b")).join(n, "pair", "left").na.fill(0, ["overlapping"]).drop("pair")
+
+
 def fact_profile(facts: DataFrame, dense: DataFrame, around: int = 7) -> DataFrame:
     """the series around dated facts, by distance."""
     near = facts.select("fact_id", "symbol", F.col("step").alias("at"), F.explode(F.sequence(F.col("step") - around, F.col("step") + around)).alias("step"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from ..functions.cleaning import label_tier
 
 
 def enrich(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,12 +66,24 @@ def valid_on(df: DataFrame, lives: DataFrame, key: str, day: str, start: str, en
     return met.groupBy("_row").agg(F.first(F.struct(*ids)).alias("_d"), found).select("_d.*", "_l.*")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, key: str, keep_unmatched: bool = True) -> DataFrame:
-    """Intervals [start, end] of the same key that overlap, with the distance of their starts."""
-    x = a.select(key, F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    y = b.select(F.col(key).alias("_k"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    on = (F.col(key) == F.col("_k")) & (F.col("a_start") <= F.col("b_end")) & (F.col("a_end") >= F.col("b_start"))
-    return x.join(y, on, "left" if keep_unmatched else "inner").drop("_k").withColumn("start_delta", F.col("b_start") - F.col("a_start"))
+def overlap_join(a: DataFrame, b: DataFrame, key: str, keep_unmatched: bool = True, bucket: int = 30) -> DataFrame:
+    """Intervals [start, end] of the same key that overlap, with the distance of their starts.
+
+    Both sides are listed by the blocks of ``bucket`` steps that they touch, so a key with many intervals is spread over the
+    calendar; a pair counts in the block in which the later of the two starts. Rows without a match have nulls.
+    """
+    blocks = lambda s, e: F.sequence(F.floor(F.col(s) / bucket), F.floor(F.greatest(s, e) / bucket))
+    x = a.select(key, F.col("start").alias("a_start"), F.col("end").alias("a_end")).select("*", F.posexplode_outer(blocks("a_start", "a_end")).alias("_at", "_block"))
+    y = b.select(F.col(key).alias("_k"), F.col("start").alias("b_start"), F.col("end").alias("b_end")).select("*", F.explode(blocks("b_start", "b_end")).alias("_b"))
+    on = (F.col(key) == F.col("_k")) & (F.col("_block") == F.col("_b")) & (F.col("a_start") <= F.col("b_end")) & (F.col("a_end") >= F.col("b_start"))
+    on = on & (F.col("_block") == F.floor(F.greatest("a_start", "b_start") / bucket))
+    met = x.join(y, on, "left" if keep_unmatched else "inner")
+    if keep_unmatched:
+        # a row without any match stays once, with its first block
+        some = F.count("b_start").over(Window.partitionBy(key, "a_start", "a_end")) > 0
+        met = met.withColumn("_some", some).filter(F.col("b_start").isNotNull() | (~F.col("_some") & (F.coalesce("_at", F.lit(0)) == 0)))
+    met = met.select(key, "a_start", "a_end", "b_start", "b_end")
+    return met.withColumn("start_delta", F.col("b_start") - F.col("a_start"))
 
 
 def event_steps(events: DataFrame, pre: int = 0, post: int = 0) -> DataFrame:
@@ -165,6 +182,37 @@ def label_announcements(events: DataFrame, dates: DataFrame, within: int = 2) ->
     return events.join(near.withColumn("announced", F.lit(1)), ["symbol", "start"], "left").na.fill(0, ["announced"])
 
 
+#: Words that say nothing about a company's name.
+_COMPANY = r"\b(INC|CORP|CORPORATION|CO|LTD|PLC|LLC|SA|NV|HOLDINGS?|GROUP|COMPANY|THE|CL A|CL B)\b"
+
+
+def plain_name(name: Column) -> Column:
+    """A company's name before the first semicolon, upper case, without legal forms and signs; null is empty."""
+    upper = F.upper(F.element_at(F.split(F.coalesce(name, F.lit("")), ";"), 1))
+    return F.trim(F.regexp_replace(F.regexp_replace(upper, _COMPANY, ""), "[^A-Z0-9 ]", ""))
+
+
+@F.pandas_udf(DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the matched characters over all characters, as difflib counts them."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def fuzzy_link_names(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Within a key (a symbol: few candidates), the most similar plain name, nearest value on ties, in tiers.
+
+    ``a`` and ``b`` have id, name and value. Each distinct pair of names is compared once.
+    """
+    x = a.select(key, F.col("id").alias("a_id"), plain_name(F.col("name")).alias("a_name"), F.col("value").alias("a_value"))
+    y = b.filter("name is not null").select(key, F.col("id").alias("b_id"), plain_name(F.col("name")).alias("b_name"), F.col("value").alias("b_value"))
+    met = x.join(y, key)
+    scores = met.select("a_name", "b_name").distinct().withColumn("similarity", F.round(_ratio("a_name", "b_name"), 6))
+    rank = F.struct((-F.col("similarity")).alias("s"), F.abs(F.col("a_value") - F.col("b_value")).alias("d"), "b_id")
+    best = met.join(scores, ["a_name", "b_name"]).groupBy("a_id").agg(F.min(rank).alias("m"))
+    s = -F.col("m.s")
+    return best.select("a_id", F.col("m.b_id").alias("b_id"), s.alias("similarity"), label_tier(s).alias("tier"))
+
+
 def fuzzy_link(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Within a key, the most similar name (edit distance over the longer length), nearest value on ties, in tiers."""
     x = a.select(key, F.col("id").alias("a_id"), F.col("name").alias("a_name"), F.col("value").alias("a_value"))
@@ -173,7 +221,7 @@ def fuzzy_link(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     rows = x.join(y, key).withColumn("similarity", F.round(1 - F.levenshtein("a_name", "b_name") / longest, 6))
     best = rows.groupBy("a_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.abs(F.col("a_value") - F.col("b_value")).alias("d"), "b_id")).alias("m"))
     s = -F.col("m.s")
-    return best.select("a_id", F.col("m.b_id").alias("b_id"), s.alias("similarity"), F.when(s >= 0.8, "high").when(s >= 0.5, "middle").otherwise("low").alias("tier"))
+    return best.select("a_id", F.col("m.b_id").alias("b_id"), s.alias("similarity"), label_tier(s).alias("tier"))
 
 
 def apply_patches(base: DataFrame, patches: DataFrame, key: str) -> DataFrame:

@@ -5,9 +5,11 @@ Series are (symbol, step, n) on a dense integer calendar unless said otherwise.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .ranks import numbered
 
@@ -76,14 +78,21 @@ def event_state(rows: DataFrame, kappa: float = 0.25) -> DataFrame:
     return out.withColumn("below", (F.col("step") - F.coalesce(last_ok, first - 1)).cast("long"))
 
 
-def consolidate_lives(spans: DataFrame, entity: str, gap: int = 7) -> DataFrame:
-    """Spans (entity, symbol, start, end as dates) of one symbol, closer than ``gap`` days, as one life."""
+def consolidate_lives(spans: DataFrame, entity: str, gap: int = 7, low: str | None = None, high: str | None = None, last: list[str] | None = None) -> DataFrame:
+    """Spans (entity, symbol, start, end as dates) of one symbol, closer than ``gap`` days, as one life.
+
+    Gaps are those of the spans as given; starts and ends are then clipped to [low, high]. Columns in ``last`` keep the value
+    of the block's last span (the largest of equal ones).
+    """
     w = Window.partitionBy(entity).orderBy("start", "end", "symbol")
     fresh = F.lag("symbol").over(w).isNull() | (F.lag("symbol").over(w) != F.col("symbol")) | (F.datediff("start", F.lag("end").over(w)) > gap)
+    start = F.greatest("start", F.lit(low).cast("date")) if low else F.col("start")
+    end = F.least("end", F.lit(high).cast("date")) if high else F.col("end")
+    kept = [F.max_by(c, F.struct("start", "end", c)).alias(c) for c in last or []]
     return (
         spans.withColumn("block", F.sum(fresh.cast("int")).over(w).cast("long"))
         .groupBy(entity, "block")
-        .agg(F.first("symbol").alias("symbol"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("spans"))
+        .agg(F.min("symbol").alias("symbol"), F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("spans"), *kept)
     )
 
 
@@ -95,6 +104,18 @@ def life_links(lives: DataFrame, entity: str) -> DataFrame:
     return out.withColumn("is_last", F.col("next").isNull()).join(users, "symbol").withColumn("reused", F.col("_users") > 1).drop("_users")
 
 
+def rename_chains(lives: DataFrame, entity: str) -> DataFrame:
+    """Per entity the symbols in order joined by '>', the earliest start, and the number of renames.
+
+    An entity has few lives, which bounds the list; a symbol that returns after another is listed again.
+    """
+    row = F.array_sort(F.collect_list(F.struct("block", "symbol", "start")))
+    symbols = F.transform("_l", lambda x: x["symbol"])
+    fresh = F.filter(symbols, lambda s, i: (i == 0) | (s != F.get(symbols, i - 1)))
+    out = lives.groupBy(entity).agg(row.alias("_l"), F.min("start").alias("earliest"))
+    return out.select(entity, F.array_join(fresh, ">").alias("chain"), "earliest", (F.size(fresh) - 1).cast("long").alias("renames"))
+
+
 def detector_covariates(rows: DataFrame) -> DataFrame:
     """One step's lag of the log change and of the ratios to threshold and running peak (rows of ``event_state``)."""
     w = _order("event_id")
@@ -113,13 +134,21 @@ def adjust_splits(prices: DataFrame, least: float = 0.2) -> DataFrame:
     return out.withColumn("factor", factor).withColumn("adjusted_close", F.col("close") / F.col("factor")).withColumn("adjusted_volume", F.col("volume") * F.col("factor"))
 
 
-def price_arc(prices: DataFrame) -> DataFrame:
-    """An index of 100 at the start from returns; its maximum, its end, what was given back, share of up days."""
-    w = _order("symbol").rowsBetween(Window.unboundedPreceding, 0)
-    out = prices.withColumn("index", 100 * F.exp(F.sum(F.log1p(F.greatest(F.coalesce("ret", F.lit(0.0)), F.lit(-0.999)))).over(w)))
-    return out.groupBy("symbol").agg(
-        F.max("index").alias("highest"), F.max_by("index", "step").alias("last"), (1 - F.max_by("index", "step") / F.max("index")).alias("given_back"), F.avg((F.col("ret") > 0).cast("int")).alias("up_share")
-    )
+def price_arc(prices: DataFrame, base: str = "first") -> DataFrame:
+    """An index from returns: its highest and last points above 100, the share of the rise given back, share of up days.
+
+    ``base`` "first": 100 is the first row's close, its own return does not count; "before": 100 is the close before it, and a
+    symbol whose first return is missing has no arc. Up days are those after the first; missing returns move nothing.
+    """
+    w = _order("symbol")
+    first = F.row_number().over(w) == 1
+    move = F.log1p(F.greatest(F.coalesce("ret", F.lit(0.0)), F.lit(-0.999)))
+    used = F.when(first, 0.0).otherwise(move) if base == "first" else move
+    out = prices.withColumn("_first", first).withColumn("_x", 100 * F.exp(F.sum(used).over(w.rowsBetween(Window.unboundedPreceding, 0))) - 100)
+    if base != "first":
+        out = out.withColumn("_x", F.when(F.max(F.when(F.col("_first"), F.col("ret"))).over(Window.partitionBy("symbol")).isNotNull(), F.col("_x")))
+    high, end = F.max("_x"), F.max_by("_x", "step")
+    return out.groupBy("symbol").agg(high.alias("highest"), end.alias("last"), F.when(high > 0, (high - end) / high).alias("given_back"), F.avg(F.when(~F.col("_first"), (F.col("ret") > 0).cast("int"))).alias("up_share"))
 
 
 def top1_per_group(rows: DataFrame, key: str, by: list[Column], columns: list[str]) -> DataFrame:
@@ -179,16 +208,34 @@ def curve_audit(points: DataFrame, key: str, step: str, value: str, drop: float
 
 
 def longest_consistent(points: DataFrame, key: str, step: str, value: str, drop: float = 0.7) -> DataFrame:
-    """The length of the longest subsequence in which each value is at least ``drop`` times the one before; a curve per key."""
+    """The points of the longest subsequence in which each value is at least ``drop`` times the one before; a curve per key.
 
-    def longest(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, best = pdf.sort_values(step)[value].tolist(), []
-        for i, v in enumerate(values):
-            best.append(1 + max((best[j] for j in range(i) if v >= drop * values[j]), default=0))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "longest": [max(best, default=0)], "points": [len(values)]})
+    Of equally long ones the one that ends first and goes through the earliest points stays; missing values are no points. A
+    curve has one point per step of the calendar, which bounds its list. ``longest`` and ``points`` are the lengths of the
+    subsequence and of the curve.
+    """
 
-    kind = points.schema[key].dataType.simpleString()
-    return points.select(key, step, value).groupBy(key).applyInPandas(longest, f"{key} {kind}, longest long, points long")
+    def consistent(values: np.ndarray) -> list[int]:
+        """Positions of the longest such subsequence."""
+        length, before = np.ones(len(values), int), np.full(len(values), -1)
+        for i in range(1, len(values)):
+            able = np.where(values[i] >= drop * values[:i], length[:i], 0)
+            if able.max() > 0:
+                before[i], length[i] = able.argmax(), able.max() + 1
+        at, rows = int(length.argmax()) if len(values) else -1, []
+        while at >= 0:
+            rows.append(at)
+            at = int(before[at])
+        return rows[::-1]
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def kept(curves: pd.Series) -> pd.Series:
+        return curves.map(lambda x: consistent(np.asarray(x, float)))
+
+    curves = points.filter(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(step, value))).alias("_c"))
+    found = curves.withColumn("_k", kept(F.transform("_c", lambda p: p[value].cast("double"))))
+    sizes = [F.size("_k").cast("long").alias("longest"), F.size("_c").cast("long").alias("points")]
+    return found.select(key, F.explode(F.transform("_k", lambda i: F.get("_c", i))).alias("_p"), *sizes).select(key, "_p.*", "longest", "points")
 
 
 def near_duplicates(points: DataFrame, key: str, step: str, value: str, within: float = 0.005) -> DataFrame:

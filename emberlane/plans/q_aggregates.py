@@ -20,13 +20,20 @@ def _kinds(spark, d):
     return table(spark, d, "events").groupBy((F.col("user_id") % 16).alias("community"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
 
 
+def _profiled(spark, d):
+    text = F.when(F.col("doc_id") % 11 == 0, "[removed]").otherwise(F.col("text"))
+    return table(spark, d, "documents").select("source", (F.col("doc_id") % 97).alias("day"), text.alias("text"), "n_chars", (F.col("doc_id") % 5 == 0).alias("link"))
+
+
 QUERIES = {
     "d1_count_mentions": entry(lambda s, d: aggregates.count_mentions(table(s, d, "events").select(v.hour("ts").alias("step"), F.array("event_type", "event_type", F.when(F.col("value") > 50, "high")).alias("symbols")).withColumn("symbols", F.filter("symbols", lambda x: x.isNotNull()))),
         "select step, symbol, count(*) as n from (select cast(floor(epoch_us(ts) / 3600000000) as bigint) as step, unnest(case when value > 50 then [event_type, 'high'] else [event_type] end) as symbol from events) group by 1, 2"),
     "d2_add_matrices": entry(lambda s, d: aggregates.add_matrices([v.hourly(s, d), v.hourly(s, d).filter("n > 3")]), with_views("h", "select step, symbol, cast(sum(n) as bigint) as n from (select * from h union all select * from h where n > 3) group by 1, 2")),
     "d3_masters": entry(lambda s, d: aggregates.masters(_kinds(s, d)), "select user_id % 16 as community, event_type as kind, cast(grouping(user_id % 16, event_type) as bigint) as level, count(*) as total from events group by grouping sets ((user_id % 16), (event_type), ())"),
     "d3_conservation": entry(lambda s, d: aggregates.check_conservation(_kinds(s, d)), "select count(*) as by_community, count(*) as by_kind, count(*) as whole, true as holds from events"),
-    "d4_ingest_metrics": entry(lambda s, d: aggregates.ingest_metrics(table(s, d, "events"), "event_type", F.dayofmonth("ts") <= 15, F.col("value") < 5), "select event_type, count(*) as n_read, count(*) filter (day(ts) <= 15) as n_in_month, count(*) filter (day(ts) <= 15 and value < 5) as n_removed from events group by 1"),
+    "d4_ingest_metrics": entry(lambda s, d: aggregates.ingest_metrics(table(s, d, "events"), "event_type", F.dayofmonth("ts") <= 15, F.col("value") < 5, F.when(F.col("value") > 50, F.array((F.col("user_id") % 50).cast("string"), F.lit("high"))).otherwise(F.array((F.col("user_id") % 50).cast("string")))),
+        """with u as (select event_type, unnest(case when value > 50 then [(user_id % 50)::varchar, 'high'] else [(user_id % 50)::varchar] end) as k from events where day(ts) <= 15 and value >= 5), m as (select event_type, count(*) as n_mentions, count(distinct k) as n_symbols from u group by 1)
+        select e.*, coalesce(n_mentions, 0) as n_mentions, coalesce(n_symbols, 0) as n_symbols from (select event_type, count(*) as n_read, count(*) filter (day(ts) <= 15) as n_in_month, count(*) filter (day(ts) <= 15 and value < 5) as n_removed from events group by 1) e left join m using (event_type)"""),
     "d5_rank_symbols": entry(lambda s, d: aggregates.rank_symbols(v.hourly(s, d)), with_views("h", 'select symbol, count(*) as steps, cast(sum(n) as bigint) as total, max(n) as most, avg(n) as mean, min(step) as "first", max(step) as "last" from h group by 1'), "mean"),
     "d6_describe": entry(lambda s, d: aggregates.describe(table(s, d, "orders").withColumn("year", F.year("o_orderdate")), "year", "o_totalprice"), "select year, count(*) as n, avg(x) as mean, quantile_cont(x, 0.25) as q25, quantile_cont(x, 0.5) as median, quantile_cont(x, 0.75) as q75, quantile_cont(x, 0.9) as q90 from (select year(o_orderdate) as year, o_totalprice as x from orders) group by rollup (year)", "mean q25 median q75 q90"),
     "d7_top_share": entry(lambda s, d: aggregates.top_share(table(s, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q")), "l_suppkey", "q"), "select l_suppkey, q, row_number() over (order by q desc, l_suppkey) as place, sum(q) over (order by q desc, l_suppkey rows unbounded preceding) / sum(q) over () as share from (select l_suppkey, sum(l_quantity) as q from lineitem group by 1)", "q share"),
@@ -52,9 +59,14 @@ QUERIES = {
         """select state, n, n / sum(n) over () as share from (select case when x is null then 'missing' when x = 0 then 'silent' else 'covered' end as state, count(*) as n from customer left join (select o_custkey, sum((o_orderstatus = 'F')::int) as x from orders where year(o_orderdate) = 1996 group by 1) on o_custkey = c_custkey group by 1)""", "share"),
     "d19_rescale_mass": entry(lambda s, d: aggregates.rescale_mass(v.hourly(s, d).withColumn("n", F.col("n") * F.col("n")), v.hourly(s, d)), with_views("h", "select symbol, step, n * n * (select sum(n) from h) / (select sum(n * n) from h) as n from h"), "n"),
     "d20_sample_median": entry(lambda s, d: aggregates.sample_median(table(s, d, "events"), "event_type", ["ts", "event_id"], "value", 100), "select event_type, median(value) as median, count(*) as used from (select *, row_number() over (partition by event_type order by ts, event_id) as r from events) where r <= 100 group by 1", "median"),
-    "d21_source_profile": entry(lambda s, d: aggregates.source_profile(table(s, d, "documents").withColumn("day", F.col("doc_id") % 97), "source", "day", "text", "n_chars"), """select source, count(*) as "rows", min(day) as first_day, max(day) as last_day, 100 * avg((text is null or length(text) = 0)::int) as pct_empty, 100 * avg((length(text) >= 500)::int) as pct_long, median(n_chars) as median_score,
-        count(*) / (max(day) - min(day) + 1) as rows_per_day from (select *, doc_id % 97 as day from documents) group by 1""", "pct_empty pct_long median_score rows_per_day"),
+    "d21_source_profile": entry(lambda s, d: aggregates.source_profile(_profiled(s, d), "source", "day", "text", "n_chars", F.col("link")), """select source, count(*) as "rows", min(day) as first_day, max(day) as last_day, 100 * avg((text is null or length(text) = 0)::int) as pct_empty, 100 * avg(coalesce(text = '[removed]', false)::int) as pct_removed, 100 * avg(link::int) as pct_link,
+        100 * avg((not link and not coalesce(text = '[removed]', false))::int) as pct_usable, 100 * avg((length(text) >= 500)::int) as pct_long, median(n_chars) as median_score, count(*) / (max(day) - min(day) + 1) as rows_per_day
+        from (select source, doc_id % 97 as day, case when doc_id % 11 = 0 then '[removed]' else text end as text, n_chars, doc_id % 5 = 0 as link from documents) group by 1""", "pct_empty pct_removed pct_link pct_usable pct_long median_score rows_per_day"),
     "c10_weekly_share": entry(lambda s, d: joins.event_rollup(v.dense(s, d), v.events(s, d)), with_views("cat", 'select c.event_id, cast(sum(h.n) as bigint) as total, count(h.n) as steps from cat c join dense h on h.symbol = c.symbol and h.step between c.start and c."end" group by 1')),
+    "d13_pairwise_agreement": entry(lambda s, d: aggregates.pairwise_agreement(_votes(s, d), ["v1", "v2", "v3"]), with_views("m", f""", {_VOTES} select 'v1' as a, 'v2' as b, count(*) as n, avg((v1 = v2)::int) as agreement from votes union all select 'v1', 'v3', count(*), avg((v1 = v3)::int) from votes union all select 'v2', 'v3', count(*), avg((v2 = v3)::int) from votes"""), "agreement"),
+    "d14_summary": entry(lambda s, d: aggregates.classification_summary(aggregates.classification_report(_votes(s, d), "v1", "v3")), with_views("m", f""", {_VOTES}, r as (select label, count(*) filter (v1 = label and v3 = label) as tp, count(*) filter (v1 = label) as support, count(*) filter (v3 = label) as predicted from votes, (select unnest(['bull', 'bear', 'neutral', 'x']) as label) group by 1)
+        select cast(sum(support) as bigint) as n, sum(tp) / sum(support) as accuracy, avg(2 * tp / (predicted + support)) as macro_f1, avg(tp / support) filter (support > 0) as balanced_accuracy from r where support + predicted > 0"""), "accuracy macro_f1 balanced_accuracy"),
+    "d14_class_weights": entry(lambda s, d: aggregates.class_weights(_votes(s, d), "v3"), with_views("m", f", {_VOTES} select v3, count(*) as n, sum(count(*)) over () / (count(*) over () * count(*)) as weight from votes group by 1"), "weight"),
 }
 
 

@@ -35,6 +35,12 @@ def _fuzzy(spark, d, odd):
     return c.select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.concat_ws(" ", "c_mktsegment", F.substring("c_name", 15, 4)).alias("name"), F.col("c_acctbal").alias("value"))
 
 
+def _named_fuzzy(spark, d, odd):
+    """Few candidates a key: customers by nation and the last digits of their number."""
+    key = F.concat_ws("-", "nation", F.floor(F.col("id") / 2) % 50)
+    return _fuzzy(spark, d, odd).withColumn("nation", key).withColumn("name", F.concat("name", F.lit(" Holdings, Inc.; class A")))
+
+
 QUERIES = {
     "c1_enrich": entry(lambda s, d: joins.enrich(table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey"), ["o_custkey"]), "select o_custkey, o_orderkey, c_mktsegment, c_nationkey from orders left join customer on c_custkey = o_custkey"),
     "c2_complete_cases": entry(lambda s, d: joins.complete_cases(table(s, d, "documents").select("doc_id", "lang"), table(s, d, "labels").withColumn("toxic", F.when(F.col("toxic") == 0, 0)), ["doc_id"], ["quality", "toxic"]), "select doc_id, lang, quality, toxic from documents join labels using (doc_id) where toxic = 0 and quality is not null"),
@@ -75,4 +81,5 @@ QUERIES = {
         select (select count(*) from a) as n_a, (select count(*) from b) as n_b, x.n as n_both, (select count(*) from a) - x.n as only_a, (select count(*) from b) - x.n as only_b, (select count(*) from (select * from a union select * from b)) as n_union, x.n / (select count(*) from a) as reproduced from x"""), "reproduced"),
     "c24_recover_ids": entry(lambda s, d: joins.recover_ids(table(s, d, "documents").select("lang", "source", "text"), table(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text"), ["lang", "source"], "text"), """with k as (select lang, source, substring(text, 1, 50) as p, min(doc_id) as id from documents group by 1, 2, 3 having count(*) = 1) select d.lang, d.source, k.id from documents d left join k on k.lang = d.lang and k.source = d.source and k.p = substring(d.text, 1, 50)"""),
     "l7_reproduction_rate": entry(lambda s, d: joins.pair_overlap(v.events(s, d).select("symbol", "start"), _shifted(s, d).select("symbol", (F.col("start") - 1).alias("start"))), with_views("cat", """select count(*) as n_a, count(*) filter (start % 3 <> 0) as n_b, count(*) filter (start % 3 <> 0) as n_both, count(*) filter (start % 3 = 0) as only_a, 0 as only_b, count(*) as n_union, count(*) filter (start % 3 <> 0) / count(*) as reproduced from cat"""), "reproduced"),
+    "c18_fuzzy_link_names": entry(lambda s, d: joins.fuzzy_link_names(_named_fuzzy(s, d, 0), _named_fuzzy(s, d, 1), "nation")),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, joins, panel, series
@@ -52,6 +53,19 @@ def _press(spark, d):
 _PRESS = """pr0 as (select symbol, step, count(*) as n from m where label = 'neutral' group by 1, 2), pr as (select s.symbol, g.step, coalesce(x.n, 0) as n from (select distinct symbol from pr0) s cross join (select unnest(range(lo, hi + 1)) as step from (select min(step) as lo, max(step) as hi from pr0)) g
     left join pr0 x on x.symbol = s.symbol and x.step = g.step)"""
 
+def _adjusted_sql() -> str:
+    """The counts by the inverse of the transposed matrix, spelled out; the inverse of these fixed values is a constant."""
+    inverse = np.linalg.inv(np.array(_CONFUSION).T)
+    names = ("m_bull", "m_bear", "m_neutral")
+    raw = ", ".join("greatest(" + " + ".join(f"{c} * ({inverse[i, j]!r}::double)".replace("np.float64(", "(") for j, c in enumerate(names)) + f", 0.0) as r{i}" for i in range(3))
+    out = ", ".join(f"case when r0 + r1 + r2 > 0 then r{i} * (m_bull + m_bear + m_neutral) / (r0 + r1 + r2) else 0.0 end as {c}_adjusted" for i, c in enumerate(names))
+    counts = ", ".join(f"count(*) filter (label = '{c[2:]}') as {c}" for c in names)
+    return with_views("m", f", c as (select symbol, step, {counts} from m group by 1, 2), x as (select *, {raw} from c) select symbol, step, m_bull, m_bear, m_neutral, {out} from x")
+
+
+_ADJUSTED = _adjusted_sql()
+
+
 QUERIES = {
     "h1_bd_index": entry(lambda s, d: daily(s, d).select("symbol", "step", panel.optimism(F.col("m_bull"), F.col("m_bear")).alias("b"), panel.disagreement(F.col("m_bull"), F.col("m_bear")).alias("d")), with_views("m", """select symbol, step, ln((1 + c) / (1 + v)) as b, case when c + v > 0 then 1 - abs(c - v) / (c + v) end as d
         from (select symbol, step, count(*) filter (label = 'bull') as c, count(*) filter (label = 'bear') as v from m group by 1, 2)"""), "b d"),
@@ -59,7 +73,7 @@ QUERIES = {
     "h3_start_stop": entry(start_stop, _cat_m(_SS + " select * from ss"), "b_lag d_lag log_n_lag"),
     "h4_start_stop_frontier": entry(lambda s, d: start_stop(s, d, frontier=473750), _cat_m(_SS + " select * from ss where step <= 473750"), "b_lag d_lag log_n_lag"),
     "h5_delayed_entry": entry(lambda s, d: panel.delayed_entry(start_stop(s, d), v.catalog(s, d).select("event_id", (F.col("start") + 1).alias("eligible"))).drop("eligible"), _cat_m(_SS + ' select ss.* from ss join cat c on c.event_id = ss.event_id where ss.step > c.start + 1'), "b_lag d_lag log_n_lag"),
-    "h6_adjust_counts": entry(lambda s, d: panel.adjust_counts(daily(s, d).select("symbol", "step", "m_bull", "m_bear", "m_neutral"), ["m_bull", "m_bear", "m_neutral"], _CONFUSION)),
+    "h6_adjust_counts": entry(lambda s, d: panel.adjust_counts(daily(s, d).select("symbol", "step", "m_bull", "m_bear", "m_neutral"), ["m_bull", "m_bear", "m_neutral"], _CONFUSION), _ADJUSTED, "m_bull_adjusted m_bear_adjusted m_neutral_adjusted"),
     "h7_perturb_counts": entry(lambda s, d: panel.perturb_counts(daily(s, d), ["symbol", "step"], ["m_bull", "m_bear", "m_neutral"], _CONFUSION, 3).groupBy("replica").agg(F.sum(F.col("m_bull") + F.col("m_bear") + F.col("m_neutral")).alias("total")), "select cast(unnest([1, 2, 3]) as integer) as replica, (select count(*) from events) as total"),
     "h8_early_features": entry(lambda s, d: panel.early_features(panel_of(s, d)), _cat_m(_PANEL + " select event_id, avg(b) as early_b, coalesce(avg(d), 0.5) as early_d, (avg(d) is null)::int as early_silent from pn where phase = 'event' and age < 3 group by 1"), "early_b early_d"),
     "p1_price_panel": entry(lambda s, d: joins.union_blocks([v.prices(s, d).filter("step < 9500"), v.prices(s, d).filter("step >= 9500")], ["symbol", "step"]).select("symbol", "step", F.round(F.abs("close") * F.col("volume"), 2).alias("turnover"), "volume", "times"), with_views("p", "select symbol, step, round(abs(close) * volume, 2) as turnover, volume, 1 as times from p"), "turnover volume"),

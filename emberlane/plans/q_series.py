@@ -18,17 +18,19 @@ _STATE_SQL = """st as (select *, greatest(mu0 + sigma0, 0.25 * running_peak) as
     select c.event_id, c.symbol, c.start, c."end" as event_end, c.mu0, c.sigma0, d.step, d.n, max(d.n) over w as running_peak, sum(d.n) over w as cumulative
     from cat c join dense d on d.symbol = c.symbol and d.step between c.start and (case when c.censored then c."end" else c."end" + 3 end) window w as (partition by c.event_id order by d.step)))"""
 
-_SPANS = """sp as (select o_custkey as entity, o_orderpriority as symbol, cast(o_orderdate as date) as start, cast(o_orderdate as date) + 30 as "end" from orders)"""
+_SPANS = """sp as (select o_custkey as entity, o_orderpriority as symbol, cast(o_orderdate as date) as start, cast(o_orderdate as date) + 30 as "end", o_orderkey as key from orders)"""
 _LIVES7 = _SPANS + """, blk as (select *, sum(fresh) over (partition by entity order by start, "end", symbol) as block from (select *, case when lag(symbol) over w is null or lag(symbol) over w <> symbol
     or date_diff('day', lag("end") over w, start) > 7 then 1 else 0 end as fresh from sp window w as (partition by entity order by start, "end", symbol))),
     lf as (select entity, cast(block as bigint) as block, min(symbol) as symbol, min(start) as start, max("end") as "end", count(*) as spans from blk group by 1, 2)"""
 
 
-def _lives7(spark, d):
-    o = v.table(spark, d, "orders")
+def _spans(spark, d):
     day = F.to_date("o_orderdate")
-    spans = o.select(F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("symbol"), day.alias("start"), F.date_add(day, 30).alias("end"))
-    return series.consolidate_lives(spans, "entity")
+    return v.table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("symbol"), day.alias("start"), F.date_add(day, 30).alias("end"), F.col("o_orderkey").alias("key"))
+
+
+def _lives7(spark, d):
+    return series.consolidate_lives(_spans(spark, d), "entity")
 
 
 def _totals(spark, d, year):
@@ -36,6 +38,48 @@ def _totals(spark, d, year):
     return o.groupBy(F.col("o_custkey").alias("symbol")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+_GRID = {
+    "base": PARAMS,
+    "kappa_low": detector.Params(**{**PARAMS.__dict__, "kappa": 0.1}),
+    "kappa_high": detector.Params(**{**PARAMS.__dict__, "kappa": 0.5}),
+    "z_low": detector.Params(**{**PARAMS.__dict__, "z_on": 1.5}),
+    "z_high": detector.Params(**{**PARAMS.__dict__, "z_on": 2.5}),
+    "robust": detector.Params(**{**PARAMS.__dict__, "robust": True}),
+}
+
+
+def _scenario(name, p):
+    """SQL for the events of one scenario: the views with its parameters, and with its baseline where that is robust."""
+    sql = with_views("cat", f"""select '{name}' as scenario, symbol, start, "end", censored, mu0, sigma0, z0, duration, cast(total as bigint) as total, principal from cat""")
+    for old, new in (("r.z >= 2.0", f"r.z >= {p.z_on}"), ("0.25 * greatest(w.peak", f"{p.kappa} * greatest(w.peak")):
+        assert old in sql
+        sql = sql.replace(old, new)
+    if p.robust:
+        sql = sql.replace("avg(n) over w", "quantile_cont(n, 0.5) over w").replace("stddev_samp(n) over w", "(quantile_cont(n, 0.75) over w - quantile_cont(n, 0.25) over w) / 1.349")
+    return f"select * from ({sql})"
+
+
+def _scenarios():
+    return " union all ".join(_scenario(name, p) for name, p in _GRID.items())
+
+
+def _weighted(spark, d):
+    """The dense series with one symbol at half its weight, on the scale of the original."""
+    dense = v.dense(spark, d)
+    return aggregates.rescale_mass(dense.withColumn("n", F.col("n") * F.when(F.col("symbol") == "error", 0.5).otherwise(1.0)), dense)
+
+
+def _twins(spark, d):
+    """Pairs of symbols, named by a rule on their names."""
+    a, b = (v.hourly(spark, d).select(F.col("symbol").alias(n)).distinct() for n in "ab")
+    return a.join(b, (F.substring("a", 1, 1) != F.substring("b", 1, 1)) & (F.length("a") <= F.length("b")) & (F.col("a") < F.col("b")))
+
+
+_ARC = with_views("p", """, y as (select symbol, step, ret / 10000 as ret, row_number() over w = 1 as f, ln(1 + greatest(coalesce(ret / 10000, 0.0), -0.999)) as y from p window w as (partition by symbol order by step)),
+    i as (select *, {where} (100 * exp(sum({x}) over (partition by symbol order by step)) - 100) as x from y)
+    select symbol, max(x) as highest, arg_max(x, step) as "last", case when max(x) > 0 then (max(x) - arg_max(x, step)) / max(x) end as given_back, avg(case when f then null when ret > 0 then 1 when ret <= 0 then 0 end) as up_share from i group by symbol""")
+
+
 QUERIES = {
     "e1_baseline": entry(lambda s, d: series.baseline(v.dense(s, d), 24, 12), with_views("dense", """select symbol, step, n, case when count(n) over w >= 12 then avg(n) over w end as mu, case when count(n) over w >= 12 then stddev_samp(n) over w end as sigma
         from dense window w as (partition by symbol order by step rows between 24 preceding and 1 preceding)"""), "mu sigma"),
@@ -57,8 +101,8 @@ QUERIES = {
     "e10_adjust_splits": entry(lambda s, d: series.adjust_splits(v.prices(s, d).withColumn("ret", F.col("ret") * 0.5)).select("symbol", "step", "split", F.log("factor").alias("log_factor")), with_views("p", """,
         q as (select symbol, step, close, ret * 0.5 as ret, lag(close) over (partition by symbol order by step) as b from p), sp as (select *, case when b > 0 and close > 0 and ret > -1 and abs(close / (b * (1 + ret)) - 1) > 0.2
         then close / (b * (1 + ret)) else 1.0 end as split from q) select symbol, step, split, sum(ln(split)) over (partition by symbol order by step) as log_factor from sp"""), "split log_factor"),
-    "e11_price_arc": entry(lambda s, d: series.price_arc(v.prices(s, d).withColumn("ret", F.col("ret") / 10000)), with_views("p", """, i as (select symbol, step, ret / 10000 as ret, 100 * exp(sum(ln(1 + greatest(coalesce(ret / 10000, 0.0), -0.999))) over (partition by symbol order by step)) as x from p)
-        select symbol, max(x) as highest, arg_max(x, step) as "last", 1 - arg_max(x, step) / max(x) as given_back, avg(case when ret > 0 then 1 when ret <= 0 then 0 end) as up_share from i group by symbol"""), '"last" highest given_back up_share'),
+    "e11_price_arc": entry(lambda s, d: series.price_arc(v.prices(s, d).withColumn("ret", F.col("ret") / 10000)), _ARC.format(x="case when f then 0.0 else y end", where=""), '"last" highest given_back up_share'),
+    "e11_price_arc_before": entry(lambda s, d: series.price_arc(v.prices(s, d).withColumn("ret", F.when(F.col("symbol") > "S15", F.coalesce("ret", F.lit(0.5))).otherwise(F.col("ret")) / 10000), "before"), _ARC.format(x="case when symbol > 'S15' and f then ln(1.00005) else y end", where="case when symbol > 'S15' then 1 end *"), '"last" highest given_back up_share'),
     "e12_top1_per_group": entry(lambda s, d: series.top1_per_group(v.catalog(s, d), "symbol", [F.col("total"), -F.col("start")], ["event_id", "total"]), with_views("cat", "select symbol, event_id, cast(total as bigint) as total from (select *, row_number() over (partition by symbol order by total desc, start) as r from cat) where r = 1")),
     "e13_rank_jump": entry(lambda s, d: series.rank_jump(_totals(s, d, 1996), _totals(s, d, 1997), "symbol", "total"), """with a as (select o_custkey as symbol, rank() over (order by round(sum(o_totalprice), 2) desc) as rank_a from orders where year(o_orderdate) = 1996 group by 1),
         b as (select o_custkey as symbol, rank() over (order by round(sum(o_totalprice), 2) desc) as rank_b from orders where year(o_orderdate) = 1997 group by 1)
@@ -76,7 +120,7 @@ QUERIES = {
         """with b as (select 'B' || l_linenumber as batch, l_returnflag as symbol, year(l_shipdate) as step, sum(l_quantity) as n from lineitem group by 1, 2, 3), r as (select x.batch, sum(y.n) / sum(x.n) as ratio from b x join b y on y.batch = 'B1' and y.symbol = 'A' and y.step = x.step where x.symbol = 'A' group by 1)
         select batch, symbol, cast(step as integer) as step, n * coalesce(ratio, 1.0) as n from b left join r using (batch)""", "n"),
     "e19_curve_audit": entry(lambda s, d: series.curve_audit(v.dense(s, d), "symbol", "step", "n"), with_views("dense", "select symbol, step, n, lag(n) over w as before, coalesce(n < 0.7 * lag(n) over w, false) as falls from dense window w as (partition by symbol order by step)")),
-    "e19_longest_consistent": entry(lambda s, d: series.longest_consistent(v.table(s, d, "orders").groupBy("o_custkey", F.date_trunc("month", "o_orderdate").alias("m")).agg(F.sum("o_totalprice").alias("x")), "o_custkey", "m", "x")),
+    "e19_longest_consistent": entry(lambda s, d: series.longest_consistent(v.table(s, d, "orders").groupBy("o_custkey", F.date_trunc("month", "o_orderdate").alias("m")).agg(F.round(F.sum("o_totalprice"), 2).alias("x")), "o_custkey", "m", "x")),
     "e20_near_duplicates": entry(lambda s, d: series.near_duplicates(v.table(s, d, "orders").groupBy(F.col("o_custkey"), F.date_format("o_orderdate", "yyyy-MM").alias("m")).agg(F.sum("o_totalprice").alias("x")), "o_custkey", "m", "x"),
         """with p as (select o_custkey, strftime(o_orderdate, '%Y-%m') as m, sum(o_totalprice) as x from orders group by 1, 2) select a.o_custkey as a, b.o_custkey as b, count(*) as steps from p a join p b on a.m = b.m and a.o_custkey < b.o_custkey
         and abs(a.x - b.x) <= 0.005 * greatest(a.x, b.x) group by 1, 2"""),
@@ -89,17 +133,19 @@ QUERIES = {
     "f2_merge_close": entry(lambda s, d: detector.merge_close(detector.detect(detector.scored(v.dense(s, d), PARAMS), PARAMS), PARAMS.gap), with_views("merged", "select * from merged"), "mu0 sigma0 z0"),
     "f3_candidates": entry(lambda s, d: detector.candidates(v.dense(s, d), 9), with_views("dense", "select * from dense where symbol in (select symbol from dense group by symbol having max(n) >= 9)")),
     "f4_catalog": entry(v.catalog, with_views("cat", "select * replace (cast(total as bigint) as total) from cat"), "mu0 sigma0 z0 amplitude"),
-    "f5_sweep": entry(lambda s, d: detector.sweep(v.dense(s, d), _GRID)),
+    "f5_sweep": entry(lambda s, d: detector.sweep(v.dense(s, d), _GRID), "select * from (" + _scenarios() + ")", "mu0 sigma0 z0"),
     "f5_sweep_base": entry(lambda s, d: detector.sweep(v.dense(s, d), _GRID).filter("scenario = 'base'").select("symbol", "start", "end", "duration", F.col("total").cast("long").alias("total"), "principal"),
         with_views("cat", """select symbol, start, "end", duration, cast(total as bigint) as total, principal from cat""")),
-    "f6_compare_scenarios": entry(lambda s, d: detector.compare_scenarios(detector.sweep(v.dense(s, d), _GRID), "base")),
+    "f6_compare_scenarios": entry(lambda s, d: detector.compare_scenarios(detector.sweep(v.dense(s, d), _GRID), "base"), "with ev as (select * from (" + _scenarios() + """) where principal), a as (select symbol, start as s, "end" as e from ev where scenario = 'base'),
+        met as (select ev.scenario, a.symbol, a.s, min(abs(ev."end" - ev.start - (a.e - a.s))) as d from a join ev on ev.symbol = a.symbol and ev.start <= a.e and ev."end" >= a.s group by 1, 2, 3), f as (select scenario, count(*) as r, median(d) as d from met group by 1)
+        select scenario, n_events, median_duration, coalesce(r, 0) / (select count(*) from a) as recovered_share, d as median_difference from (select scenario, count(*) as n_events, median("end" - start + 1) as median_duration from ev group by 1) left join f using (scenario)""", "median_duration recovered_share median_difference"),
     "f7_detector_daily": entry(lambda s, d: _state(s, d).select("event_id", "step", "age", "phase", "n", "running_peak", "threshold", "cumulative"), with_views("cat", "").rstrip() + ", " + _STATE_SQL + """
         select event_id, step, step - start + 1 as age, case when step <= event_end then 'event' else 'confirmation' end as phase, n, running_peak, threshold, cast(cumulative as bigint) as cumulative from st""", "threshold"),
     "f8_eligibility_table": entry(lambda s, d: detector.eligibility_table(v.catalog(s, d), _state(s, d), PARAMS), with_views("cat", "").rstrip() + ", " + _STATE_SQL + """,
         k as (select event_id, min(case when cumulative >= 10 then step end) as reaches_total, min(case when step - start + 1 >= 2 and n >= threshold then step end) as known_duration from st where step <= event_end group by event_id)
-        select c.event_id, c.symbol, c.start, c."end", c.censored, k.reaches_total, k.known_duration, case when reaches_total is not null and known_duration is not null then greatest(reaches_total, known_duration) end as eligible,
+        select c.event_id, c.symbol, c.start, c."end", c.censored, c.n_merged, k.reaches_total, k.known_duration, case when reaches_total is not null and known_duration is not null then greatest(reaches_total, known_duration) end as eligible,
         case when not c.censored then c."end" + 3 end as confirmed, case when reaches_total is not null and known_duration is not null then greatest(reaches_total, known_duration) end = c."end" as dies_on_eligibility from cat c left join k using (event_id)"""),
-    "f9_weighted_events": entry(lambda s, d: detector.detect(detector.scored(aggregates.rescale_mass(v.dense(s, d).withColumn("n", F.col("n") * F.when(F.col("symbol") == "error", 0.5).otherwise(1.0)), v.dense(s, d)), PARAMS), PARAMS)),
+    "f9_weighted_events": entry(lambda s, d: detector.detect(detector.scored(_weighted(s, d), PARAMS), PARAMS), with_views("found", "select * from found").replace("dense as (", """raw as (""", 1).replace("based as (", """dense as (select symbol, step, n * case when symbol = 'error' then 0.5 else 1.0 end * (select sum(n) from raw) / (select sum(n * case when symbol = 'error' then 0.5 else 1.0 end) from raw) as n from raw), based as (""", 1), "mu0 sigma0 z0"),
     "f10_band_bubbles": entry(lambda s, d: detector.band_bubbles(v.dense(s, d)), with_views("dense", """, b as (select symbol, step, n, case when count(n) over w = 15 then (n > avg(n) over w + 2 * stddev_samp(n) over w) else false end as f from dense window w as (partition by symbol order by step rows between 14 preceding and current row))
         select symbol, min(step) as start, max(step) as "end", count(*) as length, max(n) as peak from (select *, step - row_number() over (partition by symbol order by step) as g from b where f) group by symbol, g""")),
     "f11_fact_profile": entry(lambda s, d: detector.fact_profile(v.table(s, d, "events").filter("value > 99").select(F.col("event_id").alias("fact_id"), F.col("event_type").alias("symbol"), v.hour("ts").alias("step")), v.dense(s, d)),
@@ -108,13 +154,11 @@ QUERIES = {
         with_views("dense", "select x.symbol as a, y.symbol as b, corr(x.n, y.n) as corr, corr(ln(1 + x.n), ln(1 + y.n)) as log_corr, avg((x.n > 0 and y.n > 0)::int) as both_positive from dense x join dense y on x.step = y.step and x.symbol < y.symbol group by 1, 2"), "corr log_corr both_positive"),
     "attention_catalog": entry(lambda s, d: detector.catalog(joins.densify(v.table(s, d, "events").groupBy(F.col("event_type").alias("symbol"), F.floor(v.hour("ts") / 6).alias("step")).agg(F.count("*").alias("n"))),
         detector.Params(window=20, least=10, z_on=1.5, min_abs=3, k_off=2, gap=2, min_steps=2, min_total=6))),
-}
-
-_GRID = {
-    "base": PARAMS,
-    "kappa_low": detector.Params(**{**PARAMS.__dict__, "kappa": 0.1}),
-    "kappa_high": detector.Params(**{**PARAMS.__dict__, "kappa": 0.5}),
-    "z_low": detector.Params(**{**PARAMS.__dict__, "z_on": 1.5}),
-    "z_high": detector.Params(**{**PARAMS.__dict__, "z_on": 2.5}),
-    "robust": detector.Params(**{**PARAMS.__dict__, "robust": True}),
+    "e7_clipped_lives": entry(lambda s, d: series.consolidate_lives(_spans(s, d), "entity", 7, "1996-01-01", "1997-12-31", ["key"]), f"""with {_LIVES7} select entity, cast(block as bigint) as block, min(symbol) as symbol, min(greatest(start, date '1996-01-01')) as start, max(least("end", date '1997-12-31')) as "end", count(*) as spans, arg_max(key, (start, "end", key)) as key from blk group by 1, 2"""),
+    "e8_rename_chains": entry(lambda s, d: series.rename_chains(_lives7(s, d), "entity"), f"""with {_LIVES7}, f as (select *, lag(symbol) over (partition by entity order by block) as b from lf) select entity, string_agg(symbol, '>' order by block) filter (b is null or b <> symbol) as chain, min(start) as earliest, count(*) filter (b <> symbol) as renames from f group by 1"""),
+    "f9_compare_catalogs": entry(lambda s, d: detector.compare_catalogs(v.catalog(s, d), detector.catalog(_weighted(s, d), PARAMS))),
+    "f10_bubble_cover": entry(lambda s, d: detector.bubble_cover(v.catalog(s, d), detector.band_bubbles(v.dense(s, d))), with_views("cat", """, b as (select symbol, step, case when count(n) over w = 15 then (n > avg(n) over w + 2 * stddev_samp(n) over w) else false end as f from dense window w as (partition by symbol order by step rows between 14 preceding and current row))
+        select count(*) as events, count(*) filter (c) as covered, count(*) filter (c) / count(*) as share from (select exists (select 1 from b where f and b.symbol = cat.symbol and b.step between cat.start and cat."end") as c from cat)"""), "share"),
+    "f12_twin_events": entry(lambda s, d: detector.twin_events(v.catalog(s, d), _twins(s, d)), with_views("cat", """, t as (select distinct x.symbol as a, y.symbol as b from h x join h y on x.symbol[1] <> y.symbol[1] and length(x.symbol) <= length(y.symbol) and x.symbol < y.symbol)
+        select t.a, t.b, count(x.start) filter (y.start is not null) as overlapping from t left join cat x on x.symbol = t.a left join cat y on y.symbol = t.b and x.start <= y."end" and x."end" >= y.start group by 1, 2""")),
 }

@@ -24,18 +24,26 @@ def _routes(spark, d):
     return stance.mention_routes(table(spark, d, "documents"), "doc_id", "text", stance.compile_dictionary(_dictionary(spark, d), ["THE"], []))
 
 
+# runs of letters with a dollar sign before them stand in for looking behind
+_MENTIONS = r"""with runs as (select doc_id, unnest(regexp_extract_all(text, '\$?[A-Za-z]+')) as w from documents), often as (select w as symbol from (select distinct doc_id, w from runs where regexp_full_match(w, '[A-Z]{3,5}')) group by 1 having count(*) >= 3),
+    low as (select doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') as l from documents), r as (
+    select distinct doc_id, symbol, 'cashtag' as route from (select doc_id, upper(unnest(regexp_extract_all(text, '\$([A-Za-z]{1,5})\b', 1))) as w from documents) join often on w = symbol
+    union all select distinct doc_id, symbol, 'token' from runs join often on w = symbol where symbol <> 'THE'
+    union all select doc_id, symbol, 'phrase' from low join often on list_contains(l, lower(symbol)) and contains(array_to_string(l, ' '), lower(symbol) || ' ' || lower(symbol)))"""
+
+
 QUERIES = {
     "g1_dictionary": entry(lambda s, d: stance.compile_dictionary(_named(s, d), ["RING"], ["widget"]), """with n as (select distinct upper(replace(p_name, ' ', '_')) as symbol, p_name as name from part)
         select symbol, 'cashtag' as route, symbol as key from n union all select symbol, 'phrase', lower(name) from n where name like '% %' union all select symbol, 'word', lower(name) from n where name not like '% %' and length(name) >= 5 and name <> 'widget'
         union all select symbol, 'token', symbol from n where regexp_full_match(symbol, '[A-Za-z]{3,5}') and symbol <> 'RING'"""),
-    "g2_mentions": entry(lambda s, d: stance.detect_mentions(table(s, d, "documents"), "doc_id", "text", stance.compile_dictionary(_dictionary(s, d), ["THE"], []))),
-    "g3_symbols_light": entry(lambda s, d: stance.detect_light(table(s, d, "documents"), "doc_id", "text", ["THE", "AND", "OF", "DER", "DE"])),
+    "g2_mentions": entry(lambda s, d: stance.detect_mentions(table(s, d, "documents"), "doc_id", "text", stance.compile_dictionary(_dictionary(s, d), ["THE"], [])), _MENTIONS + " select distinct doc_id, symbol from r"),
+    "g3_symbols_light": entry(lambda s, d: stance.detect_light(table(s, d, "documents"), "doc_id", "text", ["THE", "AND", "OF", "DER", "DE"]), """select distinct doc_id, w as symbol from (select doc_id, unnest(regexp_extract_all(text, '\\$?[A-Za-z]+')) as w from documents) where w in ('THE', 'AND', 'OF', 'DER', 'DE')"""),
     "g4_occurrences": entry(lambda s, d: stance.count_occurrences(table(s, d, "part"), "p_partkey", "p_name", s.createDataFrame([("W", "widget"), ("R", "ring"), ("RW", "red widget")], "symbol string, name string")), """select p_partkey, case when p_name like '%red widget%' then 'RW' when p_name like '%widget%' then 'W' else 'R' end as symbol, 1::bigint as n from part where regexp_matches(p_name, '(^| )(widget|ring)( |$)')"""),
-    "g5_routes": entry(lambda s, d: _routes(s, d).groupBy("doc_id", "symbol").agg(F.array_join(F.array_sort(F.collect_set("route")), "|").alias("routes"))),
+    "g5_routes": entry(lambda s, d: _routes(s, d).groupBy("doc_id", "symbol").agg(F.array_join(F.array_sort(F.collect_set("route")), "|").alias("routes")), _MENTIONS + " select doc_id, symbol, string_agg(distinct route, '|' order by route) as routes from r group by 1, 2"),
     "g6_context": entry(lambda s, d: table(s, d, "documents").select("doc_id", *stance.context_gate(F.col("text"))), r"""select doc_id, regexp_matches(lower(text), '\b(""" + "|".join(stance.FINANCE) + r""")\b') as finance, len(regexp_extract_all(text, '[A-Z]')) > 0.7 * len(regexp_extract_all(text, '[A-Za-z]')) as shouts from documents"""),
-    "g7_audit_routes": entry(lambda s, d: _routes(s, d).groupBy("symbol", "route").agg(F.count("*").alias("n"))),
+    "g7_audit_routes": entry(lambda s, d: _routes(s, d).groupBy("symbol", "route").agg(F.count("*").alias("n")), _MENTIONS + " select symbol, route, count(*) as n from r group by 1, 2"),
     "g8_kwic": entry(lambda s, d: table(s, d, "documents").select("doc_id", stance.kwic(F.col("text"), "token", 40).alias("quote")).filter("quote is not null"), "select doc_id, substring(text, greatest(p - 40, 1), least(p, 41) - 1 + 45) as quote from (select doc_id, text, strpos(lower(text), 'token') as p from documents) where p > 0"),
-    "g8_signals": entry(lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(stance.direction_signals(F.col("text")), "|").alias("signals"))),
+    "g8_signals": entry(lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(stance.direction_signals(F.col("text")), "|").alias("signals")), r"""select doc_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '\b(""" + "|".join(w.replace("'", "''") for w in stance.BULL + stance.BEAR) + r""")\b'))), '|'), '') as signals from documents"""),
     "g9_stance": entry(lambda s, d: stance.score_messages(table(s, d, "conversations").select("conv_id", "turn", "text"), "text").groupBy("label").agg(F.count("*").alias("n"))),
     "g10_score_messages": entry(lambda s, d: stance.score_messages(table(s, d, "documents").select("doc_id", "text"), "text").select("doc_id", "label", "p_bull", "p_bear", "p_neutral")),
     "g11_score_long_text": entry(lambda s, d: stance.score_long_text(table(s, d, "documents"), "doc_id", "text")),

@@ -117,10 +117,10 @@ SQL = {
             case when r.n < greatest(w.mu0 + w.sigma0, 0.25 * greatest(w.peak, r.n)) then w.below + 1 else 0 end as low from walk w join numbered r on r.symbol = w.symbol and r.k = w.k + 1)))""",
     "found": """found as (select symbol, s as start, step - 3 as "end", false as censored, mu0, sigma0, z0 from walk where ended
         union all select w.symbol, w.s, w.step, true, w.mu0, w.sigma0, w.z0 from walk w join (select symbol, max(k) as k from walk group by symbol) m on m.symbol = w.symbol and m.k = w.k where w.is_on)""",
-    "merged": """merged as (select symbol, min(start) as start, max("end") as "end", arg_max(censored, start) as censored, arg_min(mu0, start) as mu0, arg_min(sigma0, start) as sigma0, arg_min(z0, start) as z0
+    "merged": """merged as (select symbol, min(start) as start, max("end") as "end", arg_max(censored, start) as censored, arg_min(mu0, start) as mu0, arg_min(sigma0, start) as sigma0, arg_min(z0, start) as z0, count(*) as n_merged
         from (select *, sum(fresh) over (partition by symbol order by start) as g from (select *, case when start - lag("end") over (partition by symbol order by start) <= 3 then 0 else 1 end as fresh from found)) group by symbol, g)""",
     "cat": """cat as (select m.symbol || '_' || m.start as event_id, m.symbol, m.start, p.peak, m."end", m."end" - m.start + 1 as duration, p.peak - m.start as to_peak, p.peak_n, p.total, m.mu0, m.sigma0, m.z0, m.censored,
-            m."end" - m.start + 1 >= 2 and p.total >= 10 as principal, p.peak_n / greatest(m.mu0, 1.0) as amplitude, m."end" - m.start + 1 >= 60 and p.peak_n / greatest(m.mu0, 1.0) < 8 as slow
+            m."end" - m.start + 1 >= 2 and p.total >= 10 as principal, p.peak_n / greatest(m.mu0, 1.0) as amplitude, m."end" - m.start + 1 >= 60 and p.peak_n / greatest(m.mu0, 1.0) < 8 as slow, m.n_merged
         from merged m join (select m.symbol, m.start, arg_max(d.step, d.n * 1000000000 - d.step) as peak, max(d.n) as peak_n, sum(d.n) as total from merged m join dense d on d.symbol = m.symbol and d.step between m.start and m."end" group by 1, 2) p
         on p.symbol = m.symbol and p.start = m.start)""",
     "m": """m as (select event_id, event_type as symbol, cast(floor(epoch_us(ts) / 3600000000) as bigint) as step, user_id, value, ['bull', 'bear', 'neutral'][k % 3 + 1] as label, k, k / 200.0 as p_bull, (100 - k) / 200.0 as p_bear, 0.5 as p_neutral

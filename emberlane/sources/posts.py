@@ -64,6 +64,13 @@ def parse_listing(lines: DataFrame, names: list[str]) -> DataFrame:
     return rows.filter(F.coalesce(F.col("test_issue"), F.lit("N")) != "Y")
 
 
+def union_listings(first: DataFrame, second: DataFrame) -> DataFrame:
+    """A4: two directories of one schema; a symbol in both comes from the first (in one of them twice: its smallest row)."""
+    both = first.withColumn("_feed", F.lit(0)).unionByName(second.withColumn("_feed", F.lit(1)))
+    rest = [c for c in first.columns if c != "symbol"]
+    return both.groupBy("symbol").agg(F.min(F.struct("_feed", *rest)).alias("_r")).select("symbol", *(F.col(f"_r.{c}").alias(c) for c in rest))
+
+
 def keys_from_path(path: Column, pattern: str, names: list[str]) -> list[Column]:
     """A5: columns parsed from a file name by the groups of a pattern."""
     return [F.regexp_extract(path, pattern, i + 1).alias(n) for i, n in enumerate(names)]
@@ -81,6 +88,20 @@ def parse_json_array(lines: DataFrame, element: str) -> DataFrame:
     return rows.filter("error is null")
 
 
+def first_per_id(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first record of each id in the order of files and places; records without an id go."""
+    rest = [c for c in rows.columns if c != key and c not in order]
+    known = rows.filter(F.col(key).isNotNull())
+    return known.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
+
+
+def read_json_array(spark: SparkSession, path: str, element: str, key: str) -> DataFrame:
+    """Files that hold one JSON array each, over several lines; the first record of an id by file name and place stays."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.from_json("value", f"array<{element}>").alias("_a"))
+    rows = files.select("_file", F.posexplode("_a").alias("_place", "e")).select("_file", "_place", "e.*").filter("error is null")
+    return first_per_id(rows, key, ["_file", "_place"])
+
+
 def unpivot_matrix(df: DataFrame, day: str, columns: list[str]) -> DataFrame:
     """A wide matrix as (day, symbol, n); only the named columns are read."""
     return df.select(day, *columns).unpivot(day, columns, "symbol", "n")
@@ -102,6 +123,27 @@ def inventory(rows: DataFrame, file: str, time: str) -> DataFrame:
     return rows.groupBy(file).agg(F.count("*").alias("records"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
+def file_sizes(spark: SparkSession, path: str, pattern: str, names: list[str]) -> DataFrame:
+    """The size of every file below a path, with keys parsed from its path; contents are not read.
+
+    Scans pass over empty files, so the listing that the scan was planned with gives the names (no more than the driver holds
+    for any scan of the folder), and those without a length have 0.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(plain("path").alias("path")).distinct()
+    sized = files.select(plain("path").alias("path"), "length")
+    out = listed.join(sized, "path", "left").na.fill(0, ["length"])
+    return out.select("path", "length", *keys_from_path(F.col("path"), pattern, names)).filter(F.col(names[0]) != "")
+
+
+def file_gaps(expected: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the files that there should be: there, empty or missing; files of one key count together."""
+    per = sizes.groupBy(*keys).agg(F.sum("length").alias("_bytes"))
+    state = F.when(F.col("_bytes").isNull(), "missing").when(F.col("_bytes") == 0, "empty").otherwise("there")
+    return expected.select(*keys).join(per, keys, "left").select(*keys, state.alias("state"))
+
+
 def write_snapshot(df: DataFrame, path: str, date: str) -> None:
     """A dated copy; only that date's partition is replaced."""
     df.withColumn("snapshot_date", F.lit(date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
