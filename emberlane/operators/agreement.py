@@ -163,6 +163,16 @@ def lead_lag(pairs: DataFrame, key: str, most: int = 3) -> DataFrame:
     return corr.groupBy(key).agg(F.max_by("lag", F.struct("corr", (-F.abs("lag")).alias("c"), "lag")).alias("best_lag"), F.max("corr").alias("best_corr"))
 
 
+def peak_offset(pairs: DataFrame, least: int = 3) -> DataFrame:
+    """L2: steps from the peak of a to that of b inside an event (the first of equal ones), negative where b peaks first.
+
+    Null for events of fewer than ``least`` steps and where b is 0 throughout.
+    """
+    first = lambda c: F.max_by("step", F.struct(c, (-F.col("step")).alias("s")))
+    per = pairs.filter("phase = 'event'").groupBy("event_id").agg(F.count("*").alias("_n"), F.max("nb").alias("_b"), (first("nb") - first("na")).alias("_o"))
+    return per.select("event_id", F.when((F.col("_n") >= least) & (F.col("_b") > 0), F.col("_o")).alias("peak_offset"))
+
+
 def kappa(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """L3: observed agreement, that expected from the margins, and Cohen's kappa."""
     by = by or []

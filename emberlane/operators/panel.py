@@ -48,6 +48,23 @@ def start_stop(panel: DataFrame, censored: DataFrame, lag: int = 1, frontier: in
     )
 
 
+def coverage_frontier(events: DataFrame, days: DataFrame) -> DataFrame:
+    """H4: per event the last step before the first whose previous step ``days`` (symbol, step) doesn't cover.
+
+    ``truncated`` marks events that the frontier cuts; an event not covered at its first step has no row.
+    """
+    past = days.select("symbol", (F.col("step") + 1).alias("step")).distinct().withColumn("_there", F.lit(1))
+    rows = joins.event_steps(events).join(past, ["symbol", "step"], "left")
+    gap = F.min(F.when(F.col("_there").isNull(), F.col("step")))
+    found = rows.groupBy("event_id", "start", "end").agg(gap.alias("_gap")).withColumn("frontier", F.coalesce(F.col("_gap") - 1, F.col("end")))
+    return found.filter("frontier >= start").select("event_id", "frontier", (F.col("frontier") < F.col("end")).alias("truncated"))
+
+
+def start_stop_covered(panel: DataFrame, censored: DataFrame, frontier: DataFrame, lag: int = 1) -> DataFrame:
+    """H4: the intervals of ``start_stop`` up to each event's frontier; an event that its frontier cuts has no death."""
+    return start_stop(panel, censored, lag).join(frontier.select("event_id", "frontier"), "event_id").filter("step <= frontier").drop("frontier")
+
+
 def delayed_entry(rows: DataFrame, eligible: DataFrame) -> DataFrame:
     """H5: only steps after the event became eligible."""
     return rows.join(eligible.filter("eligible is not null").select("event_id", "eligible"), "event_id").filter("step > eligible")

@@ -88,4 +88,7 @@ QUERIES = {
     "q4_compare_matrices": entry(lambda s, d: agreement.compare_matrices(v.dense(s, d), q_panel._press(s, d)), with_views("dense m", f""", {q_panel._PRESS}, x as (select coalesce(a.symbol, b.symbol) as symbol, coalesce(a.n, 0) as na, coalesce(b.n, 0) as nb from dense a full join pr b on a.symbol = b.symbol and a.step = b.step), c as (select symbol, corr(na, nb) as c, sum(na) as ta, sum(nb) as tb from x group by 1)
         select count(*) as symbols, min(c) as lowest, quantile_cont(c, 0.1) as p10, quantile_cont(c, 0.5) as median, cast(sum(ta) as bigint) as total_a, cast(sum(tb) as bigint) as total_b from c"""), "lowest p10 median"),
     "e17_monthly": entry(lambda s, d: series.resample(table(s, d, "orders"), "o_orderdate", "month", "o_totalprice", ["o_orderpriority"]), "select o_orderpriority, cast(date_trunc('month', o_orderdate) as timestamp) as period, sum(o_totalprice) as total, count(*) as n from orders group by 1, 2", "total"),
+    "l2_peak_offset": entry(lambda s, d: agreement.peak_offset(_pair(s, d)), with_views("cat m", "").rstrip() + f""", {q_panel._PRESS}, x as (select c.event_id, g.step, coalesce(d.n, 0) as na, coalesce(pr.n, 0) as nb from cat c, lateral (select unnest(range(c.start, c."end" + 1)) as step) g
+        left join dense d on d.symbol = c.symbol and d.step = g.step left join pr on pr.symbol = c.symbol and pr.step = g.step), o as (select event_id, count(*) as n, max(nb) as b, (select min(y.step) from x y where y.event_id = x.event_id and y.nb = max(x.nb)) - (select min(y.step) from x y where y.event_id = x.event_id and y.na = max(x.na)) as o from x group by 1)
+        select event_id, case when n >= 3 and b > 0 then o end as peak_offset from o"""),
 }

@@ -100,4 +100,6 @@ QUERIES = {
         case when not ok then 'uncovered' when pk >= greatest(5, 3 * med) and pk >= 2 * bm then 'institutional' else 'native' end as label from x""")),
     "w3_press_echo": entry(lambda s, d: panel.press_echo(v.events(s, d), _press(s, d)), _cat_m(_PRESS + """, md as (select symbol, median(n) as med from pr group by 1) select event_id, o as "offset", n >= greatest(5, 3 * med) as echo from (select c.event_id, c.symbol, pr.n, pr.step - c.peak as o,
         row_number() over (partition by c.event_id order by pr.n desc, abs(pr.step - c.peak), pr.step - c.peak) as r from cat c join pr on pr.symbol = c.symbol and pr.step between c.peak - 5 and c.peak + 5) join md using (symbol) where r = 1""")),
+    "h4_coverage_frontier": entry(lambda s, d: panel.coverage_frontier(v.events(s, d), v.messages(s, d).filter("k < 90").select("symbol", "step")), with_views("cat m", """, f as (select c.event_id, c.start, c."end", coalesce(min(case when p.step is null then g.step end) - 1, c."end") as frontier from cat c, lateral (select unnest(range(c.start, c."end" + 1)) as step) g
+        left join (select distinct symbol, step + 1 as step from m where k < 90) p on p.symbol = c.symbol and p.step = g.step group by 1, 2, 3) select event_id, frontier, frontier < "end" as truncated from f where frontier >= start""")),
 }

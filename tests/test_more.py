@@ -8,7 +8,7 @@ import random
 from difflib import SequenceMatcher
 
 from emberlane.functions import cleaning
-from emberlane.operators import aggregates, detector, joins, series
+from emberlane.operators import aggregates, agreement, detector, joins, panel, series
 from emberlane.sources import posts
 from pyspark.sql import functions as F
 
@@ -100,3 +100,12 @@ def test_catalogs_compared_and_twins(spark):
     pairs = spark.createDataFrame([("A", "B"), ("A", "C")], "a string, b string")
     assert rows(detector.twin_events(a, pairs)) == [("A", "B", 1), ("A", "C", 0)]
     assert rows(detector.bubble_cover(a, b)) == [(3, 1, 0.333333)]
+
+
+def test_frontier_and_peaks(spark):
+    events = spark.createDataFrame([("e", "A", 5, 8), ("f", "A", 20, 21), ("g", "B", 3, 4)], "event_id string, symbol string, start long, end long")
+    days = spark.createDataFrame([("A", s) for s in (4, 5, 5, 7, 19, 20)], "symbol string, step long")
+    assert rows(panel.coverage_frontier(events, days)) == [("e", 6, True), ("f", 21, False)]
+    pairs = [("e", s, a, b, "event") for s, a, b in ((1, 5, 0), (2, 5, 1), (3, 1, 1))] + [("e", 4, 9, 9, "post"), ("f", 1, 1, 1, "event"), ("g", 1, 1, 0, "event"), ("g", 2, 1, 0, "event"), ("g", 3, 1, 0, "event")]
+    found = agreement.peak_offset(spark.createDataFrame(pairs, "event_id string, step long, na long, nb long, phase string"))
+    assert rows(found) == [("e", 1), ("f", None), ("g", None)]
