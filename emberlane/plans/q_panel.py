@@ -66,6 +66,12 @@ def _adjusted_sql() -> str:
 _ADJUSTED = _adjusted_sql()
 
 
+def _covered(spark, d):
+    events = v.catalog(spark, d)
+    frontier = panel.coverage_frontier(events.select("event_id", "symbol", "start", "end"), v.messages(spark, d).filter("k < 90").select("symbol", "step"))
+    return panel.start_stop_covered(panel_of(spark, d), events, frontier)
+
+
 QUERIES = {
     "h1_bd_index": entry(lambda s, d: daily(s, d).select("symbol", "step", panel.optimism(F.col("m_bull"), F.col("m_bear")).alias("b"), panel.disagreement(F.col("m_bull"), F.col("m_bear")).alias("d")), with_views("m", """select symbol, step, ln((1 + c) / (1 + v)) as b, case when c + v > 0 then 1 - abs(c - v) / (c + v) end as d
         from (select symbol, step, count(*) filter (label = 'bull') as c, count(*) filter (label = 'bear') as v from m group by 1, 2)"""), "b d"),
@@ -102,4 +108,6 @@ QUERIES = {
         row_number() over (partition by c.event_id order by pr.n desc, abs(pr.step - c.peak), pr.step - c.peak) as r from cat c join pr on pr.symbol = c.symbol and pr.step between c.peak - 5 and c.peak + 5) join md using (symbol) where r = 1""")),
     "h4_coverage_frontier": entry(lambda s, d: panel.coverage_frontier(v.events(s, d), v.messages(s, d).filter("k < 90").select("symbol", "step")), with_views("cat m", """, f as (select c.event_id, c.start, c."end", coalesce(min(case when p.step is null then g.step end) - 1, c."end") as frontier from cat c, lateral (select unnest(range(c.start, c."end" + 1)) as step) g
         left join (select distinct symbol, step + 1 as step from m where k < 90) p on p.symbol = c.symbol and p.step = g.step group by 1, 2, 3) select event_id, frontier, frontier < "end" as truncated from f where frontier >= start""")),
+    "h4_start_stop_covered": entry(_covered, _cat_m(_SS + """, f as (select c.event_id, coalesce(min(case when p.step is null then g.step end) - 1, c."end") as frontier from cat c, lateral (select unnest(range(c.start, c."end" + 1)) as step) g
+        left join (select distinct symbol, step + 1 as step from m where k < 90) p on p.symbol = c.symbol and p.step = g.step group by c.event_id, c."end") select ss.* from ss join f on f.event_id = ss.event_id where ss.step <= f.frontier"""), "b_lag d_lag log_n_lag"),
 }
