@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, chat, exact, jaccard, leaks, lm, packing, pii, quality, substrings, tokens
+from . import align, base, chat, exact, jaccard, leaks, lines, lm, packing, pii, quality, resample, substrings, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.report(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(base.table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(base.table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_rotation": op1_chat_rotation,
@@ -66,6 +78,9 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_decontamination": op10_decontamination,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -126,4 +141,13 @@ SQL = {
         select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
                coalesce(items_sha256, '{_EMPTY_SHA}') as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from d left join h using (doc_id) left join s using (doc_id)""",
+    "op12_line_dedup": f"""
+        with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as w from documents),
+        l as (select doc_id, w[i] as line, i, translate(trim(w[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') as key
+              from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
+        g as (select key, min(doc_id) as lo from l where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+        k as (select l.doc_id, line, i, g.key is null or lo = l.doc_id as stays from l left join g using (key))
+        select doc_id, count(*) as n_lines, count(*) filter (not stays) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by i) filter (stays), '')) as kept_sha256
+        from k group by doc_id""",
 }
