@@ -105,6 +105,8 @@ class CoxFit:
     loglik_null: float
     rows: int
     deaths: int
+    events: int = 0
+    converged: bool = True
 
     @property
     def se(self) -> np.ndarray:
@@ -197,68 +199,11 @@ def _tied(risk: float, dead: float, n: int) -> np.ndarray:
     return out
 
 
-def _evaluate(keys: list, m: np.ndarray, p: int, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood, gradient and information with Efron's ties."""
-    size = 1 + p + p * (p + 1) // 2
-    ll, grad, info = 0.0, np.zeros(p), np.zeros((p, p))
-    numbers: dict = {}
-    strata = np.array([numbers.setdefault(k[0], len(numbers)) for k in keys], int)
-    for s in range(len(numbers)):
-        block = m[strata == s]
-        a, b, c = block[:, :size], block[:, size : 2 * size], block[:, 2 * size : 3 * size]
-        risk = a[::-1].cumsum(0)[::-1] - b[::-1].cumsum(0)[::-1]
-        d, x, nd = block[:, 3 * size], block[:, 3 * size + 1 : 3 * size + 1 + p], block[:, -1]
-        for t in np.flatnonzero(nd > 0):
-            n, r, e = int(round(nd[t])), risk[t], c[t]
-            logs, s1, a1, s2, a2, aa2 = _tied(r[0], e[0], n) * (d[t] / n)
-            r1, e1 = r[1 : 1 + p], e[1 : 1 + p]
-            cross = np.outer(r1, e1)
-            ll += float(x[t] @ beta) - logs
-            grad += x[t] - (r1 * s1 - e1 * a1)
-            info += _square(r[1 + p :], p) * s1 - _square(e[1 + p :], p) * a1
-            info -= np.outer(r1, r1) * s2 - (cross + cross.T) * a2 + np.outer(e1, e1) * aa2
-    return ll, grad, info
-
-
-def cox(rows: DataFrame, covariates: list[str], stop: str, event: str, start: str | None = None, strata: str | None = None, weight: str | None = None, rounds: int = 25) -> CoxFit:
-    """V3, V4: Cox model by Newton steps for rows (start, stop]; one row per subject has start 0.
-
-    A step is one aggregation by stratum and time; covariates are centred for the iterations.
-    """
-    p = len(covariates)
-    data = rows.select(
-        *(F.col(c).cast("double").alias(c) for c in covariates),
-        F.col(stop).cast("double").alias("_stop"),
-        (F.col(start).cast("double") if start else F.lit(0.0)).alias("_start"),
-        F.col(event).cast("double").alias("_d"),
-        (F.col(strata).cast("string") if strata else F.lit("")).alias("_stratum"),
-        *([F.col(weight)] if weight else []),
-    )
-    data = stored(data, "cox")
-    means = data.agg(*(F.avg(c) for c in covariates), F.count("*"), F.sum("_d")).first()
-    data = data.select(*((F.col(c) - F.lit(float(means[i] or 0))).alias(c) for i, c in enumerate(covariates)), *data.columns[p:])
-    starts = start is not None
-    beta, null = np.zeros(p), None
-    keys, m = _sums(data, covariates, beta, weight, starts)
-    ll, grad, info = _evaluate(keys, m, p, beta)
-    null = ll
-    for _ in range(rounds):
-        step = np.linalg.pinv(info) @ grad
-        if np.abs(step).max() < 1e-9:
-            break
-        scale = 1.0
-        while True:
-            trial = beta + scale * step
-            keys, m = _sums(data, covariates, trial, weight, starts)
-            new_ll, new_grad, new_info = _evaluate(keys, m, p, trial)
-            if new_ll >= ll - 1e-9 or scale < 1e-3:
-                break
-            scale /= 2
-        done = abs(new_ll - ll) < 1e-10 * (1 + abs(ll))
-        beta, ll, grad, info = trial, new_ll, new_grad, new_info
-        if done:
-            break
-    return CoxFit(covariates, beta, np.linalg.pinv(info), ll, null, int(means[p]), int(means[p + 1] or 0))
+def cox(rows: DataFrame, covariates: list[str], stop: str, event: str, start: str | None = None, strata: str | None = None) -> CoxFit:
+    """V3, V4: Cox model with Efron's ties for rows (start, stop]; one row per subject has start 0. See ``fits`` for the steps."""
+    from .fits import Spec, cox_fits
+
+    return cox_fits(rows, [Spec("fit", tuple(covariates), strata=strata)], stop, event, start)["fit"]
 
 
 def robust_covariance(rows: DataFrame, fit: CoxFit, stop: str, event: str, cluster: str) -> np.ndarray:
@@ -476,8 +421,8 @@ def standardised(rows: DataFrame, covariates: list[str]) -> DataFrame:
 
 def registry(spark, fits: dict[str, CoxFit]) -> DataFrame:
     """One row per specification and covariate."""
-    rows = [(name, f.rows, f.deaths, float(f.loglik), *map(_plain, t)) for name, f in fits.items() for t in f.table()]
-    return spark.createDataFrame(rows, "spec string, rows long, deaths long, loglik double, covariate string, coef double, hr double, se double, p double, low double, high double")
+    rows = [(name, f.rows, f.events, f.deaths, float(f.loglik), *map(_plain, t)) for name, f in fits.items() for t in f.table()]
+    return spark.createDataFrame(rows, "spec string, rows long, events long, deaths long, loglik double, covariate string, coef double, hr double, se double, p double, low double, high double")
 
 
 def _plain(v):
