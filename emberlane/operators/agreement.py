@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
-from .ranks import numbered
+from .batteries import permuted
+from .fits import _weights
+from .ranks import numbered, running_counts
 
 # -- resampling
 
@@ -32,39 +34,95 @@ def bootstrap_clusters(df: DataFrame, cluster: str, replicas: int, seed: int = 3
     return draws.join(numbers, "_number").select("replica", "copy", cluster).join(df, cluster)
 
 
-def _poisson_sums(replicas: int, seed: int):
-    """Sums of weight and weight times value by replica, over the rows of a task."""
+def _draws(value: float, count: int, replicas: int, seed: int) -> np.ndarray:
+    """How often a replica has a value that the data have ``count`` times: Poisson numbers that depend on nothing else."""
+    bits = int(np.float64(value + 0.0).view(np.uint64))
+    return np.random.Generator(np.random.Philox(key=[seed, bits])).poisson(count, replicas)
+
+
+def _bucket_sums(edges: np.ndarray, replicas: int, seed: int):
+    """Per bucket of values: each replica's rows and their sum, over the distinct values of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # weight k where the hash, as a share of its range, is between the k-th and the next sum of probabilities
-        shares = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(17)])
-        cuts = np.array([int(min(s, 1 - 2.0**-53) * 2.0**64) for s in shares], np.uint64)
-        total, weights = np.zeros(replicas), np.zeros(replicas)
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            value = batch.column(0).to_numpy(zero_copy_only=False)
-            key = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo in range(0, replicas, 64):
-                turn = np.arange(lo, min(lo + 64, replicas), dtype=np.uint64) + np.uint64(seed)
-                x = key[:, None] + turn[None, :] * np.uint64(0x9E3779B97F4A7C15)
-                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-                w = np.searchsorted(cuts, x ^ (x >> np.uint64(31)), "right").astype(float)
-                weights[lo : lo + len(turn)] += w.sum(0)
-                total[lo : lo + len(turn)] += value @ w
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicas + 1, dtype=np.int32)), pa.array(weights), pa.array(total)], ["replica", "weight", "total"])
+            values, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for bucket, v, n in zip(np.searchsorted(edges, values, "left").tolist(), values.tolist(), counts.tolist()):
+                w = _draws(v, n, replicas, seed)
+                mine = held.setdefault(bucket, np.zeros((2, replicas)))
+                mine[0] += w
+                mine[1] += w * v
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["bucket", "sums"])
 
     return run
 
 
-def bootstrap_stat(df: DataFrame, value: str, id_column: str, replicas: int, seed: int = 3) -> DataFrame:
-    """R2: Poisson(1) weights per row and replica from a hash; the weighted mean and the 2.5, 50 and 97.5 % points of replicas.
+def _add_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for bucket, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held[bucket] = held[bucket] + np.frombuffer(sums) if bucket in held else np.frombuffer(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["bucket", "sums"])
+
+
+def _pickers(shared, replicas: int, seed: int):
+    """The values at wanted places of replicas, in one bucket: running counts over its values in order."""
+
+    def pick(key, table):
+        wanted = shared.value[key[0].as_py()]  # (side, replica, place inside the bucket)
+        side, replica, place = (np.array(x) for x in zip(*wanted))
+        found, open_ = np.full(len(place), np.nan), np.arange(len(place))
+        upto = np.zeros(replicas)
+        for v, n in zip(*(table.sort_by("v").column(c).to_pylist() for c in ("v", "n"))):
+            upto += _draws(v, n, replicas, seed)
+            hit = upto[replica[open_]] > place[open_]
+            found[open_[hit]] = v
+            open_ = open_[~hit]
+            if not len(open_):
+                break
+        return pa.table({"side": pa.array(side, pa.int32()), "replica": pa.array(replica, pa.int32()), "value": pa.array(found)})
 
-    A task passes on two numbers per replica.
+    return pick
+
+
+def bootstrap_values(df: DataFrame, value: str, replicas: int, seed: int = 3, buckets: int = 256) -> DataFrame:
+    """R2: the mean and the median of each replica of a bootstrap of single rows: (replica, mean, median).
+
+    Rows are summed up by distinct value first; a replica draws a Poisson number for each value. Means come from sums; medians
+    from the bucket in which half of a replica's rows are reached, and running counts over that bucket's values. The driver
+    holds two numbers per bucket and replica.
     """
-    rows = df.select(F.col(value).cast("double").alias("value"), F.xxhash64(id_column).alias("key")).filter("value is not null")
-    sums = rows.mapInArrow(_poisson_sums(replicas, seed), "replica int, weight double, total double")
-    means = sums.groupBy("replica").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("statistic"))
-    return bootstrap_summary(means, [], "statistic")
+    per = df.select(F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
+    per = stored(per, "values")
+    shares = F.array(*(F.lit(k / buckets) for k in range(1, buckets)))
+    edges = np.unique(np.array(per.agg(F.percentile_approx("v", shares, F.lit(100 * buckets))).first()[0] or [], float))
+    rows = per.mapInArrow(_bucket_sums(edges, replicas, seed), "bucket int, sums binary").repartition("bucket").mapInArrow(_add_buckets, "bucket int, sums binary").collect()
+    sums = np.zeros((len(edges) + 1, 2, replicas))
+    for bucket, found in rows:
+        sums[bucket] = np.frombuffer(found).reshape(2, replicas)
+    upto = sums[:, 0].cumsum(0)
+    size = upto[-1]
+    mean = np.divide(sums[:, 1].sum(0), size, out=np.full(replicas, np.nan), where=size > 0)
+    wanted: dict[int, list] = {}
+    for side in (0, 1):
+        place = (size - 1 + side) // 2
+        bucket = (upto <= place).sum(0)
+        before = np.where(bucket > 0, upto[np.maximum(bucket - 1, 0), np.arange(replicas)], 0)
+        for r in np.flatnonzero(size > 0).tolist():
+            wanted.setdefault(int(bucket[r]), []).append((side, r, float(place[r] - before[r])))
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(wanted)
+    placed = per.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, edges.tolist())), lambda e: e < F.col("v"))) if len(edges) else F.lit(0))
+    picked = placed.filter(F.col("bucket").isin(sorted(wanted))).groupBy("bucket").applyInArrow(_pickers(shared, replicas, seed), "side int, replica int, value double")
+    medians = picked.groupBy("replica").agg(F.avg("value").alias("median"))
+    means = spark.createDataFrame(pa.table({"replica": pa.array(np.arange(replicas), pa.int32()), "mean": mean}))
+    return means.join(medians, "replica", "left").select((F.col("replica") + 1).cast("int").alias("replica"), F.nullif(F.col("mean"), F.lit(math.nan)).alias("mean"), "median")
+
+
+def bootstrap_stat(df: DataFrame, value: str, replicas: int, seed: int = 3) -> DataFrame:
+    """R2: per statistic (mean, median) the mean, deviation and 2.5, 50 and 97.5 % points of its replicas."""
+    found = bootstrap_values(df, value, replicas, seed).unpivot("replica", ["mean", "median"], "statistic", "value")
+    return bootstrap_summary(found, ["statistic"], "value")
 
 
 def bootstrap_summary(replicas: DataFrame, by: list[str], value: str, null_value: float | None = None) -> DataFrame:
@@ -75,12 +133,8 @@ def bootstrap_summary(replicas: DataFrame, by: list[str], value: str, null_value
 
 
 def placebo_permute(df: DataFrame, id_column: str, column: str, replicas: int, seed: int = 3) -> DataFrame:
-    """A column dealt anew among the rows, per replica: two orders of one replica, joined by place."""
-    base = df.select(id_column, column).withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
-    by = Window.partitionBy("replica")
-    targets = base.select("replica", id_column, F.row_number().over(by.orderBy(id_column)).alias("_p"))
-    donors = base.select("replica", F.col(column).alias(f"{column}_placebo"), F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "replica", id_column), id_column)).alias("_p"))
-    return targets.join(donors, ["replica", "_p"]).drop("_p")
+    """A column dealt anew among the rows, per replica: rows are numbered once, a keyed bijection of numbers deals values."""
+    return permuted(df.select(id_column, F.col(column).alias(f"{column}_placebo")), f"{column}_placebo", [id_column], replicas, seed)
 
 
 def placebo_trajectory(paths: DataFrame, replicas: int, bands: str | None = None, seed: int = 3) -> DataFrame:
@@ -117,23 +171,86 @@ def exact_p(real: float, replicas: list[float]) -> float:
     return (sum(x >= real for x in replicas) + 1) / (len(replicas) + 1)
 
 
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h, m = d, 0
+    while m < 100_000:
+        m += 1
+        moved = 1.0
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + top * d, 1 + top / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+            moved = d * c
+        if abs(moved - 1) < 1e-15:
+            break
+    return front * h
+
+
 def binomial_p(k: int, n: int) -> float:
-    """Two-sided sign test."""
+    """The exact two-sided sign test, for any n: the tail by the incomplete beta function."""
+    low = min(k, n - k)
+    return 1.0 if n == 0 or 2 * low == n else min(1.0, 2 * _beta_share(n - low, low + 1, 0.5))
+
+
+def t_p(t: float, df: int) -> float:
+    """Two-sided Student's t."""
+    return _beta_share(df / 2, 0.5, df / (df + t * t)) if df > 0 else math.nan
+
+
+def signed_rank_p(rank_sum: float, n: int, ties: float) -> float:
+    """Two-sided Wilcoxon signed ranks: exact without ties up to 50 differences, else by the normal distribution with
+    ties taken off the variance (``ties``: sum of t^3 - t over equal sizes)."""
     if n == 0:
         return 1.0
-    tail = sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n if n <= 1000 else 0.5 * math.erfc((abs(k - n / 2) - 0.5) / math.sqrt(n / 2))
-    return min(1.0, 2 * tail)
+    total = n * (n + 1) // 2
+    if n <= 50 and ties == 0:
+        ways = np.zeros(total + 1)
+        ways[0] = 1
+        for k in range(1, n + 1):
+            ways[k:] = ways[k:] + ways[:-k].copy()
+        low = int(min(rank_sum, total - rank_sum))
+        return float(min(1.0, 2 * ways[: low + 1].sum() / 2.0**n))
+    variance = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    return math.erfc(abs(rank_sum - total / 2) / math.sqrt(variance) / math.sqrt(2)) if variance > 0 else 1.0
 
 
 def sign_counts(df: DataFrame, difference: str) -> DataFrame:
     """Counts for the sign test, the signed-rank sum with average ranks, and the t statistic of differences."""
+    return _signs(df, difference).select("n", "n_positive", "rank_sum", "mean", "t")
+
+
+def _signs(df: DataFrame, difference: str) -> DataFrame:
     moved = df.filter(F.col(difference) != 0)
-    size = F.abs(F.col(difference))
-    per = moved.groupBy(size.alias("_a")).agg(F.count("*").alias("_n"), F.count_if(F.col(difference) > 0).alias("_up"))
-    rank = F.coalesce(F.sum("_n").over(Window.orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("_n") + 1) / 2
-    ranked = per.withColumn("_rank", rank)
-    t = df.agg(F.avg(difference).alias("mean"), (F.avg(difference) / (F.stddev_samp(difference) / F.sqrt(F.count(difference)))).alias("t"))
-    return ranked.agg(F.sum("_n").alias("n"), F.sum("_up").alias("n_positive"), F.sum(F.col("_rank") * F.col("_up")).alias("rank_sum")).join(t)
+    per = moved.groupBy(F.abs(F.col(difference)).alias("_a")).agg(F.count("*").alias("_n"), F.count_if(F.col(difference) > 0).alias("_up"))
+    ranked = running_counts(per, "_a", "_n").withColumn("_rank", F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2)
+    t = df.agg(F.count(difference).alias("n_all"), F.avg(difference).alias("mean"), F.try_divide(F.avg(difference), F.stddev_samp(difference) / F.sqrt(F.count(difference))).alias("t"))
+    cube = F.col("_n").cast("double") ** 3 - F.col("_n")
+    return ranked.agg(F.sum("_n").alias("n"), F.sum("_up").alias("n_positive"), F.sum(F.col("_rank") * F.col("_up")).alias("rank_sum"), F.sum(cube).alias("ties")).join(t)
+
+
+def paired_tests(df: DataFrame, difference: str) -> DataFrame:
+    """P values of the sign test, of Wilcoxon's signed ranks and of the t test of differences (nulls left out)."""
+    r = _signs(df, difference).first()
+    n, up, ranks, ties = int(r["n"] or 0), int(r["n_positive"] or 0), float(r["rank_sum"] or 0), float(r["ties"] or 0)
+    p_t = t_p(float(r["t"]), int(r["n_all"]) - 1) if r["t"] is not None else None
+    row = (int(r["n_all"]), n, up, n - up, ranks, binomial_p(up, n), signed_rank_p(ranks, n, ties), p_t)
+    return df.sparkSession.createDataFrame([row], "n long, n_moved long, positive long, negative long, rank_sum double, p_sign double, p_rank double, p_t double")
+
+
+def mcnemar(df: DataFrame, gold: str, a: str, b: str) -> DataFrame:
+    """Discordant pairs of two classifiers and the exact test on them."""
+    r = mcnemar_counts(df, gold, a, b).first()
+    only_a, only_b = int(r["only_a"]), int(r["only_b"])
+    return df.sparkSession.createDataFrame([(only_a, only_b, binomial_p(only_a, only_a + only_b))], "only_a long, only_b long, p double")
 
 
 def mcnemar_counts(df: DataFrame, gold: str, a: str, b: str) -> DataFrame:
@@ -194,6 +311,54 @@ def threshold_ladder(df: DataFrame, a: str, b: str, size: str, thresholds: list[
     return kappa(long, a, b, ["threshold"])
 
 
+def _cluster_replicas(replicas: int, seed: int):
+    """Sums of clusters' sign tables by threshold and replica, over the rows of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            threshold, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cells = np.stack([batch.column(k).to_numpy() for k in range(2, 6)], 1).astype(float)
+            for t in np.unique(threshold).tolist():
+                rows = threshold == t
+                sums = _weights(key[rows], list(range(1, replicas + 1)), seed).T @ cells[rows]
+                held[t] = held[t] + sums if t in held else sums
+        for t, sums in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(replicas, t)), pa.array(np.arange(1, replicas + 1)), *map(pa.array, sums.T)], ["threshold", "replica", "pp", "pn", "np", "nn"])
+
+    return run
+
+
+def sign_agreement(df: DataFrame, a: str, b: str, size: str, cluster: str, thresholds: list[int], replicas: int = 500, seed: int = 3) -> DataFrame:
+    """L3: two directional indices of the same units (``a``: the source with ``size`` directional messages, ``b``: the reference).
+
+    Per least size: units, units with a sign in both, agreement, share of positive signs, agreement expected from them,
+    kappa with the 2.5 and 97.5 % points over clusters drawn anew, how often negative signs (the rarer class) of either meet
+    one of the other, and the correlation of levels. All replicas are weights on clusters' sign tables, summed in one job.
+    """
+    rows = df.dropna(subset=[a, b]).select(F.explode(F.array(*(F.lit(t).cast("long") for t in thresholds))).alias("threshold"), F.col(size).alias("_size"), F.xxhash64(cluster).alias("_key"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    rows = rows.filter(F.col("_size") >= F.col("threshold"))
+    up, down = (lambda c: F.col(c) > 0), (lambda c: F.col(c) < 0)
+    both = (F.col("_a") != 0) & (F.col("_b") != 0)
+    cells = [F.count_if(x("_a") & y("_b")).alias(n) for n, x, y in (("pp", up, up), ("pn", up, down), ("np", down, up), ("nn", down, down))]
+    level = F.when(both, F.col("_a"))
+    found = rows.groupBy("threshold").agg(F.count("*").alias("units"), *cells, F.corr(level, F.when(both, F.col("_b"))).alias("corr"))
+    n = F.col("pp") + F.col("pn") + F.col("np") + F.col("nn")
+    observed, pa_, pb = (F.col("pp") + F.col("nn")) / n, (F.col("pp") + F.col("pn")) / n, (F.col("pp") + F.col("np")) / n
+    expected = pa_ * pb + (1 - pa_) * (1 - pb)
+    k = F.try_divide(F.try_divide(F.col("pp") + F.col("nn"), n) - expected, 1 - expected)
+    per = rows.filter(both).groupBy("threshold", "_key").agg(*cells)
+    drawn = per.mapInArrow(_cluster_replicas(replicas, seed), "threshold long, replica long, pp double, pn double, np double, nn double")
+    drawn = drawn.groupBy("threshold", "replica").agg(*(F.sum(c).alias(c) for c in ("pp", "pn", "np", "nn"))).filter(n > 0).select("threshold", k.alias("k"))
+    q = lambda p: F.percentile("k", F.lit(p))
+    band = drawn.groupBy("threshold").agg(F.count("k").alias("replicas"), q(0.025).alias("kappa_low"), q(0.975).alias("kappa_high"))
+    return found.join(band, "threshold", "left").filter(n > 0).select(
+        "threshold", "units", n.alias("both_signed"), observed.alias("observed"), pa_.alias("positive_a"), pb.alias("positive_b"), expected.alias("expected"), k.alias("kappa"), "replicas", "kappa_low", "kappa_high",
+        (F.col("pn") + F.col("nn")).alias("negative_b"), (F.col("np") + F.col("nn")).alias("negative_a"), F.col("nn").alias("negative_both"),
+        F.try_divide(F.col("nn"), F.col("pn") + F.col("nn")).alias("found_of_b"), F.try_divide(F.col("nn"), F.col("np") + F.col("nn")).alias("found_of_a"), "corr",
+    )
+
+
 def series_agreement(df: DataFrame, key: str, x: str, y: str, size: str, least: int) -> DataFrame:
     """L4: correlation per key, and pooled (key null), of rows with enough signal."""
     rows = df.filter(F.col(size) >= least).dropna(subset=[x, y])
@@ -215,6 +380,36 @@ def event_study(mentions: DataFrame, ignitions: DataFrame, span: DataFrame, befo
     return rows.groupBy("source").agg(F.count("*").alias("mentions"), F.sum("_hit").alias("hits"), F.round(F.sum("_rate"), 6).alias("expected"))
 
 
+def control_mentions(mentions: DataFrame, span: DataFrame, before: int = 1, after: int = 3, times: int = 1, seed: int = 3) -> DataFrame:
+    """Dates without a mention, ``times`` as many per source and symbol as there are dates with one, none of them within
+    [-before, after] of a real one (or one within that of it).
+
+    ``span`` has one row with ``first`` and ``last`` step. Fewer where a calendar has too few free dates.
+    """
+    real = mentions.select("source", "symbol", "step").distinct()
+    sizes = real.groupBy("source", "symbol").agg((F.count("*") * times).alias("_k"))
+    reach = max(before, after)
+    taken = real.select("source", "symbol", F.explode(F.sequence(F.col("step") - reach, F.col("step") + reach)).alias("step")).distinct()
+    free = sizes.join(F.broadcast(span.select("first", "last"))).select("source", "symbol", "_k", F.explode(F.sequence("first", "last")).alias("step")).join(taken, ["source", "symbol", "step"], "left_anti")
+    # a group is one calendar
+    order = Window.partitionBy("source", "symbol").orderBy(F.xxhash64(F.lit(seed), "source", "symbol", "step"), "step")
+    picked = free.withColumn("_r", F.row_number().over(order)).filter("_r <= _k")
+    return picked.select("source", "symbol", "step", F.concat_ws("_", F.lit("control"), "source", "symbol", F.col("step").cast("string")).alias("mention_id"))
+
+
+def event_study_controls(mentions: DataFrame, ignitions: DataFrame, span: DataFrame, before: int = 1, after: int = 3, times: int = 1, seed: int = 3) -> DataFrame:
+    """The study of distinct (source, symbol, date) mentions beside that of its negative controls: rates, and z of the difference."""
+    steps = span.select((F.col("last") - F.col("first") + 1).alias("steps"))
+    real = mentions.select("source", "symbol", "step").distinct().withColumn("mention_id", F.concat_ws("_", "source", "symbol", F.col("step").cast("string")))
+    found = event_study(real, ignitions, steps, before, after)
+    control = event_study(control_mentions(mentions, span, before, after, times, seed), ignitions, steps, before, after)
+    both = found.join(control.select("source", F.col("mentions").alias("controls"), F.col("hits").alias("control_hits"), F.col("expected").alias("control_expected")), "source", "left").na.fill(0)
+    a, b = F.try_divide(F.col("hits"), F.col("mentions")), F.try_divide(F.col("control_hits"), F.col("controls"))
+    pooled = F.try_divide(F.col("hits") + F.col("control_hits"), F.col("mentions") + F.col("controls"))
+    z = F.try_divide(a - b, F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("mentions")) + F.try_divide(F.lit(1), F.col("controls")))))
+    return both.select("*", a.alias("rate"), b.alias("control_rate"), z.alias("z"))
+
+
 def extrapolate_volume(samples: DataFrame, key: str, time: str) -> DataFrame:
     """A capped sample's volume per day, n * 1440 / minutes spanned."""
     seconds = F.timestamp_diff("MICROSECOND", F.min(time), F.max(time)) / 1e6
@@ -228,6 +423,26 @@ def dual_panel(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n"), F.round(index(a), 6).alias("b_a"), F.round(index(b), 6).alias("b_b"), F.round(F.abs(index(a) - index(b)), 6).alias("difference"))
 
 
+def dual_agreement(panel: DataFrame, key: str, other_n: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """Over units of ``dual_panel``: units, correlation of the two indices, mean absolute difference, and units whose
+    number of messages isn't that of ``other_n`` (key columns and ``n_other``), for each ``key`` and for all (null)."""
+    rows = panel
+    if other_n is not None:
+        rows = rows.join(other_n, by or [key], "left").withColumn("_off", (~F.col("n").eqNullSafe(F.col("n_other"))).cast("int"))
+    else:
+        rows = rows.withColumn("_off", F.lit(0))
+    found = [F.count("*").alias("units"), F.sum("n").alias("messages"), F.corr("b_a", "b_b").alias("corr"), F.avg("difference").alias("mean_difference"), F.sum("_off").alias("different_n")]
+    return rows.groupBy(key).agg(*found).unionByName(rows.agg(*found).select(F.lit(None).cast(rows.schema[key].dataType).alias(key), "units", "messages", "corr", "mean_difference", "different_n"))
+
+
+def model_duel(rows: DataFrame, a: tuple[str, ...], b: tuple[str, ...], others: tuple[str, ...], stop: str, event: str, start: str | None = None) -> dict:
+    """The same duration model with the covariates of one source and of the other, on the rows that have both."""
+    from .fits import Spec, cox_fits
+
+    complete = " and ".join(f"{c} is not null" for c in (*a, *b, *others))
+    return cox_fits(rows, [Spec("a", (*others, *a), complete), Spec("b", (*others, *b), complete)], stop, event, start)
+
+
 # -- figures and expectations
 
 

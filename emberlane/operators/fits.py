@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
-from .survival import CoxFit, _square, _tied
+from .survival import CoxFit, _tied
 
 #: Most fits of a block: its sums of one time are one binary value.
 BLOCK = 64
@@ -193,21 +193,45 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*columns, pa.array([held[k].tobytes() for k in keys], pa.binary())], ["block", "stratum", "time", "sums"])
 
 
-def likelihood(times: np.ndarray, p: int, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood, gradient and information of one stratum from its sums by rising time, with Efron's ties."""
-    q = 1 + p + p * (p + 1) // 2
-    risk = times[:, :q][::-1].cumsum(0)[::-1] - times[:, q : 2 * q][::-1].cumsum(0)[::-1]
-    ll, grad, info = 0.0, np.zeros(p), np.zeros((p, p))
-    for t in np.flatnonzero(times[:, 3 * q] > 0):
-        r, e, x = risk[t], times[t, 2 * q : 3 * q], times[t, 3 * q + 1 :]
-        n = int(round(times[t, 3 * q]))
-        logs, s1, a1, s2, a2, aa2 = _tied(r[0], e[0], n) if n > 1 else (math.log(r[0]), 1 / r[0], 0.0, r[0] ** -2, 0.0, 0.0)
-        r1, e1 = r[1 : 1 + p], e[1 : 1 + p]
-        cross = np.outer(r1, e1)
-        ll += float(x @ beta) - logs
+def _ties(risk: np.ndarray, dead: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``_tied`` for several fits: six sums each."""
+    out = np.zeros((6, len(n)))
+    many = n > 2048
+    for k in np.flatnonzero(many).tolist():
+        out[:, k] = _tied(risk[k], dead[k], int(n[k]))
+    some = np.flatnonzero(~many & (n > 0))
+    if len(some):
+        k = np.arange(int(n[some].max()))
+        a = k / n[some][:, None]
+        s = np.where(k < n[some][:, None], risk[some][:, None] - a * dead[some][:, None], np.inf)
+        s1 = 1 / s
+        s2 = s1 * s1
+        logs = np.log(np.where(np.isinf(s), 1.0, s))
+        out[:, some] = [logs.sum(1), s1.sum(1), (a * s1).sum(1), s2.sum(1), (a * s2).sum(1), (a * a * s2).sum(1)]
+    return out
+
+
+def likelihoods(times: np.ndarray, p: int, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihoods, gradients and informations of a block's fits in one stratum, with Efron's ties.
+
+    ``times``: sums by rising time and fit; ``beta``: coefficients by fit.
+    """
+    q, i, j = _moments(p)
+    fits = times.shape[1]
+    risk = times[:, :, :q][::-1].cumsum(0)[::-1] - times[:, :, q : 2 * q][::-1].cumsum(0)[::-1]
+    ll, grad, flat = np.zeros(fits), np.zeros((fits, p)), np.zeros((fits, len(i)))
+    for t in np.flatnonzero((times[:, :, 3 * q] > 0).any(1)):
+        n = np.rint(times[t, :, 3 * q])
+        r, e, x = risk[t], times[t, :, 2 * q : 3 * q], times[t, :, 3 * q + 1 :]
+        logs, s1, a1, s2, a2, aa2 = (v[:, None] for v in _ties(r[:, 0], e[:, 0], n))
+        r1, e1 = r[:, 1 : 1 + p], e[:, 1 : 1 + p]
+        ll += (x * beta).sum(1) - logs[:, 0]
         grad += x - (r1 * s1 - e1 * a1)
-        info += _square(r[1 + p :] * s1 - e[1 + p :] * a1, p)
-        info -= np.outer(r1, r1) * s2 - (cross + cross.T) * a2 + np.outer(e1, e1) * aa2
+        flat += r[:, 1 + p :] * s1 - e[:, 1 + p :] * a1
+        flat -= r1[:, i] * r1[:, j] * s2 - (r1[:, i] * e1[:, j] + e1[:, i] * r1[:, j]) * a2 + e1[:, i] * e1[:, j] * aa2
+    info = np.zeros((fits, p, p))
+    info[:, i, j] = flat
+    info[:, j, i] = flat
     return ll, grad, info
 
 
@@ -226,9 +250,8 @@ def _evaluator(shared):
             rows.sort(key=lambda r: r[0])
             sums = np.stack([s for _, s in rows]).reshape(len(rows), len(states), -1)
             out = found.setdefault(block, np.zeros((len(states), 1 + p + p * p)))
-            for k, (_, _, beta) in enumerate(states):
-                ll, grad, info = likelihood(sums[:, k], p, beta)
-                out[k] += np.concatenate([[ll], grad, info.reshape(-1)])
+            ll, grad, info = likelihoods(sums, p, np.stack([beta for _, _, beta in states]))
+            out += np.concatenate([ll[:, None], grad, info.reshape(len(states), -1)], 1)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], ["block", "found"])
 
     return run

@@ -70,6 +70,11 @@ def chi2_sf(x: float, df: int) -> float:
     return front * h
 
 
+def safe_exp(x: float) -> float:
+    """exp, infinite where a coefficient of separated data runs away."""
+    return math.exp(x) if x < 700 else math.inf
+
+
 def normal_p(z: float) -> float:
     """Two-sided."""
     return math.erfc(abs(z) / math.sqrt(2))
@@ -116,7 +121,7 @@ class CoxFit:
         """(covariate, coefficient, hazard ratio, standard error, p, low, high)."""
         out = []
         for name, b, s in zip(self.covariates, self.beta, self.se):
-            out.append((name, float(b), math.exp(b), float(s), normal_p(b / s) if s > 0 else 1.0, math.exp(b - 1.96 * s), math.exp(b + 1.96 * s)))
+            out.append((name, float(b), safe_exp(b), float(s), normal_p(b / s) if s > 0 else 1.0, safe_exp(b - 1.96 * s), safe_exp(b + 1.96 * s)))
         return out
 
 
@@ -228,8 +233,11 @@ def robust_covariance(rows: DataFrame, fit: CoxFit, stop: str, event: str, clust
 
 def partial_loglik(rows: DataFrame, covariates: list[str], beta: list[float], stop: str, event: str) -> DataFrame:
     """Breslow's partial log likelihood of unit intervals with given coefficients, that of none, gain per death."""
-    eta = _eta(covariates, np.array(beta))
-    per = rows.groupBy(stop).agg(F.sum(event).alias("d"), F.sum(F.when(F.col(event) == 1, eta)).alias("x"), F.log(F.sum(F.exp(eta))).alias("s"), F.count("*").alias("n")).filter("d > 0")
+    rows = rows.select(stop, event, _eta(covariates, np.array(beta)).alias("_eta"))
+    # sums of exponentials are taken under the largest exponent of their time
+    top = rows.groupBy(stop).agg(F.max("_eta").alias("_top"))
+    moved = rows.join(F.broadcast(top), stop)  # one row per time: bounded by the calendar
+    per = moved.groupBy(stop).agg(F.sum(event).alias("d"), F.sum(F.when(F.col(event) == 1, F.col("_eta"))).alias("x"), (F.max("_top") + F.log(F.sum(F.exp(F.col("_eta") - F.col("_top"))))).alias("s"), F.count("*").alias("n")).filter("d > 0")
     ll, null = F.sum(F.col("x") - F.col("d") * F.col("s")), F.sum(-F.col("d") * F.log("n"))
     return per.agg(ll.alias("loglik"), null.alias("loglik_null"), ((ll - null) / F.sum("d")).alias("gain_per_death"))
 
@@ -250,28 +258,32 @@ def _ordered_bits(value: str):
     return F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(-(1 << 63))))
 
 
-def concordance(rows: DataFrame, risk: str, time: str, event: str) -> DataFrame:
+def concordance(rows: DataFrame, risk: str, time: str, event: str, by: list[str] | None = None) -> DataFrame:
     """V9: Harrell's C: of pairs whose shorter duration is a death, the share in which it has the higher risk; equal risks count half.
 
+    With ``by`` (replicas, populations) one row for each of its values, all counted together.
+
     Exact without pairs: two risks differ first in one of the 16 hex digits of their ordered bits, so a pair is counted at that
     digit, among rows with the same digits before it: counts per digit and time, and running sums from the last time back.
     A group of running sums has at most one row per time. Rows without a risk or time have no pairs.
     """
     known = rows.filter(F.col(risk).isNotNull() & F.col(time).isNotNull())
-    cells = known.groupBy(F.col(time).alias("t"), F.col(risk).alias("_r")).agg(F.sum(event).alias("d"), F.count("*").alias("n")).withColumn("_k", _ordered_bits("_r"))
-    later = lambda by, n: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    same = cells.groupBy("_k", "t").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    ties = same.select("d", later(["_k"], "n").alias("later")).agg(F.sum(F.col("d") * F.col("later")).alias("ties"))
+    by = by or []
+    cells = known.groupBy(*by, F.col(time).alias("t"), F.col(risk).alias("_r")).agg(F.sum(event).alias("d"), F.count("*").alias("n")).withColumn("_k", _ordered_bits("_r"))
+    later = lambda keys, n: F.coalesce(F.sum(n).over(Window.partitionBy(*by, *keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = cells.groupBy(*by, "_k", "t").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    ties = same.select(*by, "d", later(["_k"], "n").alias("later")).groupBy(*by).agg(F.sum(F.col("d") * F.col("later")).alias("ties"))
     levels = [F.struct(F.lit(i).alias("level"), (F.shiftrightunsigned("_k", 64 - 4 * i) if i else F.lit(0)).cast("long").alias("before"), F.shiftrightunsigned("_k", 60 - 4 * i).bitwiseAND(F.lit(15)).alias("digit")) for i in range(16)]
-    long = same.select("t", "d", "n", F.explode(F.array(*levels)).alias("_l")).select("t", "d", "n", "_l.*")
+    long = same.select(*by, "t", "d", "n", F.explode(F.array(*levels)).alias("_l")).select(*by, "t", "d", "n", "_l.*")
     digits = range(16)
     at = lambda c, k: F.sum(F.when(F.col("digit") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
-    sums = long.groupBy("level", "before", "t").agg(*(at("d", k) for k in digits), *(at("n", k) for k in digits))
-    g = sums.select("level", *(f"d{k}" for k in digits), *(later(["level", "before"], f"n{k}").alias(f"l{k}") for k in digits))
+    sums = long.groupBy(*by, "level", "before", "t").agg(*(at("d", k) for k in digits), *(at("n", k) for k in digits))
+    g = sums.select(*by, "level", *(f"d{k}" for k in digits), *(later(["level", "before"], f"n{k}").alias(f"l{k}") for k in digits))
     below = sum((F.col(f"d{k}") * sum((F.col(f"l{j}") for j in range(k)), F.lit(0)) for k in digits), F.lit(0))
     everyone = sum((F.col(f"d{k}") for k in digits), F.lit(0)) * sum((F.col(f"l{k}") for k in digits), F.lit(0))
-    counted = g.agg(F.sum(below).alias("good"), F.sum(F.when(F.col("level") == 0, everyone)).alias("pairs"))
-    return counted.join(ties).select(F.col("pairs").cast("long").alias("pairs"), F.try_divide(F.col("good") + F.col("ties") / 2, F.col("pairs")).alias("concordance"))
+    counted = g.groupBy(*by).agg(F.sum(below).alias("good"), F.sum(F.when(F.col("level") == 0, everyone)).alias("pairs"))
+    both = counted.join(ties, by) if by else counted.join(ties)
+    return both.select(*by, F.col("pairs").cast("long").alias("pairs"), F.try_divide(F.col("good") + F.col("ties") / 2, F.col("pairs")).alias("concordance"))
 
 
 def baseline_hazard(rows: DataFrame, covariates: list[str], beta: list[float], stop: str, event: str) -> DataFrame:
@@ -323,7 +335,35 @@ class WeibullFit:
     loglik: float
 
     def median(self, x: list[float]) -> float:
-        return math.exp(self.intercept + float(np.dot(self.beta, x)) + self.scale * math.log(math.log(2)))
+        return self.quantile(x, 0.5)
+
+    def quantile(self, x: list[float], share: float, age: float = 0.0) -> float:
+        """The time by which ``share`` of those that survive to ``age`` are gone."""
+        centre = math.exp(self.intercept + float(np.dot(self.beta, x)))
+        past = (age / centre) ** (1 / self.scale) if age > 0 else 0.0
+        return centre * (past - math.log1p(-share)) ** self.scale
+
+    def residual_median(self, x: list[float], age: float) -> float:
+        """The median of what is left after ``age``."""
+        return self.quantile(x, 0.5, age) - age
+
+    def scenarios(self, base: dict[str, float], changes: dict[str, dict[str, float]], age: float = 0.0) -> list[tuple[str, float, float]]:
+        """(name, median duration given survival to ``age``, median of what is left), for profiles that differ from the base in some covariates."""
+        out = []
+        for name, change in changes.items():
+            x = [(base | change)[c] for c in self.covariates]
+            out.append((name, self.quantile(x, 0.5, age), self.residual_median(x, age)))
+        return out
+
+
+def one_at_a_time(rows: DataFrame, covariates: list[str], shares: tuple[float, float] = (0.25, 0.75)) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
+    """V8: the median profile, and for each covariate the profiles with it alone at its lower and upper quantile."""
+    got = rows.agg(*(F.percentile(F.col(c).cast("double"), F.array(F.lit(0.5), *map(F.lit, shares))) for c in covariates)).first()
+    base = {c: float(q[0]) for c, q in zip(covariates, got)}
+    changes = {"median": {}}
+    for c, q in zip(covariates, got):
+        changes |= {f"{c}_low": {c: float(q[1])}, f"{c}_high": {c: float(q[2])}}
+    return base, changes
 
 
 def _least_squares(data: DataFrame, names: list[str]) -> np.ndarray:
@@ -390,6 +430,12 @@ def weibull_aft(rows: DataFrame, covariates: list[str], time: str, event: str, e
         ll, grad, hess = new
         if abs(gain) < 1e-9 * (1 + abs(ll)):
             break
+        if np.linalg.eigvalsh(-hess)[0] > 1e-9:
+            last = np.linalg.solve(-hess, grad)
+            if float(grad @ last) < 1e-8 * (1 + abs(ll)) * 1e-2:
+                # what is left is of second order in this step
+                theta, ll = theta + last, ll + float(grad @ last) / 2
+                break
     return WeibullFit(covariates, float(theta[0]), theta[1:-1], float(np.exp(theta[-1])), ll)
 
 

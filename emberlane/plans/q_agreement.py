@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agreement, joins, series
+from ..operators import agreement, joins, series, survival
 from ..sources.store import stored
 from . import q_panel
 from . import views as v
@@ -51,17 +51,76 @@ def _trajectories(spark, d):
     return agreement.placebo_p(statistic(paths), statistic(agreement.placebo_trajectory(paths, 300), "replica"))
 
 
+def _banded(spark, d):
+    """The statistic of ``_trajectories`` with donors from the same third of lengths."""
+    paths = stored(_paths(spark, d), "paths")
+    length = paths.groupBy("event_id").agg((F.max("age") + 1).alias("length"))
+    bands = series.qcut(length, "length", 3).select("event_id", F.col("bin").alias("band"))
+
+    def statistic(df, *keys):
+        means = df.groupBy(*keys, "event_id").agg(F.avg("value").alias("mean")).join(F.broadcast(length), "event_id")
+        return means.groupBy(*keys).agg(F.corr("length", "mean").alias("statistic"))
+
+    return agreement.placebo_p(statistic(paths), statistic(agreement.placebo_trajectory(paths.join(bands, "event_id"), 300, "band"), "replica"))
+
+
+def _halves(spark, d):
+    """Per order the mean quantity of even lines less that of odd ones."""
+    odd = F.col("l_linenumber") % 2 == 1
+    x = F.round(F.avg(F.when(~odd, F.col("l_quantity"))) - F.avg(F.when(odd, F.col("l_quantity"))), 4)
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(x.alias("x")).dropna()
+
+
+def _sources(spark, d):
+    """Optimism of a symbol's hour by two halves of its users."""
+    m = v.messages(spark, d)
+    side = lambda rest: m.filter(F.col("user_id") % 2 == rest).groupBy("symbol", "step").agg(F.count_if(F.col("label") == "bull").alias("c"), F.count_if(F.col("label") == "bear").alias("v"))
+    a, b = side(0).select("symbol", "step", (F.col("c") + F.col("v")).alias("size"), F.log((1 + F.col("c")) / (1 + F.col("v"))).alias("a")), side(1).select("symbol", "step", F.log((1 + F.col("c")) / (1 + F.col("v"))).alias("b"))
+    return a.join(b, ["symbol", "step"]).withColumn("day", F.concat_ws("_", "symbol", F.expr("step div 24").cast("string")))
+
+
+def _signed(spark, d):
+    return agreement.sign_agreement(_sources(spark, d), "a", "b", "size", "day", [1, 2, 3, 5], 500)
+
+
+def _controls(spark, d):
+    """Purchases of over 90 as mentions against ignitions, beside as many dates without one."""
+    m = v.messages(spark, d).filter("value > 97").select(F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("source"), "symbol", "step")
+    span = v.dense(spark, d).agg(F.min("step").alias("first"), F.max("step").alias("last"))
+    return agreement.event_study_controls(m, v.events(spark, d).select("symbol", "start"), span)
+
+
+def _dual(spark, d):
+    rows = agreement.dual_panel(_two(spark, d), ["symbol", "step"], "label", "other")
+    other = v.hourly(spark, d).select("symbol", "step", F.col("n").alias("n_other"))
+    return agreement.dual_agreement(rows, "symbol", other, ["symbol", "step"])
+
+
+def _duel(spark, d):
+    """Lagged optimism by two classifiers in the same duration model of event steps."""
+    dual = agreement.dual_panel(_two(spark, d), ["symbol", "step"], "label", "other").select("symbol", (F.col("step") + 1).alias("step"), "b_a", "b_b")
+    rows = q_panel.start_stop(spark, d).join(dual, ["symbol", "step"])
+    return survival.registry(spark, agreement.model_duel(rows, ("b_a",), ("b_b",), ("log_n_lag",), "stop", "death", "start"))
+
+
 QUERIES = {
     "r1_bootstrap_clusters": entry(_clusters),
-    "r2_bootstrap_stat": entry(lambda s, d: agreement.bootstrap_stat(v.durations(s, d), "t", "o_orderkey", 5000)),
+    "r2_bootstrap_stat": entry(lambda s, d: agreement.bootstrap_stat(v.durations(s, d), "t", 5000)),
     "r3_bootstrap_summary": entry(lambda s, d: agreement.bootstrap_summary(table(s, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.avg("l_discount").alias("x")), ["l_returnflag"], "x", 0.05), """select *, low > 0.05 or high < 0.05 as excludes from (select l_returnflag, count(x) as n, avg(x) as mean, stddev_samp(x) as se, quantile_cont(x, 0.025) as low, quantile_cont(x, 0.5) as median, quantile_cont(x, 0.975) as high
         from (select l_returnflag, l_suppkey, avg(l_discount) as x from lineitem group by 1, 2) group by 1)""", "mean se low median high"),
-    "r4_placebo_permute": entry(lambda s, d: agreement.placebo_permute(v.durations(s, d), "o_orderkey", "x2", 3).groupBy("replica").agg(F.count("*").alias("n"), F.sum("x2_placebo").alias("total")), with_views("dur", "select cast(r as integer) as replica, count(*) as n, sum(x2) as total from dur, (select unnest([1, 2, 3]) as r) group by 1"), "total"),
+    "r4_placebo_permute": entry(lambda s, d: agreement.placebo_permute(v.durations(s, d), "o_orderkey", "x2", 3).groupBy("replica", F.col("x2_placebo").alias("x2")).agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("ids")), with_views("dur", "select cast(r as integer) as replica, x2, count(*) as n, count(distinct o_orderkey) as ids from dur, (select unnest([1, 2, 3]) as r) group by 1, 2")),
     "r4_placebo_p": entry(_permuted),
     "r5_placebo_p": entry(_trajectories),
     "r5_placebo_trajectory": entry(lambda s, d: agreement.placebo_trajectory(_paths(s, d), 5).groupBy("replica").agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("events"), F.count_if(F.col("donor") == F.col("event_id")).alias("own")), with_views("cat", 'select cast(r as integer) as replica, cast(sum(duration) as bigint) as "rows", count(*) as events, 0 as own from cat, (select unnest([1, 2, 3, 4, 5]) as r) group by 1')),
     "r6_sign_counts": entry(lambda s, d: agreement.sign_counts(table(s, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.avg(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity"))) - F.avg(F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity"))), 4).alias("x")).dropna(), "x"), """with x as (select l_orderkey, round(avg(l_quantity) filter (l_linenumber % 2 = 0) - avg(l_quantity) filter (l_linenumber % 2 = 1), 4) as x from lineitem group by 1), y as (select * from x where x is not null),
         r as (select x, abs(x) as a, (rank() over (order by abs(x)) + rank() over (order by abs(x)) + count(*) over (partition by abs(x)) - 1) / 2 as k from y where x <> 0) select count(*) as n, count(*) filter (x > 0) as n_positive, sum(k) filter (x > 0) as rank_sum, (select avg(x) from y) as mean, (select avg(x) / (stddev_samp(x) / sqrt(count(x))) from y) as t from r""", "rank_sum mean t"),
+    "r5_placebo_bands": entry(_banded),
+    "r6_paired_tests": entry(lambda s, d: agreement.paired_tests(_halves(s, d), "x")),
+    "r6_mcnemar_test": entry(lambda s, d: agreement.mcnemar(_two(s, d).withColumn("b", F.when(F.col("k") % 2 == 0, "bull").otherwise("bear")), "label", "other", "b")),
+    "l3_sign_agreement": entry(_signed),
+    "l5_controls": entry(_controls),
+    "l8_dual_agreement": entry(_dual),
+    "l8_model_duel": entry(_duel),
     "r6_mcnemar": entry(lambda s, d: agreement.mcnemar_counts(_two(s, d).withColumn("b", F.when(F.col("k") % 2 == 0, "bull").otherwise("bear")), "label", "other", "b"), with_views("m", f", {_M2}, x as (select label, other, case when k % 2 = 0 then 'bull' else 'bear' end as b from m2) select count(*) filter (label = other and label <> b) as only_a, count(*) filter (label <> other and label = b) as only_b from x")),
     "l1_paired_series": entry(_pair, with_views("cat m", "").rstrip() + f""", {q_panel._PRESS} select c.symbol, g.step, c.event_id, c.start, c."end", coalesce(d.n, 0) as na, coalesce(pr.n, 0) as nb, case when g.step < c.start then 'pre' when g.step > c."end" then 'post' else 'event' end as phase, g.step - c.start as age
         from cat c, lateral (select unnest(range(c.start - 3, c."end" + 4)) as step) g left join dense d on d.symbol = c.symbol and d.step = g.step left join pr on pr.symbol = c.symbol and pr.step = g.step"""),

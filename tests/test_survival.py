@@ -86,7 +86,7 @@ def test_concordance_against_pairs(rows, data):
                 pairs += 1
                 good += 1 if x[i, 0] > x[j, 0] else 0.5 if x[i, 0] == x[j, 0] else 0
     r = survival.concordance(rows, "x1", "t", "e").first()
-    assert r["pairs"] == pairs and r["concordance"] == pytest.approx(good / pairs, abs=1e-3)
+    assert r["pairs"] == pairs and r["concordance"] == pytest.approx(good / pairs, abs=1e-12)
 
 
 def test_logrank_two_groups(rows, data):
