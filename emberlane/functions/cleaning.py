@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 #: Markers of removed texts.
 TOMBSTONES = ["[removed]", "[deleted]", ""]
-#: Company-name suffixes that carry no meaning.
+#: Company-name suffixes that carry no meaning: a short list of our own, a parameter of ``normalize_name``.
 SUFFIXES = "inc incorporated corp corporation co company ltd limited plc llc lp sa nv ag holdings holding group trust the".split()
 
 
@@ -96,10 +96,10 @@ def equity_code(code: Column) -> Column:
 
 #: Symbols of crypto equities, and the patterns of names.
 CRYPTO = "RIOT MARA HIVE HVBT HUT BITF CLSK CIFR WULF CORZ IREN BTBT CAN EBON SOS BTCS GREE ARBK COIN MSTR BTDR ABTC BTM SDIG DGHI MIGI BTOG".split()
-SPAC_NAME = r"\bACQUISITIONS?\b|\bSPAC\b"
+SPAC_NAME = r"\bACQUISITION\b|\bACQUISITIONS\b|\bSPAC\b"
 CRYPTO_NAME = r"\bBITCOIN\b|\bBLOCKCHAIN\b|\bCRYPTO\b|\bETHEREUM\b|\bDIGITAL ASSET"
 ADR_NAME = "ADR|AMERICAN DEPOSITARY"
-NON_SHARE_NAME = "WARRANT|RIGHT|UNIT|PREFERRED|PREFERENCE|DEPOSITARY|NOTES? DUE|DEBENTURE|BOND|TRUST PREFERRED|SUBORDINATED"
+NON_SHARE_NAME = "Warrant|Right|Unit|Preferred|Preference|Depositary|Notes? Due|Debenture|Bond|Trust Preferred|Subordinated"
 
 
 def flag_instruments(name: Column, symbol: Column, code: Column) -> list[Column]:
@@ -107,7 +107,7 @@ def flag_instruments(name: Column, symbol: Column, code: Column) -> list[Column]
     upper = F.coalesce(F.upper(name), F.lit(""))
     crypto = F.coalesce(symbol.isin(CRYPTO), F.lit(False)) | upper.rlike(CRYPTO_NAME)
     fund = F.coalesce(F.floor(code / 10) == 7, F.lit(False))
-    return [upper.rlike(SPAC_NAME).alias("is_spac"), (crypto & ~fund).alias("is_crypto"), upper.rlike(ADR_NAME).alias("is_adr"), upper.rlike(NON_SHARE_NAME).alias("is_non_share")]
+    return [upper.rlike(SPAC_NAME).alias("is_spac"), (crypto & ~fund).alias("is_crypto"), upper.rlike(ADR_NAME).alias("is_adr"), F.coalesce(name, F.lit("")).rlike(f"(?i){NON_SHARE_NAME}").alias("is_non_share")]
 
 
 def parse_day(text: Column) -> Column:
@@ -183,6 +183,7 @@ def label_life(delisted: Column, following: Column) -> Column:
 
 def label_era(year: Column) -> Column:
     """The years to 2021, 2022 and 2023, and those after."""
+    # fixed values: the names of the eras
     return F.when(year <= 2021, "2020-2021 meme").when(year <= 2023, "2022-2023").otherwise("2024-2026")
 
 

@@ -16,28 +16,63 @@ BULL = [
 ]
 BEAR = ["sell", "sold", "selling", "short", "shorting", "puts", "put", "bear", "bearish", "crash", "dump", "drill", "bagholder", "collapse", "tank", "overvalued", "bubble"]
 NEGATIONS = ["don't", "dont", "not", "never", "no way", "won't", "wont", "wouldn't"]
-#: Words that make a text financial.
-FINANCE = "stock stocks share shares ticker earnings market price calls puts option options invest".split()
-
-
-def compile_dictionary(names: DataFrame, excluded: list[str], common: list[str]) -> DataFrame:
-    """G1: (symbol, route, key): cashtags for all, tokens of 3 to 5 letters, one-word names of 5 letters or more, two-word phrases."""
-    words = F.filter(F.split(F.regexp_replace(F.lower("name"), "[^a-z ]", " "), " +"), lambda w: w != "")
+#: Words that make a text financial, as whole words in any case.
+FINANCE = """stock stocks shares share earnings trading trade trader market markets invest investor investors investing ipo
+    buy sell price nasdaq nyse"""
+FINANCE_WORDS = [*FINANCE.split(), "wall street", "squeeze", "short"]
+#: The stricter list, for tokens of texts that are not about markets.
+STRICT_FINANCE = ["stock", "stocks", "shares", "shareholder", "market", "markets", "invest", "investor", "investment", "wall street", "nasdaq", "dow", "s&p", "ipo", "earnings", "dividend"]
+#: Words of company names that say nothing about the company.
+STOP_WORDS = """inc incorporated corp corporation ltd limited plc
+    co company companies holdings holding group class
+    common stock shares share adr adrs ordinary
+    trust fund sa nv ag spa the of de and
+    new del international technologies technology tech
+    investment investments capital financial finance
+    industries industrial resources systems solutions
+    partners properties brands media digital energy
+    enterprises ventures labs pharmaceuticals pharma
+    bancorp bancshares bank services
+    equity liquidity research markets trading
+    strategies strategy acquisition acquisitions
+    insurance customers consumer products national
+    global western southern northern pacific
+    premier worldwide standard
+    security healthcare mortgage diversified education
+    payments network citizens institutions
+    entertainment software airlines banking sports
+    equipment drilling homes home merger mergers
+    mining
+    federal independent associated republic peoples
+    heritage pioneer liberty enterprise""".split()
+#: Phrases that are no company.
+EXCLUDED_PHRASES = ["real estate", "united states", "very good"]
+
+
+def compile_dictionary(names: DataFrame, excluded: list[str], common: list[str], phrases: list[str] = EXCLUDED_PHRASES) -> DataFrame:
+    """G1: (symbol, route, key): cashtags for all, upper-case tokens of 3 to 5 letters, and from the words of the name that have
+    three letters or more and say something about the company: a single one of 5 letters or more that isn't common, or the
+    first two as a phrase that isn't excluded. A null name gives no words."""
+    w = lambda x: (F.length(x) >= 3) & ~x.isin(STOP_WORDS)
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z ]", " "), " +"), w)
     n = names.select("symbol", words.alias("w"))
-    one, two = F.element_at("w", 1), F.array_join(F.slice("w", 1, 2), " ")
+    one, two = F.get("w", F.lit(0)), F.array_join(F.slice("w", 1, 2), " ")
+    upper = F.upper("symbol")
+    entry = lambda route, key: F.struct(F.lit(route).alias("route"), key.alias("key"))
     routes = F.array(
-        F.struct(F.lit("cashtag").alias("route"), F.upper("symbol").alias("key")),
-        F.when(F.col("symbol").rlike("^[A-Za-z]{3,5}$") & ~F.upper("symbol").isin(excluded), F.struct(F.lit("token").alias("route"), F.upper("symbol").alias("key"))),
-        F.when((F.size("w") == 1) & (F.length(one) >= 5) & ~one.isin(common), F.struct(F.lit("word").alias("route"), one.alias("key"))),
-        F.when(F.size("w") >= 2, F.struct(F.lit("phrase").alias("route"), two.alias("key"))),
+        entry("cashtag", upper),
+        F.when(upper.rlike("^[A-Z]{3,5}$") & ~upper.isin(excluded), entry("token", upper)),
+        F.when((F.size("w") == 1) & (F.length(one) >= 5) & ~one.isin(common), entry("word", one)),
+        F.when((F.size("w") >= 2) & ~two.isin(phrases), entry("phrase", two)),
     )
-    return n.select("symbol", F.explode(F.filter(routes, lambda r: r.isNotNull())).alias("r")).select("symbol", "r.*")
+    return n.select("symbol", F.explode(F.filter(routes, lambda r: r.isNotNull())).alias("r")).select("symbol", "r.*").distinct()
 
 
 def mention_routes(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """(key, symbol, route). Cashtags, upper-case tokens and words are equi-joins on extracted keys; a phrase is
     looked up by its first word and then searched in the space-joined words (as a substring, not bounded by words)."""
     t = F.col(text)
+    texts = texts.filter(~t.isin("[removed]", "[deleted]"))
     low = F.regexp_extract_all(F.lower(t), F.lit(r"([a-z]{3,})"), F.lit(1))
     found = texts.select(
         F.col(key),
@@ -86,11 +121,47 @@ def count_occurrences(texts: DataFrame, key: str, text: str, names: DataFrame, m
     return hits.groupBy(key).agg(taken.alias("s")).select(key, F.explode("s").alias("symbol")).groupBy(key, "symbol").agg(F.count("*").alias("n"))
 
 
+def _any_word(words: list[str]) -> str:
+    return r"(?i)\b(" + "|".join(map(re.escape, words)) + r")\b"
+
+
+def has_finance(text: Column, words: list[str] = FINANCE_WORDS) -> Column:
+    return F.coalesce(text.rlike(_any_word(words)), F.lit(False))
+
+
+def shouts(text: Column, share: float = 0.7) -> Column:
+    """Whether more than a share of a text's letters are upper case."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\p{Lu}")) > share * F.regexp_count(text, F.lit(r"\p{L}")), F.lit(False))
+
+
 def context_gate(text: Column) -> list[Column]:
-    """Whether a text has finance words, and whether it shouts (over 70 % of its letters upper case)."""
-    finance = F.lower(text).rlike(r"\b(" + "|".join(FINANCE) + r")\b")
-    letters = F.regexp_count(text, F.lit("[A-Za-z]"))
-    return [finance.alias("finance"), F.coalesce(F.regexp_count(text, F.lit("[A-Z]")) > 0.7 * letters, F.lit(False)).alias("shouts")]
+    """Whether a text has finance words, and whether it shouts."""
+    return [has_finance(text).alias("finance"), shouts(text).alias("shouts")]
+
+
+def gated_routes(texts: DataFrame, key: str, text: str, dictionary: DataFrame, guarded: list[str]) -> DataFrame:
+    """(key, symbol, route) with one route each: cashtag before token before name. A token among ``guarded`` symbols counts
+    in a text with finance words only, as token_ctx."""
+    found = mention_routes(texts, key, text, dictionary)
+    context = texts.select(F.col(key).alias("_of"), has_finance(F.col(text)).alias("_finance"))
+    rows = found.join(context, F.col(key) == F.col("_of"))
+    is_guarded = (F.col("route") == "token") & F.upper("symbol").isin(guarded)
+    rank = F.when(F.col("route") == "cashtag", 0).when(F.col("route") == "token", 1).otherwise(2)
+    name = F.when(is_guarded, "token_ctx").when(F.col("route").isin("word", "phrase"), "name").otherwise(F.col("route"))
+    kept = rows.filter(~is_guarded | F.col("_finance"))
+    return kept.groupBy(key, "symbol").agg(F.min(F.struct(rank.alias("rank"), name.alias("route"))).alias("_r")).select(key, "symbol", F.col("_r.route").alias("route"))
+
+
+def strict_routes(texts: DataFrame, key: str, text: str, dictionary: DataFrame, excluded_tokens: list[str] = ()) -> DataFrame:
+    """As ``gated_routes`` for texts that are not about markets: no token counts in a text that shouts or has none of the
+    strict finance words, nor an excluded one."""
+    found = mention_routes(texts, key, text, dictionary)
+    open_ = ~shouts(F.col(text)) & has_finance(F.col(text), STRICT_FINANCE)
+    rows = found.join(texts.select(F.col(key).alias("_of"), open_.alias("_open")), F.col(key) == F.col("_of"))
+    kept = rows.filter((F.col("route") != "token") | (F.col("_open") & ~F.upper("symbol").isin(list(excluded_tokens))))
+    rank = F.when(F.col("route") == "cashtag", 0).when(F.col("route") == "token", 1).otherwise(2)
+    name = F.when(F.col("route").isin("word", "phrase"), "name").otherwise(F.col("route"))
+    return kept.groupBy(key, "symbol").agg(F.min(F.struct(rank.alias("rank"), name.alias("route"))).alias("_r")).select(key, "symbol", F.col("_r.route").alias("route"))
 
 
 def kwic(text: Column, word: str, around: int = 250) -> Column:

@@ -123,24 +123,30 @@ def pairwise_agreement(rows: DataFrame, models: list[str]) -> DataFrame:
     return rows.agg(F.array(*found).alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*")
 
 
+def _class_counts(rows: DataFrame, gold: str, pred: str) -> DataFrame:
+    """label, hits, given and said rows of each class that occurs on either side."""
+    long = rows.select(F.explode(F.array_distinct(F.array(gold, pred))).alias("label"), gold, pred)
+    is_gold, is_said = F.col(gold) == F.col("label"), F.col(pred) == F.col("label")
+    return long.groupBy("label").agg(F.count_if(is_gold & is_said).alias("tp"), F.count_if(is_gold).alias("support"), F.count_if(is_said).alias("predicted"))
+
+
+def _f1() -> Column:
+    return F.try_divide(2 * F.col("tp"), F.col("predicted") + F.col("support"))
+
+
 def classification_report(rows: DataFrame, gold: str, pred: str) -> DataFrame:
     """Precision, recall and F1 of each class."""
-    long = rows.select(F.explode(F.array_distinct(F.array(gold, pred))).alias("label"), gold, pred)
-    tp = F.count_if((F.col(gold) == F.col("label")) & (F.col(pred) == F.col("label")))
-    actual, said = F.count_if(F.col(gold) == F.col("label")), F.count_if(F.col(pred) == F.col("label"))
-    out = long.groupBy("label").agg(tp.alias("tp"), actual.alias("support"), said.alias("predicted"))
     p, r = F.try_divide("tp", "predicted"), F.try_divide("tp", "support")
-    return out.select("label", "support", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * F.col("tp"), F.col("predicted") + F.col("support")), 6).alias("f1"))
+    return _class_counts(rows, gold, pred).select("label", "support", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(_f1(), 6).alias("f1"))
 
 
-def classification_summary(report: DataFrame) -> DataFrame:
-    """From a report per class: accuracy, macro F1, and balanced accuracy over the classes that occur; a class never said
-    or never given has F1 0."""
-    real = F.when(F.col("support") > 0, F.coalesce("recall", F.lit(0.0)))
-    return report.agg(
-        F.sum("support").alias("n"), F.round(F.try_divide(F.sum(F.coalesce("recall", F.lit(0.0)) * F.col("support")), F.sum("support")), 6).alias("accuracy"),
-        F.round(F.avg(F.coalesce("f1", F.lit(0.0))), 6).alias("macro_f1"), F.round(F.avg(real), 6).alias("balanced_accuracy"),
-    )
+def classification_summary(rows: DataFrame, gold: str, pred: str) -> DataFrame:
+    """Accuracy, macro F1, and balanced accuracy over the classes that occur, from counts; a class never said or never
+    given has F1 0."""
+    recall = F.when(F.col("support") > 0, F.col("tp") / F.col("support"))
+    return _class_counts(rows, gold, pred).agg(
+        F.sum("support").alias("n"), F.round(F.try_divide(F.sum("tp"), F.sum("support")), 6).alias("accuracy"), F.round(F.avg(F.coalesce(_f1(), F.lit(0.0))), 6).alias("macro_f1"), F.round(F.avg(recall), 6).alias("balanced_accuracy")
+    )
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

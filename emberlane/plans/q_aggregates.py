@@ -64,7 +64,7 @@ QUERIES = {
         from (select source, doc_id % 97 as day, case when doc_id % 11 = 0 then '[removed]' else text end as text, n_chars, doc_id % 5 = 0 as link from documents) group by 1""", "pct_empty pct_removed pct_link pct_usable pct_long median_score rows_per_day"),
     "c10_weekly_share": entry(lambda s, d: joins.event_rollup(v.dense(s, d), v.events(s, d)), with_views("cat", 'select c.event_id, cast(sum(h.n) as bigint) as total, count(h.n) as steps from cat c join dense h on h.symbol = c.symbol and h.step between c.start and c."end" group by 1')),
     "d13_pairwise_agreement": entry(lambda s, d: aggregates.pairwise_agreement(_votes(s, d), ["v1", "v2", "v3"]), with_views("m", f""", {_VOTES} select 'v1' as a, 'v2' as b, count(*) as n, avg((v1 = v2)::int) as agreement from votes union all select 'v1', 'v3', count(*), avg((v1 = v3)::int) from votes union all select 'v2', 'v3', count(*), avg((v2 = v3)::int) from votes"""), "agreement"),
-    "d14_summary": entry(lambda s, d: aggregates.classification_summary(aggregates.classification_report(_votes(s, d), "v1", "v3")), with_views("m", f""", {_VOTES}, r as (select label, count(*) filter (v1 = label and v3 = label) as tp, count(*) filter (v1 = label) as support, count(*) filter (v3 = label) as predicted from votes, (select unnest(['bull', 'bear', 'neutral', 'x']) as label) group by 1)
+    "d14_summary": entry(lambda s, d: aggregates.classification_summary(_votes(s, d), "v1", "v3"), with_views("m", f""", {_VOTES}, r as (select label, count(*) filter (v1 = label and v3 = label) as tp, count(*) filter (v1 = label) as support, count(*) filter (v3 = label) as predicted from votes, (select unnest(['bull', 'bear', 'neutral', 'x']) as label) group by 1)
         select cast(sum(support) as bigint) as n, sum(tp) / sum(support) as accuracy, avg(2 * tp / (predicted + support)) as macro_f1, avg(tp / support) filter (support > 0) as balanced_accuracy from r where support + predicted > 0"""), "accuracy macro_f1 balanced_accuracy"),
     "d14_class_weights": entry(lambda s, d: aggregates.class_weights(_votes(s, d), "v3"), with_views("m", f", {_VOTES} select v3, count(*) as n, sum(count(*)) over () / (count(*) over () * count(*)) as weight from votes group by 1"), "weight"),
 }

@@ -75,7 +75,7 @@ QUERIES = {
     "b7_valid_symbol": entry(lambda s, d: table(s, d, "part").select("p_partkey", cleaning.valid_symbol(F.upper(F.col("p_name"))).alias("ok")), "select p_partkey, regexp_full_match(upper(p_name), '[A-Z0-9.\\-]{1,10}') as ok from part"),
     "b8_equity_code": entry(lambda s, d: table(s, d, "part").filter(cleaning.equity_code(F.col("p_partkey") % 90 + 10)).select("p_partkey"), "select p_partkey from part where (p_partkey % 90 + 10) % 10 not in (4, 5) and (p_partkey % 90 + 10) // 10 % 10 not in (7, 2, 4)"),
     "b9_flags": entry(lambda s, d: _instruments(s, d).select("p_partkey", *cleaning.flag_instruments(F.col("name"), F.col("symbol"), F.col("code"))), rf"""with n as (select p_partkey, upper(p_name || ' ' || ['Acquisition', 'bitcoin', 'crypto fund', 'ADR', 'warrants'][p_partkey % 5 + 1]) as name, ['RIOT', 'COIN', 'XYZ'][p_partkey % 3 + 1] as symbol, p_partkey % 80 + 10 as code from part)
-        select p_partkey, regexp_matches(name, '{cleaning.SPAC_NAME}') as is_spac, (symbol <> 'XYZ' or regexp_matches(name, '{cleaning.CRYPTO_NAME}')) and code // 10 <> 7 as is_crypto, regexp_matches(name, '{cleaning.ADR_NAME}') as is_adr, regexp_matches(name, '{cleaning.NON_SHARE_NAME}') as is_non_share from n"""),
+        select p_partkey, regexp_matches(name, '{cleaning.SPAC_NAME}') as is_spac, (symbol <> 'XYZ' or regexp_matches(name, '{cleaning.CRYPTO_NAME}')) and code // 10 <> 7 as is_crypto, regexp_matches(name, '{cleaning.ADR_NAME}') as is_adr, regexp_matches(name, '(?i){cleaning.NON_SHARE_NAME}') as is_non_share from n"""),
     "b10_parse_day": entry(lambda s, d: _dates(s, d).select("o_orderkey", cleaning.parse_day(F.col("s")).alias("day")), "select o_orderkey, case when o_orderkey % 4 <> 3 then cast(o_orderdate as date) end as day from orders"),
     "b10_iso_duration": entry(lambda s, d: table(s, d, "part").select("p_partkey", cleaning.parse_iso_duration(F.concat(F.lit("PT"), F.when(F.col("p_size") > 20, F.concat((F.col("p_size") % 3).cast("string"), F.lit("H"))).otherwise(""), F.col("p_size").cast("string"), F.lit("M7S"))).alias("seconds")), "select p_partkey, cast(case when p_size > 20 then p_size % 3 * 3600 else 0 end + p_size * 60 + 7 as bigint) as seconds from part"),
     "b11_clean_trends": entry(lambda s, d: table(s, d, "events").select("event_id", cleaning.clean_trend(F.when(F.col("value") < 1, "<1").when(F.col("value") > 90, "").otherwise(F.floor("value").cast("string"))).alias("n")), "select event_id, case when value < 1 then 0.5 when value > 90 then 0.0 else floor(value) end as n from events", "n"),
