@@ -83,16 +83,18 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
+        self.a_size, self.b_size = (np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
+        # ids as text with what may follow them, for each vocabulary: inside a side of a group, or behind its last token
+        self.a_text = np.array([f"{i}," for i in range(len(self.a_bytes))] + [f"{i}|" for i in range(len(self.a_bytes))], object)
+        self.b_text = np.array([f"{i}," for i in range(self.size_b)] + [f"{i};" for i in range(self.size_b)], object)
+
     def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of A and B for a space and each part; both lists are empty where they don't give it back."""
-        a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
         b = self.b.encode(parts, num_threads=1)
-        out = []
-        for part, x, y in zip(parts, a, b):
-            want = b" " + part.encode()
-            ok = b"".join(map(self.a_bytes.__getitem__, x)) == want == b"".join(map(self.b_bytes.__getitem__, y))
-            out.append((x, y) if ok else ([], []))
-        return out
+        want = [b" " + p.encode("utf-8", "surrogatepass") for p in parts]
+        same = lambda ids, of, w: b"".join(map(of.__getitem__, ids)) == w
+        return [(x, y) if same(x, self.a_bytes, w) and same(y, self.b_bytes, w) else ([], []) for x, y, w in zip(a, b, want)]
 
     def ends(self, ids: list[int], of: list[bytes]) -> list[int]:
         at, out = 0, []
@@ -118,42 +120,76 @@ def groups_of(a: list[int], a_end: list[int], b: list[int], b_end: list[int], si
     return groups, pairs
 
 
+def align_many(pair: Pair, encoded: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Stretches at once: (n_a, n_b, n_groups, given back) of each, its groups as text (each with a closing sign), the pairs
+    of all links, and how many each stretch has. Stretches that are not given back have no tokens."""
+    n = len(encoded)
+    counts = np.array([(len(a), len(b)) for a, b in encoded], np.int64).reshape(n, 2)
+    a, b = (np.fromiter((i for e in encoded for i in e[k]), np.int64, counts[:, k].sum()) for k in (0, 1))
+    # ends in the bytes of all stretches one after the other
+    a_end, b_end = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+    ends = np.union1d(a_end, b_end)
+    # each stretch of bytes between neighbouring ends is the overlap of one token of A and one of B
+    of_a, of_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+    owner = np.repeat(np.arange(n), counts[:, 0])
+    links = np.bincount(owner[of_a], minlength=n)
+    common = np.intersect1d(a_end, b_end, assume_unique=True)
+    last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    last_a[np.searchsorted(a_end, common)] = True
+    last_b[np.searchsorted(b_end, common)] = True
+    groups = np.bincount(owner[last_a], minlength=n)
+    # tokens in the order in which they are written: by group, those of A before those of B
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
+    place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
+    written = np.empty(len(a) + len(b), object)
+    written[place_a] = pair.a_text[a + last_a * len(pair.a_bytes)]
+    written[place_b] = pair.b_text[b + last_b * pair.size_b]
+    written, upto = written.tolist(), np.concatenate([[0], np.cumsum(counts.sum(1))]).tolist()
+    texts = ["".join(written[lo:hi]) for lo, hi in zip(upto, upto[1:])]
+    return np.stack([counts[:, 0], counts[:, 1], groups, groups > 0], 1), texts, (a[of_a] * pair.size_b + b[of_b]).astype(np.int32), links
+
+
 class Memory:
-    """Stretches by number: token counts, groups as text, pairs in one flat array."""
+    """Stretches by number: token counts, groups as text, pairs in one flat array. Of a full memory what was used twice stays."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
-        self._reset()
-
-    def _reset(self) -> None:
         self.number: dict[str, int] = {}
         self.text: list[str] = []
         self.sizes = np.zeros((0, 4), np.int64)
+        self.uses = np.zeros(0, np.int64)
         self.pairs = np.zeros(0, np.int32)
         self.offsets = np.zeros(1, np.int64)
 
     def tidy(self) -> None:
-        if len(self.number) > MEMORY:
-            self._reset()
+        if len(self.number) <= MEMORY:
+            return
+        kept = np.flatnonzero(self.uses > 1)
+        kept = kept[np.argsort(-self.uses[kept], kind="stable")[: MEMORY // 2]]
+        pairs, counts = self.pairs_of(kept)
+        place = dict(zip(kept.tolist(), range(len(kept))))
+        self.number = {p: place[k] for p, k in self.number.items() if k in place}
+        self.text = [self.text[k] for k in kept.tolist()]
+        self.sizes, self.uses, self.pairs = self.sizes[kept], self.uses[kept] // 2, pairs
+        self.offsets = np.concatenate([[0], np.cumsum(counts)])
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         """Numbers of the stretches; sizes have n_a, n_b, n_groups and 1 for those that are given back."""
         found = list(map(self.number.get, parts))
         new = list(dict.fromkeys(p for p, n in zip(parts, found) if n is None))
         if new:
-            sizes, flat, counts = [], [], []
-            for part, (a, b) in zip(new, self.pair.encode(new)):
-                groups, pairs = groups_of(a, self.pair.ends(a, self.pair.a_bytes), b, self.pair.ends(b, self.pair.b_bytes), self.pair.size_b)
-                self.number[part] = len(self.text)
-                self.text.append(";".join(groups))
-                sizes.append((len(a), len(b), len(groups), bool(groups)))
-                flat += pairs
-                counts.append(len(pairs))
-            self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
-            self.pairs = np.concatenate([self.pairs, np.array(flat, np.int32)])
+            sizes, texts, flat, counts = align_many(self.pair, self.pair.encode(new))
+            self.number.update(zip(new, range(len(self.text), len(self.text) + len(new))))
+            self.text += texts
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+            self.pairs = np.concatenate([self.pairs, flat])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts)])
             found = list(map(self.number.get, parts))
-        return np.array(found, np.int64)
+        numbers = np.array(found, np.int64)
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        return numbers
 
     def pairs_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of all these stretches one after the other, and how many each has."""
@@ -201,7 +237,7 @@ def _aligner(a_path: str, b_path: str):
                 plain = numbers.tolist()
                 for size, wrong in zip(sizes.tolist(), bad.tolist()):
                     size = 0 if wrong else size
-                    shas.append(hashlib.sha256(";".join(map(memory.text.__getitem__, plain[at : at + size])).encode()).hexdigest() if size else "")
+                    shas.append(hashlib.sha256("".join(map(memory.text.__getitem__, plain[at : at + size]))[:-1].encode()).hexdigest() if size else "")
                     at += size
                 links = np.bincount(owner, counts, n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
