@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sql
 from ..operators import detector
 from ..sources import posts
-from ..sources.store import scratch
+from ..sources.store import scratch, stored
 from ..streaming import online
 from . import q_panel
 from . import views as v
@@ -32,14 +32,26 @@ def _ingest(spark, d):
 
 
 def _watermarked(spark, d):
-    """Daily counts in append mode over files in time order; days behind the watermark are final."""
+    """Daily counts in append mode over files in time order: the days that the watermark has closed."""
     events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"))
     path, sink, state = scratch(spark, "land"), scratch(spark, "sink"), scratch(spark, "state")
     for part in (F.dayofmonth("ts") <= 15, F.dayofmonth("ts") > 15):
-        events.filter(part).coalesce(1).write.mode("append").parquet(path)
+        events.filter(part).repartitionByRange(4, "ts").write.mode("append").parquet(path)
         online.ingest(spark.readStream.schema(events.schema).parquet(path), "ts", "symbol", sink, state).awaitTermination()
     out = spark.read.schema("period timestamp, symbol string, n long").parquet(sink)
-    return out.groupBy("symbol").agg(F.count("*").alias("days"), F.sum("n").alias("n"))
+    return out.select(F.to_date("period").alias("day"), "symbol", "n")
+
+
+def _late(spark, d, result):
+    """Two deliveries: the days from the 11th on, then those before it, of which all over 20 days before the last time are late."""
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), F.to_date("ts").alias("day"))
+    sink, state = scratch(spark, "sink"), scratch(spark, "state")
+    path = scratch(spark, "land")
+    for k, part in enumerate((F.dayofmonth("ts") >= 11, F.dayofmonth("ts") < 11)):
+        delivery = events.filter(part).withColumn("ts", F.when(F.col("symbol") != "error", F.col("ts")))
+        delivery.coalesce(1).write.mode("append").parquet(path)  # a delivery of one file
+        online.ingest_logged(spark.readStream.schema(events.schema).parquet(path), "ts", ["symbol", "day"], sink, state, "20 days")
+    return result(spark, sink)
 
 
 def _collect(spark, query_of):
@@ -56,7 +68,8 @@ def _collect(spark, query_of):
 
 
 def _online(spark, d):
-    path = _landed(spark, v.dense(spark, d), "dense", 1)
+    path = scratch(spark, "dense")
+    v.dense(spark, d).repartition(4, "symbol").write.parquet(path)
     return _collect(spark, lambda: online.online_detector(spark.readStream.schema("symbol string, step long, n long").parquet(path), PARAMS))
 
 
@@ -71,16 +84,15 @@ def _online_eligible(spark, d):
 
 
 def _panel(spark, d):
-    path = _landed(spark, v.messages(spark, d).select("symbol", "step", "label"), "messages", 2)
-    events = v.events(spark, d).select("event_id", "symbol", "start", "end")
-    sink, state = scratch(spark, "sink"), scratch(spark, "state")
-    stream = spark.readStream.schema("symbol string, step long, label string").parquet(path)
-
-    def write(batch, number):
-        batch.write.mode("overwrite").parquet(sink)
-
-    online.running_panel(stream, events).writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(sink)
+    """Messages by the day they came, read day by day; a last delivery far ahead moves the watermark past the end."""
+    at = lambda step: F.timestamp_seconds(step * 3600)
+    messages = v.messages(spark, d).select("symbol", "step", "label", (at(F.col("step")) + F.expr("interval 30 minutes")).alias("time"))
+    path = scratch(spark, "messages")
+    messages.repartitionByRange(5, "time").write.parquet(path)
+    messages.groupBy("symbol").agg((F.max("step") + 1000).alias("step"), F.lit(None).cast("string").alias("label"), (F.max("time") + F.expr("interval 1000 hours")).alias("time")).coalesce(1).write.mode("append").parquet(path)
+    events = stored(v.events(spark, d).select("event_id", "symbol", "start", "end"), "events")
+    stream = spark.readStream.schema("symbol string, step long, label string, time timestamp").option("maxFilesPerTrigger", 2).parquet(path)
+    return _collect(spark, lambda: online.running_panel(stream, events, "time", 3600, "1000 hours"))
 
 
 def _snapshot(spark, d):
@@ -106,7 +118,12 @@ QUERIES = {
     "a2_fan_out": entry(_fan_out, "select doc_id, source as community, lang from documents where source in ('src1', 'src2')"),
     "a10_materialize": entry(lambda s, d: posts.materialize(table(s, d, "lineitem").filter("l_returnflag = 'R'").select("l_suppkey", "l_quantity"), scratch(s, "facts")).groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q")), "select l_suppkey, sum(l_quantity) as q from lineitem where l_returnflag = 'R' group by 1", "q"),
     "a11_incremental": entry(_ingest, "select cast(ts as date) as day, event_type as symbol, count(*) as n from events group by 1, 2"),
-    "n1_watermarked": entry(_watermarked),
+    "n1_watermarked": entry(_watermarked, "select cast(ts as date) as day, event_type as symbol, count(*) as n from events where cast(ts as date) + interval 1 day <= (select max(ts) from events) - interval 2 days group by 1, 2"),
+    "n1_late_rows": entry(lambda s, d: _late(s, d, lambda spark, sink: online.kept_counts(spark, sink, ["symbol", "day"])), """with h as (select max(ts) - interval 20 days as h from events where day(ts) >= 11 and event_type <> 'error')
+        select event_type as symbol, cast(ts as date) as day, count(*) as n from events, h where event_type <> 'error' and (day(ts) >= 11 or ts >= h) group by 1, 2"""),
+    "a11_file_log": entry(lambda s, d: _late(s, d, lambda spark, sink: online.file_log(spark, sink).select("batch", "read", "kept", "late", "malformed", F.to_date("min_time").alias("first"), F.to_date("max_time").alias("last"))), """with h as (select max(ts) - interval 20 days as h from events where day(ts) >= 11 and event_type <> 'error'),
+        e as (select case when day(ts) >= 11 then 0 else 1 end as batch, ts, event_type = 'error' as bad, day(ts) < 11 and ts < h as is_late from events, h) select batch::int as batch, count(*) as read, count(*) filter (not bad and not is_late) as kept, count(*) filter (not bad and is_late) as late,
+        count(*) filter (bad) as malformed, cast(min(ts) filter (not bad) as date) as first, cast(max(ts) filter (not bad) as date) as last from e group by 1"""),
     "a13_snapshot": entry(_snapshot, "select '2024-01-01' as snapshot_date, count(*) as n from customer where c_custkey >= 100 union all select '2024-02-01', count(*) from customer where c_custkey >= 50"),
     "a14_csv_sink": entry(_csv, "select s_suppkey, s_name from supplier"),
     "n1_count_stream": entry(lambda s, d: _collect_counts(s, d), "select cast(date_trunc('day', ts) as date) as day, event_type as symbol, count(*) as n from events group by 1, 2"),
@@ -116,7 +133,9 @@ QUERIES = {
         k as (select symbol, start, min(case when cum >= 10 then step end) as a, min(case when ok and step - start + 1 >= 2 then step end) as b, max(case when ok then step end) as c
         from (select *, n >= greatest(mu0 + sigma0, 0.25 * pk) as ok from st) group by 1, 2) select symbol, start, greatest(a, b) as eligible from k where a is not null and b is not null and c >= greatest(a, b)""")),
     "n2_online_notices": entry(lambda s, d: _online(s, d).groupBy("symbol", "kind").agg(F.count("*").alias("n"))),
-    "n3_running_panel": entry(_panel, with_views("cat m", """select c.event_id, m.step, count(*) as n, ln((1 + count(*) filter (label = 'bull')) / (1 + count(*) filter (label = 'bear'))) as b from cat c join m on m.symbol = c.symbol and m.step between c.start and c."end" group by 1, 2"""), "b"),
+    "n3_running_panel": entry(_panel, q_panel._cat_m(q_panel._PANEL + """, r as (select *, sum(case when phase = 'event' then m_bull else 0 end) over w as c, sum(case when phase = 'event' then m_bear else 0 end) over w as v, sum(case when phase = 'event' then n else 0 end) over w as k
+        from pn window w as (partition by event_id order by step)) select event_id, step + 1 as step, b as b_lag, coalesce(d, 0.5) as d_lag, cast(d is null as integer) as silent_lag, cast(n as bigint) as n_lag, ln((1 + c) / (1 + v)) as b_run,
+        case when c + v > 0 then 1 - abs(c - v) / (c + v) end as d_run, cast(k as bigint) as n_run from r where step between start - 1 and "end" - 1"""), "b_lag d_lag b_run d_run"),
     "u1_detect_in_sql": entry(lambda s, d: _sql_events(s, d), with_views("found", "select * from found"), "mu0 sigma0 z0"),
     "u2_index_in_sql": entry(lambda s, d: _sql_index(s, d), with_views("m", """select symbol, ln((1 + c) / (1 + v)) as b, case when c + v > 0 then 1 - abs(c - v) / (c + v) end as d from (select symbol, count(*) filter (label = 'bull') as c, count(*) filter (label = 'bear') as v from m group by 1)"""), "b d"),
     "u3_stance_in_sql": entry(lambda s, d: _sql_stance(s, d)),
