@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def written(df: DataFrame, name: str) -> str:
+    """Write a table to the shared folder; its path."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/emberlane/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/emberlane/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +89,11 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterat
             yield ids[lo:], [v or b"" for v in values[lo:]]
 
 
+def contents(values: list[bytes]) -> pa.Array:
+    """What Spark's xxhash64 gives for the texts."""
+    return pa.array(np.array([xxhash.xxh64_intdigest(v, 42) for v in values], np.uint64).view(np.int64))
+
+
 def slices(value: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
     """A text in order, cut at white space into slices of about ``size`` bytes; a longer word stays whole."""
     at = 0

@@ -157,8 +157,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([len(s) for s in found], pa.int64()),
                 pa.array([node_of(s) if len(s) else None for s in found], pa.int64()),
                 pa.array([sketch(s) if len(s) else None for s in found], pa.binary()),
+                base.contents(values),
             ],
-            ["doc_id", "n_shingles", "node", "sketch"],
+            ["doc_id", "n_shingles", "node", "sketch", "content"],
         )
 
 
@@ -321,11 +322,12 @@ class Join:
 
     def __init__(self, docs: DataFrame):
         self.source = base.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.sets = base.stored(self.source.mapInArrow(_describe, "doc_id long, n_shingles long, node long, sketch binary"), "sets")
+        self.sets = base.stored(self.source.mapInArrow(_describe, "doc_id long, n_shingles long, node long, sketch binary, content long"), "sets")
         self.nodes = base.stored(
             self.sets.filter("node is not null")
             .groupBy("node")
-            .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")),
+            .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("r"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+            .select("node", F.col("r.doc_id").alias("rep"), F.col("r.content").alias("content"), "n", "sketch"),
             "nodes",
         )
 
@@ -350,10 +352,12 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar."""
         pairs = base.stored(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes, "node").select(F.col("rep").alias("doc_id"))
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes, "node").select("rep", "content")
         wanted = base.stored(wanted, "wanted")
         small = wanted.count() <= BROADCAST_IDS
-        found = self.source.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
+        # a set's first row, by id and content: ids may be null or stand on several texts
+        same = self.source["doc_id"].eqNullSafe(wanted["rep"]) & (F.xxhash64(F.coalesce(self.source["text"], F.lit(""))) == wanted["content"])
+        found = self.source.join(F.broadcast(wanted) if small else wanted, same, "left_semi")
         blobs = base.stored(found.mapInArrow(_blobs, "node long, blob binary").dropDuplicates(["node"]), "blobs")
         rows = pairs.join(blobs.toDF("a", "blob_a"), "a").join(blobs.toDF("b", "blob_b"), "b").select("a", "b", "blob_a", "blob_b")
         return base.stored(rows.mapInArrow(_verify, "a long, b long"), "verified")
@@ -372,12 +376,14 @@ class Join:
         links = base.stored(links.unionByName(self.verified(self._plausible(star, info))), "links")
         # the rest: members in different components, compared inside tasks; first leaders have met everyone already
         rest = self._open(placed.drop("label"), links).filter("node <> leader").join(info, "node")
-        rest = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        rest = base.stored(rest, "rest")
+        left = rest.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        rest = rest.join(left, "sig").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        groups = max(48, math.ceil((rest.agg(F.sum("blocks")).first()[0] or 0) / 4096))
         cells = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.selectExpr(
             "xxhash64(sig, least(block, other), greatest(block, other)) as cell", "case when block = other then 2 when block < other then 0 else 1 end as side", "node", "label", "n", "sketch"
         )
-        groups = max(48, math.ceil(placed.count() / 4096))
         pairs = cells.withColumn("g", F.expr(f"pmod(cell, {groups})")).groupBy("g").applyInArrow(_cross_check, "a long, b long").distinct()
         return links.unionByName(self.verified(pairs))
 
@@ -413,6 +419,21 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows whose id is the smallest of its component, with all their columns."""
-    kept = Join(docs).classes().filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each component, with all its columns: the smallest doc_id (null ids last), of equal ids the smallest content.
+
+    Rows are told apart by id and content, so rows with a null id or an id that several texts share are judged by their own
+    text; of rows that repeat both one stays. Rows without words are linked with nothing and all stay.
+    """
+    join = Join(docs)
+    labels = components(join.links())
+    rows = join.sets.filter("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "content")).alias("w")
+    winners = base.stored(rows.groupBy("label").agg(first).select(F.col("w.doc_id").alias("_win_id"), F.col("w.content").alias("_win")), "winners")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    has_words = text.rlike("[^\\x20\\x09-\\x0D]")
+    same = docs["doc_id"].cast("long").eqNullSafe(winners["_win_id"]) & (F.xxhash64(text) == winners["_win"])
+    kept = docs.filter(has_words).join(winners, same, "left_semi")
+    if kept.count() > winners.count():
+        # a winner's row is there more than once
+        kept = kept.withColumn("_content", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", "_content"]).drop("_content")
+    return kept.unionByName(docs.filter(~has_words))

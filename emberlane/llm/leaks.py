@@ -7,7 +7,9 @@ are hit. Nothing is shuffled by text: each document is decided where it is read.
 
 The set is broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text (a worker holds up to about 24 bytes for each
 byte of it: words of one letter; 7 for usual words). A benchmark beyond one block is scanned block by block, each pass
-adding to the hits that its rows carry, so that the number of blocks changes no result and no row meets another.
+adding to the hits that its rows carry, so that the number of blocks changes no result and no row meets another. Passes are
+written in between and dropped when the next one is: a stage has one Python operator and one block in memory, on the driver
+too, whatever the size of the benchmark, and the corpus is read once per block.
 
 Null texts have no words. Repeated items and documents are rows like any other; a null item id counts as an item but
 has no name to list. An empty benchmark hits nothing; an empty table of documents gives no rows.
@@ -145,8 +147,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         F.array().cast("array<struct<start:long,end:long>>").alias("hit_runs"),
         F.array().cast("array<string>").alias("items"),
     )
+    spark, shared, path = docs.sparkSession, None, None
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(GramSet(block, window))
+        if shared is not None:
+            before, path = path, base.written(out, "hits")
+            out = spark.read.schema(out.schema).parquet(path)
+            shared.destroy()
+            if before:
+                base.remove(spark, before)
+        shared = spark.sparkContext.broadcast(GramSet(block, window))
         out = out.mapInArrow(_scanner(shared), _HITS)
     return out
 
