@@ -241,6 +241,47 @@ def stratified_sample(df: DataFrame, cell: list[str], id_column: str, quota: int
     return df.withColumn("_n", place).filter(F.col("_n") <= quota).drop("_n")
 
 
+def capped_capture(df: DataFrame, cell: list[str], id_column: str, rate: float, cap: int, seed: int = 7) -> DataFrame:
+    """Each row with a probability (by its hash), at most ``cap`` of a cell: those with the smallest hashes.
+
+    Which rows can be in is decided per task first, by the ``cap`` smallest hashes there, so a cell is no task's burden.
+    """
+    h = F.xxhash64(F.lit(seed), id_column)
+    able = df.withColumn("_h", h).filter(F.pmod("_h", F.lit(1 << 30)) < int(rate * (1 << 30)))
+    first = Window.partitionBy(*cell, "_task").orderBy("_h", id_column)
+    some = able.withColumn("_task", F.spark_partition_id()).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= cap)
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("_h", id_column))
+    return some.withColumn("_n", place).filter(F.col("_n") <= cap).drop("_n", "_h", "_task")
+
+
+def pick_without_reuse(df: DataFrame, id_column: str, cells: list[tuple[str, str, int]], total: int, seed: int = 7) -> DataFrame:
+    """(id, cell) of a sample over cells (name, SQL condition, quota) in turn: each takes its quota from the rows that meet
+    its condition and no earlier cell took, in the order of a hash of cell and id, until ``total``; what is left to it comes
+    from any rows, as "filler". An id is taken once, however often it occurs.
+
+    As all cells together take ``total`` ids at most, the first ``total`` of each cell hold all that it can take; these lists
+    (cells times ``total``, both parameters) are what the driver walks through.
+    """
+    ids = df.filter(F.col(id_column).isNotNull())
+    lists = []
+    for name, condition, quota in [*cells, ("filler", "true", total)]:
+        best = ids.filter(condition).select(F.col(id_column).alias("id")).distinct().select("id", F.xxhash64(F.lit(seed), F.lit(name), "id").alias("h")).orderBy("h", "id").limit(total)
+        lists.append(best.select(F.lit(len(lists)).alias("k"), "id", "h"))
+    rows = lists[0]
+    for part in lists[1:]:
+        rows = rows.unionByName(part)
+    by_cell: dict[int, list] = {}
+    for k, i, h in rows.collect():
+        by_cell.setdefault(k, []).append((h, i))
+    used: dict = {}
+    for k, (name, _, quota) in enumerate([*cells, ("filler", "true", total)]):
+        free = [i for _, i in sorted(by_cell.get(k, [])) if i not in used]
+        for i in free[: min(quota, total - len(used))]:
+            used[i] = name
+    kind = df.schema[id_column].dataType.simpleString()
+    return df.sparkSession.createDataFrame(list(used.items()), f"{id_column} {kind}, cell string")
+
+
 def sample_manifest(df: DataFrame, cell: list[str], id_column: str, fraction: float, seed: int = 7) -> DataFrame:
     """A fixed order in each stratum; a fraction selects a prefix of it, so larger fractions contain smaller ones."""
     w = Window.partitionBy(*cell)

@@ -181,17 +181,25 @@ def sweep(dense: DataFrame, grid: dict[str, Params]) -> DataFrame:
     return out.select("scenario", "symbol", "start", "end", "censored", "mu0", "sigma0", "z0", duration.alias("duration"), total.alias("total"), principal.alias("principal"))
 
 
-def compare_scenarios(events: DataFrame, anchor: str) -> DataFrame:
-    """per scenario: principal events, share of the anchor's that overlap one, median duration, median difference of durations."""
+def compare_scenarios(events: DataFrame, anchor: str, episode: tuple[str, int] | None = None) -> DataFrame:
+    """per scenario: principal events, symbols, censored ones, median, 90 % point and maximum of durations, share of the
+    anchor scenario's that overlap one, median difference of durations to the first one that overlaps, and the duration of the
+    event that holds ``episode`` (symbol, step)."""
     span = F.col("end") - F.col("start") + 1
     events = events.filter("principal")
     base = events.filter(F.col("scenario") == anchor).select("symbol", F.col("start").alias("a_start"), F.col("end").alias("a_end"))
     met = base.join(events.select("scenario", "symbol", "start", "end"), "symbol").filter((F.col("start") <= F.col("a_end")) & (F.col("end") >= F.col("a_start")))
-    per = met.groupBy("scenario", "symbol", "a_start", "a_end").agg(F.min(F.abs(span - (F.col("a_end") - F.col("a_start") + 1))).alias("d"))
+    first = F.min_by(F.abs(span - (F.col("a_end") - F.col("a_start") + 1)), "start").alias("d")
+    per = met.groupBy("scenario", "symbol", "a_start", "a_end").agg(first)
     n_anchor = base.agg(F.count("*").alias("n_anchor"))
     found = per.groupBy("scenario").agg(F.count("*").alias("recovered"), F.percentile("d", F.lit(0.5)).alias("median_difference"))
-    sizes = events.groupBy("scenario").agg(F.count("*").alias("n_events"), F.percentile(span, F.lit(0.5)).alias("median_duration"))
-    return sizes.join(found, "scenario", "left").join(F.broadcast(n_anchor)).select("scenario", "n_events", "median_duration", F.round(F.coalesce(F.col("recovered"), F.lit(0)) / F.col("n_anchor"), 6).alias("recovered_share"), "median_difference")
+    held = (F.col("symbol") == episode[0]) & F.lit(episode[1]).between(F.col("start"), F.col("end")) if episode else F.lit(False)
+    sizes = events.groupBy("scenario").agg(
+        F.count("*").alias("n_events"), F.countDistinct("symbol").alias("n_symbols"), F.count_if("censored").alias("n_censored"), F.percentile(span, F.lit(0.5)).alias("median_duration"),
+        F.percentile(span, F.lit(0.9)).alias("p90_duration"), F.max(span).alias("longest"), F.min_by(F.when(held, span), F.when(held, F.col("start"))).alias("episode_duration"),
+    )
+    share = F.round(F.coalesce(F.col("recovered"), F.lit(0)) / F.col("n_anchor"), 6).alias("recovered_share")
+    return sizes.join(found, "scenario", "left").join(F.broadcast(n_anchor)).select(*sizes.columns, share, "median_difference")
 
 
 def detector_daily(cat: DataFrame, dense: DataFrame, p: Params) -> DataFrame:

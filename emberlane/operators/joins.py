@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.cleaning import label_tier
+from ..functions.cleaning import label_tier, normalize_name
+from ..sources.store import stored
 
 
 def enrich(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,8 +60,8 @@ def valid_on(df: DataFrame, lives: DataFrame, key: str, day: str, start: str, en
     """
     life = lives.withColumn(end, F.coalesce(F.col(end), F.lit(horizon).cast("date")))
     ids = df.columns
-    # a number per row: equal rows stay apart, and only it is shuffled by
-    met = df.withColumn("_row", F.monotonically_increasing_id()).join(life, key).filter(F.col(day).between(F.col(start), F.col(end)))
+    # a number per row, written once: equal rows stay apart, and a task that runs again finds the same numbers
+    met = stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows").join(life, key).filter(F.col(day).between(F.col(start), F.col(end)))
     others = [c for c in lives.columns if c != key]
     found = F.min(F.struct(start, *[c for c in others if c != start])).alias("_l")
     return met.groupBy("_row").agg(F.first(F.struct(*ids)).alias("_d"), found).select("_d.*", "_l.*")
@@ -245,6 +246,13 @@ def union_blocks(blocks: list[DataFrame], keys: list[str]) -> DataFrame:
     return out.withColumn("times", F.count("*").over(Window.partitionBy(*keys)))
 
 
+def name_pairs(registry: DataFrame, words: int = 2) -> DataFrame:
+    """pairs (a, b) of symbols whose names are the same once normalised (an equi-join on the name), each pair once."""
+    named = registry.select("symbol", normalize_name(F.col("name"), words).alias("_name")).filter("_name <> ''").distinct()
+    a, b = named.select(F.col("symbol").alias("a"), "_name"), named.select(F.col("symbol").alias("b"), "_name")
+    return a.join(b, "_name").filter("a < b").select("a", "b").distinct()
+
+
 def densify(series: DataFrame, step: str = "step", value: str = "n", keys: DataFrame | None = None) -> DataFrame:
     """Every step from the first to the last for every symbol, 0 where there was none."""
     ends = series.agg(F.min(step).alias("lo"), F.max(step).alias("hi"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import joins
+from .ranks import quantiles
 
 
 def optimism(bull: Column, bear: Column) -> Column:
@@ -78,22 +81,51 @@ def adjust_counts(df: DataFrame, columns: list[str], confusion: list[list[float]
     return df.select("*", *(F.when(fixed > 0, r * total / fixed).otherwise(0.0).alias(f"{c}_adjusted") for r, c in zip(raw, columns)))
 
 
-def perturb_counts(df: DataFrame, key: list[str], columns: list[str], confusion: list[list[float]], replicas: int, seed: int = 11) -> DataFrame:
-    """H7: counts redrawn from a confusion matrix, per replica; the draw of a row depends on its key and the replica only."""
-    matrix = np.array(confusion)
-    rows = df.select(*key, *columns).withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas)))).withColumn("_seed", F.xxhash64(F.lit(seed), *key, "replica"))
+def degraded(confusion: list[list[float]], row: int, factor: float) -> list[list[float]]:
+    """H7: a row-stochastic confusion matrix with one class recognised less often; the loss goes to the other predictions in
+    proportion to its measured confusions (evenly where there are none)."""
+    out = [list(r) for r in confusion]
+    loss, others = out[row][row] * (1 - factor), [j for j in range(len(out)) if j != row]
+    total = sum(out[row][j] for j in others)
+    for j in others:
+        out[row][j] += loss * (out[row][j] / total if total else 1 / len(others))
+    out[row][row] *= factor
+    return out
+
+
+def with_strata(rows: DataFrame, size: str = "n", age: str = "age", early: int = 5) -> DataFrame:
+    """H7: the strata of error injection: tercile of the size among rows that have any, early or late, majority of the day."""
+    cuts = quantiles(rows.filter(F.col(size) > 0), size, [1 / 3, 2 / 3])
+    volume = F.when(F.col(size) <= cuts[0], "low").when(F.col(size) <= cuts[1], "middle").otherwise("high") if cuts else F.lit("low")
+    return rows.withColumns({"volume": volume, "moment": F.when(F.col(age) <= early, "early").otherwise("late"), "side": F.when(F.col("m_bull") >= F.col("m_bear"), "bull").otherwise("bear")})
 
-    def draw(parts):
-        for pdf in parts:
-            out = []
-            for s, *counts in pdf[["_seed", *columns]].itertuples(index=False):
-                rng = np.random.default_rng(s % (1 << 63))
-                out.append(sum(rng.multinomial(int(n), matrix[i]) for i, n in enumerate(counts)))
-            new = pd.DataFrame(out, columns=columns, index=pdf.index)
-            yield pd.concat([pdf[[*key, "replica"]], new], axis=1)
+
+def perturb_counts(df: DataFrame, key: list[str], columns: list[str], confusion: list[list[float]], replicas: int, seed: int = 11, strata: str | None = None, matrices: dict[str, list[list[float]]] | None = None) -> DataFrame:
+    """H7: counts redrawn from a confusion matrix (rows: true classes), per replica, with the row's total kept.
+
+    With ``strata`` a row takes the matrix that ``matrices`` has for its stratum, else ``confusion``. All replicas of a row are
+    drawn together, class by class; the draws depend on the row's key and the seed only.
+    """
+    by_stratum = {k: np.array(m) for k, m in (matrices or {}).items()}
+    usual, k = np.array(confusion), len(columns)
+    rows = df.select(*key, *([F.col(strata).cast("string").alias("_stratum")] if strata else [F.lit("").alias("_stratum")]), *columns, F.xxhash64(F.lit(seed), *key).alias("_seed"))
+    n_key = len(key)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.stack([batch.column(n_key + 1 + j).to_numpy(zero_copy_only=False) for j in range(k)], 1)
+            out = np.zeros((batch.num_rows, replicas, k), np.int64)
+            for r, (stratum, own) in enumerate(zip(batch.column(n_key).to_pylist(), batch.column(n_key + 1 + k).to_pylist())):
+                rng, matrix = np.random.Generator(np.random.Philox(key=own % (1 << 63))), by_stratum.get(stratum, usual)
+                for j in range(k):
+                    out[r] += rng.multinomial(int(counts[r, j]), matrix[j], replicas)
+            places = pa.array(np.repeat(np.arange(batch.num_rows), replicas))
+            same = [batch.column(j).take(places) for j in range(n_key)]
+            numbers = pa.array(np.tile(np.arange(1, replicas + 1, dtype=np.int32), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*same, numbers, *(pa.array(out[:, :, j].reshape(-1)) for j in range(k))], [*key, "replica", *columns])
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in key)
-    return rows.mapInPandas(draw, f"{kinds}, replica int, " + ", ".join(f"{c} long" for c in columns))
+    return rows.mapInArrow(draw, f"{kinds}, replica int, " + ", ".join(f"{c} long" for c in columns))
 
 
 def early_features(panel: DataFrame, steps: int = 3) -> DataFrame:
@@ -105,6 +137,32 @@ def early_features(panel: DataFrame, steps: int = 3) -> DataFrame:
 # -- market
 
 
+def placed_prices(prices: DataFrame, lives: DataFrame, source: str, horizon: int | None = None) -> DataFrame:
+    """A block of (instrument, step, close, ret, volume) under the symbols of the lives (instrument, symbol, start, end) that
+    contain its days, closes without sign; an open end reaches the horizon or is endless."""
+    end = F.coalesce("end", F.lit(horizon)) if horizon is not None else F.col("end")
+    met = prices.join(lives.select("instrument", "symbol", F.col("start").alias("_from"), end.alias("_to")), "instrument")
+    inside = (F.col("step") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("step") <= F.col("_to")))
+    return met.filter(inside).select("symbol", "step", "instrument", F.abs("close").alias("close"), "ret", "volume", F.lit(source).alias("source"), F.col("_from").alias("life_start"))
+
+
+def price_conflicts(placed: DataFrame) -> DataFrame:
+    """Days on which several instruments have rows under one symbol: how many, and which."""
+    per = placed.groupBy("symbol", "step").agg(F.array_sort(F.collect_set("instrument")).alias("instruments"))
+    return per.filter(F.size("instruments") > 1).select("symbol", "step", F.size("instruments").alias("n"), F.array_join(F.transform("instruments", lambda i: i.cast("string")), ",").alias("instruments"))
+
+
+def price_panel(placed: list[DataFrame]) -> DataFrame:
+    """One row per symbol and day from blocks in order of precedence: the first block, in it the life that began last, then
+    the smallest instrument; ``candidates`` counts the rows that met there."""
+    rows = None
+    for rank, block in enumerate(placed):
+        block = block.withColumn("_rank", F.lit(rank))
+        rows = block if rows is None else rows.unionByName(block)
+    best = F.min(F.struct("_rank", (-F.col("life_start")).alias("late"), "instrument", "close", "ret", "volume", "source")).alias("b")
+    return rows.groupBy("symbol", "step").agg(best, F.count("*").alias("candidates")).select("symbol", "step", "b.instrument", "b.close", "b.ret", "b.volume", "b.source", "candidates")
+
+
 def price_covariates(events: DataFrame, prices: DataFrame, before: int = 30, pad: int = 5) -> DataFrame:
     """Returns and volumes of an event by one join over [start - before, end + pad]; needs enough sessions."""
     window = events.select("event_id", "symbol", "start", "peak", "end", F.explode(F.sequence(F.col("start") - before, F.col("end") + pad)).alias("step"))

@@ -47,6 +47,21 @@ def running_counts(per: DataFrame, order: str, count: str) -> DataFrame:
     return joined.withColumn("_upto", F.col("_in") + F.col("_before")).drop("_block", "_in", "_before", "_place")
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """Linearly interpolated quantiles of a column's values, from counts per distinct value numbered by ranges: no task holds
+    all values. Empty for a column without values."""
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    counts = stored(running_counts(values.groupBy("v").agg(F.count("*").alias("_n")), "v", "_n"), "counts")
+    n = counts.agg(F.sum("_n")).first()[0]
+    if not n:
+        return []
+    at = [(n - 1) * s for s in shares]
+    places = sorted({int(k) for a in at for k in (math.floor(a), math.ceil(a))})
+    found = counts.agg(*(F.min(F.when(F.col("_upto") > k, F.col("v"))) for k in places)).first()
+    value = dict(zip(places, found))
+    return [value[math.floor(a)] + (value[math.ceil(a)] - value[math.floor(a)]) * (a - math.floor(a)) for a in at]
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)

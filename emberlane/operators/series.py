@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .ranks import numbered
+from .ranks import numbered, quantiles
 
 
 def _order(*keys: str, by: str = "step"):
@@ -178,9 +178,10 @@ def eligibility(state: DataFrame, total: int, least_steps: int = 2) -> DataFrame
 
 def qcut(rows: DataFrame, value: str, parts: int) -> DataFrame:
     """Quantile bins by exact edges (equal edges fall together, equal values stay together), from 1."""
-    edges = rows.agg(F.percentile(value, F.array(*(F.lit(i / parts) for i in range(parts + 1)))).alias("_e")).select(F.array_distinct("_e").alias("_e"))
-    inner = F.filter(F.slice("_e", 2, 2 * parts), lambda e: e < F.col(value))
-    return rows.join(F.broadcast(edges)).withColumn("bin", F.least(F.size(inner) + 1, F.greatest(F.size("_e") - 1, F.lit(1))).cast("long")).drop("_e")
+    edges = sorted(set(quantiles(rows, value, [i / parts for i in range(parts + 1)])))
+    inner = edges[1:-1]
+    above = sum(((F.col(value) > e).cast("long") for e in inner), F.lit(0).cast("long"))
+    return rows.withColumn("bin", F.when(F.col(value).isNotNull(), above + 1))
 
 
 def with_group_max(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -44,14 +44,17 @@ _GRID = {
     "kappa_high": detector.Params(**{**PARAMS.__dict__, "kappa": 0.5}),
     "z_low": detector.Params(**{**PARAMS.__dict__, "z_on": 1.5}),
     "z_high": detector.Params(**{**PARAMS.__dict__, "z_on": 2.5}),
+    "cuts": detector.Params(**{**PARAMS.__dict__, "min_steps": 4, "min_total": 30}),
     "robust": detector.Params(**{**PARAMS.__dict__, "robust": True}),
 }
+#: The episode whose length is compared across scenarios.
+_EPISODE = ("click", 473435)
 
 
 def _scenario(name, p):
     """SQL for the events of one scenario: the views with its parameters, and with its baseline where that is robust."""
     sql = with_views("cat", f"""select '{name}' as scenario, symbol, start, "end", censored, mu0, sigma0, z0, duration, cast(total as bigint) as total, principal from cat""")
-    for old, new in (("r.z >= 2.0", f"r.z >= {p.z_on}"), ("0.25 * greatest(w.peak", f"{p.kappa} * greatest(w.peak")):
+    for old, new in (("r.z >= 2.0", f"r.z >= {p.z_on}"), ("0.25 * greatest(w.peak", f"{p.kappa} * greatest(w.peak"), (">= 2 and p.total >= 10 as principal", f">= {p.min_steps} and p.total >= {p.min_total} as principal")):
         assert old in sql
         sql = sql.replace(old, new)
     if p.robust:
@@ -75,6 +78,18 @@ def _twins(spark, d):
     return a.join(b, (F.substring("a", 1, 1) != F.substring("b", 1, 1)) & (F.length("a") <= F.length("b")) & (F.col("a") < F.col("b")))
 
 
+def _named_twins(spark, d):
+    """Supplier groups whose names agree once case and legal forms are gone."""
+    k = F.col("s_suppkey")
+    name = F.element_at(F.array(*(F.lit(n) for n in ("Alpha", "Beta", "Gamma", "Delta", "Omega"))), (k % 5 + 1).cast("int"))
+    form = F.element_at(F.array(*(F.lit(n) for n in (" Inc", " CORP.", ", Ltd", ""))), (k % 4 + 1).cast("int"))
+    registry = v.table(spark, d, "supplier").select(F.concat(F.lit("S"), (k % 20).cast("string")).alias("symbol"), F.concat(name, form).alias("name"))
+    l = v.table(spark, d, "lineitem")
+    step = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("long")
+    counts = l.groupBy(F.concat(F.lit("S"), (F.col("l_suppkey") % 20).cast("string")).alias("symbol"), step.alias("step")).agg(F.count("*").alias("n"))
+    return detector.twin_audit(joins.densify(counts), joins.name_pairs(registry))
+
+
 _ARC = with_views("p", """, y as (select symbol, step, ret / 10000 as ret, row_number() over w = 1 as f, ln(1 + greatest(coalesce(ret / 10000, 0.0), -0.999)) as y from p window w as (partition by symbol order by step)),
     i as (select *, {where} (100 * exp(sum({x}) over (partition by symbol order by step)) - 100) as x from y)
     select symbol, max(x) as highest, arg_max(x, step) as "last", case when max(x) > 0 then (max(x) - arg_max(x, step)) / max(x) end as given_back, avg(case when f then null when ret > 0 then 1 when ret <= 0 then 0 end) as up_share from i group by symbol""")
@@ -136,9 +151,10 @@ QUERIES = {
     "f5_sweep": entry(lambda s, d: detector.sweep(v.dense(s, d), _GRID), "select * from (" + _scenarios() + ")", "mu0 sigma0 z0"),
     "f5_sweep_base": entry(lambda s, d: detector.sweep(v.dense(s, d), _GRID).filter("scenario = 'base'").select("symbol", "start", "end", "duration", F.col("total").cast("long").alias("total"), "principal"),
         with_views("cat", """select symbol, start, "end", duration, cast(total as bigint) as total, principal from cat""")),
-    "f6_compare_scenarios": entry(lambda s, d: detector.compare_scenarios(detector.sweep(v.dense(s, d), _GRID), "base"), "with ev as (select * from (" + _scenarios() + """) where principal), a as (select symbol, start as s, "end" as e from ev where scenario = 'base'),
-        met as (select ev.scenario, a.symbol, a.s, min(abs(ev."end" - ev.start - (a.e - a.s))) as d from a join ev on ev.symbol = a.symbol and ev.start <= a.e and ev."end" >= a.s group by 1, 2, 3), f as (select scenario, count(*) as r, median(d) as d from met group by 1)
-        select scenario, n_events, median_duration, coalesce(r, 0) / (select count(*) from a) as recovered_share, d as median_difference from (select scenario, count(*) as n_events, median("end" - start + 1) as median_duration from ev group by 1) left join f using (scenario)""", "median_duration recovered_share median_difference"),
+    "f6_compare_scenarios": entry(lambda s, d: detector.compare_scenarios(detector.sweep(v.dense(s, d), _GRID), "base", _EPISODE), "with ev as (select * from (" + _scenarios() + f""") where principal), a as (select symbol, start as s, "end" as e from ev where scenario = 'base'),
+        met as (select ev.scenario, a.symbol, a.s, arg_min(abs(ev."end" - ev.start - (a.e - a.s)), ev.start) as d from a join ev on ev.symbol = a.symbol and ev.start <= a.e and ev."end" >= a.s group by 1, 2, 3), f as (select scenario, count(*) as r, median(d) as d from met group by 1)
+        select scenario, n_events, n_symbols, n_censored, median_duration, p90_duration, longest, episode_duration, coalesce(r, 0) / (select count(*) from a) as recovered_share, d as median_difference from (select scenario, count(*) as n_events, count(distinct symbol) as n_symbols, count(*) filter (censored) as n_censored,
+        median("end" - start + 1) as median_duration, quantile_cont("end" - start + 1, 0.9) as p90_duration, max("end" - start + 1) as longest, arg_min("end" - start + 1, start) filter (symbol = '{_EPISODE[0]}' and {_EPISODE[1]} between start and "end") as episode_duration from ev group by 1) left join f using (scenario)""", "median_duration p90_duration recovered_share median_difference"),
     "f7_detector_daily": entry(lambda s, d: _state(s, d).select("event_id", "step", "age", "phase", "n", "running_peak", "threshold", "cumulative"), with_views("cat", "").rstrip() + ", " + _STATE_SQL + """
         select event_id, step, step - start + 1 as age, case when step <= event_end then 'event' else 'confirmation' end as phase, n, running_peak, threshold, cast(cumulative as bigint) as cumulative from st""", "threshold"),
     "f8_eligibility_table": entry(lambda s, d: detector.eligibility_table(v.catalog(s, d), _state(s, d), PARAMS), with_views("cat", "").rstrip() + ", " + _STATE_SQL + """,
@@ -152,6 +168,10 @@ QUERIES = {
         with_views("dense", "select e.event_id as fact_id, d.step - e.s as \"offset\", d.n from (select event_id, event_type, cast(floor(epoch_us(ts) / 3600000000) as bigint) as s from events where value > 99) e join dense d on d.symbol = e.event_type and d.step between e.s - 7 and e.s + 7")),
     "f12_twin_audit": entry(lambda s, d: detector.twin_audit(v.dense(s, d), v.hourly(s, d).select(F.col("symbol").alias("a")).distinct().crossJoin(v.hourly(s, d).select(F.col("symbol").alias("b")).distinct()).filter("a < b")),
         with_views("dense", "select x.symbol as a, y.symbol as b, corr(x.n, y.n) as corr, corr(ln(1 + x.n), ln(1 + y.n)) as log_corr, avg((x.n > 0 and y.n > 0)::int) as both_positive from dense x join dense y on x.step = y.step and x.symbol < y.symbol group by 1, 2"), "corr log_corr both_positive"),
+    "f12_named_pairs": entry(_named_twins, """with r as (select distinct 'S' || (s_suppkey % 20) as symbol, ['ALPHA', 'BETA', 'GAMMA', 'DELTA', 'OMEGA'][s_suppkey % 5 + 1] as name from supplier), k as (select distinct a.symbol as a, b.symbol as b from r a join r b on a.name = b.name and a.symbol < b.symbol),
+        h as (select 'S' || (l_suppkey % 20) as symbol, cast(date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as bigint) as step, count(*) as n from lineitem group by 1, 2),
+        dense as (select s.symbol, g.step, coalesce(h.n, 0) as n from (select distinct symbol from h) s cross join (select unnest(range(lo, hi + 1)) as step from (select min(step) as lo, max(step) as hi from h)) g left join h on h.symbol = s.symbol and h.step = g.step)
+        select k.a, k.b, corr(x.n, y.n) as corr, corr(ln(1 + x.n), ln(1 + y.n)) as log_corr, avg((x.n > 0 and y.n > 0)::int) as both_positive from k join dense x on x.symbol = k.a join dense y on y.symbol = k.b and y.step = x.step group by 1, 2""", "corr log_corr both_positive"),
     "attention_catalog": entry(lambda s, d: detector.catalog(joins.densify(v.table(s, d, "events").groupBy(F.col("event_type").alias("symbol"), F.floor(v.hour("ts") / 6).alias("step")).agg(F.count("*").alias("n"))),
         detector.Params(window=20, least=10, z_on=1.5, min_abs=3, k_off=2, gap=2, min_steps=2, min_total=6))),
     "e7_clipped_lives": entry(lambda s, d: series.consolidate_lives(_spans(s, d), "entity", 7, "1996-01-01", "1997-12-31", ["key"]), f"""with {_LIVES7} select entity, cast(block as bigint) as block, min(symbol) as symbol, min(greatest(start, date '1996-01-01')) as start, max(least("end", date '1997-12-31')) as "end", count(*) as spans, arg_max(key, (start, "end", key)) as key from blk group by 1, 2"""),

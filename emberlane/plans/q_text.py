@@ -55,6 +55,10 @@ _MENTIONS = r"""with runs as (select doc_id, unnest(regexp_extract_all(text, '\$
     union all select doc_id, symbol, 'phrase' from low join often on list_contains(l, lower(symbol)) and contains(array_to_string(l, ' '), lower(symbol) || ' ' || lower(symbol)) where not list_contains(""" + _STOP + """, lower(symbol)))"""
 
 
+#: Cells of a sample for annotation: name, condition, quota.
+_CELLS = [("short", "n_chars < 400", 40), ("long", "n_chars > 6000", 30), ("numbers", "text rlike '[0-9]'", 30), ("german", "lang = 'de'", 20), ("one source", "source = 'src1'", 10)]
+
+
 QUERIES = {
     "g1_dictionary": entry(lambda s, d: stance.compile_dictionary(_named(s, d), ["RING"], ["widget"]), _DICTIONARY),
     "g2_mentions": entry(lambda s, d: stance.detect_mentions(table(s, d, "documents"), "doc_id", "text", stance.compile_dictionary(_dictionary(s, d), ["THE"], [])), _MENTIONS + " select distinct doc_id, symbol from r"),
@@ -76,6 +80,8 @@ QUERIES = {
     "g12_jaccard": entry(lambda s, d: table(s, d, "conversations").alias("a").join(table(s, d, "conversations").alias("b"), F.expr("a.conv_id = b.conv_id and b.turn = a.turn + 1")).select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn"), stance.jaccard(F.col("a.text"), F.col("b.text")).alias("similarity")),
         """with w as (select conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) as w from conversations) select a.conv_id, a.turn, case when len(list_distinct(list_concat(a.w, b.w))) > 0 then len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) end as similarity from w a join w b on a.conv_id = b.conv_id and b.turn = a.turn + 1""", "similarity"),
     "g13_stratified_sample": entry(lambda s, d: stance.stratified_sample(table(s, d, "documents"), ["lang", "source"], "doc_id", 3).groupBy("lang", "source").agg(F.count("*").alias("n")), "select lang, source, least(count(*), 3) as n from documents group by 1, 2"),
+    "g13_capped_capture": entry(lambda s, d: stance.capped_capture(table(s, d, "documents"), ["lang"], "doc_id", 0.5, 100).select("doc_id", "lang")),
+    "g13_pick_without_reuse": entry(lambda s, d: stance.pick_without_reuse(table(s, d, "documents"), "doc_id", _CELLS, 150)),
     "g14_manifest": entry(lambda s, d: stance.sample_manifest(table(s, d, "documents").select("doc_id", "lang"), ["lang"], "doc_id", 0.25).groupBy("lang").agg(F.count("*").alias("n"), F.count_if("chosen").alias("chosen")), "select lang, count(*) as n, cast(ceil(count(*) * 0.25) as bigint) as chosen from documents group by 1"),
     "g15_split": entry(lambda s, d: stance.sample_manifest(table(s, d, "labels"), ["quality"], "doc_id", 0.9).groupBy("quality").agg(F.count_if("chosen").alias("train"), F.count_if(~F.col("chosen")).alias("valid")), "select quality, cast(ceil(count(*) * 0.9) as bigint) as train, count(*) - cast(ceil(count(*) * 0.9) as bigint) as valid from labels group by 1"),
     "g16_dual_series": entry(lambda s, d: stance.dual_series(v.messages(s, d).withColumn("other", F.when(F.col("p_bull") > F.col("p_bear"), "bull").otherwise("bear")), ["symbol"], "label", "other"), with_views("m", "select symbol, count(*) filter (label = 'bull') as native_bull, count(*) filter (label = 'bear') as native_bear, count(*) filter (p_bull > p_bear) as scored_bull, count(*) filter (p_bull <= p_bear) as scored_bear from m group by 1")),
