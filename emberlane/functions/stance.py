@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import numbered
+
 #: The lexicon of directions, and what turns them.
 BULL = [
     "buy", "bought", "buying", "long", "calls", "call", "yolo", "moon", "rocket", "hodl", "hold", "diamond hands", "bull", "bullish", "squeeze", "to the moon", "dip", "undervalued", "load", "loading",
@@ -236,9 +240,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def stratified_sample(df: DataFrame, cell: list[str], id_column: str, quota: int, seed: int = 7) -> DataFrame:
-    """The same number from each cell, by the order of a seeded hash."""
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy(F.xxhash64(F.lit(seed), id_column), id_column))
-    return df.withColumn("_n", place).filter(F.col("_n") <= quota).drop("_n")
+    """The same number from each cell, by the order of a seeded hash; cells are cut to the quota per task first."""
+    return capped_capture(df, cell, id_column, 1.0, quota, seed)
 
 
 def capped_capture(df: DataFrame, cell: list[str], id_column: str, rate: float, cap: int, seed: int = 7) -> DataFrame:
@@ -283,10 +286,15 @@ def pick_without_reuse(df: DataFrame, id_column: str, cells: list[tuple[str, str
 
 
 def sample_manifest(df: DataFrame, cell: list[str], id_column: str, fraction: float, seed: int = 7) -> DataFrame:
-    """A fixed order in each stratum; a fraction selects a prefix of it, so larger fractions contain smaller ones."""
-    w = Window.partitionBy(*cell)
-    out = df.withColumn("place", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), id_column), id_column))).withColumn("_all", F.count("*").over(w))
-    return out.withColumn("chosen", F.col("place") <= F.ceil(F.col("_all") * fraction)).drop("_all")
+    """A fixed order in each stratum; a fraction selects a prefix of it, so larger fractions contain smaller ones.
+
+    Rows are numbered by ranges of (stratum, hash); a stratum's places begin at its first number. There is one row per stratum.
+    """
+    placed = numbered(df.withColumn("_h", F.xxhash64(F.lit(seed), id_column)), *cell, "_h", id_column, name="_at")
+    strata = placed.groupBy(*cell).agg(F.min("_at").alias("_first"), F.count("*").alias("_all"))
+    same = [placed[c].eqNullSafe(strata[c]) for c in cell]
+    out = placed.join(F.broadcast(strata), reduce(and_, same)).select(placed["*"], (F.col("_at") - F.col("_first") + 1).cast("int").alias("place"), "_all")
+    return out.withColumn("chosen", F.col("place") <= F.ceil(F.col("_all") * fraction)).drop("_all", "_at", "_h")
 
 
 def dual_series(df: DataFrame, by: list[str], native: str, scored: str) -> DataFrame:

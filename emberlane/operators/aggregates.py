@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered, running_counts
+
 
 def count_mentions(messages: DataFrame) -> DataFrame:
     """One for each message and distinct symbol in it, per step; ``symbols`` is an array."""
@@ -56,9 +58,11 @@ def describe(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def top_share(totals: DataFrame, key: str, value: str) -> DataFrame:
-    """Cumulative share of the largest; totals are one row per key, already few."""
-    order = Window.orderBy(F.desc(value), key)
-    return totals.select(key, value, F.row_number().over(order).alias("place"), F.round(F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(value).over(Window.partitionBy()), 6).alias("share"))
+    """Cumulative share of the largest, over any number of keys: places and running sums come from ranges of the order."""
+    summed = running_counts(totals.select(key, value), [F.desc(value), F.col(key)], value)
+    all_ = totals.agg(F.sum(value).alias("_sum"))
+    placed = numbered(summed, F.desc(value), F.col(key), name="_at").join(F.broadcast(all_))
+    return placed.select(key, value, (F.col("_at") + 1).cast("int").alias("place"), F.round(F.col("_upto") / F.col("_sum"), 6).alias("share"))
 
 
 def daily_sentiment(messages: DataFrame) -> DataFrame:

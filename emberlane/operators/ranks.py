@@ -34,9 +34,9 @@ def numbered_median(values: DataFrame, column: str) -> float:
     return (at((n - 1) // 2) + at(n // 2)) / 2
 
 
-def running_counts(per: DataFrame, order: str, count: str) -> DataFrame:
-    """Counts with the running total up to each row (_upto), by ranges of the order."""
-    placed = numbered(per, order, name="_place").withColumn("_block", F.expr("_place div 4096"))
+def running_counts(per: DataFrame, order: str | list, count: str) -> DataFrame:
+    """Rows with the running total of a column up to each (_upto), by ranges of the order."""
+    placed = numbered(per, *(order if isinstance(order, list) else [order]), name="_place").withColumn("_block", F.expr("_place div 4096"))
     inside = placed.withColumn("_in", F.sum(count).over(Window.partitionBy("_block").orderBy("_place")))
     blocks = placed.groupBy("_block").agg(F.sum(count).alias("_all")).withColumn("_super", F.expr("_block div 4096"))
     within = Window.partitionBy("_super").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

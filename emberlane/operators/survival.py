@@ -98,6 +98,17 @@ def logrank(rows: DataFrame, time: str, event: str, group: str) -> dict[str, flo
     return {"chi2": stat, "df": len(groups) - 1, "p": chi2_sf(stat, max(1, len(groups) - 1))}
 
 
+def logrank_sums(rows: DataFrame, time: str, event: str, group: str) -> DataFrame:
+    """V2: per group: rows, deaths, and the deaths expected if all groups had the hazard of each time."""
+    per = rows.groupBy(time, group).agg(F.sum(event).alias("_d"), F.count("*").alias("_n"))
+    later = Window.partitionBy(group).orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    # every group at every time: calendar times groups
+    grid = per.select(F.col(time).alias("_t")).distinct().join(F.broadcast(per.select(group).distinct()))
+    full = grid.join(per.withColumnRenamed(time, "_t"), ["_t", group], "left").na.fill(0, ["_d", "_n"]).withColumn("_risk", F.sum("_n").over(later))
+    hazard = full.groupBy("_t").agg((F.sum("_d") / F.sum("_risk")).alias("_h"))
+    return full.join(hazard, "_t").groupBy(group).agg(F.sum("_n").alias("n"), F.sum("_d").alias("observed"), F.sum(F.col("_risk") * F.col("_h")).alias("expected"))
+
+
 # -- Cox
 
 

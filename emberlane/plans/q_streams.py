@@ -114,6 +114,17 @@ def _fan_out(spark, d):
     return spark.read.parquet(path).select("doc_id", "community", "lang")
 
 
+def _windowed(spark, d):
+    """One folder of files per symbol and day, the first three days without the value, and one without rows."""
+    events = table(spark, d, "events").select("event_id", "value", F.to_date("ts").alias("day"), F.concat_ws("_", "event_type", F.to_date("ts").cast("string")).alias("window"))
+    path = scratch(spark, "windows")
+    events.filter(F.dayofmonth("day") > 3).drop("day").write.partitionBy("window").parquet(path)
+    events.filter(F.dayofmonth("day") <= 3).drop("day", "value").write.mode("append").partitionBy("window").parquet(path)
+    events.limit(0).select("event_id").write.parquet(f"{path}/window=quiet_2024-02-30")
+    found = posts.read_windowed(spark, path, "window=([a-z]+)_([0-9-]+)", ["symbol", "day"])
+    return found.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+
 QUERIES = {
     "a2_fan_out": entry(_fan_out, "select doc_id, source as community, lang from documents where source in ('src1', 'src2')"),
     "a10_materialize": entry(lambda s, d: posts.materialize(table(s, d, "lineitem").filter("l_returnflag = 'R'").select("l_suppkey", "l_quantity"), scratch(s, "facts")).groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q")), "select l_suppkey, sum(l_quantity) as q from lineitem where l_returnflag = 'R' group by 1", "q"),
@@ -139,8 +150,9 @@ QUERIES = {
     "u1_detect_in_sql": entry(lambda s, d: _sql_events(s, d), with_views("found", "select * from found"), "mu0 sigma0 z0"),
     "u2_index_in_sql": entry(lambda s, d: _sql_index(s, d), with_views("m", """select symbol, ln((1 + c) / (1 + v)) as b, case when c + v > 0 then 1 - abs(c - v) / (c + v) end as d from (select symbol, count(*) filter (label = 'bull') as c, count(*) filter (label = 'bear') as v from m group by 1)"""), "b d"),
     "u3_stance_in_sql": entry(lambda s, d: _sql_stance(s, d)),
-    "f1_three_machines": entry(lambda s, d: _agree(s, d)),
-    "h2_online_volume": entry(lambda s, d: q_panel.panel_of(s, d).groupBy("phase").agg(F.sum("n").alias("n"))),
+    "f1_three_machines": entry(lambda s, d: _agree(s, d), with_views("found", "select cast(3 as bigint) as machines, count(*) as events from found where not censored")),
+    "h2_online_volume": entry(lambda s, d: q_panel.panel_of(s, d).groupBy("phase").agg(F.sum("n").alias("n")), q_panel._cat_m(q_panel._PANEL + " select phase, cast(sum(n) as bigint) as n from pn group by 1")),
+    "a5_read_windowed": entry(_windowed, "select event_type as symbol, cast(cast(ts as date) as varchar) as day, count(*) as n, sum(case when day(ts) > 3 then value end) as value from events group by 1, 2", "value"),
 }
 
 

@@ -232,6 +232,8 @@ QUERIES = {
     "v1_median": entry(lambda s, d: survival.median_survival(survival.kaplan_meier(v.durations(s, d), "t", "e", ["grp"]), "t", ["grp"]), with_views("dur", """, a as (select grp, t, sum(e) as deaths, count(*) as n from dur group by 1, 2), b as (select grp, t, deaths, sum(n) over (partition by grp order by t desc) as at_risk from a),
         c as (select grp, t, exp(sum(ln(case when deaths < at_risk then 1 - deaths / at_risk else 1e-300 end)) over (partition by grp order by t)) as s from b) select grp, min(t) filter (s <= 0.5) as median from c group by 1""")),
     "v2_logrank": entry(_logrank),
+    "v2_logrank_sums": entry(lambda s, d: survival.logrank_sums(v.durations(s, d), "t", "e", "grp"), with_views("dur", """, k as (select t, grp, sum(e) as d, count(*) as n from dur group by 1, 2), g as (select a.t, b.grp, coalesce(k.d, 0) as d, coalesce(k.n, 0) as n from (select distinct t from k) a cross join (select distinct grp from k) b left join k on k.t = a.t and k.grp = b.grp),
+        r as (select *, sum(n) over (partition by grp order by t desc) as risk from g), h as (select t, sum(d) / sum(risk) as h from r group by 1) select grp, cast(sum(n) as bigint) as n, cast(sum(d) as bigint) as observed, sum(risk * h) as expected from r join h using (t) group by 1"""), "expected"),
     "v3_cox": entry(lambda s, d: _table(s, {"static": _cox(s, d)})),
     "v4_cox_time_varying": entry(_time_varying),
     "v5_battery": entry(_battery),
