@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -69,3 +71,34 @@ def test_pipeline_stages_on_repeated_rows(spark):
     once = corpus_pipeline.drop_exact_copies(spark, docs, "")
     assert lines(once) == sorted([(1, LONG), (2, LONG + " more"), (2, "something else entirely under the same id"), (3, None)], key=str)
     assert lines(corpus_pipeline.drop_near_copies(spark, once, "")) == sorted([(1, LONG), (2, "something else entirely under the same id"), (3, None)], key=str)
+
+
+def test_personal_data_by_shape(spark):
+    """Cases without a word that names them, beside cases with one and others' numbers of the same shape."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    mixed = lambda: "".join(rng.choice("ABCDEFGHKLMNPQRSTabcdefghkmnpqrst0123456789") for _ in range(26))
+    shapes = {
+        "spoken": lambda: f"so {name()} at {name()} dot com said",
+        "groups": lambda: f"with {digits(3)}-{digits(2)}-{digits(4)} in it",
+        "area": lambda: f"then ({digits(3)}) {digits(3)}-{digits(4)} again",
+        "token": lambda: f"left {mixed()} there",
+        "named": lambda: f"set api_key = {mixed()} now",
+        "call": lambda: f"please call ({digits(3)}) {digits(3)}-{digits(4)} soon",
+    }
+    clean = {
+        "commit": lambda: "in commit " + "".join(rng.choice("0123456789abcdef") for _ in range(40)),
+        "order": lambda: f"the order ({digits(3)}) {digits(3)}-{digits(4)} came",
+        "mode": lambda: f"mode = {name()}_{name()}_{name()}",
+        "url": lambda: f"see https://{name()}.org/{name()}/{digits(12)}",
+        "words": lambda: f"we met at noon and the dot was {name()}",
+    }
+    rows = [(i, kind, make()) for i, (kind, make) in enumerate((k, f) for _ in range(40) for k, f in [*shapes.items(), *clean.items()])]
+    got = {r.doc_id: r.spans for r in pii.report(table(spark, [(i, t) for i, _, t in rows])).collect()}
+    for kind in shapes:
+        found = [bool(got[i]) for i, k, _ in rows if k == kind]
+        assert sum(found) >= 0.9 * len(found), (kind, sum(found))
+    for kind in clean:
+        found = [t for i, k, t in rows if k == kind and got[i]]
+        assert len(found) <= 0.05 * 40, found[:3]
