@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import scratch
+
 #: Most bytes of text that one numpy pass inside a task holds at once; a longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
 
@@ -33,18 +33,9 @@ def forget() -> None:
     _memory.clear()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set to a new temporary one where unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="emberlane-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def written(df: DataFrame, name: str) -> str:
-    """Write a table to the shared folder; its path."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/emberlane/{name}-{uuid.uuid4().hex}"
+    """Write a table to the folder that driver and executors share; its path. It goes when the driver ends."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return path
 
