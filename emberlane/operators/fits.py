@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from .survival import CoxFit, _tied
 
 #: Most fits of a block: its sums of one time are one binary value.
 BLOCK = 64
+#: Specifications whose rows are marked in one number.
+BITS = 60
 #: Values that a task holds before it passes partial sums on.
 HELD = 1 << 22
 _PARTIAL = "block int, stratum string, time double, sums binary"
@@ -89,7 +92,12 @@ def _weights(cluster: np.ndarray, replicas: list[int], seed: int) -> np.ndarray:
     x = known[:, None] + turn[None, :] * np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    w = np.searchsorted(cuts, x ^ (x >> np.uint64(31)), "right").astype(float)
+    x ^= x >> np.uint64(31)
+    w = np.zeros(x.shape)
+    for cut in cuts[:5]:
+        w += x >= cut
+    rest = x >= cuts[4]
+    w[rest] = np.searchsorted(cuts, x[rest], "right")
     w[:, np.array(replicas) == 0] = 1.0
     return w[inverse]
 
@@ -135,11 +143,12 @@ def _partial_sums(shared, p_all: int):
         for batch in batches:
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             x_all = np.stack([columns[f"x{k}"].to_numpy(zero_copy_only=False) for k in range(p_all)], 1) if p_all else np.zeros((batch.num_rows, 0))
+            drawn: dict[tuple, np.ndarray] = {}
             stop, start, dead = (columns[c].to_numpy(zero_copy_only=False) for c in ("stop", "start", "dead"))
             for number, (spec, states) in enumerate(blocks):
                 picked, strata = specs[spec]
                 x = x_all[:, picked]
-                rows = np.flatnonzero(columns[f"in{spec}"].to_numpy(zero_copy_only=False) & np.isfinite(x).all(1))
+                rows = np.flatnonzero((columns[f"in{spec // BITS}"].to_numpy(zero_copy_only=False) >> (spec % BITS) & 1).astype(bool))
                 if not len(rows):
                     continue
                 p = len(picked)
@@ -147,7 +156,14 @@ def _partial_sums(shared, p_all: int):
                 x = x[rows]
                 values = np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], 1)
                 replicas = [r for r, _, _ in states]
-                w = np.ones((len(x), len(states))) if not any(replicas) else _weights(columns[f"c{states[0][1]}"].to_numpy(zero_copy_only=False)[rows], replicas, seed + states[0][1])
+                if any(replicas):
+                    cluster = states[0][1]
+                    turn = (cluster, *replicas)
+                    if turn not in drawn:  # specifications share their replicas' draws
+                        drawn[turn] = _weights(columns[f"c{cluster}"].to_numpy(zero_copy_only=False), replicas, seed + cluster)
+                    w = drawn[turn][rows]
+                else:
+                    w = np.ones((len(x), len(states)))
                 e = np.exp(np.minimum(x @ np.stack([b for _, _, b in states], 1), 700)) * w
                 if strata:
                     coded = columns[f"s{spec}"].take(pa.array(rows)).dictionary_encode()
@@ -265,29 +281,34 @@ class Table:
         self.covariates = list(dict.fromkeys(c for s in specs for c in s.covariates))
         self.spark = rows.sparkSession
         whole = F.col(stop).isNotNull() & F.col(event).isNotNull()
-        data = rows.select(
+        p, n = len(self.covariates), len(specs)
+
+        def rows_of(s: Spec):
+            known = reduce(lambda a, c: a & F.col(c).isNotNull(), s.covariates, F.coalesce(F.expr(s.where), F.lit(False)))
+            return F.coalesce(known, F.lit(False))
+
+        data = rows.filter(whole).select(
             *(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(self.covariates)),
             F.col(stop).cast("double").alias("stop"),
             (F.col(start).cast("double") if start else F.lit(0.0)).alias("start"),
             F.col(event).cast("int").alias("dead"),
-            *((F.coalesce(F.expr(s.where), F.lit(False)) & whole).alias(f"in{k}") for k, s in enumerate(specs)),
+            *(reduce(lambda a, k: a + F.when(rows_of(specs[k]), 1 << (k % BITS)).otherwise(0), range(lo, min(lo + BITS, n)), F.lit(0).cast("long")).alias(f"in{lo // BITS}") for lo in range(0, n, BITS)),
             *(F.coalesce(F.col(s.strata).cast("string"), F.lit("")).alias(f"s{k}") for k, s in enumerate(specs) if s.strata),
             *(F.xxhash64(c).alias(f"c{k}") for k, c in enumerate(self.clusters)),
             *([F.col(id_column).alias("id")] if id_column else []),
-        ).filter(whole)
+        )
         self.data = stored(data, "fits")
-        complete = lambda k, s: F.col(f"in{k}") & ~F.greatest(*(F.col(f"x{self.covariates.index(c)}").isNull() for c in s.covariates), F.lit(False))
-        counts = [a for k, s in enumerate(specs) for a in (F.count_if(complete(k, s)), F.sum(F.when(complete(k, s), F.col("dead"))))]
-        got = self.data.agg(*(F.avg(f"x{k}") for k in range(len(self.covariates))), *counts).first()
-        p = len(self.covariates)
-        self.means = np.array([float(m or 0) for m in got[:p]])
-        self.counts = [(int(got[p + 2 * k]), int(got[p + 2 * k + 1] or 0)) for k in range(len(specs))]
-        self.events = [0] * len(specs)
+        # sums by which specifications a row belongs to: few combinations
+        masks = [f"in{k}" for k in range(-(-n // BITS))]
+        sums = [F.sum(f"x{k}").alias(f"x{k}") for k in range(p)] + [F.count(f"x{k}").alias(f"n{k}") for k in range(p)]
+        found = self.data.groupBy(*masks).agg(F.count("*").alias("rows"), F.sum("dead").alias("deaths"), *sums).collect()
+        inside = lambda r, k: r[f"in{k // BITS}"] >> (k % BITS) & 1
+        self.means = np.array([sum(r[f"x{k}"] or 0.0 for r in found) / max(sum(r[f"n{k}"] for r in found), 1) for k in range(p)])
+        self.counts = [(sum(r["rows"] for r in found if inside(r, k)), sum(r["deaths"] for r in found if inside(r, k))) for k in range(n)]
+        self.events = [0] * n
         if id_column:
-            listed = F.array(*(F.when(complete(k, s), k) for k, s in enumerate(specs)))
-            per = self.data.select("id", F.explode(F.array_compact(listed)).alias("k")).distinct().groupBy("k").count().collect()
-            for k, n in per:
-                self.events[k] = n
+            per = self.data.groupBy("id").agg(*(F.bit_or(m).alias(m) for m in masks)).groupBy(*masks).agg(F.count("*").alias("ids")).collect()
+            self.events = [sum(r["ids"] for r in per if inside(r, k)) for k in range(n)]
         # centred, and not a number where null
         nan = F.lit(math.nan)
         self.rows = self.data.select(*(F.coalesce(F.col(f"x{k}") - float(self.means[k]), nan).alias(f"x{k}") for k in range(p)), *(c for c in self.data.columns[p:] if c != "id"))

@@ -42,9 +42,9 @@ def _integrated(spark, d):
 
     The mean value of a symbol's messages stands for its price.
     """
-    cat = stored(v.catalog(spark, d), "catalog")
-    events = cat.select("event_id", "symbol", "start", "peak", "end", "censored")
     dense = stored(v.dense(spark, d), "dense")
+    cat = stored(detector.catalog(dense, v.PARAMS), "catalog")
+    events = cat.select("event_id", "symbol", "start", "peak", "end", "censored")
     panel_rows = panel.sentiment_panel(events, q_panel.daily(spark, d), 3, 3)
     rows = batteries.wide_start_stop(panel_rows, cat)
     rows = batteries.with_detector_state(rows, detector.detector_daily(cat, dense, v.PARAMS))
