@@ -9,7 +9,8 @@ A dialogue is taken in blocks of ``BLOCK_TURNS`` turn numbers, so that no dialog
 participant of the dialogue, with masks that count from the dialogue's begin: a participant's blocks in order are the whole
 rendering. Both are the same for dialogues of one block. Turns are ordered by number, then role, then text; a row that is
 repeated exactly is one turn (in ``rotate_whole``, where it has a number: turns without one are as many as there are). A turn without a role comes from a user named "unknown", who is no participant; without a
-text it is empty; without a number it comes first. A dialogue without participants has no rows. The marks' opening "<|"
+text it is empty; without a number it comes first in block 0 (behind blocks of negative numbers). A dialogue without participants
+has no rows, nor has an empty table. The marks' opening "<|"
 inside a text is written "< |", so a text can't speak for someone else. Only the four named columns are read, whatever
 other columns there are.
 """

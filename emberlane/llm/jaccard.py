@@ -17,7 +17,8 @@ compared with each other, block by block inside tasks, where parities per hash r
 than the sets) drop nearly all that are not similar. Every pair left is verified on the whole sets. Nothing is capped; pairs inside a component are never listed.
 
 Null texts and texts without words have an empty set and link with nothing; with fewer than five words the whole sequence
-is the one shingle. Repeated ids stay rows of their own.
+is the one shingle. Repeated and null ids stay rows of their own; an empty table gives no rows. Only the id and the text are
+read, whatever other columns there are.
 """
 
 from __future__ import annotations

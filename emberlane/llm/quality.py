@@ -9,6 +9,8 @@ streams in. Only the text is an input; ids, languages, sources and labels of hel
 Because the output layer is linear in the mean, scoring needs one number per bucket: the vector's difference of class
 scores. That table of ``BUCKETS`` floats is the only thing broadcast. Null and empty texts have no features and get the
 bias alone. Rows without a label or with a null label are not trained on; with no labels at all every score is 0.5.
+Rows that repeat an id are scored by their own texts, an empty table gives no rows, a long text is one mean of its features;
+only the id and the text are read, whatever other columns there are.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ smallest document of each window.
 
 Words are runs of characters other than white space, unchanged, compared by 64-bit hashes. Null texts and texts without
 words have no words and the digest of the empty string; shorter texts than a window lose nothing. A row that repeats an id
-is not a smaller document for its twin.
+is not a smaller document for its twin. An empty table gives no rows; only the id and the text are read, whatever other columns
+there are.
 """
 
 from __future__ import annotations

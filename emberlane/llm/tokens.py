@@ -12,7 +12,8 @@ UTF-8 bytes. A chunk of text thus has a small state map: what it reads before it
 whichever state comes in), the tokens from there on, and the state it ends in. Maps compose associatively, so the chunks of
 a long text are summed by a parallel prefix scan. Stretches between such places are remembered with their counts.
 
-Null texts are empty and have no tokens.
+Null texts are empty and have no tokens. Repeated rows are counted alike, an empty table gives no rows; only the id and the
+text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
