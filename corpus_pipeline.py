@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame; the first four
 keep the columns of documents. ``run`` writes each result to the shared folder and reads it again for the next stage.
+
+Rows are told apart by id and text: rows with a null id, or an id that several texts share, are judged by their own text, and
+of rows that repeat both one stays. Null and empty texts go through the classifier like others (with its bias alone), are one
+group of exact copies, no near copies, and pack as an end token. Long texts are read whole; extra columns, whatever their
+names, are kept to the fourth stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
