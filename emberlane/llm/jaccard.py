@@ -376,11 +376,11 @@ class Join:
         star = placed.join(second, "sig").filter("node <> leader and label <> head.label").select(F.col("head.node").alias("a"), F.col("node").alias("b"))
         links = base.stored(links.unionByName(self.verified(self._plausible(star, info))), "links")
         # the rest: members in different components, compared inside tasks; first leaders have met everyone already
-        rest = self._open(placed.drop("label"), links).filter("node <> leader").join(info, "node")
-        rest = base.stored(rest, "rest")
-        left = rest.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        rest = rest.join(left, "sig").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-        groups = max(48, math.ceil((rest.agg(F.sum("blocks")).first()[0] or 0) / 4096))
+        rest = self._open(placed.drop("label"), links).filter("node <> leader").select("sig", "node", "label")
+        left = rest.groupBy("sig").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+        # one task for about 4,096 rows of the members' cells
+        groups = max(48, math.ceil((left.agg(F.sum(F.col("members") * F.col("blocks"))).first()[0] or 0) / 4096))
+        rest = rest.join(left, "sig").join(info, "node").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
         cells = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.selectExpr(
             "xxhash64(sig, least(block, other), greatest(block, other)) as cell", "case when block = other then 2 when block < other then 0 else 1 end as side", "node", "label", "n", "sketch"
