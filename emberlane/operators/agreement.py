@@ -137,6 +137,57 @@ def placebo_permute(df: DataFrame, id_column: str, column: str, replicas: int, s
     return permuted(df.select(id_column, F.col(column).alias(f"{column}_placebo")), f"{column}_placebo", [id_column], replicas, seed)
 
 
+#: Distinct values of either column up to which ``placebo_correlations`` deals counts: margins of this size travel.
+MARGIN = 1 << 10
+
+
+def _dealt_moments(shared):
+    """Per replica the sum of products of two columns whose counts are dealt to one another at random."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts, groups, sizes, seed = shared.value
+        for batch in batches:
+            replicas = batch.column(0).to_pylist()
+            out = []
+            for replica in replicas:
+                rng = np.random.Generator(np.random.Philox(key=[seed, replica]))
+                left, total = counts.copy(), 0.0
+                for group, size in zip(groups.tolist(), sizes.tolist()):
+                    taken = rng.multivariate_hypergeometric(left, size, method="marginals")
+                    left -= taken
+                    total += group * float(taken @ values)
+                out.append(total)
+            yield pa.RecordBatch.from_arrays([pa.array([r + 1 for r in replicas], pa.int32()), pa.array(out, pa.float64())], ["replica", "products"])
+
+    return run
+
+
+def placebo_correlations(df: DataFrame, id_column: str, x: str, y: str, replicas: int, seed: int = 3) -> DataFrame:
+    """(replica, statistic): the correlation of ``x`` with ``y`` dealt anew among the rows; rows without either have no part.
+
+    A correlation sees of a permutation only how often each value of y meets each value of x. These counts are drawn: the rows
+    of one x after the other take theirs from the values of y that are left (multivariate hypergeometric), which is the law of
+    counts under uniform permutations, so no replica of the rows exists. Columns with more than ``MARGIN`` distinct values, or
+    tables too long for the draws, are dealt row by row.
+    """
+    known = df.select(id_column, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(subset=["x", "y"])
+    margin = lambda c: known.groupBy(c).agg(F.count("*").alias("n")).orderBy(c).limit(MARGIN + 1).collect()
+    of_x, of_y = margin("x"), margin("y")
+    n = sum(r["n"] for r in of_x)
+    if max(len(of_x), len(of_y)) > MARGIN or n >= 1_000_000_000:
+        dealt = placebo_permute(known, id_column, "y", replicas, seed).join(known.select(id_column, "x"), id_column)
+        return dealt.groupBy("replica").agg(F.corr("x", "y_placebo").alias("statistic"))
+    if not n:
+        return df.sparkSession.createDataFrame([], "replica int, statistic double")
+    (gx, nx), (gy, ny) = ((np.array([r[c] for r in rows], float), np.array([r["n"] for r in rows], np.int64)) for c, rows in (("x", of_x), ("y", of_y)))
+    # centred, so that the sum of products is n times the covariance
+    gx, gy = gx - nx @ gx / n, gy - ny @ gy / n
+    scale = math.sqrt(float(nx @ gx**2) * float(ny @ gy**2))
+    shared = df.sparkSession.sparkContext.broadcast((gy, ny, gx, nx, seed))
+    sums = df.sparkSession.range(replicas, numPartitions=min(replicas, df.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_dealt_moments(shared), "replica int, products double")
+    return sums.select("replica", F.try_divide(F.col("products"), F.lit(scale)).alias("statistic"))
+
+
 def placebo_trajectory(paths: DataFrame, replicas: int, bands: str | None = None, seed: int = 3) -> DataFrame:
     """Every event takes another event's path by age, the donor's last row repeated where it is shorter.
 
