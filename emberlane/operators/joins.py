@@ -199,30 +199,83 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def _linked(x: DataFrame, y: DataFrame, key: str, best: DataFrame) -> DataFrame:
+    """Of the rows that have one of the most similar names, the one with the nearest value, then the smallest id.
+
+    ``best`` has (key, a_name, b_name, similarity) for the most similar names of each name. Rows meet neighbours only: within a
+    name of b, the values of both sides are put in order and each sees the last one below and the first one above. Rows
+    without a value on either side come last.
+    """
+    points = y.groupBy(key, "b_name", F.col("b_value").alias("at")).agg(F.min("b_id").alias("b_id"))
+    least = points.groupBy(key, "b_name").agg(F.min("b_id").alias("b_any"))
+    asked = x.select(key, "a_name", F.col("a_value").alias("at")).distinct().join(best, [key, "a_name"])
+    none = lambda df, *names: [F.lit(None).cast(dict(df.dtypes)[n]).alias(n) for n in names]
+    met = asked.select(key, "b_name", "at", "a_name", "similarity", *none(points, "b_id"), F.lit(1).alias("_asks")).unionByName(
+        points.filter("at is not null").select(key, "b_name", "at", *none(asked, "a_name", "similarity"), "b_id", F.lit(0).alias("_asks"))
+    )
+    seen = F.when(F.col("_asks") == 0, F.struct("at", "b_id"))
+    w = lambda order: Window.partitionBy(key, "b_name").orderBy(order, "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    placed = met.withColumn("_below", F.last(seen, True).over(w(F.asc("at")))).withColumn("_above", F.last(seen, True).over(w(F.desc("at")))).filter("_asks = 1")
+    place = lambda c: F.struct(F.abs(F.col("at") - F.col(c)["at"]).isNull().alias("none"), F.abs(F.col("at") - F.col(c)["at"]).alias("d"), F.col(c)["b_id"].alias("b_id"))
+    there = placed.join(least, [key, "b_name"]).select(
+        key, "a_name", "at", "similarity",
+        F.least(*(F.when(F.col(c).isNotNull() & F.col("at").isNotNull(), place(c)) for c in ("_below", "_above")), F.struct(F.lit(True).alias("none"), F.lit(None).cast("double").alias("d"), F.col("b_any").alias("b_id"))).alias("m"),
+    )
+    chosen = there.groupBy(key, "a_name", F.col("at").alias("_at")).agg(F.min("m").alias("m"), F.first("similarity").alias("_s"))
+    left = x.withColumnRenamed(key, "_k").withColumnRenamed("a_name", "_n")
+    rows = left.join(chosen, (F.col("_k") == F.col(key)) & (F.col("_n") == F.col("a_name")) & F.col("a_value").eqNullSafe(F.col("_at")))
+    s = F.nullif("_s", F.lit(-1.0))
+    return rows.select("a_id", F.col("m.b_id").alias("b_id"), s.alias("similarity"), label_tier(s).alias("tier"))
+
+
+def _best_of(scored: DataFrame, key: str) -> DataFrame:
+    """The pairs of names with the highest similarity of a's name."""
+    top = scored.groupBy(key, "a_name").agg(F.max("similarity").alias("_top"))
+    return scored.join(top, [key, "a_name"]).filter("similarity = _top").select(key, "a_name", "b_name", "similarity")
+
+
 def fuzzy_link_names(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Within a key (a symbol: few candidates), the most similar plain name, nearest value on ties, in tiers.
 
-    ``a`` and ``b`` have id, name and value. Each distinct pair of names is compared once.
+    ``a`` and ``b`` have id, name and value. Each distinct pair of names is compared once; rows don't meet in pairs.
     """
     x = a.select(key, F.col("id").alias("a_id"), plain_name(F.col("name")).alias("a_name"), F.col("value").alias("a_value"))
     y = b.filter("name is not null").select(key, F.col("id").alias("b_id"), plain_name(F.col("name")).alias("b_name"), F.col("value").alias("b_value"))
-    met = x.join(y, key)
-    scores = met.select("a_name", "b_name").distinct().withColumn("similarity", F.round(_ratio("a_name", "b_name"), 6))
-    rank = F.struct((-F.col("similarity")).alias("s"), F.abs(F.col("a_value") - F.col("b_value")).alias("d"), "b_id")
-    best = met.join(scores, ["a_name", "b_name"]).groupBy("a_id").agg(F.min(rank).alias("m"))
-    s = -F.col("m.s")
-    return best.select("a_id", F.col("m.b_id").alias("b_id"), s.alias("similarity"), label_tier(s).alias("tier"))
-
-
-def fuzzy_link(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Within a key, the most similar name (edit distance over the longer length), nearest value on ties, in tiers."""
-    x = a.select(key, F.col("id").alias("a_id"), F.col("name").alias("a_name"), F.col("value").alias("a_value"))
-    y = b.select(key, F.col("id").alias("b_id"), F.col("name").alias("b_name"), F.col("value").alias("b_value"))
-    longest = F.greatest(F.length("a_name"), F.length("b_name"))
-    rows = x.join(y, key).withColumn("similarity", F.round(1 - F.levenshtein("a_name", "b_name") / longest, 6))
-    best = rows.groupBy("a_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.abs(F.col("a_value") - F.col("b_value")).alias("d"), "b_id")).alias("m"))
-    s = -F.col("m.s")
-    return best.select("a_id", F.col("m.b_id").alias("b_id"), s.alias("similarity"), label_tier(s).alias("tier"))
+    x, y = stored(x, "left"), stored(y, "right")
+    met = x.select(key, "a_name").distinct().join(y.select(key, "b_name").distinct(), key)
+    scores = met.select("a_name", "b_name").distinct().repartition("a_name", "b_name").withColumn("similarity", F.round(_ratio("a_name", "b_name"), 6))
+    scores = stored(scores, "scores")
+    return _linked(x, y, key, stored(_best_of(met.join(scores, ["a_name", "b_name"]), key), "best"))
+
+
+def _with_one_left_out(name):
+    """A name and all that is left of it without one character: names at distance 1 or less have one of these in common."""
+    some = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
+    return F.array_distinct(F.concat(F.array(name), F.when(F.length(name) > 0, some).otherwise(F.array(name))))
+
+
+def fuzzy_link(a: DataFrame, b: DataFrame, key: str, parts: int = 8) -> DataFrame:
+    """Within a key, the most similar name (edit distance over the longer length), nearest value on ties, in tiers.
+
+    Distinct names are compared, not rows. Names at a distance of 0 or 1 meet by what is left without one character; from three
+    characters on nothing further away is as similar. The other names of a key are compared with each of its names, in
+    ``parts`` tasks a key. A missing name is less similar than any other.
+    """
+    coded = F.coalesce(F.concat(F.lit("="), "name"), F.lit(""))  # a missing name is "", so that joins find it
+    x = stored(a.select(key, F.col("id").alias("a_id"), coded.alias("a_name"), F.col("value").alias("a_value")), "left")
+    y = stored(b.select(key, F.col("id").alias("b_id"), coded.alias("b_name"), F.col("value").alias("b_value")), "right")
+    names_a, names_b = x.select(key, "a_name").distinct(), y.select(key, "b_name").distinct()
+    distance = F.levenshtein("a_name", "b_name")
+    longest = F.greatest(F.length("a_name"), F.length("b_name")) - 1
+    known = (F.col("a_name") != "") & (F.col("b_name") != "")
+    similarity = F.coalesce(F.when(known, F.round(1 - F.try_divide(distance, longest), 6)), F.lit(-1.0)).alias("similarity")
+    out = lambda df, c: df.filter(F.length(c) > 1).select(key, c, F.explode(_with_one_left_out(F.col(c))).alias("_part"))
+    near = out(names_a.filter(F.length("a_name") > 3), "a_name").join(out(names_b, "b_name"), [key, "_part"]).filter(distance <= 1)
+    close = stored(_best_of(near.select(key, "a_name", "b_name", similarity).distinct(), key), "close")
+    rest = anti(names_a, close, [key, "a_name"]).withColumn("_part", F.pmod(F.xxhash64("a_name"), F.lit(parts)))
+    everywhere = names_b.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    far = _best_of(rest.join(everywhere, [key, "_part"]).select(key, "a_name", "b_name", similarity), key)
+    return _linked(x, y, key, stored(close.unionByName(far), "best"))
 
 
 def apply_patches(base: DataFrame, patches: DataFrame, key: str) -> DataFrame:
