@@ -46,6 +46,14 @@ class Spec:
     strata: str | None = None
 
 
+def _inverse(info: np.ndarray) -> np.ndarray:
+    """The pseudoinverse, not a number where the information has none (no fit fails the others of its battery)."""
+    try:
+        return np.linalg.pinv(info, hermitian=True)
+    except np.linalg.LinAlgError:
+        return np.full(info.shape, math.nan)
+
+
 @dataclass
 class _State:
     """One fit on its way."""
@@ -71,11 +79,18 @@ class _State:
             self.scale /= 2
             self.trial = self.beta + self.scale * self.step
             return
+        elif not (np.isfinite(ll) and np.isfinite(grad).all() and np.isfinite(info).all()):
+            # no number at any part of the step: the last point that had one stays
+            self.done = True
+            return
         self.beta, self.ll, self.info, self.scale = self.trial, ll, info, 1.0
         if not (np.isfinite(grad).all() and np.isfinite(info).all()):
             self.done = True
             return
-        self.step = np.linalg.pinv(info, hermitian=True) @ grad
+        self.step = _inverse(info) @ grad
+        if not np.isfinite(self.step).all():
+            self.done = True
+            return
         gain = float(grad @ self.step)
         if gain < 1e-7 * (1 + abs(ll)) * 1e-3:
             # the error left is of second order in this step, which is taken without another look
@@ -352,7 +367,7 @@ class Table:
         out = {}
         for s in states:
             spec = self.specs[s.spec]
-            out[spec.name] = CoxFit(list(spec.covariates), s.beta, np.linalg.pinv(s.info, hermitian=True), s.ll, s.null, *self.counts[s.spec], self.events[s.spec], s.converged)
+            out[spec.name] = CoxFit(list(spec.covariates), s.beta, _inverse(s.info), s.ll, s.null, *self.counts[s.spec], self.events[s.spec], s.converged)
         return out
 
     def bootstrap(self, replicas: int, fits: dict[str, CoxFit], rounds: int = 30) -> DataFrame:
