@@ -33,6 +33,8 @@ EPOCHS = 5
 BATCH = 64
 RATE = 0.5
 THRESHOLD = 0.7
+#: Most bytes of text that are scored at once, and numbers of training texts that a task passes on at once.
+PIECE, BAGS = 1 << 18, 1 << 20
 #: The bucket of the word pair "the same word twice", whatever the word.
 _REPEAT = 0
 _SHIFT = np.uint64(64 - 18)
@@ -136,9 +138,18 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training texts as buckets and weights."""
     base.forget()
     for batch in batches:
-        bags = [_bag(v or b"") for v in base.as_bytes(batch.column(1))]
-        columns = [pa.array([b[k].tolist() for b in bags], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.float32()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), *columns], ["doc_id", "content", "quality", "bucket", "weight"])
+        values, size = base.as_bytes(batch.column(1)), 0
+        bags: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, value in enumerate(values):
+            bags.append(_bag(value or b""))
+            size += len(bags[-1][0])
+            if size > BAGS or i + 1 == len(values):
+                # arrays as they are: as Python numbers they would take ten times the memory
+                ends = pa.array(np.cumsum([0, *(len(b) for b, _ in bags)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([b[k] for b in bags]), kind)) for k, kind in ((0, pa.int32()), (1, pa.float32()))]
+                mine = batch.slice(i + 1 - len(bags), len(bags))
+                yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(3), mine.column(2), *lists], ["doc_id", "content", "quality", "bucket", "weight"])
+                bags, size = [], 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -159,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        for ids, values in base.pieces(batches):
+        for ids, values in base.pieces(batches, PIECE):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.scores(values))], ["doc_id", "score"])
 
     return score
@@ -192,7 +203,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, training: DataFrame | None = N
         out = []
         lo = size = 0
         for i, v in enumerate(values):
-            if size and size + len(v) > base.PIECE_BYTES:
+            if size and size + len(v) > PIECE:
                 out.append(model.scores(values[lo:i]))
                 lo, size = i, 0
             size += len(v)

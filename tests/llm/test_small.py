@@ -551,3 +551,20 @@ def test_repeated_rows(spark):
     for report in (exact.report, jaccard.report, substrings.report, tokens.report, lm.report, pii.report):
         assert report(docs).count() == 3, report
     assert json.dumps([r["group_size"] for r in exact.report(docs).orderBy("doc_id").collect()]) == "[2, 2, 1]"
+
+
+def test_training_bags_stay_arrays(monkeypatch):
+    """The pipeline's classifier: bags leave a task in bounded pieces, without a Python object per number."""
+    import pyarrow as pa
+    from emberlane.llm import quality
+
+    texts = [f"word{i} and more words {i} " * 40 for i in range(50)] + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(52), pa.int64()), pa.array(texts), pa.array([i % 2 for i in range(52)], pa.int32()), pa.array(range(52), pa.int64())], ["doc_id", "text", "quality", "content"])
+    monkeypatch.setattr(quality, "BAGS", 100, raising=False)
+    out = list(quality._bags(iter([batch])))
+    assert len(out) > 5 and all(len(b.column(3).values) < 1000 for b in out)
+    got = pa.Table.from_batches(out)
+    assert got["doc_id"].to_pylist() == list(range(52)) and got["quality"].to_pylist() == [i % 2 for i in range(52)]
+    for i, t in enumerate(texts):
+        bucket, weight = quality._bag((t or "").encode())
+        assert got["bucket"][i].as_py() == bucket.tolist() and got["weight"][i].values.to_numpy().tolist() == weight.tolist()
