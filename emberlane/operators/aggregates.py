@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from .ranks import numbered, running_counts
 
 
@@ -52,9 +53,24 @@ def rank_symbols(series: DataFrame) -> DataFrame:
 
 
 def describe(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Exact descriptives by group and over all (group null)."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return rows.rollup(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), *(F.round(q(p), 6).alias(name) for p, name in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"), (0.9, "q90"))))
+    """Exact descriptives by group and over all (group null).
+
+    Quantiles come from counts per distinct value, running over ranges of (group, value): no task holds a group.
+    """
+    plain = rows.rollup(by).agg(F.grouping(by).cast("int").alias("_all"), F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"))
+    per = stored(rows.select(by, F.col(value).cast("double").alias("_v")).filter("_v is not null").groupBy(by, "_v").agg(F.count("*").alias("_n")), "values")
+    whole = per.groupBy("_v").agg(F.sum("_n").alias("_n")).select(F.lit(1).alias("_all"), F.lit(None).cast(per.schema[by].dataType).alias(by), "_v", "_n")
+    both = per.select(F.lit(0).alias("_all"), by, "_v", "_n").unionByName(whole)
+    counts = stored(running_counts(both, ["_all", by, "_v"], "_n"), "counts")
+    sizes = counts.groupBy(F.col("_all").alias("_a"), F.col(by).alias("_b")).agg(F.min(F.col("_upto") - F.col("_n")).alias("_from"), F.sum("_n").alias("_size"))
+    same = (F.col("_all") == F.col("_a")) & F.col(by).eqNullSafe(F.col("_b"))
+    shares = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}
+    place = lambda p: (F.col("_size") - 1) * F.lit(p)
+    at = lambda k, name: F.min(F.when(F.col("_upto") - F.col("_from") > k, F.col("_v"))).alias(name)
+    ends = [at(f(place(p)), f"{name}_{side}") for name, p in shares.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = counts.join(sizes, same).groupBy("_a", "_b", "_size").agg(*ends)
+    quantile = lambda name, p: F.round(F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (place(p) - F.floor(place(p))), 6).alias(name)
+    return plain.join(found, same, "left").select(by, "n", "mean", *(quantile(name, p) for name, p in shares.items()))
 
 
 def top_share(totals: DataFrame, key: str, value: str) -> DataFrame:
