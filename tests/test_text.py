@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,28 @@ def test_mentions(spark, dictionary, text, want):
     assert {r["symbol"] for r in stance.detect_mentions(df, "id", "text", dictionary).collect()} == want
 
 
+def test_phrases_are_substrings_of_the_joined_words(spark):
+    """A phrase may begin inside a longer word, if its first word stands somewhere by itself; texts stay where they are."""
+    words = ["red", "ring", "hired", "ringing", "ore", "of", "bored", "\u212aelvin", "ring's", "x" * 3000 + "red"]
+    texts = [" ".join(words[(k * 7 + j * j * (k + 3)) % len(words)] for j in range(k % 9)) for k in range(80)] + ["[removed]", "hired rings, red", "red hired ring", "ring red ore", "bore bored of ore", "ringing red oreo, ring"]
+    phrases = ["red ring", "ring red ore", "red", "ore bored", "hired  red", "red ring\nred"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(1000, None)], "id int, text string")
+    found = {tuple(r) for r in stance.mention_routes(df, "id", "text", spark.createDataFrame([(p, "phrase", p) for p in phrases] + [("K", "word", "kelvin")], "symbol string, route string, key string")).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        low = re.findall("[a-z]{3,}", t.lower()) if t != "[removed]" else []
+        want |= {(i, p, "phrase") for p in phrases if p.split(" ")[0] in low and p in " ".join(low)} | ({(i, "K", "word")} if "kelvin" in low else set())
+    assert found == want and len({p for _, p, _ in want}) > 4
+    plan = stance.mention_routes(df.repartition(3), "id", "text", spark.createDataFrame([("R", "phrase", "red ring")], "symbol string, route string, key string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "collect_set" not in plan
+
+
+def test_shouting_counts_code_points(spark):
+    df = spark.createDataFrame([("AB\U00010400\U00010428",), ("\U00010400A\U00010401 \u00c9\u00e9",), ("1 2",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(stance.shouts(F.col("t"))).collect()] == [True, True, False, False, False]
+    assert "regexp_extract_all" not in df.select(stance.shouts(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize(
     ("text", "label"),
     [("time to buy", "bull"), ("do not buy this", "bear"), ("selling puts all day", "bull"), ("sell calls", "bear"), ("puts", "bear"), ("hello", "neutral"), (None, "neutral"), ("buy or sell", "neutral"), ("diamond hands to the moon", "bull"), ("no way I sell", "bull"), ("this will tank", "bear"), ("sold puts", "bear")],
