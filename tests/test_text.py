@@ -56,6 +56,17 @@ def test_shouting_counts_code_points(spark):
     assert "regexp_extract_all" not in df.select(stance.shouts(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_long_texts_are_split_once(spark):
+    """5,000 texts' worth of chunks from a few long ones: splitting each anew for every chunk takes minutes."""
+    import time
+
+    df = spark.createDataFrame([(1, "buy " * 400_000), (2, "\tsell " * 70), (3, ""), (4, None)], "id int, text string")
+    began = time.time()
+    rows = {r["id"]: (r["chunks"], r["n_bull"], r["n_bear"], r["label"]) for r in stance.score_long_text(df, "id", "text").collect()}
+    assert time.time() - began < 60
+    assert rows == {1: (6667, 6667, 0, "bull"), 2: (2, 0, 2, "bear"), 3: (1, 0, 0, "neutral")}
+
+
 @pytest.mark.parametrize(
     ("text", "label"),
     [("time to buy", "bull"), ("do not buy this", "bear"), ("selling puts all day", "bull"), ("sell calls", "bear"), ("puts", "bear"), ("hello", "neutral"), (None, "neutral"), ("buy or sell", "neutral"), ("diamond hands to the moon", "bull"), ("no way I sell", "bull"), ("this will tank", "bear"), ("sold puts", "bear")],
