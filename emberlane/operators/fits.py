@@ -98,8 +98,8 @@ class _State:
         self.trial = self.beta + self.step
 
 
-def _weights(cluster: np.ndarray, replicas: list[int], seed: int) -> np.ndarray:
-    """Poisson(1) numbers by row and replica; replica 0 has weight 1."""
+def _drawn(cluster: np.ndarray, replicas: list[int], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Poisson(1) numbers by distinct cluster and replica, and each row's place among the clusters; replica 0 has weight 1."""
     shares = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(17)])
     cuts = np.array([int(min(s, 1 - 2.0**-53) * 2.0**64) for s in shares], np.uint64)
     known, inverse = np.unique(cluster.view(np.uint64), return_inverse=True)
@@ -108,13 +108,19 @@ def _weights(cluster: np.ndarray, replicas: list[int], seed: int) -> np.ndarray:
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     x ^= x >> np.uint64(31)
-    w = np.zeros(x.shape)
+    w = np.zeros(x.shape, np.uint8)
     for cut in cuts[:5]:
         w += x >= cut
     rest = x >= cuts[4]
     w[rest] = np.searchsorted(cuts, x[rest], "right")
-    w[:, np.array(replicas) == 0] = 1.0
-    return w[inverse]
+    w[:, np.array(replicas) == 0] = 1
+    return w.astype(float), inverse
+
+
+def _weights(cluster: np.ndarray, replicas: list[int], seed: int) -> np.ndarray:
+    """Poisson(1) numbers by row and replica."""
+    drawn, inverse = _drawn(cluster, replicas, seed)
+    return drawn[inverse]
 
 
 def _moments(p: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -131,11 +137,63 @@ def _group_sums(weights: np.ndarray, values: np.ndarray, cuts: np.ndarray) -> np
     return np.stack([weights[lo:hi].T @ values[lo:hi] for lo, hi in zip(cuts.tolist(), ends)])
 
 
+#: Rows that a task takes at once.
+_ROWS = 1 << 15
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+@dataclass
+class _View:
+    """A batch's rows of one specification, by stratum, time and whether they die."""
+
+    rows: np.ndarray
+    x: np.ndarray
+    values: np.ndarray
+    names: list[str]
+    codes: np.ndarray
+    stop: np.ndarray
+    dead: np.ndarray
+    cuts: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, x_all: np.ndarray, spec: int, picked: list[int], strata: bool) -> _View:
+        column = lambda c: batch.column(batch.schema.get_field_index(c))
+        rows = np.flatnonzero((column(f"in{spec // BITS}").to_numpy(zero_copy_only=False) >> (spec % BITS) & 1).astype(bool))
+        names, codes = [""], np.zeros(len(rows), np.int64)
+        if strata:
+            coded = column(f"s{spec}").take(pa.array(rows)).dictionary_encode()
+            names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        stop, dead = column("stop").to_numpy(zero_copy_only=False)[rows], column("dead").to_numpy(zero_copy_only=False)[rows] == 1
+        order = np.lexsort((dead, stop, codes))
+        rows, codes, stop, dead = rows[order], codes[order], stop[order], dead[order]
+        x = x_all[rows][:, picked]
+        _, i, j = _moments(len(picked))
+        values = np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], 1)
+        new = (stop[1:] != stop[:-1]) | (codes[1:] != codes[:-1]) | (dead[1:] != dead[:-1])
+        return cls(rows, x, values, names, codes, stop, dead, np.flatnonzero(np.concatenate([[len(rows) > 0], new])))
+
+
 def _partial_sums(shared, p_all: int):
-    """Sums of a task's rows by block, stratum and time: at risk from below (stops less starts), deaths' moments, death counts."""
+    """Sums of a task's rows by block, stratum and time: at risk from below (stops less starts), deaths' moments, death counts.
+
+    Rows are put in order once per specification; blocks with the same draws follow each other, which are then let go.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specs, blocks, seed = shared.value
+        specs, blocks, seed, starts = shared.value
+        turns: dict[tuple, list[int]] = {}
+        for number, (_, states) in enumerate(blocks):
+            turns.setdefault((states[0][1], *(r for r, _, _ in states)), []).append(number)
         held: dict[tuple, np.ndarray] = {}
         size = 0
 
@@ -155,52 +213,49 @@ def _partial_sums(shared, p_all: int):
             held.clear()
             size = 0
 
-        for batch in batches:
+        def block_sums(number: int, view: _View, w: np.ndarray, start: np.ndarray) -> None:
+            states = blocks[number][1]
+            p = view.x.shape[1]
+            q = view.values.shape[1]
+            shape = (len(states), 3 * q + 1 + p)
+            beta = np.stack([b for _, _, b in states], 1)
+            if (beta == beta[:, :1]).all():
+                # a first round: one risk for all replicas
+                e = np.exp(np.minimum(view.x @ beta[:, :1], 700))
+                at_risk, risk_values = w, e * view.values
+            else:
+                at_risk = view.x @ beta
+                np.minimum(at_risk, 700, out=at_risk)
+                np.exp(at_risk, out=at_risk)
+                at_risk *= w
+                risk_values = view.values
+            for cut, end, sums in zip(view.cuts.tolist(), [*view.cuts[1:].tolist(), len(view.rows)], _group_sums(at_risk, risk_values, view.cuts)):
+                key = (number, view.names[view.codes[cut]], float(view.stop[cut]))
+                add(key, slice(0, q), sums, shape)
+                if view.dead[cut]:
+                    add(key, slice(2 * q, 3 * q), sums, shape)
+                    add(key, slice(3 * q, 3 * q + 1 + p), w[cut:end].T @ view.values[cut:end, : 1 + p], shape)
+            if starts:
+                t = start[view.rows]
+                order = np.lexsort((t, view.codes))
+                t, c = t[order], view.codes[order]
+                cuts = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])]))
+                for cut, sums in zip(cuts.tolist(), _group_sums(at_risk[order], risk_values[order], cuts)):
+                    add((number, view.names[c[cut]], float(t[cut])), slice(q, 2 * q), sums, shape)
+
+        for batch in _joined(batches):
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             x_all = np.stack([columns[f"x{k}"].to_numpy(zero_copy_only=False) for k in range(p_all)], 1) if p_all else np.zeros((batch.num_rows, 0))
-            drawn: dict[tuple, np.ndarray] = {}
-            stop, start, dead = (columns[c].to_numpy(zero_copy_only=False) for c in ("stop", "start", "dead"))
-            for number, (spec, states) in enumerate(blocks):
-                picked, strata = specs[spec]
-                x = x_all[:, picked]
-                rows = np.flatnonzero((columns[f"in{spec // BITS}"].to_numpy(zero_copy_only=False) >> (spec % BITS) & 1).astype(bool))
-                if not len(rows):
-                    continue
-                p = len(picked)
-                q, i, j = _moments(p)
-                x = x[rows]
-                values = np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], 1)
-                replicas = [r for r, _, _ in states]
+            start = columns["start"].to_numpy(zero_copy_only=False)
+            views: dict[int, _View] = {}
+            for (cluster, *replicas), numbers in turns.items():
                 if any(replicas):
-                    cluster = states[0][1]
-                    turn = (cluster, *replicas)
-                    if turn not in drawn:  # specifications share their replicas' draws
-                        drawn[turn] = _weights(columns[f"c{cluster}"].to_numpy(zero_copy_only=False), replicas, seed + cluster)
-                    w = drawn[turn][rows]
-                else:
-                    w = np.ones((len(x), len(states)))
-                e = np.exp(np.minimum(x @ np.stack([b for _, _, b in states], 1), 700)) * w
-                if strata:
-                    coded = columns[f"s{spec}"].take(pa.array(rows)).dictionary_encode()
-                    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-                else:
-                    names, codes = [""], np.zeros(len(x), np.int64)
-                shape = (len(states), 3 * q + 1 + p)
-                for times, at in ((stop[rows], 0), (start[rows], q)):
-                    order = np.lexsort((times, codes))
-                    t, c = times[order], codes[order]
-                    cuts = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])]))
-                    sums = _group_sums(e[order], values[order], cuts)
-                    for k, cut in enumerate(cuts.tolist()):
-                        add((number, names[c[cut]], float(t[cut])), slice(at, at + q), sums[k], shape)
-                gone = np.flatnonzero(dead[rows] == 1)
-                if len(gone):
-                    order = gone[np.lexsort((stop[rows][gone], codes[gone]))]
-                    t, c = stop[rows][order], codes[order]
-                    cuts = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])]))
-                    sums = np.concatenate([_group_sums(e[order], values[order], cuts), _group_sums(w[order], values[order][:, : 1 + p], cuts)], 2)
-                    for k, cut in enumerate(cuts.tolist()):
-                        add((number, names[c[cut]], float(t[cut])), slice(2 * q, 3 * q + 1 + p), sums[k], shape)
+                    drawn, place = _drawn(columns[f"c{cluster}"].to_numpy(zero_copy_only=False), replicas, seed + cluster)
+                for number in numbers:  # specifications share their replicas' draws
+                    spec = blocks[number][0]
+                    view = views.get(spec) or views.setdefault(spec, _View.of(batch, x_all, spec, *specs[spec]))
+                    if len(view.rows):
+                        block_sums(number, view, drawn[place[view.rows]] if any(replicas) else np.ones((len(view.rows), len(replicas))), start)
             if size > HELD:
                 yield from passed()
         yield from passed()
@@ -270,7 +325,7 @@ def _evaluator(shared):
     """Per block the likelihoods of its fits, over the strata of this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specs, blocks, _ = shared.value
+        specs, blocks, *_ = shared.value
         strata: dict[tuple, list] = {}
         for (block, stratum, time), sums in _added(batches).items():
             strata.setdefault((block, stratum), []).append((time, sums))
@@ -316,10 +371,12 @@ class Table:
         # sums by which specifications a row belongs to: few combinations
         masks = [f"in{k}" for k in range(-(-n // BITS))]
         sums = [F.sum(f"x{k}").alias(f"x{k}") for k in range(p)] + [F.count(f"x{k}").alias(f"n{k}") for k in range(p)]
-        found = self.data.groupBy(*masks).agg(F.count("*").alias("rows"), F.sum("dead").alias("deaths"), *sums).collect()
+        found = self.data.groupBy(*masks).agg(F.count("*").alias("rows"), F.sum("dead").alias("deaths"), F.max("start").alias("started"), F.min("stop").alias("stopped"), *sums).collect()
         inside = lambda r, k: r[f"in{k // BITS}"] >> (k % BITS) & 1
         self.means = np.array([sum(r[f"x{k}"] or 0.0 for r in found) / max(sum(r[f"n{k}"] for r in found), 1) for k in range(p)])
         self.counts = [(sum(r["rows"] for r in found if inside(r, k)), sum(r["deaths"] for r in found if inside(r, k))) for k in range(n)]
+        # who starts before every stop is at risk at all of them
+        self.starts = bool(found) and not max(r["started"] for r in found) < min(r["stopped"] for r in found)
         self.events = [0] * n
         if id_column:
             per = self.data.groupBy("id").agg(*(F.bit_or(m).alias(m) for m in masks)).groupBy(*masks).agg(F.count("*").alias("ids")).collect()
@@ -335,7 +392,7 @@ class Table:
         for s in states:
             groups.setdefault((s.spec, s.cluster), []).append(s)
         blocks = [(spec, part[i : i + BLOCK]) for (spec, _), part in groups.items() for i in range(0, len(part), BLOCK)]
-        shared = self.spark.sparkContext.broadcast((picked, [(spec, [(s.replica, s.cluster, s.trial) for s in part]) for spec, part in blocks], self.seed))
+        shared = self.spark.sparkContext.broadcast((picked, [(spec, [(s.replica, s.cluster, s.trial) for s in part]) for spec, part in blocks], self.seed, self.starts))
         partial = self.rows.mapInArrow(_partial_sums(shared, len(self.covariates)), _PARTIAL)
         added = partial.repartition("block", "stratum", "time").mapInArrow(_add_up, _PARTIAL)
         found = added.repartition("block", "stratum").mapInArrow(_evaluator(shared), "block int, found binary").collect()

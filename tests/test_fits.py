@@ -127,3 +127,22 @@ def test_one_spec_without_numbers_fails_no_other(spark, rows):
         if not state.done:
             state.advance(math.nan, np.full(1, math.nan), np.full((1, 1), math.nan))
     assert state.done and not state.converged and state.beta == [0] and state.ll == -10.0 and state.info == [[1]]
+
+
+def test_rows_that_start_before_every_stop_need_no_sums_of_starts(spark):
+    """One risk set sum per time and death flag: no sums at the common start, and the same fit as with starts of their own."""
+    rows = spark.createDataFrame([(i % 7 + 1, int(i % 3 > 0), (i * 37 % 11) / 5, i % 2, 0.0, i % 13) for i in range(300)], "stop int, e int, x double, g int, start double, c int")
+    table = fits.Table(rows, [Spec("m", ("x",)), Spec("s", ("x",), "x > 0.3", "g")], "stop", "e", clusters=["c"])
+    assert not table.starts
+    found = table.fits()
+    late = fits.Table(rows.unionByName(rows.limit(1).selectExpr("0.5 as stop", "0 as e", "x", "g", "0.25 as start", "c")), [Spec("m", ("x",)), Spec("s", ("x",), "x > 0.3", "g")], "stop", "e", "start")
+    assert not late.starts
+    early = fits.Table(rows.unionByName(rows.limit(1).selectExpr("0 as stop", "0 as e", "x", "g", "0.0 as start", "c")), [Spec("m", ("x",))], "stop", "e", "start")
+    assert early.starts
+    assert early.fits()["m"].beta == pytest.approx(found["m"].beta, abs=1e-9)
+    # replicas in one round from one point, and in later ones from their own, are the same fits
+    drawn = {(r["spec"], r["replica"]): r["coef"] for r in table.bootstrap(3, found).collect()}
+    for r in (1, 2, 3):
+        alone = table._state(0, r)
+        table._run([alone], 30)
+        assert alone.beta[0] == pytest.approx(drawn["m", r], abs=1e-7)
