@@ -269,32 +269,82 @@ def _ordered_bits(value: str):
     return F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(-(1 << 63))))
 
 
+#: Rows of a range of risks: what one task counts among themselves, and the bits of their number.
+_RANGE, _RANGE_BITS = 1 << 20, 24
+
+
+def _later(group: np.ndarray, after: np.ndarray, n: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Per row of ``of`` (numbers): the sum of ``n`` over the rows of its group with a smaller ``after``."""
+    key = group << _RANGE_BITS | after
+    order = np.argsort(key, kind="stable")
+    key, upto = key[order], np.concatenate([[0], np.cumsum(n[order])])
+    first = lambda wanted: upto[np.searchsorted(key, wanted)]
+    mine = group[of] << _RANGE_BITS
+    return first(mine | after[of]) - first(mine)
+
+
+def _range_pairs(by: list[str]):
+    """In a range of risks: the deaths with a lower risk, and with an equal one, among rows with a longer duration."""
+
+    def count(table: pa.Table) -> pa.Table:
+        codes = np.zeros(table.num_rows, np.int64)
+        for name in by:
+            one = table.column(name).combine_chunks().dictionary_encode()
+            codes = codes * len(one.dictionary) + one.indices.to_numpy()
+            codes = np.unique(codes, return_inverse=True)[1]
+        firsts = np.unique(codes, return_index=True)[1]
+        d, n = (table.column(c).to_numpy().astype(np.int64) for c in ("d", "n"))
+        after = np.unique(-np.unique(table.column("t").to_numpy(), return_inverse=True)[1], return_inverse=True)[1]
+        risk = np.unique(table.column("_o").to_numpy(), return_inverse=True)[1].astype(np.int64)
+        good, ties = np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
+        dead = np.flatnonzero(d)
+        ties[dead] = d[dead] * _later(np.unique(codes << _RANGE_BITS | risk, return_inverse=True)[1], after, n, dead)
+        for bit in range(int(risk.max()).bit_length() if len(risk) else 0):
+            # two risks differ first at this bit: the same bits above it, 1 against 0
+            high = risk >> bit & 1
+            of = np.flatnonzero((high == 1) & (d > 0))
+            group = np.unique(codes << _RANGE_BITS | risk >> bit + 1, return_inverse=True)[1]
+            good[of] += d[of] * _later(group, after, n * (1 - high), of)
+        order = np.argsort(codes, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) > 0]))
+        sums = [pa.array(np.add.reduceat(x[order], cuts), pa.int64()) for x in (good, ties)]
+        return pa.table([*(table.column(name).take(pa.array(firsts)).combine_chunks() for name in by), *sums], names=[*by, "good", "ties"])
+
+    return count
+
+
 def concordance(rows: DataFrame, risk: str, time: str, event: str, by: list[str] | None = None) -> DataFrame:
     """V9: Harrell's C: of pairs whose shorter duration is a death, the share in which it has the higher risk; equal risks count half.
 
     With ``by`` (replicas, populations) one row for each of its values, all counted together.
 
-    Exact without pairs: two risks differ first in one of the 16 hex digits of their ordered bits, so a pair is counted at that
-    digit, among rows with the same digits before it: counts per digit and time, and running sums from the last time back.
-    A group of running sums has at most one row per time. Rows without a risk or time have no pairs.
+    Exact without pairs, from ranges of risks of about a million rows: pairs inside a range are counted by its task, pairs of two
+    ranges from the ranges' counts per time, at the first hex digit in which the ranges' numbers differ, with running sums from
+    the last time back. A group of running sums has at most one row per time. Rows without a risk or time have no pairs.
     """
-    known = rows.filter(F.col(risk).isNotNull() & F.col(time).isNotNull())
     by = by or []
-    cells = known.groupBy(*by, F.col(time).alias("t"), F.col(risk).alias("_r")).agg(F.sum(event).alias("d"), F.count("*").alias("n")).withColumn("_k", _ordered_bits("_r"))
+    known = rows.filter(F.col(risk).isNotNull() & F.col(time).isNotNull()).dropna(subset=by) if by else rows.filter(F.col(risk).isNotNull() & F.col(time).isNotNull())
+    cells = known.groupBy(*by, F.col(time).alias("t"), (_ordered_bits(risk).bitwiseXOR(F.lit(-(1 << 63)))).alias("_o")).agg(F.sum(event).alias("d"), F.count("*").alias("n"))
+    cells = stored(cells, "cells")
+    ranges = -(-max(1, cells.count()) // _RANGE)
+    placed = stored(cells.repartitionByRange(ranges, *by, "_o").withColumn("_range", F.spark_partition_id()), "ranges")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in cells.select(*by).schema)
+    inside = placed.groupBy("_range").applyInArrow(_range_pairs(by), f"{kinds}good long, ties long").groupBy(*by).agg(F.sum("good").alias("_good"), F.sum("ties").alias("ties"))
+    per = stored(placed.groupBy(*by, "_range", "t").agg(F.sum("d").alias("d"), F.sum("n").alias("n")), "range-times")
     later = lambda keys, n: F.coalesce(F.sum(n).over(Window.partitionBy(*by, *keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    same = cells.groupBy(*by, "_k", "t").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    ties = same.select(*by, "d", later(["_k"], "n").alias("later")).groupBy(*by).agg(F.sum(F.col("d") * F.col("later")).alias("ties"))
-    levels = [F.struct(F.lit(i).alias("level"), (F.shiftrightunsigned("_k", 64 - 4 * i) if i else F.lit(0)).cast("long").alias("before"), F.shiftrightunsigned("_k", 60 - 4 * i).bitwiseAND(F.lit(15)).alias("digit")) for i in range(16)]
-    long = same.select(*by, "t", "d", "n", F.explode(F.array(*levels)).alias("_l")).select(*by, "t", "d", "n", "_l.*")
+    pairs = per.groupBy(*by, "t").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).select(*by, "d", later([], "n").alias("later")).groupBy(*by).agg(F.sum(F.col("d") * F.col("later")).alias("pairs"))
+    depth = max(1, -(-(ranges - 1).bit_length() // 4))
+    number = F.col("_range").cast("long")
+    levels = [F.struct(F.lit(i).alias("level"), F.shiftright(number, 4 * (depth - i)).alias("before"), F.shiftright(number, 4 * (depth - 1 - i)).bitwiseAND(F.lit(15)).alias("digit")) for i in range(depth)]
+    long = per.select(*by, "t", "d", "n", F.explode(F.array(*levels)).alias("_l")).select(*by, "t", "d", "n", "_l.*")
     digits = range(16)
     at = lambda c, k: F.sum(F.when(F.col("digit") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
     sums = long.groupBy(*by, "level", "before", "t").agg(*(at("d", k) for k in digits), *(at("n", k) for k in digits))
-    g = sums.select(*by, "level", *(f"d{k}" for k in digits), *(later(["level", "before"], f"n{k}").alias(f"l{k}") for k in digits))
+    g = sums.select(*by, *(f"d{k}" for k in digits), *(later(["level", "before"], f"n{k}").alias(f"l{k}") for k in digits))
     below = sum((F.col(f"d{k}") * sum((F.col(f"l{j}") for j in range(k)), F.lit(0)) for k in digits), F.lit(0))
-    everyone = sum((F.col(f"d{k}") for k in digits), F.lit(0)) * sum((F.col(f"l{k}") for k in digits), F.lit(0))
-    counted = g.groupBy(*by).agg(F.sum(below).alias("good"), F.sum(F.when(F.col("level") == 0, everyone)).alias("pairs"))
-    both = counted.join(ties, by) if by else counted.join(ties)
-    return both.select(*by, F.col("pairs").cast("long").alias("pairs"), F.try_divide(F.col("good") + F.col("ties") / 2, F.col("pairs")).alias("concordance"))
+    across = g.groupBy(*by).agg(F.sum(below).alias("_across"))
+    both = pairs.join(inside, by).join(across, by) if by else pairs.join(inside).join(across)
+    return both.select(*by, F.col("pairs").cast("long").alias("pairs"), F.try_divide(F.col("_good") + F.col("_across") + F.col("ties") / 2, F.col("pairs")).alias("concordance"))
 
 
 def baseline_hazard(rows: DataFrame, covariates: list[str], beta: list[float], stop: str, event: str) -> DataFrame:

@@ -134,3 +134,34 @@ def test_concordance_of_continuous_risks_is_exact(spark):
     good = (pair & (x[:, None] > x[None, :])).sum() + (pair & (x[:, None] == x[None, :])).sum() / 2
     r = survival.concordance(df, "x", "t", "e").first()
     assert r["pairs"] == pair.sum() and r["concordance"] == pytest.approx(good / pair.sum(), abs=1e-12)
+
+
+def test_concordance_over_ranges_is_that_of_pairs(spark, monkeypatch):
+    """Inside ranges of risks, and of different ones, by replica: against all pairs."""
+    monkeypatch.setattr(survival, "_RANGE", 8)
+    data = [(i % 3, (i * 31 % 17) / 4 - 2, i * 7 % 11, int(i % 4 > 0)) for i in range(240)] + [(0, float(i), 100 + i % 5, 1) for i in range(20)] + [(1, -0.0, 3, 1), (1, 0.0, 9, 0), (2, None, 1, 1), (None, 1.0, 1, 1)]
+    df = spark.createDataFrame(data, "g int, x double, t int, e int")
+    found = {r["g"]: (r["pairs"], r["concordance"]) for r in survival.concordance(df, "x", "t", "e", ["g"]).collect()}
+    whole = survival.concordance(df, "x", "t", "e").first()
+
+    def pairs(rows):
+        known = [r for r in rows if r[1] is not None]
+        both = [(a[1], b[1]) for a in known for b in known if a[3] and a[2] < b[2]]
+        return len(both), pytest.approx(sum(1.0 if a > b else 0.5 if a == b else 0.0 for a, b in both) / len(both))
+
+    assert found == {g: pairs([r for r in data if r[0] == g]) for g in (0, 1, 2)}
+    assert (whole["pairs"], whole["concordance"]) == pairs(data)
+    plan = survival.concordance(df, "x", "t", "e")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_k" not in plan
+
+
+def test_durations_are_dealt_by_the_number_of_lines(spark, monkeypatch):
+    """More lines make more parts, not larger ones."""
+    from emberlane.plans import views
+
+    folder = "/root/testdata/sf0.001"
+    want = sorted(views.durations(spark, folder).collect())
+    monkeypatch.setattr(views, "LINES", 500)
+    rows = views.durations(spark, folder)
+    assert rows.rdd.getNumPartitions() >= views.table(spark, folder, "lineitem").count() / 500
+    assert sorted(rows.collect()) == want
