@@ -34,6 +34,77 @@ def bootstrap_clusters(df: DataFrame, cluster: str, replicas: int, seed: int = 3
     return draws.join(numbers, "_number").select("replica", "copy", cluster).join(df, cluster)
 
 
+#: Clusters of a block: the place of one in its block is a number of 16 bits.
+_CLUSTERS = 1 << 16
+
+
+def _packed_draws(count: int, held: int = 1 << 20):
+    """For rows (slot, number) in order of slots: per replica and block of numbers the drawn places, as one binary value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(slots: list[np.ndarray], numbers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            slot, number = np.concatenate(slots), np.concatenate(numbers)
+            blocks = (number // _CLUSTERS).astype(np.uint16 if count // _CLUSTERS < 1 << 16 else np.int64)
+            places = (number % _CLUSTERS).astype(np.uint16)
+            found = []
+            first, last = int(slot[0]) // count, int(slot[-1]) // count
+            edges = np.searchsorted(slot, np.arange(first, last + 2) * count)
+            for replica, lo, hi in zip(range(first + 1, last + 2), edges[:-1].tolist(), edges[1:].tolist()):
+                order = np.argsort(blocks[lo:hi], kind="stable")
+                block, place = blocks[lo:hi][order], places[lo:hi][order]
+                cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist()
+                found += [(int(block[c]), replica, place[c:e].tobytes()) for c, e in zip(cuts, [*cuts[1:], len(block)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.binary()))], ["block", "replica", "drawn"])
+
+        slots, numbers = [], []
+        for batch in batches:
+            slots.append(batch.column(0).to_numpy())
+            numbers.append(batch.column(1).to_numpy())
+            if sum(map(len, slots)) >= held:
+                yield from packed(slots, numbers)
+                slots, numbers = [], []
+        if slots:
+            yield from packed(slots, numbers)
+
+    return run
+
+
+def _block_totals(columns: list[str]):
+    """Per replica the sums of a block's clusters, each as often as it is drawn."""
+
+    def total(drawn: pa.Table, clusters: pa.Table) -> pa.Table:
+        places = clusters.column("_place").to_numpy()
+        values = [clusters.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        times: dict[int, np.ndarray] = {}
+        if len(places):
+            for replica, found in zip(drawn.column("replica").to_pylist(), drawn.column("drawn")):
+                w = np.bincount(np.frombuffer(found.as_buffer(), np.uint16), minlength=_CLUSTERS)[places]
+                mine = np.array([(w * x).sum() for x in values], object)
+                times[replica] = times[replica] + mine if replica in times else mine
+        return pa.table({"replica": pa.array(list(times), pa.int32()), **{c: pa.array([t[k] for t in times.values()], clusters.schema.field(c).type) for k, c in enumerate(columns)}})
+
+    return total
+
+
+def bootstrap_cluster_sums(df: DataFrame, cluster: str, columns: list[str], replicas: int, seed: int = 3) -> DataFrame:
+    """Per replica the sums of columns over the clusters that ``bootstrap_clusters`` draws: (replica, columns).
+
+    Clusters are summed up and numbered first; the same slots draw the same numbers. Only packed numbers of drawn clusters move,
+    two bytes each, to the block of clusters that they are of: a task holds a block and the draws of it.
+    """
+    is_known = F.col(cluster).isNotNull()
+    per = df.groupBy(cluster).agg(*(F.coalesce(F.sum(F.when(is_known, F.col(c))), F.lit(0)).alias(c) for c in columns))
+    placed = stored(numbered(per, cluster).select(F.expr(f"_number div {_CLUSTERS}").alias("block"), F.pmod("_number", F.lit(_CLUSTERS)).cast("int").alias("_place"), *columns), "clusters")
+    count = max(1, placed.count())
+    slots = df.sparkSession.range(replicas * count)
+    replica, copy = F.expr(f"cast(id div {count} + 1 as int)"), F.expr(f"cast(id % {count} as int)")
+    draws = slots.select("id", F.pmod(F.xxhash64(F.lit(seed), replica, copy), F.lit(count)).cast("long").alias("_number"))
+    packed = draws.mapInArrow(_packed_draws(count), "block long, replica int, drawn binary")
+    kinds = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in columns)
+    totals = packed.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_block_totals(columns), f"replica int, {kinds}")
+    return totals.groupBy("replica").agg(*(F.sum(c).alias(c) for c in columns))
+
+
 def _draws(value: float, count: int, replicas: int, seed: int) -> np.ndarray:
     """How often a replica has a value that the data have ``count`` times: Poisson numbers that depend on nothing else."""
     bits = int(np.float64(value + 0.0).view(np.uint64))

@@ -27,9 +27,8 @@ def _paths(spark, d):
 
 def _clusters(spark, d):
     """Clusters drawn 200 times, from their sums; the mean of each replica."""
-    sums = v.durations(spark, d).groupBy("cluster").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
-    drawn = agreement.bootstrap_clusters(sums, "cluster", 200)
-    return drawn.groupBy("replica").agg(F.sum("n").alias("n"), (F.sum("t") / F.sum("n")).alias("mean_t"))
+    rows = v.durations(spark, d).select("cluster", F.lit(1).alias("n"), "t")
+    return agreement.bootstrap_cluster_sums(rows, "cluster", ["n", "t"], 200).select("replica", "n", (F.col("t") / F.col("n")).alias("mean_t"))
 
 
 def _permuted(spark, d):

@@ -104,6 +104,22 @@ def test_bootstrap_moves_whole_clusters(spark):
     assert {r["count"] for r in out.groupBy("replica", "copy").count().collect()} == {3}
 
 
+def test_bootstrap_sums_are_those_of_the_drawn_clusters(spark, monkeypatch):
+    """Packed draws by block against the rows that the clusters' copies give, over several blocks and chunks of slots."""
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(agreement, "_CLUSTERS", 16)
+    cloudpickle.register_pickle_by_value(agreement)
+    try:
+        df = spark.createDataFrame([(i * 13 % 97, i % 5, i / 8) for i in range(300)] + [(None, 3, 1.0)], "c long, n int, x double")
+        found = {r["replica"]: (r["n"], r["x"]) for r in agreement.bootstrap_cluster_sums(df, "c", ["n", "x"], 7).collect()}
+        rows = agreement.bootstrap_clusters(df, "c", 7).groupBy("replica").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+        assert found == {r["replica"]: (r["n"], pytest.approx(r["x"])) for r in rows.collect()} and len(found) == 7
+        assert agreement.bootstrap_cluster_sums(df.limit(0), "c", ["n"], 3).count() == 0
+    finally:
+        cloudpickle.unregister_pickle_by_value(agreement)
+
+
 def test_require_raises(spark):
     with pytest.raises(ValueError, match="positive"):
         agreement.require(spark.range(3), {"positive": F.col("id") > 0})
