@@ -5,14 +5,13 @@ Series are (symbol, step, n) on a dense integer calendar unless said otherwise.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .near import near_pairs
 from .ranks import numbered, quantiles
 
 
@@ -242,20 +241,10 @@ def longest_consistent(points: DataFrame, key: str, step: str, value: str, drop:
 
 
 def near_duplicates(points: DataFrame, key: str, step: str, value: str, within: float = 0.005) -> DataFrame:
-    """Pairs of entities with nearly the same value in the same step; values are bucketed by logarithm, so only neighbours meet.
-
-    The smaller of two values is at least 1 - ``within`` of the larger, so a bucket's ends are a little further apart than that;
-    zeros meet zeros, and of two different negative values neither is near the other.
-    """
-    width = -math.log(1 - within) * (1 + 1e-6)
-    size = F.col(value)
-    bucket = F.when(size > 0, F.floor(F.log(size) / width)).otherwise(F.lit(-(1 << 40)))
-    near = F.when(size > 0, F.sequence(bucket - 1, bucket + 1)).otherwise(F.array(bucket))
-    known = points.filter(size >= 0)
-    a = known.select(F.col(key).alias("a"), step, size.alias("va"), bucket.alias("bucket"))
-    b = known.select(F.col(key).alias("b"), step, size.alias("vb"), F.explode(near).alias("bucket"))
-    met = a.join(b, [step, "bucket"]).filter(F.col("a") < F.col("b")).filter(F.abs(F.col("va") - F.col("vb")) <= within * F.greatest("va", "vb"))
-    return met.groupBy("a", "b").agg(F.count("*").alias("steps"))
+    """Pairs of entities with nearly the same value in the same step, and in how many; zeros meet zeros, and of two
+    different negative values neither is near the other. All pairs are returned, so rows grow with the square of the entities
+    of a step; what is moved and written before that grows with the points."""
+    return near_pairs(points, key, step, value, within)
 
 
 def topk(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
